@@ -133,8 +133,8 @@ class Words:
         return mix(acc[pick]), first
 
 
-def _short(w: np.ndarray) -> np.uint64:
-    return np.sum(w * _SHINGLE[: len(w)], dtype=np.uint64) + _SHINGLE[63] * U(len(w))
+def _short(w: np.ndarray) -> np.ndarray:
+    return (np.sum(w * _SHINGLE[: len(w)], dtype=np.uint64, keepdims=True) + _SHINGLE[63:] * U(len(w)))[0]
 
 
 def dense_position(df: DataFrame, group: list[str], order: str, out: str, buckets: int, tie: list[str] = ()) -> DataFrame:
@@ -150,3 +150,45 @@ def dense_position(df: DataFrame, group: list[str], order: str, out: str, bucket
     starts = counts.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"))
     local = F.row_number().over(Window.partitionBy(*keys).orderBy(order, *tie)) - 1
     return df.withColumn("__local", local).join(starts, keys).withColumn(out, F.col("__from") + F.col("__local")).drop(spot, "__from", "__local", "__n")
+
+
+class BitFilter:
+    """A bit table of fixed size over 64-bit hashes: no false negatives, and its size never depends on the data.
+
+    A full table lets everything pass, so whoever uses it must still join exactly; it only saves rows from a shuffle.
+    """
+
+    def __init__(self, words: np.ndarray, log_bits: int):
+        self.words, self.log_bits = words, log_bits
+
+    def hits(self, hashes: np.ndarray) -> np.ndarray:
+        spot = hashes.view(np.uint64) >> U(64 - self.log_bits)
+        return (self.words[spot >> U(6)] >> (spot & U(63))) & U(1) != 0
+
+
+def bit_filter(hashes: DataFrame, column: str, log_bits: int = 23) -> BitFilter:
+    """The BitFilter of a bigint column; at most 2 ** (log_bits - 6) rows reach the driver."""
+    spot = F.shiftrightunsigned(F.col(column), 64 - log_bits)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - log_bits}) & 63 as int))")
+    rows = hashes.where(F.col(column).isNotNull()).groupBy(F.shiftrightunsigned(spot, 6).alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
+    words = np.zeros(1 << (log_bits - 6), np.uint64)
+    words[rows["w"].to_numpy()] = rows["b"].to_numpy().astype(np.int64).view(np.uint64)
+    return BitFilter(words, log_bits)
+
+
+def components(links: DataFrame) -> DataFrame:
+    """Connected components of (a, b) rows: (node, component), component being the smallest node reachable.
+
+    Every round takes the smallest label among a node's own, its neighbours' and its label's label, and writes the labels
+    to the shared folder; it ends when a round changes nothing. Labels and links stay distributed.
+    """
+    both = written(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
+    while True:
+        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("over"))
+        new = labels.join(near, "node").join(jump, "component").select("node", F.least("component", "near", "over").alias("new"), (F.least("near", "over") < F.col("component")).alias("changed"))
+        new = written(new, "labels")
+        labels = new.select("node", F.col("new").alias("component"))
+        if not new.where("changed").limit(1).count():
+            return labels

@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,7 +81,7 @@ def blocks(column: pa.Array, limit: int = 1 << 20):
     n = len(column)
     if not n:
         return
-    ends = np.cumsum(np.asarray(pa.compute.binary_length(column).fill_null(0), dtype=np.int64))
+    ends = np.cumsum(np.asarray(pc.binary_length(column).fill_null(0), dtype=np.int64))
     lo = 0
     while lo < n:
         done = ends[lo - 1] if lo else 0

@@ -12,6 +12,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,7 +144,7 @@ def compare(rows: DataFrame) -> DataFrame:
             g = list(zip(batch.column("g1").to_pylist(), batch.column("g2").to_pylist(), strict=True))
             side, ids, comp = (batch.column(c).to_pylist() for c in ("side", "id", "comp"))
             lists = batch.column("shingles")
-            flat, offsets = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).to_numpy())])
+            flat, offsets = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
             a, b = [], []
             for k, key in enumerate(g):
                 if key != current:

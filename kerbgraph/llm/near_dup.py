@@ -24,7 +24,7 @@ GUARANTEED = LANES // CHUNK * (ERRORS + 1) - 1
 #: Similar: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Parts of a large group that are compared with each other in one task.
-BLOCK, SALTS = 128, 64
+BLOCK, SALTS = 512, 64
 
 _RNG = np.random.default_rng(4242)
 _FACTOR = _RNG.integers(1, 1 << 63, LANES, dtype=np.uint64) | U(1)
@@ -218,20 +218,11 @@ def group(documents: DataFrame, keep: list[str], order: str) -> DataFrame:
     links = written(first, "links")
     comps = components(links)
 
-    left = held.where("n > 3").join(crowd.select("key"), "key", "left_semi").select("key", "id").join(comps.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id")).select("key", "id", "comp")
-    tallies = left.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.count("*").alias("comps"), F.sum("m").alias("n"), F.max(F.struct("m", "comp")).alias("top"))
-    tallies = written(tallies.where("comps > 1").select("key", "n", F.col("top.comp").alias("main"), (F.col("n") - F.col("top.m")).alias("apart")), "tallies")
-    if tallies.limit(1).count():
-        open_ = left.join(tallies, "key")
-        blocks_of = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-        place = F.xxhash64("id", F.lit(5))
-        outsider = F.col("comp") != F.col("main")
-        a = open_.where(outsider).select("key", "id", "comp", F.pmod(place, blocks_of("apart")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), blocks_of("n") - 1)).alias("j"), F.lit(0).alias("side"))
-        b = open_.select("key", "id", "comp", F.explode(F.sequence(F.lit(0), blocks_of("apart") - 1)).alias("i"), F.pmod(place, blocks_of("n")).cast("int").alias("j"), F.lit(1).alias("side"))
-        pairs = a.unionByName(b).select(F.col("key").alias("g1"), (F.col("i").cast("long") * (1 << 31) + F.col("j")).alias("g2"), "side", "id", "comp")
-        more = written(compare(pairs.join(sets, "id").select("g1", "g2", "side", "id", "comp", "shingles")), "links")
-        if more.limit(1).count():
-            comps = components(links.union(more))
+    for keys_part in (4, 1):
+        more = _apart(held.where("n > 3").join(crowd.select("key"), "key", "left_semi").where(F.pmod("key", F.lit(keys_part)) == 0), comps, sets)
+        if more is not None:
+            links = written(links.union(more), "links")
+            comps = components(links)
 
     of_class = classes.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id")).select("set_a", "set_b", "comp", "least", "id")
     best = of_class.groupBy("comp").agg(F.min("least").alias("component"))
@@ -245,6 +236,29 @@ def group(documents: DataFrame, keep: list[str], order: str) -> DataFrame:
     return placed.join(stays, "row", "left").select(*keep, "n_shingles", "component", F.coalesce("first", F.lit(False)).alias("first")).union(alone)
 
 
+def _apart(held: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """Links between components that share a key of `held` (key, id), or None if no key has classes of several components.
+
+    A key's classes outside its largest component are dealt into blocks, and so are all of its classes; every pair of blocks is
+    compared in one group. Rows made: a key's classes times its blocks of outsiders, so few once most outsiders are linked.
+    """
+    left = held.select("key", "id").join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    tallies = left.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.count("*").alias("comps"), F.sum("m").alias("n"), F.max(F.struct("m", "comp")).alias("top"))
+    tallies = written(tallies.where("comps > 1").select("key", "n", F.col("top.comp").alias("main"), (F.col("n") - F.col("top.m")).alias("apart")), "tallies")
+    if not tallies.limit(1).count():
+        return None
+    dealt = left.join(tallies, "key")
+    blocks_of = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    place = F.xxhash64("id", F.lit(5))
+    row = F.pmod(place, blocks_of("apart")).cast("int")
+    column = F.pmod(place, blocks_of("n")).cast("int")
+    outsiders = dealt.where("comp <> main").select("key", "id", "comp", row.alias("i"), F.explode(F.sequence(F.lit(0), blocks_of("n") - 1)).alias("j"), F.lit(0).alias("side"))
+    everyone = dealt.select("key", "id", "comp", F.explode(F.sequence(F.lit(0), blocks_of("apart") - 1)).alias("i"), column.alias("j"), F.lit(1).alias("side"))
+    pairs = outsiders.unionByName(everyone).select(F.col("key").alias("g1"), (F.col("i").cast("long") * (1 << 31) + F.col("j")).alias("g2"), "side", "id", "comp")
+    more = written(compare(pairs.join(sets, "id").select("g1", "g2", "side", "id", "comp", "shingles")), "links")
+    return more if more.limit(1).count() else None
+
+
 def components_of(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of documents; rows that share a doc_id share its kept. A row without
     a doc_id isn't kept beside others, and is if linked with nothing that has one."""

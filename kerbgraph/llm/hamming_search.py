@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,6 +36,22 @@ def _flips(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in chosen) for chosen in combinations(range(width), radius)]
 
 
+def _rounds(cuts: list[tuple[int, int]]) -> Iterator[tuple[int, list[tuple[int, int, int]], int]]:
+    """(radius, segments to look in as (number, first bit, width), distance covered afterwards): each radius in two halves.
+
+    A code that was found in no segment j within radius r_j differs in r_j + 1 bits of each, so in the sum of r_j + 1 at least.
+    """
+    looked = [-1] * len(cuts)
+    half = (len(cuts) + 1) // 2
+    for radius in range(max(w for _, w in cuts) + 1):
+        for lo, hi in ((0, half), (half, len(cuts))):
+            chosen = [(j, *cuts[j]) for j in range(lo, hi) if cuts[j][1] >= radius]
+            for j in range(lo, hi):
+                looked[j] = radius
+            if chosen:
+                yield radius, chosen, sum(r + 1 for r in looked) - 1
+
+
 def search(codes: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS) -> DataFrame:
     """(query_id, neighbour_id, distance, rank): for every row of queries (id, code) its k nearest rows of codes (id, code).
 
@@ -42,9 +59,8 @@ def search(codes: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS) -
     rows give fewer neighbours; null codes and ids have and are none; rows equal in id and code count once.
 
     Equal codes are one entry with its k + 1 least ids, which are all that can be asked for. Entries are stored under the value
-    of each of m segments. Round r looks up, in every segment, the values that differ in exactly r bits. After it every code
-    within m (r + 1) - 1 of a query has been found, since some segment differs in at most r bits; a query ends as soon as k found
-    neighbours lie within that distance, or every entry has been found.
+    of each segment. A round looks up, in half of the segments, the values that differ in exactly r bits; what it has covered is
+    in _rounds. A query ends as soon as k found neighbours lie within the distance covered, or every entry has been found.
     """
     known = codes.where("id is not null and code is not null").select("id", "code").distinct()
     entries = _lists(known, k)
@@ -57,21 +73,15 @@ def search(codes: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS) -
     open_ = written(asked.select(F.col("query").alias("query")).distinct(), "open")
     done: list[DataFrame] = []
     found: DataFrame | None = None
-    widest = max(w for _, w in cuts)
-    for radius in range(widest + 1):
-        probes = F.array(*[F.struct(F.lit(j).alias("segment"), _cut(F.col("query"), a, w).alias("value"), F.array(*[F.lit(f).cast("long") for f in _flips(w, radius)]).alias("flips")) for j, (a, w) in enumerate(cuts) if w >= radius]) if radius < 2 else None
-        if probes is not None:
-            looked = open_.select("query", F.explode(probes).alias("p")).select("query", "p.segment", "p.value", F.explode("p.flips").alias("flip"))
-        else:
-            spark = open_.sparkSession
-            flips = spark.createDataFrame([(w, f) for w in {w for _, w in cuts if w >= radius} for f in _flips(w, radius)], "width int, flip long")
-            bases = open_.select("query", F.explode(F.array(*[F.struct(F.lit(j).alias("segment"), F.lit(w).alias("width"), _cut(F.col("query"), a, w).alias("value")) for j, (a, w) in enumerate(cuts) if w >= radius])).alias("p")).select("query", "p.segment", "p.width", "p.value")
-            looked = bases.join(F.broadcast(flips.groupBy("width").agg(F.collect_list("flip").alias("flips"))), "width").select("query", "segment", "value", F.explode("flips").alias("flip"))
+    spark = entries.sparkSession
+    for radius, chosen, covered in _rounds(cuts):
+        flips = spark.createDataFrame([(w, _flips(w, radius)) for w in sorted({w for _, _, w in chosen})], "width int, flips array<long>")
+        bases = F.array(*[F.struct(F.lit(j).alias("segment"), F.lit(w).alias("width"), _cut(F.col("query"), a, w).alias("value")) for j, a, w in chosen])
+        looked = open_.select("query", F.inline(bases)).join(F.broadcast(flips), "width").select("query", "segment", "value", F.explode("flips").alias("flip"))
         looked = looked.select("query", "segment", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
         new = looked.join(index, ["segment", "value"]).select("query", "code").distinct()
         new = new.withColumn("distance", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))))
         found = written(new if found is None else found.union(new).distinct(), "found")
-        covered = len(cuts) * (radius + 1) - 1
         sizes = entries.select("code", F.size("ids").alias("n"))
         within = found.join(sizes, "code").groupBy("query").agg(F.sum(F.when(F.col("distance") <= covered, F.col("n")).otherwise(0)).alias("sure"), F.count("*").alias("seen"))
         state = written(open_.join(within, "query", "left").select("query", (F.coalesce("sure", F.lit(0)) > k).alias("over") | (F.coalesce("seen", F.lit(0)) >= total)), "state").toDF("query", "over")

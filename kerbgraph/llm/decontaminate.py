@@ -114,7 +114,7 @@ def find(documents: DataFrame, benchmark: DataFrame, text: str = "text", keep: l
     keep = keep or []
     windowed = written(windows(benchmark), "windows")
     shingles = written(window_shingles(windowed), "shingles")
-    widths = sorted(r["width"] for r in shingles.select("width").distinct().collect())
+    widths = sorted(r["width"] for r in shingles.select("width").distinct().collect()) or [1]
     times = frequencies(documents, text, bit_filter(shingles, "shingle"), widths)
     rarest = Window.partitionBy("words").orderBy(F.coalesce("times", F.lit(0)), "shingle", "place")
     prefix = shingles.join(times, "shingle", "left").withColumn("rank", F.row_number().over(rarest)).where("rank = 1 and times is not null")

@@ -18,6 +18,10 @@ WINDOW, STRIDE = 32, 24
 WORDS_TABLE, CHARS_TABLE, WORD_DIM, CHAR_DIM, HIDDEN = 1 << 14, 1 << 12, 8, 8, 8
 #: Labelled rows of a class that training reads, at most; rounds over their windows.
 SAMPLE_ROWS, EPOCHS = 1200, 6
+#: Small samples are gone over again until so many steps are done, up to four times the rounds.
+LEAST_STEPS = 240
+#: Words of fewer texts are learnt by their characters alone.
+LEAST_TEXTS = 3
 THRESHOLD = 0.3
 F32 = np.float32
 
@@ -190,6 +194,13 @@ def gate_inputs(net: Net, vectors: np.ndarray) -> np.ndarray:
     return np.concatenate([out, np.zeros((1, out.shape[1]), F32)])
 
 
+def _texts_of(lexicon: Lexicon, words: Words) -> np.ndarray:
+    """In how many texts each different word stands."""
+    row = np.repeat(np.arange(words.n), words.count)
+    pairs = np.unique(lexicon.of.astype(np.int64) * max(words.n, 1) + row) // max(words.n, 1)
+    return np.bincount(pairs, minlength=len(lexicon.length))
+
+
 def best_of_rows(logits: np.ndarray, row: np.ndarray, n: int, empty: float = -np.inf) -> np.ndarray:
     out = np.full(n, -np.inf)
     np.maximum.at(out, row, logits)
@@ -199,8 +210,8 @@ def best_of_rows(logits: np.ndarray, row: np.ndarray, n: int, empty: float = -np
 def train(texts: list[str], labels: np.ndarray, share: float, epochs: int = EPOCHS, seed: int = 0) -> Net:
     """A net from whole texts and their 0/1 labels; share: how frequent label 1 is among all rows, for the scale of the scores.
 
-    A row of label 1 teaches by the windows that score highest in it, a row of label 0 by its highest ones and some others. The
-    highest logit of a text is turned into a probability by a logistic fit under the true share.
+    A row of label 1 teaches by the windows that score highest in it, unless none of them stands out from the rows of label 0
+    (labels hold errors; at most 0.4 of these rows are passed over, from the fourth round on); a row of label 0 teaches by its highest windows and some others. The highest logit of a text is turned into a probability by a logistic fit under the true share.
     """
     rng, net = np.random.default_rng(seed), Net.fresh(seed)
     words = Words(pa.array(texts, pa.string()), ALNUM)
@@ -209,29 +220,37 @@ def train(texts: list[str], labels: np.ndarray, share: float, epochs: int = EPOC
     if not len(ids) or len(set(labels.tolist())) < 2:
         net.scale = (0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
         return net
+    common = _texts_of(lexicon, words) >= LEAST_TEXTS
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.dense.items()}
     tables = {"word": np.full(WORDS_TABLE, 1e-3, F32), "char": np.full(CHARS_TABLE, 1e-3, F32)}
     target, step = labels[row].astype(F32), 0
-    for epoch in range(epochs):
+    for epoch in range(4 * epochs):
+        if epoch >= epochs and step >= LEAST_STEPS:
+            break
         if epoch == 0:
             chosen = np.flatnonzero(rng.random(len(ids)) < min(1.0, 12_000 / len(ids)))
         else:
             logit = score_windows(net, lexicon, ids)
+            top = best_of_rows(logit, row, words.n)
+            real = np.isfinite(top)
+            usual = min(np.quantile(top[(labels == 0) & real], 0.9), np.quantile(top[(labels == 1) & real], 0.4)) if epoch > 2 and (real & (labels == 0)).any() and (real & (labels == 1)).any() else -np.inf
             order = np.lexsort((-logit, row))
             rank = np.arange(len(order)) - np.searchsorted(row[order], row[order])
             take = np.zeros(len(ids), bool)
             take[order[rank < 2]] = True
-            near = take & (target == 1) & (logit < best_of_rows(logit, row, words.n)[row] - 2)
-            take &= ~near
+            take &= (target == 0) | (logit >= np.maximum(top[row] - 2, usual))
             take |= (target == 0) & (rng.random(len(ids)) < 0.05)
             chosen = np.flatnonzero(take)
         rng.shuffle(chosen)
-        for lo in range(0, len(chosen), 256):
-            part = chosen[lo : lo + 256]
+        batch = min(max(len(chosen) // 40, 16), 256)
+        for lo in range(0, len(chosen), batch):
+            part = chosen[lo : lo + batch]
             used, local = np.unique(ids[part], return_inverse=True)
             local = local.reshape(ids[part].shape)
             if used[0] < 0:
                 used, local = used[1:], local - 1
+            if not len(used):
+                continue
             owner, at = lexicon.grams_of(used)
             vectors = np.concatenate([net.word[lexicon.bucket[used]], _means(net.char[lexicon.grams[at]], lexicon.length[used])], axis=1)
             inputs = gate_inputs(net, vectors)
@@ -245,7 +264,8 @@ def train(texts: list[str], labels: np.ndarray, share: float, epochs: int = EPOC
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 net.dense[k] -= (F32(0.01) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(F32)
-            _adagrad(net.word, tables["word"], lexicon.bucket[used], dvec[:, :WORD_DIM])
+            often = common[used]
+            _adagrad(net.word, tables["word"], lexicon.bucket[used[often]], dvec[often, :WORD_DIM])
             _adagrad(net.char, tables["char"], lexicon.grams[at], (dvec[:, WORD_DIM:] / lexicon.length[used][:, None])[owner])
     top = best_of_rows(score_windows(net, lexicon, ids), row, words.n)
     seen = np.isfinite(top)

@@ -285,7 +285,7 @@ def encode(df: DataFrame, model_file: str, text: str = "text", keep: list[str] |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("__text")
-            for lo, hi in blocks(column, 1 << 23):
+            for lo, hi in blocks(column, 1 << 22):
                 texts = column.slice(lo, hi - lo)
                 ids, first = codec.value.encode(texts)
                 null = pa.array(texts.is_null())

@@ -17,7 +17,7 @@ WINDOW, STRIDE = 32, 24
 #: Sizes: hashed word and character-trigram tables, their vectors, the hidden state of one direction.
 WORDS_TABLE, CHARS_TABLE, WORD_DIM, CHAR_DIM, HIDDEN = 1 << 14, 1 << 12, 8, 8, 8
 #: Labelled rows of a class that training reads, at most; rounds over their windows.
-SAMPLE_ROWS, EPOCHS = 1200, 6
+SAMPLE_ROWS, EPOCHS = 900, 6
 #: Small samples are gone over again until so many steps are done, up to four times the rounds.
 LEAST_STEPS = 240
 #: Words of fewer texts are learnt by their characters alone.

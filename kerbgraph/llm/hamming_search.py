@@ -1,18 +1,28 @@
-"""Exact top-k search over binary codes by incremental multi-index hashing."""
+"""Exact top-k search over binary codes by incremental multi-index hashing, in blocks of codes.
+
+Codes are dealt into blocks by a hash, queries go to every block. A block holds an index per segment; a task looks up, for growing
+radii, the values that differ from a query's in so many bits. Blocks bound a task's memory, and only k + 1 rows a query and block
+leave it, whereas the looked-up values, which outnumber the codes, never become rows.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import U, written
 
 #: Bits of a code, and how many neighbours are asked for.
 BITS, K = 64, 10
+#: A block has at most MOST codes; as long as it has LEAST or more, there are as many blocks as shuffle partitions.
+LEAST, MOST = 1 << 12, 1 << 16
+#: Most queries that go to a block at once, and those that a task handles together.
+QUERY_BLOCK, TOGETHER = 1 << 14, 64
 
 
 def code(vector: Column, bits: int = BITS) -> Column:
@@ -28,28 +38,61 @@ def segments(rows: int, bits: int = BITS) -> list[tuple[int, int]]:
     return list(zip(edges[:-1], [b - a for a, b in zip(edges[:-1], edges[1:], strict=True)], strict=True))
 
 
-def _cut(c: Column, first: int, width: int) -> Column:
-    return F.shiftrightunsigned(c, first).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1).cast("long"))
-
-
-def _flips(width: int, radius: int) -> list[int]:
-    return [sum(1 << b for b in chosen) for chosen in combinations(range(width), radius)]
+def _flips(width: int, radius: int) -> np.ndarray:
+    return np.array([sum(1 << b for b in chosen) for chosen in combinations(range(width), radius)], np.int64)
 
 
-def _rounds(cuts: list[tuple[int, int]]) -> Iterator[tuple[int, list[tuple[int, int, int]], int]]:
-    """(radius, segments to look in as (number, first bit, width), distance covered afterwards): each radius in two halves.
+def nearest(codes: np.ndarray, counts: np.ndarray, least: np.ndarray, queries: np.ndarray, k: int, bits: int = BITS) -> tuple[list[int], list[int], list[int]]:
+    """(query's place, code's place, distance): for every query the k + 1 nearest of distinct codes, by distance and `least`.
 
-    A code that was found in no segment j within radius r_j differs in r_j + 1 bits of each, so in the sum of r_j + 1 at least.
+    counts: how many ids a code stands for. A code that was found in no segment j within radius r_j differs in r_j + 1 bits of
+    each, so in the sum of r_j + 1 at least: all nearer ones are known. A query ends as soon as more than k ids lie within the
+    distance covered this way, or every code has been found. Segments are looked up one by one, all of them at radius 0 first.
     """
-    looked = [-1] * len(cuts)
-    half = (len(cuts) + 1) // 2
-    for radius in range(max(w for _, w in cuts) + 1):
-        for lo, hi in ((0, half), (half, len(cuts))):
-            chosen = [(j, *cuts[j]) for j in range(lo, hi) if cuts[j][1] >= radius]
-            for j in range(lo, hi):
-                looked[j] = radius
-            if chosen:
-                yield radius, chosen, sum(r + 1 for r in looked) - 1
+    cuts = segments(len(codes), bits)
+    order, starts = [], []
+    for first, width in cuts:
+        value = ((codes >> U(first)) & U((1 << width) - 1)).astype(np.int64)
+        order.append(np.argsort(value, kind="stable"))
+        starts.append(np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << width))]))
+    flips: dict[tuple[int, int], np.ndarray] = {}
+    out_q, out_c, out_d = [], [], []
+    for lo in range(0, len(queries), TOGETHER):
+        q = queries[lo : lo + TOGETHER]
+        distance = np.full((len(q), len(codes)), 255, np.uint8)
+        ids_at = np.zeros((len(q), bits + 1), np.int64)
+        seen = np.zeros(len(q), np.int64)
+        looked, active = [-1] * len(cuts), np.arange(len(q))
+        steps = ((radius, j) for radius in range(max(w for _, w in cuts) + 1) for j in range(len(cuts)) if cuts[j][1] >= radius)
+        for radius, j in steps:
+            first, width = cuts[j]
+            if (width, radius) not in flips:
+                flips[width, radius] = _flips(width, radius)
+            value = ((q[active] >> U(first)) & U((1 << width) - 1)).astype(np.int64)
+            wanted = value[:, None] ^ flips[width, radius][None, :]
+            start = starts[j][wanted].ravel()
+            many = starts[j][wanted + 1].ravel() - start
+            row = np.repeat(np.repeat(active, wanted.shape[1]), many)
+            code = order[j][np.repeat(start - (np.cumsum(many) - many), many) + np.arange(len(row))]
+            fresh = distance[row, code] == 255
+            row, code = row[fresh], code[fresh]
+            apart = np.bitwise_count(q[row] ^ codes[code])
+            distance[row, code] = apart
+            np.add.at(ids_at, (row, apart), counts[code])
+            seen += np.bincount(row, minlength=len(q))
+            looked[j] = radius
+            covered = sum(looked) + len(cuts) - 1
+            active = active[(ids_at[active, : covered + 1].sum(1) <= k) & (seen[active] < len(codes))]
+            if not len(active):
+                break
+        last = np.argmax(np.cumsum(ids_at, 1) > np.minimum(k, ids_at.sum(1) - 1)[:, None], 1)
+        for i in range(len(q)):
+            near = np.flatnonzero(distance[i] <= last[i])
+            near = near[np.lexsort((least[near], distance[i, near]))[: k + 1]]
+            out_q += [lo + i] * len(near)
+            out_c += near.tolist()
+            out_d += distance[i, near].tolist()
+    return out_q, out_c, out_d
 
 
 def search(codes: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS) -> DataFrame:
@@ -58,49 +101,36 @@ def search(codes: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS) -
     Nearest: by Hamming distance, then id. A row isn't its own neighbour: rows with the query's id are left out. Fewer than k
     rows give fewer neighbours; null codes and ids have and are none; rows equal in id and code count once.
 
-    Equal codes are one entry with its k + 1 least ids, which are all that can be asked for. Entries are stored under the value
-    of each segment. A round looks up, in half of the segments, the values that differ in exactly r bits; what it has covered is
-    in _rounds. A query ends as soon as k found neighbours lie within the distance covered, or every entry has been found.
+    Equal codes are one entry with its k + 1 least ids, which are all that can be asked for. Of a query's k + 1 nearest ids each
+    belongs to one of its k + 1 nearest entries by distance and least id, so a block gives no more than these.
     """
+    spark = codes.sparkSession
     known = codes.where("id is not null and code is not null").select("id", "code").distinct()
-    entries = _lists(known, k)
-    entries = written(entries, "entries")
-    total = entries.count()
-    cuts = segments(total, bits)
-    index = entries.select("code", F.explode(F.array(*[F.struct(F.lit(j).alias("segment"), _cut(F.col("code"), a, w).alias("value")) for j, (a, w) in enumerate(cuts)])).alias("s")).select("s.segment", "s.value", "code")
-    index = written(index, "index")
-    asked = queries.where("id is not null and code is not null").select(F.col("id").alias("query_id"), F.col("code").alias("query")).distinct()
-    open_ = written(asked.select(F.col("query").alias("query")).distinct(), "open")
-    done: list[DataFrame] = []
-    found: DataFrame | None = None
-    spark = entries.sparkSession
-    for radius, chosen, covered in _rounds(cuts):
-        flips = spark.createDataFrame([(w, _flips(w, radius)) for w in sorted({w for _, _, w in chosen})], "width int, flips array<long>")
-        bases = F.array(*[F.struct(F.lit(j).alias("segment"), F.lit(w).alias("width"), _cut(F.col("query"), a, w).alias("value")) for j, a, w in chosen])
-        looked = open_.select("query", F.inline(bases)).join(F.broadcast(flips), "width").select("query", "segment", "value", F.explode("flips").alias("flip"))
-        looked = looked.select("query", "segment", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
-        new = looked.join(index, ["segment", "value"]).select("query", "code").distinct()
-        new = new.withColumn("distance", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))))
-        found = written(new if found is None else found.union(new).distinct(), "found")
-        sizes = entries.select("code", F.size("ids").alias("n"))
-        within = found.join(sizes, "code").groupBy("query").agg(F.sum(F.when(F.col("distance") <= covered, F.col("n")).otherwise(0)).alias("sure"), F.count("*").alias("seen"))
-        state = written(open_.join(within, "query", "left").select("query", (F.coalesce("sure", F.lit(0)) > k).alias("over") | (F.coalesce("seen", F.lit(0)) >= total)), "state").toDF("query", "over")
-        over = found.join(state.where("over"), "query", "left_semi")
-        done.append(over)
-        open_ = state.where(~F.col("over")).select("query")
-        found = found.join(open_, "query", "left_semi")
-        if not open_.limit(1).count():
-            break
-    near = done[0]
-    for more in done[1:]:
-        near = near.union(more)
-    entry = F.explode("ids").alias("neighbour_id")
-    # per query code: only the k + 1 nearest codes can matter once ties in distance are kept whole
-    close = near.withColumn("r", F.rank().over(Window.partitionBy("query").orderBy("distance"))).where(F.col("r") <= k + 1)
-    each = close.join(entries, "code").select("query", "distance", entry)
+    entries = written(_lists(known, k), "entries")
+    asked = written(queries.where("id is not null and code is not null").select(F.col("id").alias("query_id"), F.col("code").alias("query")).distinct(), "asked")
+    total, many = entries.count(), asked.count()
+    blocks = max(1, math.ceil(total / MOST), min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / LEAST)))
+    query_blocks = max(1, math.ceil(many / QUERY_BLOCK))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = entries.select(place("code", blocks).alias("block"), every(query_blocks).alias("part"), "code", F.size("ids").cast("long").alias("n"), F.col("ids")[0].alias("least"))
+    right = asked.select("query").distinct().select(every(blocks).alias("block"), place("query", query_blocks).alias("part"), "query")
+
+    def run(block: pa.Table, wanted: pa.Table) -> pa.Table:
+        code, least, query = (t[c].to_numpy() for t, c in ((block, "code"), (block, "least"), (wanted, "query")))
+        if not len(code) or not len(query):
+            at, near, distance = [], [], []
+        else:
+            at, near, distance = nearest(code.view(np.uint64), block["n"].to_numpy(), least, query.view(np.uint64), k, bits)
+        return pa.table([query[np.array(at, int)], code[np.array(near, int)], least[np.array(near, int)], pa.array(distance, pa.int32())], ["query", "code", "least", "distance"])
+
+    keys = ["block", "part"]
+    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query long, code long, least long, distance int")
+    close = near.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("distance", "least"))).where(F.col("r") <= k + 1)
+    each = close.join(entries, "code").select("query", "distance", F.explode("ids").alias("neighbour_id"))
     listed = asked.join(each, "query").where("query_id <> neighbour_id")
-    ranked = listed.select("query_id", "query", "neighbour_id", "distance").withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "query").orderBy("distance", "neighbour_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "neighbour_id", F.col("distance").cast("int").alias("distance"), "rank")
+    ranked = listed.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "query").orderBy("distance", "neighbour_id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", "neighbour_id", "distance", "rank")
 
 
 def _lists(known: DataFrame, k: int) -> DataFrame:

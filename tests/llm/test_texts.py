@@ -209,3 +209,19 @@ def test_pipeline(spark):
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     dirty = {r[0] for r in brute_decontaminate(rows, bench) if r[2]}
     assert {r["doc_id"] for r in kept.collect()} == {i for i, c in labels.items() if i == c} - dirty
+
+
+def test_nearest_codes_in_a_block():
+    rng = np.random.default_rng(7)
+    for n, mask in ((1, -1), (5, -1), (12, -1), (300, 0xFFFF), (3000, -1)):
+        codes = np.unique(rng.integers(0, 1 << 63, n).view(np.uint64) & np.uint64(mask & (1 << 64) - 1))
+        counts, least = rng.integers(1, 5, len(codes)), rng.permutation(len(codes)).astype(np.int64)
+        asked = np.concatenate([codes[:70], rng.integers(0, 1 << 63, 3).view(np.uint64)])
+        found: dict[int, list] = {}
+        for i, c, d in zip(*hamming_search.nearest(codes, counts, least, asked, 10), strict=True):
+            found.setdefault(i, []).append((d, int(least[c]), int(counts[c])))
+        for i, q in enumerate(asked):
+            every = sorted(zip(np.bitwise_count(codes ^ q).tolist(), least.tolist(), counts.tolist(), strict=True))[:11]
+            # entries beyond the distance of the eleventh id may be left out
+            assert found[i] == every[: len(found[i])]
+            assert len(found[i]) == len(every) or sum(x[2] for x in found[i]) > 10

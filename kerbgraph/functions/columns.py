@@ -111,7 +111,8 @@ def accents_off(text: Column) -> Column:
 
 
 def normal_text(text: Column) -> Column:
-    """Lower case, no accents or apostrophes, one space for anything that is no letter or digit."""
+    """Lower case, no accents or apostrophes, one space for anything that is no letter a-z or digit. ß, œ and æ have no accent to lose
+    and count as such (as in the reference, whose NFD leaves them whole)."""
     plain = F.regexp_replace(accents_off(F.lower(text)), "['’]", "")
     return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
 

@@ -443,8 +443,19 @@ def overlap_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"SELECT lang, count(*) AS n, sum(length(trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[''’]', '', 'g'), '[^a-z0-9]+', ' ', 'g'))))::BIGINT AS chars FROM documents WHERE NOT regexp_matches(text, '[ßŒœÆæ]') GROUP BY 1")
 def normalise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = t(spark, sf_dir, "documents").where(~F.col("text").rlike("[ßŒœÆæ]"))
-    return df.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length(C.normal_text(F.col("text")))).alias("chars"))
+    """Only the documents its SQL twin takes: those without ß, Œ, œ, Æ, æ. normalise_text_all takes all."""
+    return normalised(t(spark, sf_dir, "documents").where(~F.col("text").rlike("[ßŒœÆæ]")))
+
+
+def normalised(documents: DataFrame) -> DataFrame:
+    """(lang, n, chars) of all rows; a null text counts in n and has no characters."""
+    chars = F.coalesce(F.length(C.normal_text(F.col("text"))), F.lit(0))
+    return documents.groupBy("lang").agg(F.count("*").alias("n"), F.sum(chars).alias("chars"))
+
+
+@query()
+def normalise_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalised(t(spark, sf_dir, "documents"))
 
 
 @query(f"SELECT k, count(*) AS n FROM {_EVENTS} GROUP BY 1")

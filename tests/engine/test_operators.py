@@ -1,4 +1,6 @@
 import math
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +8,7 @@ from pyspark.sql import functions as F
 from kerbgraph.functions import columns as C
 from kerbgraph.operators import graph, relational
 from kerbgraph.operators.cost import Profile, evaluate
+from kerbgraph.plans import queries as plans
 from kerbgraph.sources import feeds
 from kerbgraph.streaming import overlay
 
@@ -86,3 +89,18 @@ def test_states_expire_and_streams_run(spark, tmp_path):
     query = overlay.first_seen(stream).writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert spark.table("seen").count() == 3
+
+
+def saved(spark, tmp_path, name, rows, schema):
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+
+
+def test_normalise_text_takes_every_document(spark, tmp_path):
+    def norm(text):  # the reference's rule
+        text = "".join(c for c in unicodedata.normalize("NFD", text) if not "\u0300" <= c <= "\u036f").lower()
+        return re.sub("[^a-z0-9]+", " ", re.sub("['’]", "", text)).strip()
+
+    texts = ["Straße nach Gießen", "Œuvre, cœur d'Été", "Ærø æon", "plain", None, ""]
+    saved(spark, tmp_path, "documents", [("x" if i % 2 else "y", text) for i, text in enumerate(texts)], "lang string, text string")
+    got = {r["lang"]: (r["n"], r["chars"]) for r in plans.normalise_text_all(spark, str(tmp_path)).collect()}
+    assert got == {k: (3, sum(len(norm(x or "")) for x in texts[at::2])) for k, at in (("y", 0), ("x", 1))}

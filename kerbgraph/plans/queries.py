@@ -200,22 +200,43 @@ def live_active_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT o.o_orderkey, (SELECT max(struct_pack(tm := tm, id := event_id)).id FROM {_EVENTS} e WHERE e.user_id = o.o_orderkey % 150 AND e.tm <= 1704067200000000 + (o.o_orderkey % 30) * {DAY}) AS event_id
   FROM (SELECT o_orderkey FROM orders WHERE o_orderkey <= 3000) o""")
 def asof_last_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the orders its SQL twin takes; asof_last_reading_all takes all."""
+    return _last_reading(events(spark, sf_dir), t(spark, sf_dir, "orders").where("o_orderkey <= 3000"))
+
+
+def _last_reading(e: DataFrame, orders: DataFrame) -> DataFrame:
     """The last event at or before an instant: both sides in one ordered window, no join of every pair."""
-    asked = t(spark, sf_dir, "orders").where("o_orderkey <= 3000").select("o_orderkey", (F.col("o_orderkey") % 150).alias("user_id"), (F.lit(1_704_067_200_000_000) + (F.col("o_orderkey") % 30) * DAY).alias("at"))
-    both = events(spark, sf_dir).select(F.lit(None).cast("long").alias("o_orderkey"), "user_id", "at", "event_id").unionByName(asked.withColumn("event_id", F.lit(None).cast("long")))
+    asked = orders.select("o_orderkey", (F.col("o_orderkey") % 150).alias("user_id"), (F.lit(1_704_067_200_000_000) + (F.col("o_orderkey") % 30) * DAY).alias("at"))
+    both = e.select(F.lit(None).cast("long").alias("o_orderkey"), "user_id", "at", "event_id").unionByName(asked.withColumn("event_id", F.lit(None).cast("long")))
     w = Window.partitionBy("user_id").orderBy("at", F.col("o_orderkey").isNotNull(), "event_id").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("event_id", F.last("event_id", ignorenulls=True).over(w)).where("o_orderkey is not null").select("o_orderkey", "event_id")
 
 
+@query()
+def asof_last_reading_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _last_reading(events(spark, sf_dir), t(spark, sf_dir, "orders"))
+
+
 @query(f"""SELECT event_id, CASE WHEN event_type <> 'error' THEN value WHEN tm - held.tm <= 900000000 THEN held.value END AS shown FROM
   (SELECT event_id, event_type, value, tm, last_value(CASE WHEN event_type <> 'error' THEN struct_pack(value := value, tm := tm) END IGNORE NULLS) OVER (ORDER BY tm, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS held FROM {_EVENTS} WHERE k = 7)""")
 def hold_last_good(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the key its SQL twin takes; hold_last_good_all takes all."""
+    return _held(events(spark, sf_dir).where("k = 7"))
+
+
+def _held(e: DataFrame) -> DataFrame:
+    """Every value of a key; for an error the last good one of its key, if at most 15 minutes old."""
     good = F.when(F.col("event_type") != "error", F.struct("value", "at"))
     w = Window.partitionBy("k").orderBy("at", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    df = events(spark, sf_dir).where("k = 7").withColumn("held", F.last(good, ignorenulls=True).over(w))
+    df = e.withColumn("held", F.last(good, ignorenulls=True).over(w))
     return df.select("event_id", F.when(F.col("event_type") != "error", F.col("value")).when(F.col("at") - F.col("held.at") <= 900_000_000, F.col("held.value")).alias("shown"))
 
 
+@query()
+def hold_last_good_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _held(events(spark, sf_dir))
+
+
 @query(f"""SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY tm RANGE BETWEEN 10800000000 PRECEDING AND CURRENT ROW), 4) AS past3,
   round(min(value) OVER (PARTITION BY user_id ORDER BY tm RANGE BETWEEN 43200000000 PRECEDING AND CURRENT ROW), 4) AS low12 FROM {_EVENTS}""")
 def trailing_3h_12h(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,6 @@
+import datetime
 import math
+import random
 import re
 import unicodedata
 
@@ -104,3 +106,31 @@ def test_normalise_text_takes_every_document(spark, tmp_path):
     saved(spark, tmp_path, "documents", [("x" if i % 2 else "y", text) for i, text in enumerate(texts)], "lang string, text string")
     got = {r["lang"]: (r["n"], r["chars"]) for r in plans.normalise_text_all(spark, str(tmp_path)).collect()}
     assert got == {k: (3, sum(len(norm(x or "")) for x in texts[at::2])) for k, at in (("y", 0), ("x", 1))}
+
+
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+START = datetime.datetime(2024, 1, 1)
+
+
+def some_events(n=400):
+    rng = random.Random(3)
+    return [(i, START + datetime.timedelta(minutes=rng.randrange(4000)), rng.randrange(40), rng.choice(["view", "click", "purchase", "signup", "error"]), rng.random(), '{"k": %d}' % rng.randrange(12)) for i in range(n)]
+
+
+def test_asof_and_hold_take_all_keys(spark, tmp_path):
+    rows = some_events()
+    saved(spark, tmp_path, "events", rows, EVENTS)
+    keys = [*range(0, 12000, 37)]
+    saved(spark, tmp_path, "orders", [(k,) for k in keys], "o_orderkey long")
+    expected = {}
+    for k in keys:
+        before = [(r[1], r[0]) for r in rows if r[2] == k % 150 and r[1] <= START + datetime.timedelta(days=k % 30)]
+        expected[k] = max(before)[1] if before else None
+    assert {r[0]: r[1] for r in plans.asof_last_reading_all(spark, str(tmp_path)).collect()} == expected
+    held, last = {}, {}
+    for i, ts, _, kind, value, props in sorted(rows, key=lambda r: (r[1], r[0])):
+        if kind != "error":
+            last[props] = (ts, value)
+        ts0, good = last.get(props, (START - datetime.timedelta(days=1), None))
+        held[i] = good if ts - ts0 <= datetime.timedelta(minutes=15) else None
+    assert {r[0]: r[1] for r in plans.hold_last_good_all(spark, str(tmp_path)).collect()} == held

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +36,12 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def cheapest(arcs: DataFrame, starts: DataFrame, max_hops: int) -> DataFrame:
-    """(root, node, cost): least cost over at most max_hops arcs (src, dst, cost). One round relaxes all frontiers of all starts."""
+def cheapest(arcs: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(root, node, cost): least cost over at most max_hops arcs (src, dst, cost), or over any number (costs must not be negative).
+    One round relaxes all frontiers of all starts."""
     best = written(starts.select("root", F.col("root").alias("node"), F.lit(0.0).alias("cost")), "best")
     frontier = best
-    for _ in range(max_hops):
+    for _ in count() if max_hops is None else range(max_hops):
         step = frontier.join(arcs.withColumnRenamed("cost", "arc"), frontier["node"] == arcs["src"]).select("root", F.col("dst").alias("node"), (F.col("cost") + F.col("arc")).alias("cost"))
         step = step.groupBy("root", "node").agg(F.min("cost").alias("cost"))
         old = best.withColumnRenamed("cost", "old")

@@ -179,12 +179,23 @@ def overlay_stronger_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH c AS (SELECT k, event_type AS source, min(event_id) AS event_id FROM {_EVENTS} WHERE event_id % 2 = 0 AND user_id < 20 GROUP BY 1, 2), i AS (SELECT k, 'click' AS source, max(event_id) AS event_id FROM {_EVENTS} WHERE event_type = 'click' GROUP BY 1),
   r AS (SELECT * FROM c WHERE source NOT IN ('click', 'view')) SELECT * FROM r UNION ALL SELECT * FROM i WHERE k NOT IN (SELECT k FROM r)""")
 def replace_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current rows only of the events its SQL twin takes; replace_by_source_all takes all."""
     e = events(spark, sf_dir)
-    current = e.where("event_id % 2 = 0 and user_id < 20").groupBy("k", F.col("event_type").alias("source")).agg(F.min("event_id").alias("event_id"))
+    return _replaced(e.where("event_id % 2 = 0 and user_id < 20"), e)
+
+
+def _replaced(known: DataFrame, e: DataFrame) -> DataFrame:
+    current = known.groupBy("k", F.col("event_type").alias("source")).agg(F.min("event_id").alias("event_id"))
     incoming = e.where("event_type = 'click'").groupBy("k").agg(F.max("event_id").alias("event_id")).select("k", F.lit("click").alias("source"), "event_id")
     return relational.replace_by_source(current, incoming, ["click", "view"], "k")
 
 
+@query()
+def replace_by_source_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir)
+    return _replaced(e, e)
+
+
 @query(f"""SELECT d.day::INT AS day, count(*) AS active FROM (SELECT unnest(range(0, 30)) AS day) d JOIN {_EVENTS} e
   ON e.tm <= 1704067200000000 + d.day * {DAY} AND 1704067200000000 + d.day * {DAY} < e.tm + (e.k % 7 + 1) * {DAY} GROUP BY 1""")
 def live_active_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -402,8 +413,19 @@ def graph_hierarchy_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS s, -l_partkey AS p FROM lineitem WHERE l_quantity >= 50 AND l_partkey % 9 = 0), u AS (SELECT s AS a, p AS b FROM e UNION SELECT p, s FROM e),
   w(node, root) AS (SELECT a, a FROM u UNION SELECT u.b, w.root FROM w JOIN u ON w.node = u.a) SELECT node, min(root) AS component FROM w GROUP BY 1""")
 def components_bipartite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = t(spark, sf_dir, "lineitem").where("l_quantity >= 50 and l_partkey % 9 = 0").select(F.col("l_suppkey").alias("a"), (-F.col("l_partkey")).alias("b")).distinct()
-    return graph.components(e)
+    """Only the rows its SQL twin takes; components_bipartite_all takes all."""
+    return _supply_components(t(spark, sf_dir, "lineitem").where("l_quantity >= 50 and l_partkey % 9 = 0"))
+
+
+def _supply_components(items: DataFrame, offset: int = 0) -> DataFrame:
+    """Suppliers by their number, part p as -p - offset; with offset 0 supplier 0 and part 0 are one node, as in the twins."""
+    return graph.components(items.select(F.col("l_suppkey").alias("a"), (-F.col("l_partkey") - offset).alias("b")).distinct())
+
+
+@query()
+def components_bipartite_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part p is node -p - 1."""
+    return _supply_components(t(spark, sf_dir, "lineitem"), 1)
 
 
 @query("""WITH RECURSIVE e AS (SELECT l_suppkey AS s, -l_partkey AS p, min(l_quantity) AS q FROM lineitem WHERE l_partkey % 5 = 0 GROUP BY 1, 2), u AS (SELECT s AS a, p AS b, q FROM e UNION ALL SELECT p, s, q FROM e),
@@ -411,9 +433,20 @@ def components_bipartite(spark: SparkSession, sf_dir: str) -> DataFrame:
   r2 AS (SELECT node, min(cost) AS cost FROM (SELECT * FROM r1 UNION ALL SELECT u.b, r.cost + u.q FROM r1 r JOIN u ON r.node = u.a) GROUP BY 1), r3 AS (SELECT node, min(cost) AS cost FROM (SELECT * FROM r2 UNION ALL SELECT u.b, r.cost + u.q FROM r2 r JOIN u ON r.node = u.a) GROUP BY 1)
   SELECT 1::BIGINT AS root, node, cost FROM r3""")
 def shortest_path_relax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = t(spark, sf_dir, "lineitem").where("l_partkey % 5 = 0").groupBy(F.col("l_suppkey").alias("src"), (-F.col("l_partkey")).alias("dst")).agg(F.min("l_quantity").alias("cost"))
+    """Only the rows and hops its SQL twin takes; shortest_path_relax_all takes all."""
+    return _supply_paths(t(spark, sf_dir, "lineitem").where("l_partkey % 5 = 0"), spark.range(1, 2).select(F.col("id").alias("root")), 3)
+
+
+def _supply_paths(items: DataFrame, starts: DataFrame, max_hops: int | None, offset: int = 0) -> DataFrame:
+    e = items.groupBy(F.col("l_suppkey").alias("src"), (-F.col("l_partkey") - offset).alias("dst")).agg(F.min("l_quantity").alias("cost"))
     arcs = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost"))
-    return graph.cheapest(arcs, spark.range(1, 2).select(F.col("id").alias("root")), 3)
+    return graph.cheapest(arcs, starts, max_hops)
+
+
+@query()
+def shortest_path_relax_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least costs from supplier 1 to every node it reaches, over paths of any length; part p is node -p - 1."""
+    return _supply_paths(t(spark, sf_dir, "lineitem"), spark.range(1, 2).select(F.col("id").alias("root")), None, 1)
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -457,11 +490,21 @@ def platform_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS shared FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_partkey % 20 = 0) a JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_partkey % 20 = 0) b
   ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2 HAVING count(*) >= 5""")
 def overlap_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = t(spark, sf_dir, "lineitem").where("l_partkey % 20 = 0").select("l_suppkey", "l_partkey").distinct()
+    """Only the parts its SQL twin takes; overlap_share_all takes all."""
+    return _overlaps(t(spark, sf_dir, "lineitem").where("l_partkey % 20 = 0"))
+
+
+def _overlaps(items: DataFrame) -> DataFrame:
+    d = items.select("l_suppkey", "l_partkey").distinct()
     both = d.withColumnRenamed("l_suppkey", "a").join(d.withColumnRenamed("l_suppkey", "b"), "l_partkey").where("a < b")
     return both.groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 5")
 
 
+@query()
+def overlap_share_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _overlaps(t(spark, sf_dir, "lineitem"))
+
+
 @query(r"SELECT lang, count(*) AS n, sum(length(trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[''’]', '', 'g'), '[^a-z0-9]+', ' ', 'g'))))::BIGINT AS chars FROM documents WHERE NOT regexp_matches(text, '[ßŒœÆæ]') GROUP BY 1")
 def normalise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only the documents its SQL twin takes: those without ß, Œ, œ, Æ, æ. normalise_text_all takes all."""

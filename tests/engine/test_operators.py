@@ -134,3 +134,34 @@ def test_asof_and_hold_take_all_keys(spark, tmp_path):
         ts0, good = last.get(props, (START - datetime.timedelta(days=1), None))
         held[i] = good if ts - ts0 <= datetime.timedelta(minutes=15) else None
     assert {r[0]: r[1] for r in plans.hold_last_good_all(spark, str(tmp_path)).collect()} == held
+
+
+def test_replace_by_source_takes_all_current_rows(spark, tmp_path):
+    kinds = [(1, 1, "error", 100), (2, 2, "click", 100), (3, 3, "click", 200), (5, 90, "click", 200), (4, 7, "view", 200)]  # odd ids and users from 20 on, too
+    saved(spark, tmp_path, "events", [(i, START, user, kind, 0.0, '{"k": %d}' % k) for i, user, kind, k in kinds], EVENTS)
+    assert {tuple(r) for r in plans.replace_by_source_all(spark, str(tmp_path)).select("k", "source", "event_id").collect()} == {(100, "error", 1), (200, "click", 5)}
+
+
+def test_supply_graph_takes_all_parts_and_hops(spark, tmp_path):
+    rng = random.Random(11)
+    items = [(s, s + j, 1.0) for s in range(1, 11) for j in (0, 1)]  # a chain of 10 suppliers: 19 hops and more
+    items += [(1, 11, 500.0), (30, 90, 2.0), (31, 90, 3.0), (0, 91, 1.0), (32, 0, 1.0)]  # supplier 0 and part 0 are two nodes
+    items += [(rng.randrange(40, 50), rng.randrange(100, 125), float(rng.randrange(1, 51))) for _ in range(150)]
+    saved(spark, tmp_path, "lineitem", items, "l_suppkey long, l_partkey long, l_quantity double")
+    arcs, parts = {}, {}
+    for s, p, q in items:
+        for a, b in ((s, -p - 1), (-p - 1, s)):
+            arcs.setdefault(a, {})[b] = min(q, arcs.get(a, {}).get(b, q))
+        parts.setdefault(s, set()).add(p)
+    cost = {1: 0.0}
+    for _ in arcs:
+        for a in list(cost):
+            for b, q in arcs[a].items():
+                cost[b] = min(cost.get(b, math.inf), cost[a] + q)
+    label = {a: a for a in arcs}
+    for _ in arcs:
+        label = {a: min(label[a], *(label[b] for b in arcs[a])) for a in arcs}
+    assert {r["node"]: r["cost"] for r in plans.shortest_path_relax_all(spark, str(tmp_path)).collect()} == cost and len(cost) == 21
+    assert {r["node"]: r["component"] for r in plans.components_bipartite_all(spark, str(tmp_path)).collect()} == label
+    shared = {(a, b): len(parts[a] & parts[b]) for a in parts for b in parts if a < b and len(parts[a] & parts[b]) >= 5}
+    assert shared and {(r["a"], r["b"]): r["shared"] for r in plans.overlap_share_all(spark, str(tmp_path)).collect()} == shared

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM, U, Words, blocks, mix
 
-#: Words of a window and words from one window's start to the next; the last window ends with the text.
-WINDOW, STRIDE = 32, 24
+#: Words of a window. Scores take a window at every word; training learns from one every TRAIN_STRIDE words and the one that ends the text.
+WINDOW, TRAIN_STRIDE = 32, 24
+#: Windows of the first training round, about, at most; they are drawn at random. Later rounds choose among all windows of training.
+FIRST_WINDOWS = 12_000
 #: Sizes: hashed word and character-trigram tables, their vectors, the hidden state of one direction.
 WORDS_TABLE, CHARS_TABLE, WORD_DIM, CHAR_DIM, HIDDEN = 1 << 14, 1 << 12, 8, 8, 8
 #: Labelled rows of a class that training reads, at most; rounds over their windows.
@@ -79,12 +81,12 @@ class Lexicon:
 
 
 def windows(words: Words, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of all overlapping windows (-1: none), WINDOW wide, and the row of each."""
+    """Word numbers of the windows of training (-1: none), WINDOW wide, and the row of each."""
     count = words.count
-    n = np.where(count > WINDOW, -(-(count - WINDOW) // STRIDE) + 1, np.minimum(count, 1))
+    n = np.where(count > WINDOW, -(-(count - WINDOW) // TRAIN_STRIDE) + 1, np.minimum(count, 1))
     row = np.repeat(np.arange(words.n), n)
     k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    start = np.minimum(k * STRIDE, np.maximum(count[row] - WINDOW, 0))
+    start = np.minimum(k * TRAIN_STRIDE, np.maximum(count[row] - WINDOW, 0))
     at = start[:, None] + np.arange(WINDOW)
     ok = at < count[row][:, None]
     return np.where(ok, of[np.where(ok, words.first[row][:, None] + at, 0)] if len(of) else -1, -1), row
@@ -228,7 +230,7 @@ def train(texts: list[str], labels: np.ndarray, share: float, epochs: int = EPOC
         if epoch >= epochs and step >= LEAST_STEPS:
             break
         if epoch == 0:
-            chosen = np.flatnonzero(rng.random(len(ids)) < min(1.0, 12_000 / len(ids)))
+            chosen = np.flatnonzero(rng.random(len(ids)) < min(1.0, FIRST_WINDOWS / len(ids)))
         else:
             logit = score_windows(net, lexicon, ids)
             top = best_of_rows(logit, row, words.n)
@@ -267,7 +269,7 @@ def train(texts: list[str], labels: np.ndarray, share: float, epochs: int = EPOC
             often = common[used]
             _adagrad(net.word, tables["word"], lexicon.bucket[used[often]], dvec[often, :WORD_DIM])
             _adagrad(net.char, tables["char"], lexicon.grams[at], (dvec[:, WORD_DIM:] / lexicon.length[used][:, None])[owner])
-    top = best_of_rows(score_windows(net, lexicon, ids), row, words.n)
+    top = best_of_texts(net, words, lexicon)
     seen = np.isfinite(top)
     net.scale = _logistic(top[seen], labels[seen], share)
     return net
@@ -305,11 +307,71 @@ def score_windows(net: Net, lexicon: Lexicon, ids: np.ndarray, batch: int = 2048
     return np.concatenate([logits(net, inputs, ids[lo : lo + batch]) for lo in range(0, len(ids), batch)]) if len(ids) else np.zeros(0)
 
 
+def every_start(net: Net, inputs: np.ndarray, of: np.ndarray, batch: int = 4096) -> np.ndarray:
+    """Logits of the full windows that start at word 0, 1, ... of a row of words (numbers of inputs).
+
+    Windows lie in columns, and step t of all of them reads the words from t on, so inputs are sliced, not gathered.
+    """
+    h, d = HIDDEN, net.dense
+    n = max(len(of) - WINDOW + 1, 0)
+    out = np.zeros(n, F32)
+    # exp is cheaper than tanh: 1 - z is 1 / (1 + exp(x)), r is 1 / (1 + exp(-x)), tanh(x) is 1 - 2 / (1 + exp(2 x))
+    scale = np.repeat(np.array([1, -1, 2], F32), h)
+    sides = [(np.ascontiguousarray(inputs[:, 3 * h * k : 3 * h * (k + 1)] * scale), np.ascontiguousarray((d[f"h{name}"] * scale).T), np.stack([d["v"][h * k : h * (k + 1)], d["o"][h * k : h * (k + 1)]])) for k, name in enumerate("fr")]
+    for lo in range(0, n, batch):
+        m = min(batch, n - lo)
+        # of every step and window: attention score, output
+        said = np.zeros((WINDOW, 2, m), F32)
+        rec, gate, move, heads = np.empty((3 * h, m), F32), np.empty((2 * h, m), F32), np.empty((h, m), F32), np.empty((2, m), F32)
+        for k, (table, hidden, head) in enumerate(sides):
+            x = np.ascontiguousarray(table[of[lo : lo + m + WINDOW - 1]].T)
+            state = np.zeros((h, m), F32)
+            for t in range(WINDOW) if k == 0 else range(WINDOW - 1, -1, -1):
+                np.matmul(hidden, state, out=rec)
+                np.add(rec[: 2 * h], x[: 2 * h, t : t + m], out=gate)
+                np.exp(gate, out=gate)
+                gate += F32(1)
+                np.divide(F32(1), gate, out=gate)
+                np.multiply(gate[h:], rec[2 * h :], out=move)
+                move += x[2 * h :, t : t + m]
+                np.exp(move, out=move)
+                move += F32(1)
+                np.divide(F32(-2), move, out=move)
+                move += F32(1)
+                move -= state
+                move *= gate[:h]
+                state += move
+                said[t] += np.matmul(head, state, out=heads)
+        weight = said[:, 0] - said[:, 0].max(0)
+        np.exp(weight, out=weight)
+        out[lo : lo + m] = (weight * said[:, 1]).sum(0) / weight.sum(0) + d["b"]
+    return out
+
+
+def best_of_texts(net: Net, words: Words, lexicon: Lexicon) -> np.ndarray:
+    """The highest logit of every text's windows, one at every word from which a full window goes; a shorter text is one window.
+    -inf without words."""
+    inputs = gate_inputs(net, lexicon.vectors(net))
+    top = np.full(words.n, -np.inf)
+    long = words.count >= WINDOW
+    if long.any():
+        with np.errstate(over="ignore"):
+            logit = every_start(net, inputs, lexicon.of)
+        # the last windows of a text would run on into the next one
+        row = np.repeat(np.arange(words.n), words.count)[: len(logit)]
+        inside = np.arange(len(logit)) + WINDOW <= words.first[row + 1]
+        np.maximum.at(top, row[inside], logit[inside])
+    short = np.flatnonzero((words.count > 0) & ~long)
+    if len(short):
+        at = words.first[short][:, None] + np.arange(WINDOW)
+        ids = np.where(np.arange(WINDOW) < words.count[short][:, None], lexicon.of[np.minimum(at, len(lexicon.of) - 1)], -1)
+        top[short] = np.concatenate([logits(net, inputs, ids[lo : lo + 2048]) for lo in range(0, len(ids), 2048)])
+    return top
+
+
 def score_texts(net: Net, texts: pa.Array) -> np.ndarray:
     words = Words(texts, ALNUM)
-    lexicon = Lexicon(words)
-    ids, row = windows(words, lexicon.of)
-    top = best_of_rows(score_windows(net, lexicon, ids), row, words.n)
+    top = best_of_texts(net, words, Lexicon(words))
     a, b = net.scale
     return np.where(np.isinf(top), 0.0, 1 / (1 + np.exp(-np.clip(a * np.where(np.isinf(top), 0, top) + b, -700, 700))))
 

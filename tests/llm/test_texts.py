@@ -150,6 +150,22 @@ def test_toxicity_learns_a_word():
     assert np.mean(said[:100] == np.array(labels[400:])) > 0.95 and not said[100:103].any()
 
 
+def test_toxicity_scores_every_window():
+    """A text's score is that of the highest of all windows of 32 words, scored one by one as texts."""
+    rng = np.random.default_rng(8)
+    net = toxicity.Net.fresh(3)
+    net.scale = (1.0, 0.0)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 400, n)) for n in (1, 31, 32, 33, 57, 200, 3000)] + ["", None]
+    got = toxicity.score_texts(net, pa.array(texts))
+    for text, score in zip(texts, got, strict=True):
+        w = (text or "").split()
+        alone = toxicity.score_texts(net, pa.array([" ".join(w[k : k + 32]) for k in range(max(len(w) - 31, 1))]))
+        ids, row = toxicity.windows(words := toxicity.Words(pa.array([" ".join(w[k : k + 32]) for k in range(max(len(w) - 31, 1))]), toxicity.ALNUM), (lexicon := toxicity.Lexicon(words)).of)
+        slow = toxicity.best_of_rows(toxicity.score_windows(net, lexicon, ids), row, words.n)
+        assert score == pytest.approx(alone.max(), abs=1e-5)
+        assert not w or score == pytest.approx(1 / (1 + np.exp(-slow.max())), abs=1e-5)
+
+
 def test_toxicity_query(spark):
     out = queries.op8_toxicity(spark, SF).collect()
     assert len(out) == spark.read.parquet(f"{SF}/documents.parquet").count()

@@ -23,7 +23,7 @@ SHINGLE, LANES, CHUNK, ERRORS = 5, 48, 4, 1
 GUARANTEED = LANES // CHUNK * (ERRORS + 1) - 1
 #: Similar: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Parts of a large group that are compared with each other in one task.
+#: Sets of a large group that are compared in one go, about; parts in which rows of equal sets are counted.
 BLOCK, SALTS = 512, 64
 
 _RNG = np.random.default_rng(4242)
@@ -211,8 +211,7 @@ def group(documents: DataFrame, keep: list[str], order: str) -> DataFrame:
     wanted = written(classes.join(wanted, "id", "left_semi").select("id", "set_a", "set_b", "least"), "wanted")
     sets = written(full_sets(documents, order, wanted), "sets")
 
-    part = F.pmod(F.xxhash64("id"), F.lit(SALTS))
-    outer = spokes.select(F.col("g").alias("g1"), part.alias("g2"), F.lit(1).alias("side"), "id")
+    outer = hub_parts(spokes)
     hubs = outer.select("g1", "g2").distinct().select("g1", "g2", F.lit(0).alias("side"), F.col("g1").alias("id"))
     first = compare(outer.union(hubs).join(sets, "id").select("g1", "g2", "side", "id", F.col("id").alias("comp"), "shingles"))
     links = written(first, "links")
@@ -236,6 +235,14 @@ def group(documents: DataFrame, keep: list[str], order: str) -> DataFrame:
     return placed.join(stays, "row", "left").select(*keep, "n_shingles", "component", F.coalesce("first", F.lit(False)).alias("first")).union(alone)
 
 
+def hub_parts(spokes: DataFrame) -> DataFrame:
+    """Rows (g1, g2, side, id) of spokes (g, id): each hub's classes dealt into as many parts as it has blocks of BLOCK, so that what a
+    task compares at once doesn't grow with the group. Only hubs of several parts are broadcast, one row for BLOCK spokes at most."""
+    large = spokes.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias("parts")).where("parts > 1")
+    part = F.pmod(F.xxhash64("id", F.lit(5)), F.coalesce("parts", F.lit(1)))
+    return spokes.join(F.broadcast(large), "g", "left").select(F.col("g").alias("g1"), part.alias("g2"), F.lit(1).alias("side"), "id")
+
+
 def _apart(held: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame | None:
     """Links between components that share a key of `held` (key, id), or None if no key has classes of several components.
 

@@ -51,6 +51,14 @@ def test_near_dup(spark):
     assert near_dup.components_of(docs_of(spark, [])).count() == 0
 
 
+def test_hub_parts_stay_small(spark):
+    """Parts grow in number with a hub's classes, not in size."""
+    spokes = spark.range(100_000).selectExpr("7L as g", "id").union(spark.range(20).selectExpr("8L as g", "id"))
+    sizes = near_dup.hub_parts(spokes).groupBy("g1", "g2").count().collect()
+    assert sum(r["count"] for r in sizes) == 100_020 and sum(r["g1"] == 8 for r in sizes) == 1
+    assert max(r["count"] for r in sizes) < 1.5 * near_dup.BLOCK
+
+
 def test_signature_join_finds_all_within_the_guarantee():
     """Every pattern of wrong lanes up to the guaranteed distance leaves a chunk that shares a key."""
     rng = np.random.default_rng(0)

@@ -98,6 +98,22 @@ FORMS = (
     ("{name}", "", 2),
 )
 
+# Label, SPDX identifiers (after the tag; A/B are several) and the words of short forms (a regular expression, or none).
+TAGS = (
+    ("gpl-1.0", "GPL-1.0/GPL-1.0-only/GPL-1.0-or-later/GPL-1.0+", "gpl ?v?1(?: 0)?"), ("gpl-2.0", "GPL-2.0/GPL-2.0-only/GPL-2.0-or-later/GPL-2.0+", "gpl ?v?2(?: 0)?"), ("gpl-3.0", "GPL-3.0/GPL-3.0-only/GPL-3.0-or-later/GPL-3.0+", "gpl ?v?3(?: 0)?"),
+    ("lgpl-2.0", "LGPL-2.0/LGPL-2.0-only/LGPL-2.0-or-later/LGPL-2.0+", "lgpl ?v?2(?: 0)?"), ("lgpl-2.1", "LGPL-2.1/LGPL-2.1-only/LGPL-2.1-or-later/LGPL-2.1+", "lgpl ?v?2 1"), ("lgpl-3.0", "LGPL-3.0/LGPL-3.0-only/LGPL-3.0-or-later/LGPL-3.0+", "lgpl ?v?3(?: 0)?"),
+    ("agpl-3.0", "AGPL-3.0/AGPL-3.0-only/AGPL-3.0-or-later", "agpl ?v?3(?: 0)?"), ("gfdl", "GFDL-1.1/GFDL-1.2/GFDL-1.3/GFDL-1.1-only/GFDL-1.2-only/GFDL-1.3-only/GFDL-1.1-or-later/GFDL-1.2-or-later/GFDL-1.3-or-later", None),
+    ("apache-1.1", "Apache-1.1", "apache 1 1"), ("apache-2.0", "Apache-2.0", "apache (?:v ?)?2 0"), ("mit", "MIT", None), ("mit-0", "MIT-0", None),
+    ("bsd-2-clause", "BSD-2-Clause", None), ("bsd-3-clause", "BSD-3-Clause", None), ("bsd-4-clause", "BSD-4-Clause", None), ("0bsd", "0BSD", None), ("isc", "ISC", None),
+    ("mpl-1.1", "MPL-1.1", "mpl ?v?1 1"), ("mpl-2.0", "MPL-2.0", "mpl ?v?2 0"), ("epl-1.0", "EPL-1.0", "epl ?v?1 0"), ("epl-2.0", "EPL-2.0", "epl ?v?2 0"), ("edl-1.0", "EDL-1.0", None),
+    ("cddl-1.0", "CDDL-1.0", "cddl 1 0"), ("cpl-1.0", "CPL-1.0", None), ("eupl-1.2", "EUPL-1.1/EUPL-1.2", "eupl ?v?1 [12]"), ("artistic-1.0", "Artistic-1.0", "artistic 1 0"), ("artistic-2.0", "Artistic-2.0", "artistic 2 0"),
+    ("bsl-1.0", "BSL-1.0", None), ("zlib", "Zlib", None), ("unlicense", "Unlicense", None), ("wtfpl", "WTFPL", "wtfpl"), ("psf-2.0", "PSF-2.0/Python-2.0", None), ("php-3.01", "PHP-3.01", None), ("ruby", "Ruby", None),
+    ("openssl", "OpenSSL", None), ("ncsa", "NCSA", None), ("ms-pl", "MS-PL", None), ("ms-rl", "MS-RL", None), ("afl-3.0", "AFL-3.0", None), ("osl-3.0", "OSL-3.0", None), ("ofl-1.1", "OFL-1.1", None), ("upl-1.0", "UPL-1.0", None),
+    ("ecl-2.0", "ECL-2.0", None), ("lppl-1.3c", "LPPL-1.3c", None), ("postgresql", "PostgreSQL", None), ("mulan-2.0", "MulanPSL-2.0", None), ("odbl-1.0", "ODbL-1.0", None), ("odc-by-1.0", "ODC-By-1.0", None), ("pddl-1.0", "PDDL-1.0", None),
+    ("ogl-3.0", "OGL-UK-3.0", None), ("cc0-1.0", "CC0-1.0", None), ("cc-by-nc-nd", "CC-BY-NC-ND-3.0/CC-BY-NC-ND-4.0", None), ("cc-by-nc-sa", "CC-BY-NC-SA-3.0/CC-BY-NC-SA-4.0", None), ("cc-by-nc", "CC-BY-NC-3.0/CC-BY-NC-4.0", None),
+    ("cc-by-nd", "CC-BY-ND-3.0/CC-BY-ND-4.0", None), ("cc-by-sa", "CC-BY-SA-3.0/CC-BY-SA-4.0", None), ("cc-by-1.0", "CC-BY-1.0", None), ("cc-by-2.0", "CC-BY-2.0", None), ("cc-by-3.0", "CC-BY-3.0", None), ("cc-by-4.0", "CC-BY-4.0", None),
+)
+
 # Rules of their own: label, regular expression, keyword, priority.
 TEXTS = (
     ("gpl-2.0-or-later", "either version 2 of the license or at your option any later version", "any later version", 1),
@@ -128,4 +144,10 @@ def rules() -> list[Rule]:
         for form, gate, strength in FORMS:
             out.append(Rule(len(out), gate if gate.startswith("spdx") else keyword, form.format(name=name), label, strength, False))
     out += [Rule(len(out) + i, keyword, regex, label, priority, False) for i, (label, regex, keyword, priority) in enumerate(TEXTS)]
+    for label, ids, short in TAGS:
+        # "+" is no word; of several identifiers the longest is tried first
+        forms = sorted({i.lower().replace("-", " ").replace(".", " ").rstrip("+") for i in ids.split("/")}, key=lambda i: (-len(i), i))
+        out.append(Rule(len(out), "spdx license identifier", f"spdx license identifier (?:{'|'.join(forms)})", label, 1, False))
+        if short:
+            out.append(Rule(len(out), f" {short.split(' ')[0]}", short, label, 2, False))
     return out

@@ -3,7 +3,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from kerbgraph.llm import chat_format, license_scan, sharding
+from kerbgraph.llm import chat_format, license_rules, license_scan, sharding
 from kerbgraph.llm.license_rules import BASE, rules
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -58,6 +58,18 @@ def test_license_rules_and_suppression(spark):
     assert {"apache-2.0", "lgpl-2.1", "bsd-3-clause"} <= kept and "unspecified" not in kept and "apache" not in kept
 
 
+def test_license_tags(spark):
+    """One real tag and one short form per license give its label, through the gate; a longer identifier isn't cut to a shorter one."""
+    tags = [(label, f"SPDX-License-Identifier: {i}") for label, ids, _ in license_rules.TAGS for i in ids.split("/")]
+    shorts = [("gpl-3.0", "GPLv3"), ("gpl-2.0", "GPL 2"), ("lgpl-2.1", "LGPLv2.1"), ("agpl-3.0", "AGPL-3.0"), ("mpl-2.0", "MPL 2.0"), ("apache-2.0", "Apache-2.0"), ("epl-2.0", "EPL-2.0"), ("wtfpl", "WTFPL")]
+    asked = tags + shorts
+    df = spark.createDataFrame([(i, text, None, None, None) for i, (_, text) in enumerate(asked)], DOCS)
+    got = {r["doc_id"]: r["labels"].split(",") for r in license_scan.scan(df).collect()}
+    assert {label for label, _, _ in license_rules.TAGS} == {label for label, _, _ in license_rules.NAMES}
+    assert [(a, got[i]) for i, a in enumerate(asked) if a[0] not in got[i]] == []
+    assert got[tags.index(("mit-0", "SPDX-License-Identifier: MIT-0"))] == ["mit-0"]
+
+
 def test_roots_let_every_rule_through(spark):
     """A text made from a rule's own words passes the gate."""
     for r in rules():

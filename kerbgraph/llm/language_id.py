@@ -86,10 +86,6 @@ class Filters:
         return n, np.maximum((out - n[:, None] * false) / (1 - np.minimum(false, 0.999)), 0)
 
 
-def has_letter(text: str | None) -> bool:
-    return text is not None and any(c.isalpha() for c in text)
-
-
 def fit(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Filters:
     """Filters from rows (text, lang) with both given.
 
@@ -142,6 +138,7 @@ def predict(documents: DataFrame, filters: Filters, keep: list[str]) -> DataFram
     score 0. score: the share of the text's n-grams that the language is likely to have. Texts are read whole.
     """
     shared = documents.sparkSession.sparkContext.broadcast(filters)
+    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     fields = [documents.schema[k] for k in keep]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string", "score double"])
 
@@ -157,14 +154,11 @@ def predict(documents: DataFrame, filters: Filters, keep: list[str]) -> DataFram
                     n, counts = model.counts(texts.fill_null(""))
                     best = counts.argmax(1)
                     score = np.minimum(counts[np.arange(hi - lo), best] / np.maximum(n, 1), 1.0)
-                    for r in np.flatnonzero(score == 0):
-                        if not has_letter(texts[r].as_py()):
-                            best[r] = -1
-                    best[texts.is_null().to_numpy(zero_copy_only=False)] = -1
+                    best[~batch.column("__letter").slice(lo, hi - lo).to_numpy(zero_copy_only=False)] = -1
                 rest = [batch.column(k).slice(lo, hi - lo) for k in keep]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(names[best].tolist(), pa.string()), pa.array(np.where(best < 0, 0.0, score))], [*keep, "lang_pred", "score"])
 
-    return documents.select(*[f"`{k}`" for k in keep], F.col("text").alias("__text")).mapInArrow(run, schema)
+    return documents.select(*[f"`{k}`" for k in keep], F.col("text").alias("__text"), letter.alias("__letter")).mapInArrow(run, schema)
 
 
 def held_out() -> F.Column:

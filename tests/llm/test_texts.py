@@ -143,6 +143,15 @@ def test_language(spark):
     assert language_id.identify(docs_of(spark, [])).count() == 0
 
 
+def test_language_needs_a_letter(spark):
+    """Texts of learnt n-grams without a letter are und."""
+    learnt = docs_of(spark, [(i, "et puis — — « » ——— “” 一 été " * 5) for i in range(20)])
+    filters = language_id.fit(learnt)
+    asked = docs_of(spark, [(1, "———"), (2, " — — « » “” "), (3, "— été —"), (4, None), (5, "été")])
+    out = {r["doc_id"]: (r["lang_pred"], r["score"] > 0) for r in language_id.predict(asked, filters, ["doc_id"]).collect()}
+    assert out == {1: ("und", False), 2: ("und", False), 3: ("en", True), 4: ("und", False), 5: ("en", True)}
+
+
 def test_toxicity_learns_a_word():
     rng = np.random.default_rng(5)
     words = np.array([f"word{k}" for k in range(300)])

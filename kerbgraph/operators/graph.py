@@ -7,48 +7,76 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import written
+from ..sources.scratch import Tables, written
 
 
-def reach(arcs: DataFrame, starts: DataFrame) -> DataFrame:
-    """(root, node, hops) for every node that a start (root) reaches over arcs (src, dst), itself included."""
-    seen = written(starts.select("root", F.col("root").alias("node"), F.lit(0).alias("hops")), "reach")
-    frontier, hop = seen, 0
-    while frontier.limit(1).count():
-        hop += 1
-        step = frontier.join(arcs, frontier["node"] == arcs["src"]).select("root", F.col("dst").alias("node")).distinct()
-        frontier = written(step.join(seen, ["root", "node"], "left_anti").select("root", "node", F.lit(hop).alias("hops")), "frontier")
-        seen = seen.union(frontier)
-    return seen
+def reach(arcs: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(root, node, hops) for every node that a start (root) reaches over arcs (src, dst), itself included.
+
+    One table holds what was seen; a round joins the newest nodes with the arcs and adds those that are new. The newest nodes are
+    the rows of the last hop, so a round reads one table and writes one.
+    """
+    with Tables(arcs.sparkSession) as tables:
+        arcs = tables.write(arcs.select("src", "dst").distinct(), "arcs")
+        seen = tables.write(starts.select("root", F.col("root").alias("node"), F.lit(0).alias("hops")).distinct(), "seen")
+        for hop in count(1) if max_hops is None else range(1, max_hops + 1):
+            step = seen.where(F.col("hops") == hop - 1).join(arcs, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), F.lit(hop).alias("hops"))
+            seen = tables.write(seen.union(step).groupBy("root", "node").agg(F.min("hops").alias("hops")), "seen")
+            tables.keep_last("seen")
+            if seen.where(F.col("hops") == hop).isEmpty():
+                break
+        return written(seen, "reach")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component): the least node that can be reached over links (a, b), whichever way."""
-    both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("over"))
-        new = labels.join(near, "node").join(jump, "component").select("node", F.least("component", "near", "over").alias("new"), (F.least("near", "over") < F.col("component")).alias("changed"))
-        new = written(new, "labels")
-        labels = new.select("node", F.col("new").alias("component"))
-        if not new.where("changed").limit(1).count():
-            return labels
+    """(node, component): the least node that can be reached over links (a, b), whichever way. A link of a node with itself makes the
+    node known; null ends are dropped.
 
+    Stars: in a round every node hands its larger neighbours to its least neighbour, then its smaller ones, so that trees halve
+    in depth; it ends when the links no longer change, each then leading from a node to its component. A chain of n nodes takes about
+    log n rounds. Links of a node with many neighbours are only ever aggregated or joined with one row.
+    """
+    spark = links.sparkSession
+    with Tables(spark) as tables:
+        links = tables.write(links.select("a", "b").where("a is not null and b is not null").distinct(), "given")
+        edges = tables.write(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        mark = None
+        while True:
+            both = edges.union(edges.select("b", "a"))
+            least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+            large = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+            large = tables.write(large, "large")
+            least = large.groupBy("a").agg(F.min("b").alias("m"))
+            small = large.join(least, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
+            edges = tables.write(small.select(F.col("e.a").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), "edges")
+            tables.keep_last("large", "edges")
+            seen = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if tuple(seen) == mark:
+                break
+            mark = tuple(seen)
+        ends = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        own = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(ends.select("node"), "node", "left_anti")
+        return written(ends.union(own.select("node", F.col("node").alias("component"))), "components")
 
-def cheapest(arcs: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
-    """(root, node, cost): least cost over at most max_hops arcs (src, dst, cost), or over any number (costs must not be negative).
-    One round relaxes all frontiers of all starts."""
-    best = written(starts.select("root", F.col("root").alias("node"), F.lit(0.0).alias("cost")), "best")
-    frontier = best
-    for _ in count() if max_hops is None else range(max_hops):
-        step = frontier.join(arcs.withColumnRenamed("cost", "arc"), frontier["node"] == arcs["src"]).select("root", F.col("dst").alias("node"), (F.col("cost") + F.col("arc")).alias("cost"))
-        step = step.groupBy("root", "node").agg(F.min("cost").alias("cost"))
-        old = best.withColumnRenamed("cost", "old")
-        frontier = written(step.join(old, ["root", "node"], "left").where("old is null or cost < old").select("root", "node", "cost"), "frontier")
-        if not frontier.limit(1).count():
-            break
-        best = written(best.union(frontier).groupBy("root", "node").agg(F.min("cost").alias("cost")), "best")
-    return best
 
+def cheapest(arcs: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(root, node, cost, via, hops): least cost over at most max_hops arcs (src, dst, cost), or over any number (costs must not be
+    negative), with the node before and the number of arcs. Of equal costs the fewer hops, then the lesser node before.
 
+    One round relaxes the nodes that the round before made cheaper, for all starts at once; rows of `best` carry the round that
+    set them, so there is no second table of them.
+    """
+    with Tables(arcs.sparkSession) as tables:
+        arcs = tables.write(arcs.groupBy("src", "dst").agg(F.min("cost").cast("double").alias("arc")), "arcs")
+        node = F.col("root").alias("node")
+        best = tables.write(starts.select("root", node, F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.col("root").alias("via"), F.lit(0).alias("round")).distinct(), "best")
+        for step in count(1) if max_hops is None else range(1, max_hops + 1):
+            fresh = best.where(F.col("round") == step - 1).join(arcs, F.col("node") == F.col("src"))
+            fresh = fresh.select("root", F.col("dst").alias("node"), (F.col("cost") + F.col("arc")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.col("src").alias("via"), F.lit(step).alias("round"))
+            # a row that is no better keeps the old round: the least round wins a tie
+            order = F.min(F.struct("cost", "hops", "via", "round")).alias("v")
+            best = tables.write(best.unionByName(fresh).groupBy("root", "node").agg(order).select("root", "node", "v.*"), "best")
+            tables.keep_last("best")
+            if best.where(F.col("round") == step).isEmpty():
+                break
+        return written(best.drop("round"), "cheapest")

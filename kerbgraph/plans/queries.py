@@ -440,7 +440,7 @@ def shortest_path_relax(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _supply_paths(items: DataFrame, starts: DataFrame, max_hops: int | None, offset: int = 0) -> DataFrame:
     e = items.groupBy(F.col("l_suppkey").alias("src"), (-F.col("l_partkey") - offset).alias("dst")).agg(F.min("l_quantity").alias("cost"))
     arcs = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost"))
-    return graph.cheapest(arcs, starts, max_hops)
+    return graph.cheapest(arcs, starts, max_hops).select("root", "node", "cost")
 
 
 @query()

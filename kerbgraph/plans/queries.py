@@ -2,38 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import graph, relational
-from ..operators.cost import Profile, evaluate
+from . import cost_queries, graph_queries  # noqa: F401
+from .registry import QUERIES, SQL, query, t  # noqa: F401
+
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
 #: 2024-02-01 in microseconds: "now" of the queries over events.
 NOW = 1_706_745_600_000_000
 DAY = 86_400_000_000
 HALF_LIVES = (365.0, 730.0, 5.0, 7.0, 180.0)
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "events").withColumn("at", C.micros("ts")).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
 
@@ -410,83 +393,6 @@ def graph_hierarchy_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reach(arcs, roots).groupBy("root", "hops").agg(F.count("*").alias("nodes"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS s, -l_partkey AS p FROM lineitem WHERE l_quantity >= 50 AND l_partkey % 9 = 0), u AS (SELECT s AS a, p AS b FROM e UNION SELECT p, s FROM e),
-  w(node, root) AS (SELECT a, a FROM u UNION SELECT u.b, w.root FROM w JOIN u ON w.node = u.a) SELECT node, min(root) AS component FROM w GROUP BY 1""")
-def components_bipartite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only the rows its SQL twin takes; components_bipartite_all takes all."""
-    return _supply_components(t(spark, sf_dir, "lineitem").where("l_quantity >= 50 and l_partkey % 9 = 0"))
-
-
-def _supply_components(items: DataFrame, offset: int = 0) -> DataFrame:
-    """Suppliers by their number, part p as -p - offset; with offset 0 supplier 0 and part 0 are one node, as in the twins."""
-    return graph.components(items.select(F.col("l_suppkey").alias("a"), (-F.col("l_partkey") - offset).alias("b")).distinct())
-
-
-@query()
-def components_bipartite_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part p is node -p - 1."""
-    return _supply_components(t(spark, sf_dir, "lineitem"), 1)
-
-
-@query("""WITH RECURSIVE e AS (SELECT l_suppkey AS s, -l_partkey AS p, min(l_quantity) AS q FROM lineitem WHERE l_partkey % 5 = 0 GROUP BY 1, 2), u AS (SELECT s AS a, p AS b, q FROM e UNION ALL SELECT p, s, q FROM e),
-  r0 AS (SELECT 1::BIGINT AS node, 0.0::DOUBLE AS cost), r1 AS (SELECT node, min(cost) AS cost FROM (SELECT * FROM r0 UNION ALL SELECT u.b, r.cost + u.q FROM r0 r JOIN u ON r.node = u.a) GROUP BY 1),
-  r2 AS (SELECT node, min(cost) AS cost FROM (SELECT * FROM r1 UNION ALL SELECT u.b, r.cost + u.q FROM r1 r JOIN u ON r.node = u.a) GROUP BY 1), r3 AS (SELECT node, min(cost) AS cost FROM (SELECT * FROM r2 UNION ALL SELECT u.b, r.cost + u.q FROM r2 r JOIN u ON r.node = u.a) GROUP BY 1)
-  SELECT 1::BIGINT AS root, node, cost FROM r3""")
-def shortest_path_relax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only the rows and hops its SQL twin takes; shortest_path_relax_all takes all."""
-    return _supply_paths(t(spark, sf_dir, "lineitem").where("l_partkey % 5 = 0"), spark.range(1, 2).select(F.col("id").alias("root")), 3)
-
-
-def _supply_paths(items: DataFrame, starts: DataFrame, max_hops: int | None, offset: int = 0) -> DataFrame:
-    e = items.groupBy(F.col("l_suppkey").alias("src"), (-F.col("l_partkey") - offset).alias("dst")).agg(F.min("l_quantity").alias("cost"))
-    arcs = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost"))
-    return graph.cheapest(arcs, starts, max_hops).select("root", "node", "cost")
-
-
-@query()
-def shortest_path_relax_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Least costs from supplier 1 to every node it reaches, over paths of any length; part p is node -p - 1."""
-    return _supply_paths(t(spark, sf_dir, "lineitem"), spark.range(1, 2).select(F.col("id").alias("root")), None, 1)
-
-
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_linenumber") == 7, 2.0).otherwise(0.0).alias("steps"), (F.col("l_discount") * 100).alias("grade"), (F.col("l_tax") * 100).alias("camber"),
-        F.when(F.col("l_returnflag") == "A", "sett").when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O"), "gravel").when(F.col("l_returnflag") == "N", "asphalt").alias("surface"),
-        F.when(F.col("l_quantity") > 45, None).otherwise(F.col("l_quantity") / 10).alias("width"), F.col("l_quantity").alias("length_m"), (F.col("l_linestatus") == "F").alias("wet"),
-    )
-
-
-_EDGES = """(SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber = 7 THEN 2.0 ELSE 0.0 END AS steps, l_discount * 100 AS grade, l_tax * 100 AS camber,
-  CASE WHEN l_returnflag = 'A' THEN 'sett' WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 'gravel' WHEN l_returnflag = 'N' THEN 'asphalt' END AS surface,
-  CASE WHEN l_quantity <= 45 THEN l_quantity / 10 END AS width, l_quantity AS length_m, l_linestatus = 'F' AS wet FROM lineitem)"""
-_EXCLUDED = "CASE WHEN steps > 0 THEN 'steps' WHEN abs(grade) > 8 + CASE WHEN length_m < 10 THEN 0.5 ELSE 0 END THEN 'gradient' WHEN surface = 'gravel' THEN 'surface' WHEN width < 0.9 THEN 'width' END"
-_COST = """length_m + CASE WHEN abs(grade) > 4 THEN length_m * pow((abs(grade) - 4) / 4, 2) * 2 ELSE 0 END + CASE WHEN camber > 4 THEN length_m * least(2.0, (camber - 4) / 4) ELSE 0 END
-  + CASE WHEN surface = 'sett' THEN length_m * 0.6 * CASE WHEN wet THEN 1.8 ELSE 1 END ELSE 0 END + CASE WHEN surface IS NULL THEN length_m / 100 * 25 ELSE 0 END + CASE WHEN width IS NULL THEN length_m / 100 * 20 ELSE 0 END"""
-
-
-@query(f"SELECT l_orderkey, l_linenumber, l_partkey, x AS excluded_by, round(CASE WHEN x IS NULL THEN cost END, 5) AS cost FROM (SELECT *, {_EXCLUDED} AS x, {_COST} AS cost FROM {_EDGES})")
-def cost_model_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = evaluate(_edges(spark, sf_dir), Profile())
-    return df.select("l_orderkey", "l_linenumber", "l_partkey", "excluded_by", F.when(F.col("excluded_by").isNull(), F.round("cost", 5)).alias("cost"))
-
-
-@query(f"SELECT coalesce({_EXCLUDED}, 'passable') AS outcome, count(*) AS edges, sum(length_m) AS metres FROM {_EDGES} GROUP BY 1")
-def cost_first_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = evaluate(_edges(spark, sf_dir), Profile())
-    return df.groupBy(F.coalesce("excluded_by", F.lit("passable")).alias("outcome")).agg(F.count("*").alias("edges"), F.sum("length_m").alias("metres"))
-
-
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN l_linestatus = 'O' THEN greatest(0.3, 1 - abs(l_discount * 100) * 0.05) ELSE greatest(0.3, least(1.0, exp(abs(l_discount * 100 / 100.0 + 0.05) * -3.5) / exp(-3.5 * 0.05))) END, 6) AS factor FROM lineitem""")
-def speed_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(C.speed_factor(F.col("l_discount") * 100, F.col("l_linestatus") == "O"), 6).alias("factor"))
-
-
-@query("SELECT p_partkey, CASE WHEN p_size * 5 <= 50 AND p_retailprice / 20 <= 85 THEN 'level' WHEN p_partkey % 4 = 0 THEN 'ramp' WHEN p_size * 5 <= 200 THEN 'part' ELSE 'no' END AS fit FROM part")
-def platform_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "part").select("p_partkey", C.platform_fit(F.col("p_size") * 5, F.col("p_retailprice") / 20, F.col("p_partkey") % 4 == 0).alias("fit"))
-
-
 @query("""SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS shared FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_partkey % 20 = 0) a JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_partkey % 20 = 0) b
   ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2 HAVING count(*) >= 5""")
 def overlap_share(spark: SparkSession, sf_dir: str) -> DataFrame:

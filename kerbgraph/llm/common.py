@@ -1,16 +1,17 @@
-"""Helpers shared by the training-data operators: scratch tables, byte-level word tables."""
+"""Helpers shared by the training-data operators: byte-level word tables, gapless numbers, bit filters, content keys."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
+from ..sources.scratch import Tables, release, written
+
+__all__ = ["Tables", "components", "release", "written"]
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = U(pow(int(_BASE), -1, 1 << 64))
@@ -31,26 +32,6 @@ def lower_ascii(column):
     return F.translate(column, _ASCII_UPPER, _ASCII_UPPER.lower())
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), a new one."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = made.get() if made.isDefined() else None
-    if not where:
-        where = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: it is computed once, survives lost executors, and its lineage ends there."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/kerbgraph/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -177,19 +158,7 @@ def bit_filter(hashes: DataFrame, column: str, log_bits: int = 23) -> BitFilter:
     return BitFilter(words, log_bits)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """Connected components of (a, b) rows: (node, component), component being the smallest node reachable.
-
-    Every round takes the smallest label among a node's own, its neighbours' and its label's label, and writes the labels
-    to the shared folder; it ends when a round changes nothing. Labels and links stay distributed.
-    """
-    both = written(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("over"))
-        new = labels.join(near, "node").join(jump, "component").select("node", F.least("component", "near", "over").alias("new"), (F.least("near", "over") < F.col("component")).alias("changed"))
-        new = written(new, "labels")
-        labels = new.select("node", F.col("new").alias("component"))
-        if not new.where("changed").limit(1).count():
-            return labels
+def content_key(*columns: str) -> list[Column]:
+    """(ka, kb): 128 bits that stand for a row's values in `columns`, nulls told from values."""
+    marked = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    return [F.xxhash64(*marked).alias("ka"), F.xxhash64(F.lit(7), *marked).alias("kb")]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM, BitFilter, Words, bit_filter, blocks, lower_ascii, written
+from .common import ALNUM, BitFilter, Tables, Words, bit_filter, blocks, lower_ascii, written
 
 #: Words of a window, words of a shingle, and into how many keys a shingle's places in documents are dealt.
 WINDOW, SHINGLE, SALTS = 10, 3, 32
@@ -108,35 +108,40 @@ def find(documents: DataFrame, benchmark: DataFrame, text: str = "text", keep: l
     1. Shingles of the benchmark's windows are counted over all documents. 2. A window can only occur where its rarest shingle
     does, so that one shingle is its whole necessary prefix (all of its shingles are asked for). 3. Documents' places of prefix
     shingles are joined with the windows. 4. A window that would begin before the text or end after it is dropped. 5. The words
-    there must equal the window's. What a document's places need travels with them, so texts are never shuffled.
+    there must equal the window's. What a document's places need travels with them: texts are never shuffled, but for those in `keep`,
+    so keep ids. Columns in `keep` named as the new ones give way.
     Repeated rows and ids, null texts and texts without words stay rows of their own; items without words occur nowhere.
     """
-    keep = keep or []
-    windowed = written(windows(benchmark), "windows")
-    shingles = written(window_shingles(windowed), "shingles")
-    widths = sorted(r["width"] for r in shingles.select("width").distinct().collect()) or [1]
-    times = frequencies(documents, text, bit_filter(shingles, "shingle"), widths)
-    rarest = Window.partitionBy("words").orderBy(F.coalesce("times", F.lit(0)), "shingle", "place")
-    prefix = shingles.join(times, "shingle", "left").withColumn("rank", F.row_number().over(rarest)).where("rank = 1 and times is not null")
-    prefix = written(prefix.select("words", "n", "shingle", "place"), "prefix")
-    rows = places(documents, text, keep, bit_filter(prefix, "shingle"), widths)
-    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "places")
-
-    salted = F.col("row") % SALTS
-    sites = rows.where("size(found) > 0").select("row", "n_words", F.inline("found"), salted.alias("salt"))
-    asked = prefix.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
-    start = (F.col("at") - F.col("place")).alias("start")
-    near = sites.join(asked, ["shingle", "salt"]).withColumn("start", start).where("start >= 0 and start + n <= n_words")
-    same = F.array_join(F.slice(F.split("around", " "), F.col("start") - F.col("from") + 1, F.col("n")), " ") == F.col("words")
-    hits = written(near.where(same).select("row", "start", "n", "words", "salt"), "hits")
-
-    before = F.max(F.col("start") + F.col("n")).over(Window.partitionBy("row").orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1))
-    spans = hits.groupBy("row", "start").agg(F.max("n").alias("n")).withColumn("before", F.coalesce(before, F.lit(0)))
-    covered = spans.groupBy("row").agg(F.sum(F.greatest(F.lit(0), F.col("start") + F.col("n") - F.greatest("start", "before"))).cast("long").alias("n_hit"))
-    owners = windowed.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
-    items = hits.select("row", "words", "salt").distinct().join(owners, ["words", "salt"]).groupBy("row").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    out = rows.select(*keep, "row", "n_words").join(covered, "row", "left").join(items, "row", "left")
-    return out.select(*keep, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    keep = [k for k in keep or [] if k not in ("n_words", "n_hit", "items")]
+    inner = [f"__k{i}" for i in range(len(keep))]
+    documents = documents.select(*[F.col(f"`{k}`").alias(i) for k, i in zip(keep, inner, strict=True)], F.col(f"`{text}`").alias("__text"))
+    with Tables(documents.sparkSession) as tables:
+        windowed = tables.write(windows(benchmark), "windows")
+        shingles = tables.write(window_shingles(windowed), "shingles")
+        widths = sorted(r["width"] for r in shingles.select("width").distinct().collect()) or [1]
+        times = frequencies(documents, "__text", bit_filter(shingles, "shingle"), widths)
+        rarest = Window.partitionBy("words").orderBy(F.coalesce("times", F.lit(0)), "shingle", "place")
+        prefix = shingles.join(times, "shingle", "left").withColumn("rank", F.row_number().over(rarest)).where("rank = 1 and times is not null")
+        prefix = tables.write(prefix.select("words", "n", "shingle", "place"), "prefix")
+        rows = places(documents, "__text", inner, bit_filter(prefix, "shingle"), widths)
+        rows = tables.write(rows.withColumn("row", F.monotonically_increasing_id()), "places")
+
+        salted = F.col("row") % SALTS
+        sites = rows.where("size(found) > 0").select("row", "n_words", F.inline("found"), salted.alias("salt"))
+        asked = prefix.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
+        start = (F.col("at") - F.col("place")).alias("start")
+        near = sites.join(asked, ["shingle", "salt"]).withColumn("start", start).where("start >= 0 and start + n <= n_words")
+        same = F.array_join(F.slice(F.split("around", " "), F.col("start") - F.col("from") + 1, F.col("n")), " ") == F.col("words")
+        hits = tables.write(near.where(same).select("row", "start", "n", "words", "salt"), "hits")
+
+        before = F.max(F.col("start") + F.col("n")).over(Window.partitionBy("row").orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1))
+        spans = hits.groupBy("row", "start").agg(F.max("n").alias("n")).withColumn("before", F.coalesce(before, F.lit(0)))
+        covered = spans.groupBy("row").agg(F.sum(F.greatest(F.lit(0), F.col("start") + F.col("n") - F.greatest("start", "before"))).cast("long").alias("n_hit"))
+        owners = windowed.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
+        items = hits.select("row", "words", "salt").distinct().join(owners, ["words", "salt"]).groupBy("row").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+        out = rows.select(*inner, "row", "n_words").join(covered, "row", "left").join(items, "row", "left")
+        out = out.select(*[F.col(i).alias(k) for k, i in zip(keep, inner, strict=True)], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+        return written(out, "decontaminated")
 
 
 def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -13,18 +13,20 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NONSPACE, U, Words, bit_filter, blocks, components, mix, written
+from .common import NONSPACE, Tables, U, Words, bit_filter, blocks, components, mix, written
 
 SHINGLE, LANES, CHUNK, ERRORS = 5, 48, 4, 1
 #: Signatures that differ in no more lanes than this always share a key.
 GUARANTEED = LANES // CHUNK * (ERRORS + 1) - 1
 #: Similar: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Sets of a large group that are compared in one go, about; parts in which rows of equal sets are counted.
-BLOCK, SALTS = 512, 64
+#: Candidates with fewer equal lanes aren't looked at further: at similarity 0.75 a pair has fewer with a chance of 4.4e-8.
+LEAST_LANES = 19
+#: Sets of a large group that are compared in one go, about; parts in which rows of equal sets are counted, and rows for one more.
+BLOCK, SALTS, ROWS_A_SALT = 512, 64, 1 << 20
 
 _RNG = np.random.default_rng(4242)
 _FACTOR = _RNG.integers(1, 1 << 63, LANES, dtype=np.uint64) | U(1)
@@ -71,6 +73,11 @@ def signatures(df: DataFrame, keep: list[str]) -> DataFrame:
     return df.select(*[f"`{k}`" for k in keep], F.col("text").alias("__text")).mapInArrow(run, schema)
 
 
+def lanes(column: pa.Array) -> np.ndarray:
+    """A column of signatures as a matrix, one row for each."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), LANES)
+
+
 def chunk_keys(classes: DataFrame) -> DataFrame:
     """(key, id) for every chunk and every choice of lanes that may be wrong."""
 
@@ -79,13 +86,13 @@ def chunk_keys(classes: DataFrame) -> DataFrame:
             ids = batch.column("id").to_numpy()
             if not len(ids):
                 continue
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(len(ids), LANES).astype(np.uint64)
+            sig = lanes(batch.column("sig")).astype(np.uint64)
             for lo in range(0, len(_CHOICES), 12):
                 part = _CHOICES[lo : lo + 12]
                 keys = np.empty((len(part), len(ids)), np.uint64)
-                for j, (chunk, lanes, drop) in enumerate(part):
+                for j, (chunk, kept, drop) in enumerate(part):
                     key = np.full(len(ids), mix(np.array([chunk * 64 + drop + 1], np.uint64))[0])
-                    for lane in lanes:
+                    for lane in kept:
                         key = mix(key ^ (sig[:, lane] + U(1)) * U(0x9E3779B97F4A7C15))
                     keys[j] = key
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(ids, len(part)))], ["key", "id"])
@@ -93,6 +100,73 @@ def chunk_keys(classes: DataFrame) -> DataFrame:
     return classes.select("id", "sig").mapInArrow(run, "key long, id long")
 
 
+def may_be_alike(n_a: np.ndarray, sig_a: np.ndarray, n_b: np.ndarray, sig_b: np.ndarray) -> np.ndarray:
+    """False where two sets can't be similar by their sizes, or hardly by their signatures. Arguments broadcast."""
+    sizes = 100 * np.minimum(n_a, n_b) >= PERCENT * np.maximum(n_a, n_b)
+    return sizes & ((sig_a == sig_b).sum(-1) >= LEAST_LANES)
+
+
+def likely(spokes: DataFrame, classes: DataFrame) -> DataFrame:
+    """The spokes (g, id) whose classes may be alike."""
+    side = lambda name, x: classes.select(F.col("id").alias(name), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"sig{x}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 4096):
+                part = batch.slice(lo, 4096)
+                ok = may_be_alike(part["na"].to_numpy(), lanes(part["siga"]), part["nb"].to_numpy(), lanes(part["sigb"]))
+                yield part.select(["g", "id"]).filter(pa.array(ok))
+
+    return spokes.join(side("g", "a"), "g").join(side("id", "b"), "id").select("g", "id", "na", "siga", "nb", "sigb").mapInArrow(run, "g long, id long")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by g1 and g2, cut into one table a group."""
+    pending: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        g1, g2 = batch["g1"].to_numpy(), batch["g2"].to_numpy()
+        edges = [0, *(np.flatnonzero((g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1])) + 1).tolist(), len(batch)]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            key = (g1[lo], g2[lo])
+            if pending and key != last:
+                yield pa.Table.from_batches(pending)
+                pending = []
+            last = key
+            pending.append(batch.slice(lo, hi - lo))
+    if pending:
+        yield pa.Table.from_batches(pending)
+
+
+def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the rows of side 0 and of side 1 in a group, and their components."""
+    side, comp = group["side"].to_numpy(), group["comp"].to_numpy()
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    return left, right, comp[left], comp[right]
+
+
+def promising(rows: DataFrame) -> DataFrame:
+    """Of the groups of rows (g1, g2, side, id, comp, n, sig) the rows that may be alike with one of the other side and another component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            left, right, a, b = _sides(group)
+            if not len(left) or not len(right):
+                continue
+            n, sig = group["n"].to_numpy(), lanes(group["sig"].combine_chunks())
+            take = np.zeros(len(group), bool)
+            for lo in range(0, len(left), 64):
+                part = left[lo : lo + 64]
+                ok = may_be_alike(n[part][:, None], sig[part][:, None], n[right][None], sig[right][None]) & (a[lo : lo + 64, None] != b[None])
+                take[part] |= ok.any(1)
+                take[right] |= ok.any(0)
+            yield from group.select(["g1", "g2", "side", "id", "comp"]).filter(pa.array(take)).combine_chunks().to_batches()
+
+    return rows.repartition("g1", "g2").sortWithinPartitions("g1", "g2").mapInArrow(run, "g1 long, g2 long, side int, id long, comp long")
+
+
 def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of every set in a with every set in b: columns of a membership matrix, some at a time."""
     out = np.zeros((len(a), len(b)), np.int64)
@@ -121,50 +195,25 @@ def compare(rows: DataFrame) -> DataFrame:
     """Links (a, b) within the groups of rows (g1, g2, side, id, comp, shingles): similar sets of side 0 and side 1 in different
     components. Of the links between one set and one component only the first is given, which connects them as well."""
 
-    def settle(group: list[tuple[int, int, int, np.ndarray]]) -> tuple[list[int], list[int]]:
-        left, right = [r for r in group if r[0] == 0], [r for r in group if r[0] == 1]
-        found_a, found_b = [], []
-        if not left or not right:
-            return found_a, found_b
-        size_l, size_r = np.array([len(r[3]) for r in left]), np.array([len(r[3]) for r in right])
-        both = _pairs([r[3] for r in left], [r[3] for r in right])
-        linked = 100 * both >= PERCENT * (size_l[:, None] + size_r[None, :] - both)
-        linked &= np.array([r[2] for r in left])[:, None] != np.array([r[2] for r in right])[None, :]
-        seen = set()
-        for i, j in zip(*np.nonzero(linked), strict=True):
-            if (i, right[j][2]) not in seen:
-                seen.add((i, right[j][2]))
-                found_a.append(left[i][1])
-                found_b.append(right[j][1])
-        return found_a, found_b
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, current = [], None
-        for batch in batches:
-            g = list(zip(batch.column("g1").to_pylist(), batch.column("g2").to_pylist(), strict=True))
-            side, ids, comp = (batch.column(c).to_pylist() for c in ("side", "id", "comp"))
-            lists = batch.column("shingles")
+        for group in _groups(batches):
+            left, right, a, b = _sides(group)
+            if not len(left) or not len(right):
+                continue
+            ids, lists = group["id"].to_numpy(), group["shingles"].combine_chunks()
             flat, offsets = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
-            a, b = [], []
-            for k, key in enumerate(g):
-                if key != current:
-                    x, y = settle(group)
-                    a += x
-                    b += y
-                    group, current = [], key
-                group.append((side[k], ids[k], comp[k], flat[offsets[k] : offsets[k + 1]]))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-        x, y = settle(group)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
-
-    dealt = rows.repartition("g1", "g2").sortWithinPartitions("g1", "g2", "side")
-    return dealt.mapInArrow(run, "a long, b long")
-
-
-def full_sets(documents: DataFrame, order: str, wanted: DataFrame) -> DataFrame:
-    """(id, shingles) of the classes in `wanted` (id, set_a, set_b, least). Texts are read again: those of rows whose `order` is
-    some class's least pass a filter, and their sets are joined with the classes."""
+            sets = lambda places: [flat[offsets[i] : offsets[i + 1]] for i in places]
+            both, size = _pairs(sets(left), sets(right)), np.diff(offsets)
+            i, j = np.nonzero((100 * both >= PERCENT * (size[left][:, None] + size[right][None] - both)) & (a[:, None] != b[None]))
+            _, first = np.unique(np.stack([i, b[j]]), axis=1, return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[left[i[first]]]), pa.array(ids[right[j[first]]])], ["a", "b"])
+
+    return rows.repartition("g1", "g2").sortWithinPartitions("g1", "g2").mapInArrow(run, "a long, b long")
+
+
+def full_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, shingles) of the classes in `wanted` (id, set_a, set_b, least). Texts of documents (__order, text) are read again: those
+    of rows whose __order is some class's least pass a filter, and their sets are joined with the classes."""
     label = lambda c: F.xxhash64(c)
     needed = bit_filter(wanted.select(label("least").alias("h")), "h")
 
@@ -177,82 +226,104 @@ def full_sets(documents: DataFrame, order: str, wanted: DataFrame) -> DataFrame:
                 a, b = (np.array(x, np.uint64).view(np.int64) for x in zip(*map(set_hash, sets), strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column("h").slice(lo, hi - lo), pa.array(a), pa.array(b), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], ["h", "set_a", "set_b", "shingles"])
 
-    found = documents.select(label(order).alias("h"), "text").mapInArrow(run, "h long, set_a long, set_b long, shingles array<long>")
+    found = documents.select(label("__order").alias("h"), "text").mapInArrow(run, "h long, set_a long, set_b long, shingles array<long>")
     return found.join(wanted.select(label("least").alias("h"), "set_a", "set_b", "id"), ["h", "set_a", "set_b"]).select("id", "shingles").dropDuplicates(["id"])
 
 
+def confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame, tables: Tables) -> DataFrame:
+    """Links among the groups of pairs (g1, g2, side, id, comp), by full sets."""
+    wanted = tables.write(classes.join(pairs.select("id").distinct(), "id", "left_semi").select("id", "set_a", "set_b", "least"), "wanted")
+    sets = tables.write(full_sets(documents, wanted), "sets")
+    links = tables.write(compare(pairs.join(sets, "id")), "links")
+    tables.drop("wanted", "sets")
+    return links
+
+
 def group(documents: DataFrame, keep: list[str], order: str) -> DataFrame:
     """The columns in `keep` (`order` among them) with n_shingles, component (the smallest `order` reachable) and first (this row is
-    the one of its component that stays) for every row.
+    the one of its component that stays) for every row. Other columns are left out; of `keep`, those named as the new ones give way.
 
     1. Rows with equal sets form a class. 2. Classes that share a key are candidates: each key's classes are compared with two
-    of them (the least and the largest by a hash). 3. In keys whose classes still lie in several components, every class outside
-    the largest component is compared with all of other components, in blocks. All comparisons take full sets. 4. Links make
-    components. Sets that differ in more than GUARANTEED lanes may share no key: at similarity 0.75 the chance that a pair shares
-    none is about 1e-7. Null texts and texts without words have an empty set and are linked with nothing. Of rows equal in `order`
-    the earlier one stays; a row without `order` stays only if its whole component has none and it is the first of it.
+    of them (the least and the largest by a hash). Keys with the same members are one. 3. In keys whose classes still lie in several
+    components, every class outside the largest component is compared with all of other components, in blocks. Candidates are
+    first told by size and signature, and what is left by full sets. 4. Links make components. Sets that differ in more than
+    GUARANTEED lanes may share no key: at similarity 0.75 the chance that a pair shares none is about 1e-7. Null texts and texts
+    without words have an empty set and are linked with nothing. Of rows equal in `order` the earlier one stays; a row without
+    `order` stays only if its whole component has none and it is the first of it.
     """
-    kept = written(signatures(documents, keep).withColumn("row", F.monotonically_increasing_id()), "signatures")
-    salt = F.pmod(F.xxhash64("row"), F.lit(SALTS))
-    real = kept.where("n_shingles > 0").withColumn("salt", salt)
-    parts = written(real.groupBy("set_a", "set_b", "salt").agg(F.min("row").alias("row"), F.min(order).alias("least"), F.min("n_shingles").alias("n"), F.first("sig").alias("sig")), "parts")
-    classes = written(parts.groupBy("set_a", "set_b").agg(F.min("row").alias("id"), F.min("least").alias("least"), F.first("sig").alias("sig")), "classes")
-
-    keys = chunk_keys(classes)
+    keep = [k for k in keep if k not in ("n_shingles", "component", "first")]
+    inner = [f"__k{i}" for i in range(len(keep))]
+    documents = documents.select(*[F.col(f"`{k}`").alias(i) for k, i in zip(keep, inner, strict=True)], F.col(f"`{order}`").alias("__order"), "text")
+    with Tables(documents.sparkSession) as tables:
+        kept = tables.write(signatures(documents, [*inner, "__order"]).withColumn("row", F.monotonically_increasing_id()), "signatures")
+        salts = max(SALTS, kept.count() // ROWS_A_SALT)
+        real = kept.where("n_shingles > 0").withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
+        parts = real.groupBy("set_a", "set_b", "salt").agg(F.min("row").alias("row"), F.min("__order").alias("least"), F.min("n_shingles").alias("n"), F.first("sig").alias("sig"))
+        parts = tables.write(parts, "parts")
+        classes = parts.groupBy("set_a", "set_b").agg(F.min("row").alias("id"), F.min("least").alias("least"), F.min("n").alias("n"), F.first("sig").alias("sig"))
+        classes = tables.write(classes, "classes")
+        held, spokes = _candidates(classes, tables)
+        outer = hub_parts(tables.write(likely(spokes, classes), "likely"))
+        hubs = outer.select("g1", "g2").distinct().select("g1", "g2", F.lit(0).alias("side"), F.col("g1").alias("id"))
+        links = confirmed(outer.union(hubs).withColumn("comp", F.col("id")), classes, documents, tables)
+        tables.drop("spokes", "likely")
+        comps = components(links)
+        for share in (4, 1):
+            more = _apart(held.where(F.pmod("key", F.lit(share)) == 0), comps, classes, documents, tables)
+            if more is not None:
+                links = links.union(more)
+                comps = components(links)
+
+        of_class = classes.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select("set_a", "set_b", F.coalesce("component", "id").alias("comp"), "least")
+        best = of_class.groupBy("comp").agg(F.min("least").alias("component"))
+        firsts = parts.select("set_a", "set_b", "salt").join(of_class.join(best, "comp").drop("least"), ["set_a", "set_b"])
+        placed = real.join(firsts, ["set_a", "set_b", "salt"]).select(*inner, "__order", "n_shingles", "row", "comp", "component")
+        # one row stays: the first of those that hold the smallest order
+        least = F.col("__order").eqNullSafe(F.col("component"))
+        stays = placed.where(least).groupBy("comp").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("first"))
+        out = placed.join(stays, "row", "left").select(*inner, "n_shingles", "component", F.coalesce("first", F.lit(False)).alias("first"))
+        alone = kept.where("n_shingles = 0").select(*inner, "n_shingles", F.col("__order").alias("component"), F.lit(True).alias("first"))
+        out = out.union(alone).select(*[F.col(i).alias(k) for k, i in zip(keep, inner, strict=True)], "n_shingles", "component", "first")
+        return written(out, "near-dup")
+
+
+def _candidates(classes: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """held (key, id): the classes of every key that more than three share; spokes (g, id): classes to be compared with their key's
+    least or largest. Keys with the same members, told by their number and 128 bits, count once."""
+    keys = tables.write(chunk_keys(classes), "keys")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    both = tables.write(keys.join(shared, "key", "left_semi"), "shared")
+    tables.drop("keys")
     mixed = F.struct(F.xxhash64("id").alias("h"), "id")
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(mixed)["id"].alias("low"), F.max(mixed)["id"].alias("high"), F.sum(F.shiftright(F.xxhash64("id"), 20)).alias("members")).where("n > 1")
-    shared = written(shared, "shared")
-    crowd = shared.groupBy("members", "n").agg(F.min("key").alias("key"))
-    held = written(keys.join(shared.select("key", "n", "low", "high", "members"), "key"), "held")
-
+    facts = both.groupBy("key").agg(F.count("*").alias("n"), F.min(mixed)["id"].alias("low"), F.max(mixed)["id"].alias("high"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(2))).alias("y"))
+    facts = tables.write(facts.groupBy("n", "x", "y").agg(F.min(F.struct("key", "low", "high")).alias("v")).select("n", "v.*"), "facts")
+    held = tables.write(both.join(facts.where("n > 2"), "key"), "held")
+    tables.drop("shared")
     pivot = lambda c: held.where(F.col(c) != F.col("id")).select(F.col(c).alias("g"), "id")
-    spokes = written(pivot("low").union(pivot("high")).distinct(), "spokes")
-    wanted = spokes.select("id").union(spokes.select(F.col("g").alias("id"))).distinct()
-    wanted = written(classes.join(wanted, "id", "left_semi").select("id", "set_a", "set_b", "least"), "wanted")
-    sets = written(full_sets(documents, order, wanted), "sets")
-
-    outer = hub_parts(spokes)
-    hubs = outer.select("g1", "g2").distinct().select("g1", "g2", F.lit(0).alias("side"), F.col("g1").alias("id"))
-    first = compare(outer.union(hubs).join(sets, "id").select("g1", "g2", "side", "id", F.col("id").alias("comp"), "shingles"))
-    links = written(first, "links")
-    comps = components(links)
-
-    for keys_part in (4, 1):
-        more = _apart(held.where("n > 3").join(crowd.select("key"), "key", "left_semi").where(F.pmod("key", F.lit(keys_part)) == 0), comps, sets)
-        if more is not None:
-            links = written(links.union(more), "links")
-            comps = components(links)
-
-    of_class = classes.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id")).select("set_a", "set_b", "comp", "least", "id")
-    best = of_class.groupBy("comp").agg(F.min("least").alias("component"))
-    of_class = of_class.join(best, "comp").select("set_a", "set_b", "comp", "component")
-    firsts = parts.join(of_class, ["set_a", "set_b"]).select("set_a", "set_b", "salt", "comp", "component")
-    placed = real.join(firsts, ["set_a", "set_b", "salt"]).select(*keep, "n_shingles", "row", "comp", "component")
-    # one row stays: the first of those that hold the smallest order, or of all where none has one
-    stays = placed.where(F.col(order).eqNullSafe(F.col("component"))).groupBy("comp").agg(F.min("row").alias("stay"))
-    alone = kept.where("n_shingles = 0").select(*keep, "n_shingles", F.col(order).alias("component"), F.lit(True).alias("first"))
-    stays = placed.where(F.col(order).eqNullSafe(F.col("component"))).join(stays.select(F.col("stay").alias("row")), "row", "left_semi").select("row", F.lit(True).alias("first"))
-    return placed.join(stays, "row", "left").select(*keep, "n_shingles", "component", F.coalesce("first", F.lit(False)).alias("first")).union(alone)
+    pairs = facts.where("n = 2").select(F.col("low").alias("g"), F.col("high").alias("id"))
+    spokes = tables.write(pairs.union(pivot("low")).union(pivot("high")).distinct(), "spokes")
+    return held.where("n > 3").select("key", "id"), spokes
 
 
 def hub_parts(spokes: DataFrame) -> DataFrame:
     """Rows (g1, g2, side, id) of spokes (g, id): each hub's classes dealt into as many parts as it has blocks of BLOCK, so that what a
-    task compares at once doesn't grow with the group. Only hubs of several parts are broadcast, one row for BLOCK spokes at most."""
+    task compares at once doesn't grow with the group. One row for BLOCK spokes at most tells of hubs of several parts."""
     large = spokes.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias("parts")).where("parts > 1")
     part = F.pmod(F.xxhash64("id", F.lit(5)), F.coalesce("parts", F.lit(1)))
-    return spokes.join(F.broadcast(large), "g", "left").select(F.col("g").alias("g1"), part.alias("g2"), F.lit(1).alias("side"), "id")
+    return spokes.join(large, "g", "left").select(F.col("g").alias("g1"), part.alias("g2"), F.lit(1).alias("side"), "id")
 
 
-def _apart(held: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """Links between components that share a key of `held` (key, id), or None if no key has classes of several components.
+def _apart(held: DataFrame, comps: DataFrame, classes: DataFrame, documents: DataFrame, tables: Tables) -> DataFrame | None:
+    """Links between components that share a key of `held` (key, id), or None if there are none.
 
     A key's classes outside its largest component are dealt into blocks, and so are all of its classes; every pair of blocks is
-    compared in one group. Rows made: a key's classes times its blocks of outsiders, so few once most outsiders are linked.
+    compared in one group, by signatures at first. Rows made: a key's classes times its blocks of outsiders, so few once most
+    outsiders are linked.
     """
-    left = held.select("key", "id").join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    left = held.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
     tallies = left.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.count("*").alias("comps"), F.sum("m").alias("n"), F.max(F.struct("m", "comp")).alias("top"))
-    tallies = written(tallies.where("comps > 1").select("key", "n", F.col("top.comp").alias("main"), (F.col("n") - F.col("top.m")).alias("apart")), "tallies")
-    if not tallies.limit(1).count():
+    tallies = tables.write(tallies.where("comps > 1").select("key", "n", F.col("top.comp").alias("main"), (F.col("n") - F.col("top.m")).alias("apart")), "tallies")
+    if tallies.isEmpty():
         return None
     dealt = left.join(tallies, "key")
     blocks_of = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
@@ -262,8 +333,21 @@ def _apart(held: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame | No
     outsiders = dealt.where("comp <> main").select("key", "id", "comp", row.alias("i"), F.explode(F.sequence(F.lit(0), blocks_of("n") - 1)).alias("j"), F.lit(0).alias("side"))
     everyone = dealt.select("key", "id", "comp", F.explode(F.sequence(F.lit(0), blocks_of("apart") - 1)).alias("i"), column.alias("j"), F.lit(1).alias("side"))
     pairs = outsiders.unionByName(everyone).select(F.col("key").alias("g1"), (F.col("i").cast("long") * (1 << 31) + F.col("j")).alias("g2"), "side", "id", "comp")
-    more = written(compare(pairs.join(sets, "id").select("g1", "g2", "side", "id", "comp", "shingles")), "links")
-    return more if more.limit(1).count() else None
+    pairs = tables.write(promising(pairs.join(classes.select("id", "n", "sig"), "id").select("g1", "g2", "side", "id", "comp", "n", "sig")), "promising")
+    tables.drop("tallies")
+    if pairs.isEmpty():
+        return None
+    more = confirmed(pairs, classes, documents, tables)
+    tables.drop("promising")
+    return None if more.isEmpty() else more
+
+
+def content_choice(documents: DataFrame, order: str, keys: list[str]) -> DataFrame:
+    """(*keys, n): for the rows of documents (order, text and keys, which stand for a row's content) how many of each content stay: 0,
+    or 1 though it is there more than once. Contents that are there once and stay are left out."""
+    marked = group(documents, [order, *keys], order)
+    tally = marked.groupBy(*keys).agg(F.count("*").alias("rows"), F.max(F.col("first").cast("int")).alias("n"))
+    return tally.where("n = 0 or rows > 1").select(*keys, "n")
 
 
 def components_of(documents: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, U, Words, blocks, mix
+from .common import ALNUM, Tables, U, Words, blocks, mix
 
 #: Words of a window. Scores take a window at every word; training learns from one every TRAIN_STRIDE words and the one that ends the text.
 WINDOW, TRAIN_STRIDE = 32, 24
@@ -18,8 +19,8 @@ WINDOW, TRAIN_STRIDE = 32, 24
 FIRST_WINDOWS = 12_000
 #: Sizes: hashed word and character-trigram tables, their vectors, the hidden state of one direction.
 WORDS_TABLE, CHARS_TABLE, WORD_DIM, CHAR_DIM, HIDDEN = 1 << 14, 1 << 12, 8, 8, 8
-#: Labelled rows of a class that training reads, at most; rounds over their windows.
-SAMPLE_ROWS, EPOCHS = 900, 6
+#: Labelled rows of a class that training reads, at most, and words of one of them; rounds over their windows.
+SAMPLE_ROWS, SAMPLE_WORDS, EPOCHS = 900, 4096, 6
 #: Small samples are gone over again until so many steps are done, up to four times the rounds.
 LEAST_STEPS = 240
 #: Words of fewer texts are learnt by their characters alone.
@@ -376,12 +377,21 @@ def score_texts(net: Net, texts: pa.Array) -> np.ndarray:
     return np.where(np.isinf(top), 0.0, 1 / (1 + np.exp(-np.clip(a * np.where(np.isinf(top), 0, top) + b, -700, 700))))
 
 
+def excerpt(text: str) -> str:
+    """A text of at most SAMPLE_WORDS words: of a longer one, as many stretches of WINDOW words, evenly spaced. For training only."""
+    words = text.split()
+    if len(words) <= SAMPLE_WORDS:
+        return " ".join(words)
+    starts = np.linspace(0, len(words) - WINDOW, SAMPLE_WORDS // WINDOW).astype(int)
+    return " ".join(w for at in starts for w in words[at : at + WINDOW])
+
+
 def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Net:
     """A net from labelled rows: labels (doc_id, toxic) joined with documents (doc_id, text).
 
-    Of each class about sample_rows rows at most are read, those with the least hash of the id; they come to the driver, which
-    trains. Null labels and texts teach nothing. An id with several labels counts as toxic if one of them is 1; of several texts the
-    least is taken.
+    Of each class about sample_rows rows at most are read, those with the least hash of the id, and of a row SAMPLE_WORDS words at
+    most; one task trains, and the driver gets the net. Null labels and texts teach nothing. An id with several labels counts as
+    toxic if one of them is 1; of several texts the least is taken.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -390,13 +400,30 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     place = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     shares = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample_rows / n)))])
     wanted = known.where(place < shares[F.col("toxic")])
-    rows = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toArrow().sort_by("doc_id")
-    return train(rows["text"].to_pylist(), rows["toxic"].to_numpy().astype(np.int64), sizes.get(1, 0) / sum(sizes.values()))
+    rows = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    share = sizes.get(1, 0) / sum(sizes.values())
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.array([excerpt(t) for t in batch["text"].to_pylist()], pa.string())], ["doc_id", "toxic", "text"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = pa.Table.from_batches([b for b in batches if len(b)]).sort_by("doc_id")
+        net = train(sample["text"].to_pylist(), sample["toxic"].to_numpy().astype(np.int64), share)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
+
+    id_type = documents.schema["doc_id"].dataType.simpleString()
+    with Tables(documents.sparkSession) as tables:
+        sample = tables.write(rows.mapInArrow(shorten, f"doc_id {id_type}, toxic int, text string"), "sample")
+        if sample.isEmpty():
+            return train([], np.zeros(0, np.int64), share)
+        return pickle.loads(sample.repartition(1).mapInArrow(learn, "net binary").first()["net"])
 
 
 def score(documents: DataFrame, net: Net, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns in `keep` with `score` for every row: the probability that its worst window makes the text toxic. Null texts
+    """The columns in `keep` (one named score gives way) with `score` for every row: the probability that its worst window makes the text toxic. Null texts
     and texts without words have score 0. Whole texts are scored, all windows; repeated rows get equal scores."""
+    keep = [k for k in keep if k != "score"]
     shared = documents.sparkSession.sparkContext.broadcast(net)
     schema = ", ".join([*(f"`{k}` {documents.schema[k].dataType.simpleString()}" for k in keep), "score double"])
 

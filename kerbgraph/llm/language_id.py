@@ -7,10 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U, blocks
+from .common import Tables, U, blocks
 
 #: Bytes of an n-gram, hash functions of a filter, log2 of its slots.
 N, HASHES, LOG_SLOTS = 4, 2, 18
@@ -20,19 +20,20 @@ SAMPLE_ROWS = 1500
 LEAST_COUNT, LEAST_SHARE = 3, 0.4
 
 _FACTORS = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F))
-_LETTER = np.full(256, 0x20, np.uint8)
-for _b in range(256):
-    if 65 <= _b <= 90:
-        _LETTER[_b] = _b + 32
-    elif 97 <= _b <= 122 or _b >= 0x80:
-        _LETTER[_b] = _b
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def letters(text: Column) -> Column:
+    """The letters of a text (with their marks), a space for what lies between: digits, signs and punctuation of any script say
+    nothing about the language."""
+    return F.regexp_replace(text, r"[^\p{L}\p{M}]+", " ")
 
 
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The N-byte windows of every text as integers, and first[r] for row r.
+    """The N-byte windows of every text of `letters` as integers, and first[r] for row r.
 
-    A-Z are lowered and what isn't a letter (or a byte from 0x80 on) is a space; a text is set between spaces. Windows with
-    more than one space aren't taken.
+    A-Z are lowered; a text is set between spaces. Windows with more than one space aren't taken.
     """
     n = len(texts)
     _, offsets, data = pa.concat_arrays([texts.cast(pa.string())]).buffers()
@@ -41,7 +42,7 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets -= offsets[0]
     row = np.repeat(np.arange(n), np.diff(offsets))
     flat = np.full(len(raw) + 2 * n, 0x20, np.uint8)
-    flat[np.arange(len(raw)) + 2 * row + 1] = _LETTER[raw]
+    flat[np.arange(len(raw)) + 2 * row + 1] = _LOWER[raw]
     start = offsets + 2 * np.arange(n + 1)
     m = max(len(flat) - N + 1, 0)
     value, spaces = np.zeros(m, np.uint32), np.zeros(m, np.uint8)
@@ -100,7 +101,7 @@ def fit(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Filters:
     spark = documents.sparkSession
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     about = spark.createDataFrame([(k, i, min(1.0, sample_rows / rows[k])) for i, k in enumerate(languages)], "lang string, i int, share double")
-    sample = known.join(F.broadcast(about), "lang").where(place < F.col("share")).select("i", "text")
+    sample = known.join(F.broadcast(about), "lang").where(place < F.col("share")).select("i", letters(F.col("text")).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,9 +113,6 @@ def fit(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Filters:
                 yield pa.RecordBatch.from_arrays([pa.array((key >> U(32)).astype(np.int32)), pa.array((key & U(0xFFFFFFFF)).astype(np.int64)), pa.array(n.astype(np.int64))], ["i", "gram", "n"])
 
     counts = sample.mapInArrow(count, "i int, gram long, n long").groupBy("i", "gram").agg(F.sum("n").alias("n"))
-    totals = Window.partitionBy("i")
-    often = counts.withColumn("often", F.col("n") / F.sum("n").over(totals)).where(F.col("n") >= LEAST_COUNT)
-    chosen = often.withColumn("most", F.max("often").over(Window.partitionBy("gram"))).where(F.col("often") >= LEAST_SHARE * F.col("most"))
 
     def place_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,7 +120,13 @@ def fit(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Filters:
             for at in slots(batch.column("gram").to_numpy().astype(np.uint64)):
                 yield pa.RecordBatch.from_arrays([pa.array((which // 64).astype(np.int32)), pa.array(at.astype(np.int64)), pa.array((U(1) << (which % 64).astype(np.uint64)).view(np.int64))], ["part", "slot", "bits"])
 
-    table = chosen.select("i", "gram").mapInArrow(place_bits, "part int, slot long, bits long").groupBy("part", "slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    with Tables(spark) as tables:
+        counts = tables.write(counts, "counts")
+        # one row a language
+        totals = counts.groupBy("i").agg(F.sum("n").alias("all"))
+        often = counts.where(F.col("n") >= LEAST_COUNT).join(F.broadcast(totals), "i").withColumn("often", F.col("n") / F.col("all"))
+        chosen = often.withColumn("most", F.max("often").over(Window.partitionBy("gram"))).where(F.col("often") >= LEAST_SHARE * F.col("most"))
+        table = chosen.select("i", "gram").mapInArrow(place_bits, "part int, slot long, bits long").groupBy("part", "slot").agg(F.bit_or("bits").alias("bits")).toArrow()
     masks = [np.zeros(1 << LOG_SLOTS, np.uint64) for _ in range(-(-len(languages) // 64))]
     part, slot, bits = (table[c].to_numpy() for c in ("part", "slot", "bits"))
     for j, mask in enumerate(masks):
@@ -131,12 +135,13 @@ def fit(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Filters:
 
 
 def predict(documents: DataFrame, filters: Filters, keep: list[str]) -> DataFrame:
-    """The columns in `keep` with lang_pred and score for every row.
+    """The columns in `keep` with lang_pred and score for every row; columns of these names are replaced.
 
     lang_pred: the language of the largest corrected count; of equal ones the one with more rows. `und` with score 0 if the
     text is null or has no letter, or nothing was learnt; a text with letters but no known n-gram gets the commonest language with
     score 0. score: the share of the text's n-grams that the language is likely to have. Texts are read whole.
     """
+    keep = [k for k in keep if k not in ("lang_pred", "score")]
     shared = documents.sparkSession.sparkContext.broadcast(filters)
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     fields = [documents.schema[k] for k in keep]
@@ -158,7 +163,7 @@ def predict(documents: DataFrame, filters: Filters, keep: list[str]) -> DataFram
                 rest = [batch.column(k).slice(lo, hi - lo) for k in keep]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(names[best].tolist(), pa.string()), pa.array(np.where(best < 0, 0.0, score))], [*keep, "lang_pred", "score"])
 
-    return documents.select(*[f"`{k}`" for k in keep], F.col("text").alias("__text"), letter.alias("__letter")).mapInArrow(run, schema)
+    return documents.select(*[f"`{k}`" for k in keep], letters(F.col("text")).alias("__text"), letter.alias("__letter")).mapInArrow(run, schema)
 
 
 def held_out() -> F.Column:

@@ -1,6 +1,6 @@
 """Exact top-k search over binary codes by incremental multi-index hashing, in blocks of codes.
 
-Codes are dealt into blocks by a hash, queries go to every block. A block holds an index per segment; a task looks up, for growing
+Codes are dealt into blocks by a hash, and the query set is asked of every block. A block holds an index per segment; a task looks up, for growing
 radii, the values that differ from a query's in so many bits. Blocks bound a task's memory, and only k + 1 rows a query and block
 leave it, whereas the looked-up values, which outnumber the codes, never become rows.
 """
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U, written
+from .common import Tables, U, written
 
 #: Bits of a code, and how many neighbours are asked for.
 BITS, K = 64, 10
@@ -42,28 +42,31 @@ def _flips(width: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in chosen) for chosen in combinations(range(width), radius)], np.int64)
 
 
-def nearest(codes: np.ndarray, counts: np.ndarray, least: np.ndarray, queries: np.ndarray, k: int, bits: int = BITS) -> tuple[list[int], list[int], list[int]]:
-    """(query's place, code's place, distance): for every query the k + 1 nearest of distinct codes, by distance and `least`.
+def nearest(codes: np.ndarray, counts: np.ndarray, least: np.ndarray, queries: np.ndarray, k: int, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query's place, code's place, distance) and how many distances were computed: for every query the k + 1 nearest of distinct
+    codes, by distance and `least`.
 
     counts: how many ids a code stands for. A code that was found in no segment j within radius r_j differs in r_j + 1 bits of
     each, so in the sum of r_j + 1 at least: all nearer ones are known. A query ends as soon as more than k ids lie within the
     distance covered this way, or every code has been found. Segments are looked up one by one, all of them at radius 0 first.
+    A code is new in the first look-up that its segments' distances allow, so nothing is stored to tell; what is kept of a query
+    are codes within the least distance known to hold more than k ids.
     """
     cuts = segments(len(codes), bits)
+    masks = [U(((1 << width) - 1) << first) for first, width in cuts]
     order, starts = [], []
     for first, width in cuts:
         value = ((codes >> U(first)) & U((1 << width) - 1)).astype(np.int64)
         order.append(np.argsort(value, kind="stable"))
         starts.append(np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << width))]))
     flips: dict[tuple[int, int], np.ndarray] = {}
-    out_q, out_c, out_d = [], [], []
+    steps = [(radius, j) for radius in range(max(w for _, w in cuts) + 1) for j in range(len(cuts)) if cuts[j][1] >= radius]
+    out, verified = [], 0
     for lo in range(0, len(queries), TOGETHER):
         q = queries[lo : lo + TOGETHER]
-        distance = np.full((len(q), len(codes)), 255, np.uint8)
         ids_at = np.zeros((len(q), bits + 1), np.int64)
-        seen = np.zeros(len(q), np.int64)
-        looked, active = [-1] * len(cuts), np.arange(len(q))
-        steps = ((radius, j) for radius in range(max(w for _, w in cuts) + 1) for j in range(len(cuts)) if cuts[j][1] >= radius)
+        seen, bound = np.zeros(len(q), np.int64), np.full(len(q), bits)
+        looked, active, kept = [-1] * len(cuts), np.arange(len(q)), []
         for radius, j in steps:
             first, width = cuts[j]
             if (width, radius) not in flips:
@@ -74,25 +77,34 @@ def nearest(codes: np.ndarray, counts: np.ndarray, least: np.ndarray, queries: n
             many = starts[j][wanted + 1].ravel() - start
             row = np.repeat(np.repeat(active, wanted.shape[1]), many)
             code = order[j][np.repeat(start - (np.cumsum(many) - many), many) + np.arange(len(row))]
-            fresh = distance[row, code] == 255
+            differ = q[row] ^ codes[code]
+            fresh = np.ones(len(row), bool)
+            for i, mask in enumerate(masks):
+                if i != j:
+                    fresh &= np.bitwise_count(differ & mask) > (radius if i < j else radius - 1)
             row, code = row[fresh], code[fresh]
-            apart = np.bitwise_count(q[row] ^ codes[code])
-            distance[row, code] = apart
+            apart = np.bitwise_count(differ[fresh]).astype(np.int64)
+            verified += len(row)
             np.add.at(ids_at, (row, apart), counts[code])
             seen += np.bincount(row, minlength=len(q))
+            within = np.cumsum(ids_at, 1)
+            bound = np.where(within[:, -1] > k, np.argmax(within > k, 1), bits)
+            near = apart <= bound[row]
+            kept.append((row[near], code[near], apart[near]))
             looked[j] = radius
             covered = sum(looked) + len(cuts) - 1
-            active = active[(ids_at[active, : covered + 1].sum(1) <= k) & (seen[active] < len(codes))]
+            active = active[(within[active, min(covered, bits)] <= k) & (seen[active] < len(codes))]
             if not len(active):
                 break
-        last = np.argmax(np.cumsum(ids_at, 1) > np.minimum(k, ids_at.sum(1) - 1)[:, None], 1)
-        for i in range(len(q)):
-            near = np.flatnonzero(distance[i] <= last[i])
-            near = near[np.lexsort((least[near], distance[i, near]))[: k + 1]]
-            out_q += [lo + i] * len(near)
-            out_c += near.tolist()
-            out_d += distance[i, near].tolist()
-    return out_q, out_c, out_d
+        row, code, apart = (np.concatenate(x) for x in zip(*kept, strict=True))
+        near = apart <= bound[row]
+        row, code, apart = row[near], code[near], apart[near]
+        sort = np.lexsort((least[code], apart, row))
+        row, code, apart = row[sort], code[sort], apart[sort]
+        top = np.arange(len(row)) - np.searchsorted(row, row) <= k
+        out.append((row[top] + lo, code[top], apart[top]))
+    places, near, apart = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+    return places, near, apart, verified
 
 
 def search(codes: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS) -> DataFrame:
@@ -104,10 +116,15 @@ def search(codes: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS) -
     Equal codes are one entry with its k + 1 least ids, which are all that can be asked for. Of a query's k + 1 nearest ids each
     belongs to one of its k + 1 nearest entries by distance and least id, so a block gives no more than these.
     """
+    with Tables(codes.sparkSession) as tables:
+        return written(_search(codes, queries, k, bits, tables), "neighbours")
+
+
+def _search(codes: DataFrame, queries: DataFrame, k: int, bits: int, tables: Tables) -> DataFrame:
     spark = codes.sparkSession
     known = codes.where("id is not null and code is not null").select("id", "code").distinct()
-    entries = written(_lists(known, k), "entries")
-    asked = written(queries.where("id is not null and code is not null").select(F.col("id").alias("query_id"), F.col("code").alias("query")).distinct(), "asked")
+    entries = tables.write(_lists(known, k), "entries")
+    asked = tables.write(queries.where("id is not null and code is not null").select(F.col("id").alias("query_id"), F.col("code").alias("query")).distinct(), "asked")
     total, many = entries.count(), asked.count()
     blocks = max(1, math.ceil(total / MOST), min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / LEAST)))
     query_blocks = max(1, math.ceil(many / QUERY_BLOCK))
@@ -119,10 +136,10 @@ def search(codes: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS) -
     def run(block: pa.Table, wanted: pa.Table) -> pa.Table:
         code, least, query = (t[c].to_numpy() for t, c in ((block, "code"), (block, "least"), (wanted, "query")))
         if not len(code) or not len(query):
-            at, near, distance = [], [], []
+            at = near = distance = np.zeros(0, np.int64)
         else:
-            at, near, distance = nearest(code.view(np.uint64), block["n"].to_numpy(), least, query.view(np.uint64), k, bits)
-        return pa.table([query[np.array(at, int)], code[np.array(near, int)], least[np.array(near, int)], pa.array(distance, pa.int32())], ["query", "code", "least", "distance"])
+            at, near, distance, _ = nearest(code.view(np.uint64), block["n"].to_numpy(), least, query.view(np.uint64), k, bits)
+        return pa.table([query[at], code[near], least[near], pa.array(distance.astype(np.int32))], ["query", "code", "least", "distance"])
 
     keys = ["block", "part"]
     near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query long, code long, least long, distance int")
@@ -144,8 +161,9 @@ def _lists(known: DataFrame, k: int) -> DataFrame:
 
 def neighbours(embeddings: DataFrame, every: int = 100, k: int = K) -> DataFrame:
     """query_id, neighbour_id, distance, rank: the k nearest of all rows for every row whose vec_id is divisible by `every`."""
-    codes = written(embeddings.where("embedding is not null").select(F.col("vec_id").alias("id"), code(F.col("embedding")).alias("code")), "codes")
-    return search(codes, codes.where(F.col("id") % every == 0), k)
+    with Tables(embeddings.sparkSession) as tables:
+        codes = tables.write(embeddings.where("embedding is not null").select(F.col("vec_id").alias("id"), code(F.col("embedding")).alias("code")), "codes")
+        return search(codes, codes.where(F.col("id") % every == 0), k)
 
 
 _CODE = "list_sum(list_transform(range(0, 64), lambda i: CASE WHEN embedding[i + 1] > 0 AND NOT isnan(embedding[i + 1]) THEN 1::UBIGINT << i::UBIGINT ELSE 0::UBIGINT END))::UBIGINT"

@@ -11,7 +11,11 @@ from .license_rules import Rule, rules
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 GAP = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
 # Every rule's match has one of these in its raw text, or cc followed by one of the words in CC.
-ROOTS = ("licen", "copyright", "rights", "public domain", "permission", "redistribution", "gnu", "bsd", "spdx", "warrant", "confidential", "later", "commons", "org", "attribution", "source code form", "public", "cc0", "zero", "terms", "gpl", "apache", "mpl", "epl", "cddl", "eupl", "artistic", "wtfpl")
+ROOTS = (
+    "licen", "copyright", "rights", "public", "permission", "redistribution", "gnu", "bsd", "spdx", "warrant", "confidential", "later", "commons", "org", "attribution", "source", "cc0", "zero", "terms", "gpl", "apache", "mpl", "epl",
+    "cddl", "eupl", "artistic", "wtfpl", "software", "library", "covered", "verbatim", "invariant", "font", "png", "jpeg", "charityware", "evil", "stuff", "fuck", "instrument", "ebook", "unauthorized", "secret", "reverse", "risk",
+    "liable", "rail", "managed", "modules", "commercial", "evaluation", "personal", "material", "remotely", "research", "publish", "altered", "copies", "works", "neither", "advertising",
+)
 CC = r"cc[^0-9a-z\x{80}-\x{10FFFF}]+(by|zero)"
 #: Marks put around a match; words never hold them.
 START, END = "\u0001", "\u0002"

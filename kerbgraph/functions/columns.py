@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,24 +105,41 @@ def speed_factor(grade_percent: Column, wheeled: Column) -> Column:
     return F.when(wheeled, F.when(grade_percent > 0, up).otherwise(down)).otherwise(F.greatest(F.lit(0.3), F.least(F.lit(1.0), walk)))
 
 
+def _bases() -> tuple[str, str]:
+    """Letters of the Latin blocks that decompose into a letter and combining marks, and those letters."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for block in (range(0xC0, 0x250), range(0x1E00, 0x1F00)) for c in block]
+    known = [(c, d[0]) for c, d in pairs if len(d) > 1 and all("\u0300" <= m <= "\u036f" for m in d[1:])]
+    return "".join(c for c, _ in known), "".join(d for _, d in known)
+
+
 def accents_off(text: Column) -> Column:
-    plain = {"a": "àáâäãå", "c": "ç", "e": "èéêë", "i": "ìíîï", "n": "ñ", "o": "òóôöõ", "u": "ùúûü", "y": "ýÿ"}
-    return F.translate(text, "".join(plain.values()), "".join(k * len(v) for k, v in plain.items()))
+    """Letters without their accents, composed or not. Letters that don't decompose, such as ß and œ, stay."""
+    return F.regexp_replace(F.translate(text, *_bases()), "[\u0300-\u036f]", "")
 
 
 def normal_text(text: Column) -> Column:
     """Lower case, no accents or apostrophes, one space for anything that is no letter a-z or digit. ß, œ and æ have no accent to lose
-    and count as such (as in the reference, whose NFD leaves them whole)."""
+    and count as such."""
     plain = F.regexp_replace(accents_off(F.lower(text)), "['’]", "")
     return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
 
 
 def incline_percent(text: Column) -> Column:
-    """'8%', '-3.5 %' and '5°' as percent; other texts are null."""
-    number = F.regexp_extract(text, r"^\s*(-?[0-9]+(?:\.[0-9]+)?)\s*[%°]\s*$", 1).try_cast("double")
-    return F.when(text.endswith("%"), number).when(text.endswith("°"), F.tan(F.radians(number)) * 100)
+    """'8%', '-3.5 %', '8' and '5°' as percent; other texts are null."""
+    number = F.regexp_extract(text, r"^\s*(-?[0-9]+(?:\.[0-9]+)?)\s*[%°]?\s*$", 1).try_cast("double")
+    return F.when(text.rlike(r"°\s*$"), F.tan(F.radians(number)) * 100).otherwise(number)
+
+
+def _measure(text: Column, units: str) -> Column:
+    return F.regexp_extract(text, rf"^\s*([0-9]+(?:\.[0-9]+)?)\s*(?:{units})?\s*$", 1).try_cast("double")
 
 
 def metres(text: Column) -> Column:
-    number = F.regexp_extract(text, r"^\s*([0-9]+(?:\.[0-9]+)?)\s*(?:m|cm)?\s*$", 1).try_cast("double")
-    return F.when(text.rlike(r"cm\s*$"), number / 100).otherwise(number)
+    """'1.2', '1.2 m' and '120 cm' as metres; other texts are null."""
+    return F.when(text.rlike(r"cm\s*$"), _measure(text, "m|cm") / 100).otherwise(_measure(text, "m|cm"))
+
+
+def kerb_height_cm(text: Column) -> Column:
+    """A kerb's height in centimetres: mm and cm as told, metres and bare numbers below 1 as metres, other bare numbers as centimetres."""
+    n = _measure(text, "mm|cm|m")
+    return F.when(text.rlike(r"mm\s*$"), n / 10).when(text.rlike(r"cm\s*$"), n).when(n < 1, n * 100).otherwise(n)

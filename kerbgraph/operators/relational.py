@@ -5,29 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import haversine_m
+from ..functions.columns import haversine_m, in_ring, segment_distance_m
 
 
-def best_per_key(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
-    """The first row of every key in the given order (make it total for a defined result)."""
-    ranked = df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.where("__n = 1").drop("__n")
+def best_per_key(df: DataFrame, keys: list[str], *order: Column | str, columns: list[str] | None = None) -> DataFrame:
+    """The first row of every key in the given order (make it total for a defined result), as an aggregate: tasks hand on one row a
+    key each, and nothing is sorted. Nulls come first; for another order hand in columns that sort that way."""
+    rest = [c for c in (columns or df.columns) if c not in keys]
+    value = F.min_by(F.struct(*rest), F.struct(*[o if isinstance(o, Column) else F.col(o) for o in order])).alias("__v")
+    return df.groupBy(*keys).agg(value).select(*keys, "__v.*")
 
 
 def latest_per_key(df: DataFrame, keys: list[str], time: str, tie: str, columns: list[str]) -> DataFrame:
-    """As best_per_key by latest time, then least tie, as an aggregate: partial sums keep hot keys small."""
-    value = F.max_by(F.struct(*columns), F.struct(F.col(time), (-F.col(tie)).alias("tie"))).alias("v")
-    return df.groupBy(*keys).agg(value).select(*keys, "v.*")
+    """The row of the latest time, of equal ones that of the least tie (of any type that sorts), as an aggregate."""
+    last = df.groupBy(*keys).agg(F.max(time).alias("__last"))
+    named = [F.col(c).alias(f"__c{i}") for i, c in enumerate(columns)]
+    rows = df.select(*keys, F.col(time).alias("__time"), F.col(tie).alias("__tie"), *named)
+    value = F.max_by(F.struct(*[f"__c{i}" for i in range(len(columns))]), "__time")
+    if dict(df.dtypes)[tie] in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+        value = F.max_by(F.struct(*[f"__c{i}" for i in range(len(columns))]), F.struct("__time", -F.col("__tie")))
+        out = rows.groupBy(*keys).agg(value.alias("__v"))
+    else:
+        out = rows.join(last, keys).where(F.col("__time").eqNullSafe(F.col("__last"))).groupBy(*keys).agg(F.min_by(F.struct(*[f"__c{i}" for i in range(len(columns))]), "__tie").alias("__v"))
+    return out.select(*keys, *[F.col(f"__v.__c{i}").alias(c) for i, c in enumerate(columns)])
 
 
 def merge_first_wins(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
     return first.unionByName(second.join(first.select(*keys).distinct(), keys, "left_anti"))
 
 
-def replace_by_source(current: DataFrame, incoming: DataFrame, sources: list[str], key: str) -> DataFrame:
+def replace_by_source(current: DataFrame, incoming: DataFrame, sources: list[str], keys: list[str]) -> DataFrame:
     """Rows of the named sources go; incoming ones come in where no other source holds the key."""
     rest = current.where(~F.col("source").isin(sources))
-    return rest.unionByName(incoming.join(rest.select(key).distinct(), key, "left_anti"))
+    return rest.unionByName(incoming.join(rest.select(*keys).distinct(), keys, "left_anti"))
 
 
 def fill_only(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -59,30 +69,86 @@ def index_percentile(df: DataFrame, keys: list[str], value: str, share: float) -
     return ranked.where(F.col("__r") == F.least(F.floor(F.col("__n") * share) + 1, F.col("__n"))).select(*keys, F.col(value).alias("at_share"))
 
 
-def cells(lon: Column, lat: Column, size: float) -> tuple[Column, Column]:
-    return F.floor(lon / size).cast("long"), F.floor(lat / size).cast("long")
+#: Metres of a degree of latitude; rows of a grid cell beyond which it is dealt into parts.
+DEGREE_M, CELL_ROWS = 111_320.0, 4096
 
 
-def within_join(left: DataFrame, right: DataFrame, radius_m: float, cell: float) -> DataFrame:
+def _width(band: Column, height: float) -> Column:
+    """Degrees of longitude that are as long as `height` degrees of latitude at the end of a band that is nearer to a pole."""
+    far = F.greatest(F.abs(band), F.abs(band + 1)) * height
+    return height / F.greatest(F.cos(F.radians(F.least(far, F.lit(89.0)))), F.lit(0.01))
+
+
+def _dealt(stored: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on (cx, cy) with `part`: stored rows of a crowded cell are dealt into parts, and who asks there asks every
+    part. Only crowded cells are looked up."""
+    crowded = stored.groupBy("cx", "cy").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("parts")).where("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    left = stored.join(crowded, ["cx", "cy"], "left").withColumn("part", F.pmod(F.xxhash64(*[c for c in stored.columns if c not in ("cx", "cy")]), parts).cast("int")).drop("parts")
+    right = asked.join(crowded, ["cx", "cy"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return left, right
+
+
+def _around(df: DataFrame, radius_m: float, lon: str, lat: str) -> DataFrame:
+    """df with (cx, cy) of the nine cells around its point. Cells are as high as the radius and, in every band, as wide at least."""
+    height = radius_m / DEGREE_M * 1.001
+    near = lambda c: F.explode(F.array(c - 1, c, c + 1))
+    out = df.withColumn("cy", near(F.floor(F.col(lat) / height).cast("long")))
+    return out.withColumn("cx", near(F.floor(F.col(lon) / _width(F.col("cy"), height)).cast("long")))
+
+
+def _cell(df: DataFrame, radius_m: float, lon: str, lat: str) -> DataFrame:
+    height = radius_m / DEGREE_M * 1.001
+    out = df.withColumn("cy", F.floor(F.col(lat) / height).cast("long"))
+    return out.withColumn("cx", F.floor(F.col(lon) / _width(F.col("cy"), height)).cast("long"))
+
+
+def within_join(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
     """Pairs of left (a, lon, lat) and right (b, lon, lat) within radius_m, with distance_m.
 
-    Grid join: right is stored once by its cell, left asks for the 3 x 3 cells around; `cell` degrees must be at least the radius
-    in either direction. An equi-join on cells, then the exact distance.
+    right is stored once by its grid cell, left asks the nine cells around; cells come from the radius, crowded ones are dealt into
+    parts. An equi-join, then the exact distance. Not across the 180th meridian.
     """
-    x, y = cells(F.col("lon"), F.col("lat"), cell)
-    around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    asked = left.select("a", F.col("lon").alias("alon"), F.col("lat").alias("alat"), x.alias("x0"), y.alias("y0")).withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around)).withColumn("cx", F.col("x0") + F.col("dx")).withColumn("cy", F.col("y0") + F.col("dy"))
-    stored = right.select("b", F.col("lon").alias("blon"), F.col("lat").alias("blat"), x.alias("cx"), y.alias("cy"))
-    near = asked.join(stored, ["cx", "cy"]).withColumn("distance_m", haversine_m(F.col("alon"), F.col("alat"), F.col("blon"), F.col("blat")))
+    asked = _around(left.select("a", F.col("lon").alias("alon"), F.col("lat").alias("alat")), radius_m, "alon", "alat")
+    stored = _cell(right.select("b", F.col("lon").alias("blon"), F.col("lat").alias("blat")), radius_m, "blon", "blat")
+    stored, asked = _dealt(stored, asked)
+    near = asked.join(stored, ["cx", "cy", "part"]).withColumn("distance_m", haversine_m(F.col("alon"), F.col("alat"), F.col("blon"), F.col("blat")))
     return near.where(F.col("distance_m") <= radius_m).select("a", "b", "distance_m")
 
 
-def nearest_join(left: DataFrame, right: DataFrame, radius_m: float, cell: float, k: int = 1) -> DataFrame:
-    """The k nearest right rows within the radius for every left row; of equal distances the lesser b."""
-    ranked = within_join(left, right, radius_m, cell).withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("distance_m", "b")))
+def nearest_join(left: DataFrame, right: DataFrame, radius_m: float, k: int = 1) -> DataFrame:
+    """The k nearest right rows within the radius for every left row; of equal distances the lesser b. Spark cuts to k rows before it
+    shuffles (a limit inside the window), so a crowd around a point doesn't travel."""
+    ranked = within_join(left, right, radius_m).withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("distance_m", "b")))
     return ranked.where(F.col("rank") <= k)
 
 
+def segment_join(left: DataFrame, segments: DataFrame, radius_m: float, step_m: float = 50.0) -> DataFrame:
+    """Pairs of left (a, lon, lat) and segments (ax, ay, bx, by and others) within radius_m, with distance_m. A segment is stored in the
+    cells of points every step_m along it, and the radius of the cells is longer by half a step, so none is missed."""
+    reach = radius_m + step_m / 2 + 1.0
+    rest = [c for c in segments.columns if c not in ("ax", "ay", "bx", "by")]
+    long = haversine_m(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
+    n = F.greatest(F.lit(1), F.ceil(long / step_m).cast("int"))
+    spots = segments.withColumn("share", F.explode(F.transform(F.sequence(F.lit(0), n), lambda i: i / n)))
+    stored = _cell(spots.withColumn("slon", F.col("ax") + (F.col("bx") - F.col("ax")) * F.col("share")).withColumn("slat", F.col("ay") + (F.col("by") - F.col("ay")) * F.col("share")), reach, "slon", "slat")
+    stored = stored.drop("share", "slon", "slat").distinct()
+    asked = _around(left.select("a", F.col("lon").alias("plon"), F.col("lat").alias("plat")), reach, "plon", "plat")
+    stored, asked = _dealt(stored, asked)
+    near = asked.join(stored, ["cx", "cy", "part"]).withColumn("distance_m", segment_distance_m(F.col("plon"), F.col("plat"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
+    return near.where(F.col("distance_m") <= radius_m).select("a", *rest, "ax", "ay", "bx", "by", "distance_m").distinct()
+
+
+def polygon_join(left: DataFrame, rings: DataFrame, ring: str, cell: float) -> DataFrame:
+    """Rows of left (lon, lat and others) with those of rings whose ring, an array of (lon, lat), holds the point. A ring is stored in all
+    cells of `cell` degrees that its box touches; then the even-odd rule."""
+    low = lambda c: F.floor(F.array_min(F.transform(ring, lambda p: p[c])) / cell).cast("long")
+    high = lambda c: F.floor(F.array_max(F.transform(ring, lambda p: p[c])) / cell).cast("long")
+    stored = rings.withColumn("cx", F.explode(F.sequence(low("lon"), high("lon")))).withColumn("cy", F.explode(F.sequence(low("lat"), high("lat"))))
+    asked = left.withColumn("cx", F.floor(F.col("lon") / cell).cast("long")).withColumn("cy", F.floor(F.col("lat") / cell).cast("long"))
+    return asked.join(stored, ["cx", "cy"]).where(in_ring(F.col("lon"), F.col("lat"), F.col(ring))).drop("cx", "cy")
+
+
 def top_with_rest(df: DataFrame, key: str, k: int, *order: Column) -> tuple[DataFrame, DataFrame]:
     """The first k rows of every key, and for keys with more how many there are beyond."""
     ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
@@ -90,8 +156,65 @@ def top_with_rest(df: DataFrame, key: str, k: int, *order: Column) -> tuple[Data
     return ranked.where(F.col("rank") <= k), counts.where("more > 0")
 
 
-def clamped_fold(df: DataFrame, key: str, order: str, weight: str, low: float, high: float) -> DataFrame:
-    """(key, total, n): weights added in order, cut to [low, high] after every addition."""
-    lists = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, weight))).alias("w"), F.count("*").alias("n"))
-    fold = F.aggregate("w", F.lit(0.0), lambda s, x: F.greatest(F.lit(low), F.least(F.lit(high), s + x[weight])))
-    return lists.select(key, fold.alias("total"), "n")
+#: Values of the order that a part of a fold spans.
+FOLD_SPAN = 10_000
+
+
+def clamped_fold(df: DataFrame, key: str, order: str, weight: str, low: float, high: float, span: int = FOLD_SPAN) -> DataFrame:
+    """(key, total, n): weights added in the order of an integer column, from 0, cut to [low, high] after every addition.
+
+    A run of such steps is again a step: x -> min(top, max(bottom, x + shift)), and steps compose. So each part of `span` values of
+    the order becomes one step by itself, parts of parts again, and a key's whole history is never in one place.
+    """
+    step = lambda b, t, s: F.struct(b.alias("bottom"), t.alias("top"), s.alias("shift"))
+    cut = lambda x, b, t: F.least(t, F.greatest(b, x))
+    then = lambda f, g: step(cut(f["bottom"] + g["shift"], g["bottom"], g["top"]), cut(f["top"] + g["shift"], g["bottom"], g["top"]), f["shift"] + g["shift"])
+    none = step(F.lit(float("-inf")), F.lit(float("inf")), F.lit(0.0))
+    parts = df.select(key, F.col(order).cast("long").alias("__at"), step(F.lit(low), F.lit(high), F.col(weight).cast("double")).alias("f"), F.lit(1).cast("long").alias("n"))
+    for _ in range(2):
+        here = parts.withColumn("__part", F.floor(F.col("__at") / span).cast("long"))
+        lists = here.groupBy(key, "__part").agg(F.array_sort(F.collect_list(F.struct("__at", "f"))).alias("w"), F.sum("n").alias("n"))
+        parts = lists.select(key, F.col("__part").alias("__at"), F.aggregate("w", none, lambda f, x: then(f, x["f"])).alias("f"), "n")
+    last = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__at", "f"))).alias("w"), F.sum("n").alias("n"))
+    total = F.aggregate("w", none, lambda f, x: then(f, x["f"]))
+    return last.select(key, cut(total["shift"], total["bottom"], total["top"]).alias("total"), "n")
+
+
+def others_within(df: DataFrame, keys: list[str], who: str, at: str, row: str, reach: int) -> DataFrame:
+    """(row, others): how many different others (`who`) have a row of the same keys within `reach` of a row's time (an integer).
+
+    Nobody is paired with anybody: each one's rows cover stretches of time, merged where they touch, and the covers open at a row's time
+    are counted by running sums, first over slots of time, then inside a slot.
+    """
+    mine = Window.partitionBy(*keys, who).orderBy("__from")
+    cover = df.select(*keys, who, (F.col(at) - reach).alias("__from"), (F.col(at) + reach).alias("__to"))
+    cover = cover.withColumn("__new", F.when(F.col("__from") <= F.lag("__to").over(mine), 0).otherwise(1)).withColumn("__run", F.sum("__new").over(mine))
+    cover = cover.groupBy(*keys, who, "__run").agg(F.min("__from").alias("__from"), F.max("__to").alias("__to"))
+    # at one time covers open before rows are counted, and close after
+    marks = cover.select(*keys, F.explode(F.array(F.struct(F.col("__from").alias("t"), F.lit(0).alias("turn"), F.lit(1).alias("d")), F.struct(F.col("__to").alias("t"), F.lit(2).alias("turn"), F.lit(-1).alias("d")))).alias("m")).select(*keys, "m.*", F.lit(None).cast(df.schema[row].dataType).alias(row))
+    asked = df.select(*keys, F.col(at).alias("t"), F.lit(1).alias("turn"), F.lit(0).alias("d"), row)
+    both = marks.unionByName(asked).withColumn("slot", F.floor(F.col("t") / (2 * reach)).cast("long"))
+    slots = both.groupBy(*keys, "slot").agg(F.sum("d").alias("net"))
+    before = F.coalesce(F.sum("net").over(Window.partitionBy(*keys).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = slots.select(*keys, "slot", before.alias("base"))
+    inside = F.sum("d").over(Window.partitionBy(*keys, "slot").orderBy("t", "turn"))
+    counted = both.withColumn("inside", inside).where(F.col(row).isNotNull()).join(base, [*keys, "slot"])
+    return counted.select(row, (F.col("base") + F.col("inside") - 1).cast("long").alias("others"))
+
+
+def alike_sets(df: DataFrame, owner: str, item: str, share: float) -> DataFrame:
+    """(a, b, shared): pairs of owners, a below b, whose sets of items have at least `share` of the larger one in common.
+
+    Items are ranked by how rare they are. Two such sets must share one of the rarest items of either, the first n - ceil(share n) + 1 of
+    n, so only those are joined, and only sets of fitting sizes; what is found is counted in full. Common items are hardly ever among them.
+    """
+    rows = df.select(F.col(owner).alias("o"), F.col(item).alias("i")).distinct()
+    often = rows.groupBy("i").agg(F.count("*").alias("often"))
+    sizes = rows.groupBy("o").agg(F.count("*").alias("n"))
+    ranked = rows.join(often, "i").join(sizes, "o").withColumn("rank", F.row_number().over(Window.partitionBy("o").orderBy("often", "i")))
+    first = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * share) + 1).select("o", "i", "n")
+    left, right = (first.select("i", F.col("o").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+    fit = F.least("na", "nb") >= F.greatest("na", "nb") * share
+    pairs = left.join(right, "i").where((F.col("a") < F.col("b")) & fit).select("a", "b", F.greatest("na", "nb").alias("n")).distinct()
+    whole = pairs.join(rows.withColumnRenamed("o", "a"), "a").join(rows.withColumnRenamed("o", "b"), ["b", "i"])
+    return whole.groupBy("a", "b", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= F.col("n") * share).select("a", "b", "shared")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import graph, relational
-from . import cost_queries, graph_queries  # noqa: F401
+from . import cost_queries, graph_queries, place_queries  # noqa: F401
 from .registry import QUERIES, SQL, query, t  # noqa: F401
 
 
@@ -64,7 +64,7 @@ def evidence_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
-    return relational.best_per_key(t(spark, sf_dir, "orders"), ["o_custkey", "o_orderpriority"], rank, F.desc_nulls_last("o_orderdate"), "o_orderkey")
+    return relational.best_per_key(t(spark, sf_dir, "orders"), ["o_custkey", "o_orderpriority"], rank, F.coalesce(-C.micros("o_orderdate"), F.lit((1 << 63) - 1)), "o_orderkey")
 
 
 _RESOLVED = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderdate DESC NULLS LAST, o_orderkey) AS n FROM orders) WHERE n = 1)"
@@ -97,15 +97,9 @@ def vote_latest_per_voter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT a.event_id, count(DISTINCT b.user_id) AS others FROM {_EVENTS} a LEFT JOIN {_EVENTS} b
   ON a.k = b.k AND a.event_type = b.event_type AND a.user_id <> b.user_id AND abs(a.tm - b.tm) <= {2 * DAY} GROUP BY 1""")
 def corroboration_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Other people who say the same of the same thing within two days. Times are cut into two-day slots, so the join is an equi-join
-    on (thing, kind, slot) and a hot thing is spread over its slots."""
-    a = events(spark, sf_dir).select("event_id", "k", "event_type", "user_id", "at")
-    slot = F.floor(F.col("at") / (2 * DAY))
-    b = a.select("k", "event_type", F.col("user_id").alias("other"), F.col("at").alias("when"), slot.alias("slot"))
-    asked = a.withColumn("slot", F.explode(F.array(slot - 1, slot, slot + 1)))
-    near = asked.join(b, ["k", "event_type", "slot"]).where((F.col("user_id") != F.col("other")) & (F.abs(F.col("at") - F.col("when")) <= 2 * DAY))
-    counts = near.groupBy("event_id").agg(F.countDistinct("other").alias("others"))
-    return a.select("event_id").join(counts, "event_id", "left").select("event_id", F.coalesce("others", F.lit(0)).alias("others"))
+    """Other people who say the same of the same thing within two days."""
+    e = events(spark, sf_dir).select("event_id", "k", "event_type", "user_id", "at")
+    return relational.others_within(e, ["k", "event_type"], "user_id", "at", "event_id", 2 * DAY)
 
 
 @query(f"""SELECT k, round(list_reduce(list_prepend(0.0::DOUBLE, list(w ORDER BY event_id)), lambda s, x: greatest(-2.0, least(2.0, s + x))), 6) AS total, count(*) AS n
@@ -142,12 +136,12 @@ def pseudonym_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n")).select(F.sha2(F.concat(F.col("user_id").cast("string"), F.lit("pepper")), 256).alias("author"), "n")
 
 
-@query(f"""WITH a AS (SELECT k, min(event_id) AS event_id FROM {_EVENTS} WHERE event_type = 'purchase' AND user_id % 3 = 0 GROUP BY 1), b AS (SELECT k, min(event_id) AS event_id FROM {_EVENTS} WHERE event_type = 'click' GROUP BY 1)
-  SELECT * FROM a UNION ALL SELECT * FROM b WHERE k NOT IN (SELECT k FROM a)""")
+@query(f"""WITH a AS (SELECT k, user_id, min(event_id) AS event_id FROM {_EVENTS} WHERE event_type = 'purchase' GROUP BY 1, 2), b AS (SELECT k, user_id, min(event_id) AS event_id FROM {_EVENTS} WHERE event_type = 'click' GROUP BY 1, 2)
+  SELECT * FROM a UNION ALL SELECT b.* FROM b ANTI JOIN a USING (k, user_id)""")
 def merge_local_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
-    pick = lambda where: e.where(where).groupBy("k").agg(F.min("event_id").alias("event_id"))
-    return relational.merge_first_wins(pick("event_type = 'purchase' and user_id % 3 = 0"), pick("event_type = 'click'"), ["k"])
+    pick = lambda kind: e.where(F.col("event_type") == kind).groupBy("k", "user_id").agg(F.min("event_id").alias("event_id"))
+    return relational.merge_first_wins(pick("purchase"), pick("click"), ["k", "user_id"])
 
 
 _STRENGTH = "CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END"
@@ -159,24 +153,13 @@ def overlay_stronger_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.best_per_key(t(spark, sf_dir, "lineitem"), ["l_partkey"], rank, "l_orderkey", "l_linenumber", "l_suppkey").select("l_partkey", "l_returnflag", "l_orderkey", "l_linenumber")
 
 
-@query(f"""WITH c AS (SELECT k, event_type AS source, min(event_id) AS event_id FROM {_EVENTS} WHERE event_id % 2 = 0 AND user_id < 20 GROUP BY 1, 2), i AS (SELECT k, 'click' AS source, max(event_id) AS event_id FROM {_EVENTS} WHERE event_type = 'click' GROUP BY 1),
-  r AS (SELECT * FROM c WHERE source NOT IN ('click', 'view')) SELECT * FROM r UNION ALL SELECT * FROM i WHERE k NOT IN (SELECT k FROM r)""")
+@query(f"""WITH c AS (SELECT k, user_id, event_type AS source, min(event_id) AS event_id FROM {_EVENTS} GROUP BY 1, 2, 3), i AS (SELECT k, user_id, 'click' AS source, max(event_id) AS event_id FROM {_EVENTS} WHERE event_type = 'click' GROUP BY 1, 2),
+  r AS (SELECT * FROM c WHERE source NOT IN ('click', 'view')) SELECT * FROM r UNION ALL SELECT i.* FROM i ANTI JOIN r USING (k, user_id)""")
 def replace_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Current rows only of the events its SQL twin takes; replace_by_source_all takes all."""
     e = events(spark, sf_dir)
-    return _replaced(e.where("event_id % 2 = 0 and user_id < 20"), e)
-
-
-def _replaced(known: DataFrame, e: DataFrame) -> DataFrame:
-    current = known.groupBy("k", F.col("event_type").alias("source")).agg(F.min("event_id").alias("event_id"))
-    incoming = e.where("event_type = 'click'").groupBy("k").agg(F.max("event_id").alias("event_id")).select("k", F.lit("click").alias("source"), "event_id")
-    return relational.replace_by_source(current, incoming, ["click", "view"], "k")
-
-
-@query()
-def replace_by_source_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir)
-    return _replaced(e, e)
+    current = e.groupBy("k", "user_id", F.col("event_type").alias("source")).agg(F.min("event_id").alias("event_id"))
+    incoming = e.where("event_type = 'click'").groupBy("k", "user_id").agg(F.max("event_id").alias("event_id")).select("k", "user_id", F.lit("click").alias("source"), "event_id")
+    return relational.replace_by_source(current, incoming, ["click", "view"], ["k", "user_id"])
 
 
 @query(f"""SELECT d.day::INT AS day, count(*) AS active FROM (SELECT unnest(range(0, 30)) AS day) d JOIN {_EVENTS} e
@@ -191,46 +174,33 @@ def live_active_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.where("day between 0 and 29").groupBy("day").agg(F.count("*").alias("active"))
 
 
-@query(f"""SELECT o.o_orderkey, (SELECT max(struct_pack(tm := tm, id := event_id)).id FROM {_EVENTS} e WHERE e.user_id = o.o_orderkey % 150 AND e.tm <= 1704067200000000 + (o.o_orderkey % 30) * {DAY}) AS event_id
-  FROM (SELECT o_orderkey FROM orders WHERE o_orderkey <= 3000) o""")
+@query(f"""SELECT o.o_orderkey, e.event_id FROM (SELECT o_orderkey, o_orderkey % 150 AS user_id, 1704067200000000 + (o_orderkey % 30) * {DAY} AS t FROM orders) o
+  ASOF LEFT JOIN (SELECT user_id, tm, max(event_id) AS event_id FROM {_EVENTS} GROUP BY 1, 2) e ON o.user_id = e.user_id AND e.tm <= o.t""")
 def asof_last_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only the orders its SQL twin takes; asof_last_reading_all takes all."""
-    return _last_reading(events(spark, sf_dir), t(spark, sf_dir, "orders").where("o_orderkey <= 3000"))
-
-
-def _last_reading(e: DataFrame, orders: DataFrame) -> DataFrame:
     """The last event at or before an instant: both sides in one ordered window, no join of every pair."""
-    asked = orders.select("o_orderkey", (F.col("o_orderkey") % 150).alias("user_id"), (F.lit(1_704_067_200_000_000) + (F.col("o_orderkey") % 30) * DAY).alias("at"))
-    both = e.select(F.lit(None).cast("long").alias("o_orderkey"), "user_id", "at", "event_id").unionByName(asked.withColumn("event_id", F.lit(None).cast("long")))
+    asked = t(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 150).alias("user_id"), (F.lit(1_704_067_200_000_000) + (F.col("o_orderkey") % 30) * DAY).alias("at"))
+    both = events(spark, sf_dir).select(F.lit(None).cast("long").alias("o_orderkey"), "user_id", "at", "event_id").unionByName(asked.withColumn("event_id", F.lit(None).cast("long")))
     w = Window.partitionBy("user_id").orderBy("at", F.col("o_orderkey").isNotNull(), "event_id").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("event_id", F.last("event_id", ignorenulls=True).over(w)).where("o_orderkey is not null").select("o_orderkey", "event_id")
 
 
-@query()
-def asof_last_reading_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _last_reading(events(spark, sf_dir), t(spark, sf_dir, "orders"))
-
-
 @query(f"""SELECT event_id, CASE WHEN event_type <> 'error' THEN value WHEN tm - held.tm <= 900000000 THEN held.value END AS shown FROM
-  (SELECT event_id, event_type, value, tm, last_value(CASE WHEN event_type <> 'error' THEN struct_pack(value := value, tm := tm) END IGNORE NULLS) OVER (ORDER BY tm, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS held FROM {_EVENTS} WHERE k = 7)""")
+  (SELECT event_id, event_type, value, tm, last_value(CASE WHEN event_type <> 'error' THEN struct_pack(value := value, tm := tm) END IGNORE NULLS) OVER (PARTITION BY k ORDER BY tm, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS held FROM {_EVENTS})""")
 def hold_last_good(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only the key its SQL twin takes; hold_last_good_all takes all."""
-    return _held(events(spark, sf_dir).where("k = 7"))
-
-
-def _held(e: DataFrame) -> DataFrame:
-    """Every value of a key; for an error the last good one of its key, if at most 15 minutes old."""
+    """Every value of a key; for an error the last good one of its key, if at most 15 minutes old.
+
+    An error asks the slots of 15 minutes of its own time and the one before, so the window runs over a key and slot, never a whole key.
+    """
+    slot = F.floor(F.col("at") / 900_000_000).cast("long")
+    e = events(spark, sf_dir).select("event_id", "event_type", "value", "at", "k")
+    rows = e.withColumn("own", F.lit(True)).withColumn("slot", slot)
+    rows = rows.unionByName(rows.where("event_type <> 'error'").withColumn("own", F.lit(False)).withColumn("slot", F.col("slot") + 1))
     good = F.when(F.col("event_type") != "error", F.struct("value", "at"))
-    w = Window.partitionBy("k").orderBy("at", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    df = e.withColumn("held", F.last(good, ignorenulls=True).over(w))
+    w = Window.partitionBy("k", "slot").orderBy("at", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    df = rows.withColumn("held", F.last(good, ignorenulls=True).over(w)).where("own")
     return df.select("event_id", F.when(F.col("event_type") != "error", F.col("value")).when(F.col("at") - F.col("held.at") <= 900_000_000, F.col("held.value")).alias("shown"))
 
 
-@query()
-def hold_last_good_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _held(events(spark, sf_dir))
-
-
 @query(f"""SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY tm RANGE BETWEEN 10800000000 PRECEDING AND CURRENT ROW), 4) AS past3,
   round(min(value) OVER (PARTITION BY user_id ORDER BY tm RANGE BETWEEN 43200000000 PRECEDING AND CURRENT ROW), 4) AS low12 FROM {_EVENTS}""")
 def trailing_3h_12h(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -369,12 +339,12 @@ def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query(f"SELECT a, b, round(d, 3) AS distance_m FROM {_NEAR}")
 def within_radius_haversine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relational.within_join(*_sides(spark, sf_dir), 400.0, 0.008).select("a", "b", F.round("distance_m", 3).alias("distance_m"))
+    return relational.within_join(*_sides(spark, sf_dir), 400.0).select("a", "b", F.round("distance_m", 3).alias("distance_m"))
 
 
 @query(f"SELECT a, b, n AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b)::INT AS n FROM {_NEAR}) WHERE n <= 3")
 def nearest_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relational.nearest_join(*_sides(spark, sf_dir), 400.0, 0.008, 3).select("a", "b", "rank")
+    return relational.nearest_join(*_sides(spark, sf_dir), 400.0, 3).select("a", "b", "rank")
 
 
 _ARCS = """SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier"""
@@ -393,39 +363,19 @@ def graph_hierarchy_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reach(arcs, roots).groupBy("root", "hops").agg(F.count("*").alias("nodes"))
 
 
-@query("""SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS shared FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_partkey % 20 = 0) a JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_partkey % 20 = 0) b
-  ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2 HAVING count(*) >= 5""")
+@query("""WITH d AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), n AS (SELECT l_suppkey, count(*) AS n FROM d GROUP BY 1)
+  SELECT p.a, p.b, p.shared FROM (SELECT x.l_suppkey AS a, y.l_suppkey AS b, count(*) AS shared FROM d x JOIN d y ON x.l_partkey = y.l_partkey AND x.l_suppkey < y.l_suppkey GROUP BY 1, 2) p
+  JOIN n na ON na.l_suppkey = a JOIN n nb ON nb.l_suppkey = b WHERE shared >= 0.3 * greatest(na.n, nb.n)""")
 def overlap_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only the parts its SQL twin takes; overlap_share_all takes all."""
-    return _overlaps(t(spark, sf_dir, "lineitem").where("l_partkey % 20 = 0"))
-
+    """Suppliers that share 30 % of the parts of whichever has more."""
+    return relational.alike_sets(t(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey", 0.3)
 
-def _overlaps(items: DataFrame) -> DataFrame:
-    d = items.select("l_suppkey", "l_partkey").distinct()
-    both = d.withColumnRenamed("l_suppkey", "a").join(d.withColumnRenamed("l_suppkey", "b"), "l_partkey").where("a < b")
-    return both.groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 5")
 
-
-@query()
-def overlap_share_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _overlaps(t(spark, sf_dir, "lineitem"))
-
-
-@query(r"SELECT lang, count(*) AS n, sum(length(trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[''’]', '', 'g'), '[^a-z0-9]+', ' ', 'g'))))::BIGINT AS chars FROM documents WHERE NOT regexp_matches(text, '[ßŒœÆæ]') GROUP BY 1")
+@query(r"SELECT lang, count(*) AS n, sum(coalesce(length(trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[''’]', '', 'g'), '[^a-z0-9]+', ' ', 'g'))), 0))::BIGINT AS chars FROM documents GROUP BY 1")
 def normalise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only the documents its SQL twin takes: those without ß, Œ, œ, Æ, æ. normalise_text_all takes all."""
-    return normalised(t(spark, sf_dir, "documents").where(~F.col("text").rlike("[ßŒœÆæ]")))
-
-
-def normalised(documents: DataFrame) -> DataFrame:
     """(lang, n, chars) of all rows; a null text counts in n and has no characters."""
     chars = F.coalesce(F.length(C.normal_text(F.col("text"))), F.lit(0))
-    return documents.groupBy("lang").agg(F.count("*").alias("n"), F.sum(chars).alias("chars"))
-
-
-@query()
-def normalise_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalised(t(spark, sf_dir, "documents"))
+    return t(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum(chars).alias("chars"))
 
 
 @query(f"SELECT k, count(*) AS n FROM {_EVENTS} GROUP BY 1")
@@ -438,13 +388,15 @@ def html_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", '<html lang="([a-z]*)"', 1).alias("lang"), F.regexp_replace("url", "[?#].*$", "").alias("plain_url"))
 
 
-@query("""SELECT p_partkey, round(CASE WHEN p_partkey % 3 = 0 THEN p_size::DOUBLE WHEN p_partkey % 3 = 1 THEN tan(radians(p_size::DOUBLE)) * 100 END, 6) AS incline, CASE WHEN p_partkey % 2 = 0 THEN p_size / 100.0::DOUBLE ELSE p_size::DOUBLE END AS width FROM part""")
+@query("""SELECT p_partkey, round(CASE WHEN p_partkey % 3 = 0 THEN p_size::DOUBLE WHEN p_partkey % 3 = 1 THEN tan(radians(p_size::DOUBLE)) * 100 END, 6) AS incline, CASE WHEN p_partkey % 2 = 0 THEN p_size / 100.0::DOUBLE ELSE p_size::DOUBLE END AS width,
+  CASE p_partkey % 4 WHEN 0 THEN p_size / 10.0::DOUBLE WHEN 1 THEN p_size::DOUBLE WHEN 2 THEN CASE WHEN p_size < 1 THEN p_size * 100.0::DOUBLE ELSE p_size::DOUBLE END END AS kerb_cm FROM part""")
 def parse_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = t(spark, sf_dir, "part")
     size = F.col("p_size").cast("string")
     slope = F.concat(size, F.when(F.col("p_partkey") % 3 == 0, "%").when(F.col("p_partkey") % 3 == 1, "°").otherwise(" up"))
     wide = F.concat(size, F.when(F.col("p_partkey") % 2 == 0, " cm").otherwise(" m"))
-    return p.select("p_partkey", F.round(C.incline_percent(slope), 6).alias("incline"), C.metres(wide).alias("width"))
+    high = F.concat(size, F.when(F.col("p_partkey") % 4 == 0, " mm").when(F.col("p_partkey") % 4 == 1, "cm").when(F.col("p_partkey") % 4 == 2, "").otherwise(" ft"))
+    return p.select("p_partkey", F.round(C.incline_percent(slope), 6).alias("incline"), C.metres(wide).alias("width"), C.kerb_height_cm(high).alias("kerb_cm"))
 
 
 @query("""SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END, n_name) AS label FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""")
@@ -456,9 +408,12 @@ def fill_only_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey AND abs(a.s_acctbal - b.s_acctbal) <= 1500")
 def pairwise_hub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = t(spark, sf_dir, "supplier")
-    other = s.select("s_nationkey", F.col("s_suppkey").alias("b"), F.col("s_acctbal").alias("bal"))
-    return s.withColumnRenamed("s_suppkey", "a").join(other, "s_nationkey").where((F.col("a") < F.col("b")) & (F.abs(F.col("s_acctbal") - F.col("bal")) <= 1500)).select("a", "b")
+    """Suppliers of a nation whose balances differ by 1,500 at most: balances are cut into ranges of that width, and who asks asks its own
+    and the two beside it, so a nation is no group."""
+    s = t(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", "s_acctbal", F.floor(F.col("s_acctbal") / 1500).alias("range"))
+    other = s.select("s_nationkey", "range", F.col("s_suppkey").alias("b"), F.col("s_acctbal").alias("bal"))
+    asked = s.withColumn("range", F.explode(F.array(*[F.col("range") + i for i in (-1, 0, 1)]))).withColumnRenamed("s_suppkey", "a")
+    return asked.join(other, ["s_nationkey", "range"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("s_acctbal") - F.col("bal")) <= 1500)).select("a", "b")
 
 
 @query(f"""SELECT user_id, round(list_reduce(list_prepend([1.0::DOUBLE, 0.0], list([least(3.0, greatest(0.2, value / 100)), 0.0::DOUBLE] ORDER BY event_id)), lambda s, x: [s[1] + (x[1] - s[1]) * greatest(0.2, 1 / (s[2] + 2)), s[2] + 1])[1], 6) AS pace FROM {_EVENTS} GROUP BY 1""")
@@ -475,28 +430,14 @@ def uk_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "events").select("event_id", F.hour(uk).alias("uk_hour"), F.when(F.dayofweek(uk) == 1, "su").when(F.dayofweek(uk) == 7, "sa").otherwise("wd").alias("day_type"))
 
 
-@query()
-def sun_altitude(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).select("event_id", F.round(C.sun_altitude(F.col("at") / 1e6, -3.19, 55.95), 3).alias("altitude"))
-
+_SUN = """(SELECT event_id, radians((357.529 + d * 0.98560028) - 360 * floor((357.529 + d * 0.98560028) / 360)) AS g, 280.459 + d * 0.98564736 AS q, radians(23.439 - d * 0.00000036) AS tilt, d FROM (SELECT event_id, epoch_us(ts) / 1e6 / 86400.0 - 10957.5::DOUBLE AS d FROM events))"""
 
-@query("""SELECT l_orderkey, seg::BIGINT AS seg, min(n) AS first, count(*) AS nodes FROM (SELECT *, sum(cut) OVER (PARTITION BY l_orderkey ORDER BY n ROWS UNBOUNDED PRECEDING) AS seg FROM
-  (SELECT l.l_orderkey, l.n, CASE WHEN u.uses >= 30 AND l.n > 1 THEN 1 ELSE 0 END AS cut FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)::INT AS n FROM lineitem) l
-   JOIN (SELECT l_partkey, count(DISTINCT l_orderkey) AS uses FROM lineitem GROUP BY 1) u USING (l_partkey))) GROUP BY 1, 2""")
-def split_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = t(spark, sf_dir, "lineitem")
-    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
-    uses = li.groupBy("l_partkey").agg(F.countDistinct("l_orderkey").alias("uses"))
-    marked = li.withColumn("n", n).join(uses, "l_partkey").withColumn("cut", F.when((F.col("uses") >= 30) & (F.col("n") > 1), 1).otherwise(0))
-    w = Window.partitionBy("l_orderkey").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    return marked.withColumn("seg", F.sum("cut").over(w)).groupBy("l_orderkey", "seg").agg(F.min("n").alias("first"), F.count("*").alias("nodes"))
 
-
-@query("SELECT p_partkey, p_name FROM part WHERE list_bool_and(list_transform(['s', 'b'], lambda q: len(list_filter(string_split(lower(p_name), ' '), lambda w: starts_with(w, q))) > 0))")
-def prefix_token_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.split(F.lower("p_name"), " ")
-    match = F.forall(F.array(F.lit("s"), F.lit("b")), lambda q: F.exists(words, lambda w: w.startswith(q)))
-    return t(spark, sf_dir, "part").where(match).select("p_partkey", "p_name")
+@query(f"""WITH a AS (SELECT *, q + sin(g) * 1.915 + sin(g * 2) * 0.02 AS l FROM {_SUN}), b AS (SELECT *, radians(l - 360 * floor(l / 360)) AS along, 280.46061837 + d * 360.98564736629 - 3.19 AS s FROM a),
+  c AS (SELECT *, radians(s - 360 * floor(s / 360)) - atan2(cos(tilt) * sin(along), cos(along)) AS turn, asin(sin(tilt) * sin(along)) AS lift FROM b)
+  SELECT event_id, round(degrees(asin(sin(radians(55.95)) * sin(lift) + cos(radians(55.95)) * cos(lift) * cos(turn))), 3) AS altitude FROM c""")
+def sun_altitude(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).select("event_id", F.round(C.sun_altitude(F.col("at") / 1e6, -3.19, 55.95), 3).alias("altitude"))
 
 
 @query("SELECT split_part(p_type, ' ', 1) AS category, count(*) FILTER (p_size <= 25) AS shown, count(*) FILTER (p_size > 25) AS hidden FROM part GROUP BY 1")

@@ -120,12 +120,14 @@ def _short(w: np.ndarray) -> np.ndarray:
 
 
 def dense_position(df: DataFrame, group: list[str], order: str, out: str, buckets: int, tie: list[str] = ()) -> DataFrame:
-    """Number the rows of each group from 0 without gaps, in the order (order mod buckets, order, tie).
+    """Number the rows of each group from 0 without gaps, in the order (bucket of order, order, tie). A bucket is the first 32 bits of the
+    value's MD5, as text, mod buckets; nulls come before all.
 
     A hot group is numbered in `buckets` parts: parts are counted first, and each starts at the sum of those before it.
     """
     spot = "__bucket"
-    df = df.withColumn(spot, F.coalesce(F.pmod(F.col(order), F.lit(buckets)), F.lit(-1)).cast("int"))
+    hashed = F.conv(F.substring(F.md5(F.col(order).cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    df = df.withColumn(spot, F.coalesce(hashed % buckets, F.lit(-1)).cast("int"))
     keys = [*group, spot]
     counts = df.groupBy(*keys).agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*group).orderBy(spot).rowsBetween(Window.unboundedPreceding, -1)

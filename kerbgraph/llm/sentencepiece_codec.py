@@ -21,6 +21,10 @@ _WIDTH = np.array([1 if b < 0x80 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4 fo
 BLOCK_BYTES = 1 << 20
 #: What an unknown character costs below the lowest score.
 UNKNOWN_PENALTY = 10.0
+#: Scores of this and less mark pieces that are never to be used.
+NEVER = -1e8
+#: Bytes of a part beyond which it is solved by itself, and of a stretch of it whose pieces are looked up at once.
+LONG, STRETCH = 1 << 11, 1 << 16
 
 
 @dataclass
@@ -82,6 +86,18 @@ class Trie:
         return cls(np.resize(base, end), np.append(check[: end - 1], -1), np.append(value[: end - 1], -1), max(map(len, words), default=0))
 
 
+def log_scores(scores: np.ndarray, usable: np.ndarray) -> np.ndarray:
+    """Log probabilities of pieces. A model of merges holds the number of the merge, less than 0, in place of a score: such ranks
+    become the logarithm of 1 / (rank + 1), which is how often the piece of a rank is used by Zipf's law, in parts of their sum. Scores
+    that are no such whole numbers are log probabilities already and stay."""
+    ranks = -scores[usable]
+    if not len(ranks) or (ranks < 0).any() or (ranks != np.round(ranks)).any() or ranks.max() < 1:
+        return scores
+    out = scores.copy()
+    out[usable] = -np.log(ranks + 1) - np.log(np.sum(1 / (ranks + 1)))
+    return out
+
+
 @dataclass
 class Codec:
     """Pieces of a model, ready for arrays of texts."""
@@ -119,9 +135,16 @@ class Codec:
                 unknown_id = i if unknown else unknown_id
                 out.append(b" \xe2\x81\x87 " if unknown else b"")
             else:
-                words.setdefault(raw, i)
+                if rows[i][1] > NEVER or piece == SPACE:
+                    words.setdefault(raw, i)
                 out.append(raw.replace(MARK, b" "))
+        usable = np.zeros(len(rows), bool)
+        usable[list(words.values())] = True
         scores = np.array([r[1] for r in rows], np.float64)
+        if (mark := words.get(MARK)) is not None and scores[mark] <= NEVER:
+            # without it a space could only be bytes
+            scores[mark] = min((scores[i] for i in words.values() if scores[i] > NEVER), default=0.0)
+        scores = log_scores(scores, usable)
         lowest = min((scores[i] for i in words.values()), default=0.0)
         pairs = np.zeros((256, 256), bool)
         for raw in words:
@@ -157,22 +180,32 @@ class Codec:
         end = np.append(start[1:], len(flat))
         key = _span_hash(flat, start, end - start)
         _, at, of = np.unique(key, return_index=True, return_inverse=True)
-        ids, first = self._solve(flat, start[at], end[at])
+        ids, first = self._solve_all(flat, start[at], end[at])
         count = np.diff(first)[of]
         into = np.concatenate([[0], np.cumsum(count)])
         out = ids[np.arange(into[-1]) + np.repeat(first[:-1][of] - into[:-1], count)]
         return out, into[np.searchsorted(start, offsets)]
 
-    def _solve(self, flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Viterbi of every part [start, end) at once: first all pieces at all places, then position by position."""
-        length = (end - start).astype(np.int32)
-        cell = np.concatenate([[0], np.cumsum(length + 1)]).astype(np.int32)
-        owner = np.repeat(np.arange(len(start), dtype=np.int32), length)
-        local = (np.cumsum(length) - length).astype(np.int32)
-        place = np.arange(len(owner), dtype=np.int32) - local[owner]
-        char = flat[np.arange(len(owner)) + np.repeat(start - local, length)]
-        left = length[owner] - place
-        begins = np.flatnonzero((char & 0xC0) != 0x80).astype(np.int32)
+    def _solve_all(self, flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of every part [start, end) in a row, and first[i] for part i. Short parts are solved together, long ones one by one."""
+        long = np.flatnonzero(end - start > LONG)
+        if not len(long):
+            return self._solve(flat, start, end)
+        short = np.flatnonzero(end - start <= LONG)
+        ids, first = self._solve(flat, start[short], end[short]) if len(short) else (np.zeros(0, np.int32), np.zeros(1, np.int64))
+        apart = {int(i): self._solve_long(flat[start[i] : end[i]]) for i in long}
+        count = np.zeros(len(start), np.int64)
+        count[short] = np.diff(first)
+        count[long] = [len(apart[int(i)]) for i in long]
+        into = np.concatenate([[0], np.cumsum(count)])
+        out = np.zeros(into[-1], np.int32)
+        out[np.arange(first[-1]) + np.repeat(into[short] - first[:-1], np.diff(first))] = ids
+        for i, x in apart.items():
+            out[into[i] : into[i] + len(x)] = x
+        return out, into
+
+    def _pieces(self, char: np.ndarray, begins: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, bytes, piece) of every piece at the places `begins`, where `left` bytes are left; -1 for a character that is no piece."""
         width = _WIDTH[char[begins]]
         lead = self.trie.base[0] + char[begins]
         state = np.where(self.trie.check[lead] == 0, lead, 0)
@@ -180,7 +213,7 @@ class Codec:
         found, walk, which = [], begins, np.arange(len(begins), dtype=np.int32)
         for d in range(self.trie.depth):
             if d:
-                ok = left[walk] > d
+                ok = left[which] > d
                 walk, state, which = walk[ok], state[ok], which[ok]
                 there = self.trie.base[state] + char[walk + d]
                 ok = self.trie.check[there] == state
@@ -196,7 +229,44 @@ class Codec:
                 single[which[hit & (width[which] == d + 1)]] = True
         lone = begins[~single]
         found.append((lone, width[~single], np.full(len(lone), -1, np.int32)))
-        walk, size, value = (np.concatenate(x) for x in zip(*found, strict=True))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _solve_long(self, part: np.ndarray) -> np.ndarray:
+        """The ids of one long part, stretch by stretch: pieces are looked up for a stretch at once, then tried place by place."""
+        n = len(part)
+        begins = np.flatnonzero((part & 0xC0) != 0x80).astype(np.int32)
+        best, back, piece = [float("-inf")] * (n + 1), np.zeros(n + 1, np.int32), np.full(n + 1, -1, np.int32)
+        best[0] = 0.0
+        for lo in range(0, len(begins), STRETCH):
+            some = begins[lo : lo + STRETCH]
+            walk, size, value = self._pieces(part, some, n - some)
+            order = np.lexsort((size, walk))
+            walk, size, value = walk[order], size[order], value[order]
+            gain = np.where(value >= 0, self.scores[value], self.unknown)
+            for at, to, what, plus in zip(walk.tolist(), (walk + size).tolist(), value.tolist(), gain.tolist(), strict=True):
+                score = best[at] + plus
+                if score > best[to]:
+                    best[to], back[to], piece[to] = score, at, what
+        out, at = [], n
+        while at > 0:
+            if piece[at] >= 0 or (self.byte_ids < 0).any():
+                out.append([piece[at] if piece[at] >= 0 else self.unknown_id])
+            else:
+                out.append(self.byte_ids[part[back[at] : at]].tolist())
+            at = int(back[at])
+        return np.array([i for ids in reversed(out) for i in ids], np.int32)
+
+    def _solve(self, flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Viterbi of every part [start, end) at once: first all pieces at all places, then position by position."""
+        length = (end - start).astype(np.int32)
+        cell = np.concatenate([[0], np.cumsum(length + 1)]).astype(np.int32)
+        owner = np.repeat(np.arange(len(start), dtype=np.int32), length)
+        local = (np.cumsum(length) - length).astype(np.int32)
+        place = np.arange(len(owner), dtype=np.int32) - local[owner]
+        char = flat[np.arange(len(owner)) + np.repeat(start - local, length)]
+        left = length[owner] - place
+        begins = np.flatnonzero((char & 0xC0) != 0x80).astype(np.int32)
+        walk, size, value = self._pieces(char, begins, left[begins])
         step = place[walk]
         order = np.argsort(step.astype(np.uint16) if len(step) and step.max() < 1 << 16 else step, kind="stable")
         walk, size, value, step = walk[order], size[order], value[order], step[order]
@@ -324,10 +394,10 @@ def round_trip(documents: DataFrame, model_file: str) -> DataFrame:
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_file)
     is_byte = [i for i in range(model.get_piece_size()) if model.is_byte(i)]
+    of_bytes = F.array(*[F.lit(i) for i in is_byte]).cast("array<int>")
     df = encode(documents.select("doc_id", "text"), model_file)
     ids = F.coalesce("ids", F.array().cast("array<int>"))
-    in_range = (lambda x: (x >= min(is_byte)) & (x <= max(is_byte))) if is_byte else (lambda x: F.lit(False))
     return df.select(
-        "doc_id", F.size(ids).cast("long").alias("n_tokens"), F.size(F.filter(ids, in_range)).cast("long").alias("n_byte_tokens"),
+        "doc_id", F.size(ids).cast("long").alias("n_tokens"), F.size(F.filter(ids, lambda x: F.array_contains(of_bytes, x))).cast("long").alias("n_byte_tokens"),
         F.sha2(F.concat_ws(",", ids.cast("array<string>")), 256).alias("ids_sha256"), F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"),
     )

@@ -39,7 +39,7 @@ def assign(df: DataFrame, key: str, weights: Sequence[float], *, shard: str = "s
 def number(df: DataFrame, key: str, *, shard: str = "shard", slot: str = "slot", tie: Sequence[str] = (), buckets: int = 64) -> DataFrame:
     """df with each row's place in its shard, from 0 without gaps.
 
-    Order: key mod buckets, key, tie; null keys come first. A shard is numbered in `buckets` parts, whose starts are sums
+    Order: a hash of the key in `buckets` buckets, key, tie; null keys come first. A shard is numbered in `buckets` parts, whose starts are sums
     of counts, so no task sees a whole shard. Rows equal in key and tie may swap places.
     """
     return dense_position(df, [shard], key, slot, buckets, list(tie))
@@ -50,13 +50,15 @@ def write(df: DataFrame, path: str, *, shard: str = "shard") -> None:
     df.write.partitionBy(shard).parquet(path)
 
 
-def shard_documents(documents: DataFrame, shards: int = 8, weights: Sequence[float] | None = None, buckets: int = 64) -> DataFrame:
+def shard_documents(documents: DataFrame, shards: int = 8, weights: Sequence[float] | None = None, buckets: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row; the law is `key`.
 
     size: UTF-8 bytes of the text (null: none) plus 1. text_crc32: of the text's UTF-8, null as the empty text.
     grown_shard: the shard if there were one more, of mean weight. Equal texts have equal text_crc32 and are not kept
-    together: doc_id alone decides. Repeated rows share the shard and have different slots; a null doc_id is one key.
+    together: doc_id alone decides. Repeated rows share the shard and have different slots; a null doc_id is one key. A shard is
+    numbered in at least 64 parts, and in one more for each million rows.
     """
+    buckets = max(64, documents.count() >> 20) if buckets is None else buckets
     weights = list(weights) if weights is not None else [1.0] * shards
     text = F.coalesce("text", F.lit("")).cast("binary")
     df = documents.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"), F.lit("key").alias("law"))
@@ -88,4 +90,4 @@ def oracle(shards: int = 8, buckets: int = 64) -> str:
     return f"""WITH {_sized()},
 dealt AS (SELECT *, {best(shards)} AS shard, {best(shards + 1)} AS grown_shard FROM sized)
 SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard,
-  row_number() OVER (PARTITION BY shard ORDER BY coalesce(doc_id % {buckets}, -1), doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM dealt"""
+  row_number() OVER (PARTITION BY shard ORDER BY coalesce(('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % {buckets}, -1), doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM dealt"""

@@ -1,10 +1,13 @@
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kerbgraph.llm import decontaminate, hamming_search, html_text, language_id, near_dup, queries, sentencepiece_codec, toxicity
@@ -120,15 +123,64 @@ def test_html():
     assert html_text.extract("<p>unclosed <b>bold" + " x" * 50_000).startswith("unclosed bold x")
 
 
+def article_of(html):
+    from html import unescape
+
+    inner = re.sub(r"</?(p|h1|br)\b[^>]*>", " ", html[html.index("<article>") + 9 : html.index("</article>")]).replace("<b>", "")
+    return " ".join(unescape(inner).split())
+
+
 def test_html_query(spark):
     rows = queries.op5_html_extraction(spark, SF).collect()
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
-    from html import unescape
-
+    assert len(rows) == len(pages)
     for r in rows:
-        h = pages[r["page_id"]]
-        inner = re.sub(r"</?(p|h1|br)\b[^>]*>", " ", h[h.index("<article>") + 9 : h.index("</article>")]).replace("<b>", "")
-        assert r["text"] == " ".join(unescape(inner).split()) and r["n_chars"] == len(r["text"])
+        assert r["text"] == article_of(pages[r["page_id"]]) and r["n_chars"] == len(r["text"])
+
+
+def test_html_needs_no_article_element(spark):
+    """The element's name decides nothing: the same text comes from a div."""
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        assert html_text.extract(r["html"].replace("<article>", "<div>").replace("</article>", "</div>")) == article_of(r["html"])
+
+
+def test_html_density_decides(monkeypatch):
+    """A page of unnamed divs: text is told from lists of links and short lines by density alone."""
+    links = "".join(f"<li><a href='/{i}'>Section {i} of the site</a></li>" for i in range(30))
+    words = "".join(f"<p>Paragraph {i} says a good deal about the matter at hand, at some length and without a single link.</p>" for i in range(6))
+    page = f"<body><div><ul>{links}</ul></div><div><h1>Head</h1>{words}<ul><li><a href='/a'>First source</a></li><li><a href='/b'>Second source</a></li></ul></div><div><span>Contact</span> <a href='/c'>Imprint</a></div></body>"
+    text = html_text.extract(page)
+    assert text.startswith("Head Paragraph 0") and text.endswith("First source Second source") and "Section" not in text and "Imprint" not in text
+    real = html_text.densities
+    monkeypatch.setattr(html_text, "densities", lambda *a: ([1.0] * len(real(*a)[0]), [float(x) for x in real(*a)[2]], *real(*a)[2:]))
+    assert html_text.extract(page) != text
+
+
+def test_html_sections_and_names():
+    body = "".join(f"<section><h2>Part {i}</h2><p>{'Some sentences of this part. ' * 6}</p><p>Short.</p></section>" for i in range(3))
+    page = f"<body><div class='wrap'><div class='has-sidebar'><h1>Title</h1>{body}<p>End.</p></div></div><div class='sidebar-left'><p>{'Read this too. ' * 9}</p></div></body>"
+    text = html_text.extract(page)
+    assert text.startswith("Title Part 0") and text.endswith("End.") and text.count("Short.") == 3 and "Read this too" not in text
+    for name in ("class='side-effects'", "id='share-of-power'", "class='related-work'", "class='comment-free'"):
+        assert "Kept words." in html_text.extract(f"<div><h1>T</h1><p>{'Words of text. ' * 9}</p><div {name}>Kept words.</div></div>")
+    for name in ("class='ad'", "class='ad-box-2'", "id='comments'", "class='x cookie-notice'", "hidden", "style='display: none'"):
+        assert "Lost words" not in html_text.extract(f"<div><h1>T</h1><p>{'Words of text. ' * 9}</p><div {name}>Lost words.</div></div>")
+    assert html_text.extract("<p a='1>2'>x &lt; y</p><p>caf&eacute; <i>a</i>b</p>") == "x < y café ab"
+    assert html_text.extract("a < b <b>c</b>") == "a < b c" and html_text.extract("text <a href='x") == "text"
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<div>" * 100_000 + "deep", "<p><div>" + "<span>" * 50_000 + "</p>" * 50_000 + "x", '<a href="x>' * 90_000, "<p><b>text<br>" * 60_000, "<a x='" * 100_000 + ">", "<!--" * 200_000, "<div " + "a=b " * 250_000 + ">x"])
+def test_html_takes_hostile_pages_in_one_pass(page):
+    began = time.time()
+    html_text.extract(page)
+    assert time.time() - began < 10  # seconds here; a quadratic parser takes minutes
+
+
+def test_html_rows(spark):
+    rows = [(1, "u", "<p>Some text here</p>", "old", 1), (1, "u", "<p>Some text here</p>", "old", 1), (None, None, None, None, None), (2, "", "", "x", 9)]
+    out = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string, tags long")).collect()
+    assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in out) == [(0, "", 0), (1, "Some text here", 14), (1, "Some text here", 14), (2, "", 0)] and "tags" in out[0]
+    assert html_text.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
 def test_language(spark):
@@ -213,7 +265,11 @@ def test_sentencepiece(spark):
     path = queries.piece_model()
     codec = sentencepiece_codec.Codec.load(path)
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    scores = {model.id_to_piece(i): model.get_score(i) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
+    # the file holds numbers of merges: piece r has a share of 1 / (r + 1), those marked as never used none, but for the mark itself
+    ranks = {model.id_to_piece(i): -model.get_score(i) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i)) and (model.get_score(i) > -1e8 or model.id_to_piece(i) == "▁")}
+    ranks["▁"] = max(r for p, r in ranks.items() if p != "▁")
+    whole = sum(1 / (r + 1) for r in ranks.values())
+    scores = {p: float(np.log(1 / (r + 1) / whole)) for p, r in ranks.items()}
     texts = ["", " ", "  two  spaces ", "Hello world", "naïve café d’ici", "日本語 😀", "tab\tnew\nline", "a" * 300, "x\x00y", "The quick brown fox jumps over the lazy dog"]
     ids, first = codec.encode(pa.array(texts))
     assert codec.decode(ids, first).to_pylist() == texts
@@ -231,17 +287,157 @@ def test_sentencepiece(spark):
     assert trip == {1: True, 2: True, 3: False, 4: True}
 
 
-def test_pipeline(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = docs
-    for _, stage in corpus_pipeline.STAGES[1:4]:
-        kept = stage(spark, kept, SF)
-        assert kept.columns == docs.columns
-    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    labels, _ = exact_components(rows)
+def unigram_model(codec, path):
+    """The pieces and scores of the codec as a model file of type unigram, for the public library."""
+    import struct
+
+    import sentencepiece
+
+    old = sentencepiece.SentencePieceProcessor(model_file=path)
+
+    def varint(n):
+        return bytes([n & 127 | (128 if n > 127 else 0)]) + (varint(n >> 7) if n > 127 else b"")
+
+    text = lambda n, data: varint(n << 3 | 2) + varint(len(data)) + data
+    number = lambda n, v: varint(n << 3) + varint(v)
+    out = b""
+    for i in range(old.get_piece_size()):
+        kind = 6 if old.is_byte(i) else 3 if old.is_control(i) else 2 if old.is_unknown(i) else 5 if codec.scores[i] < -1e8 else 1
+        out += text(1, text(1, old.id_to_piece(i).encode()) + varint(2 << 3 | 5) + struct.pack("<f", codec.scores[i] if kind == 1 else 0.0) + number(3, kind))
+    out += text(2, number(3, 1) + number(35, 1) + number(40, 0) + number(41, 1) + number(42, 2)) + text(3, text(1, b"identity") + number(3, 1) + number(4, 0) + number(5, 1))
+    return sentencepiece.SentencePieceProcessor(model_proto=out)
+
+
+def test_sentencepiece_ids_are_the_librarys():
+    """On every text of sf0.01: the same ids, or another path of the same total (the library adds in 32 bits)."""
+    import pyarrow.parquet as pq
+
+    codec = sentencepiece_codec.Codec.load(queries.piece_model())
+    library = unigram_model(codec, queries.piece_model())
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist() if t]
+    ids, first = codec.encode(pa.array(texts))
+    equal = 0
+    for k, text in enumerate(texts):
+        mine, theirs = ids[first[k] : first[k + 1]].tolist(), library.encode(text)
+        equal += mine == theirs
+        assert mine == theirs or sum(codec.scores[mine]) >= sum(codec.scores[theirs]) - 1e-6
+    assert equal >= 0.97 * len(texts)
+
+
+def test_sentencepiece_long_parts():
+    """Parts without a cut are solved by themselves and come out the same, and fast enough."""
+    codec = sentencepiece_codec.Codec.load(queries.piece_model())
+    rng = np.random.default_rng(0)
+    for text in ("a" * 5000, "".join(rng.choice(list("etaoinshrdlu"), 6000)), "漢字" * 2000, "é" * 3000):
+        raw = np.frombuffer(("▁" + text).encode(), np.uint8)
+        apart = codec._solve_long(raw)
+        together, _ = codec._solve(raw, np.array([0]), np.array([len(raw)]))
+        assert apart.tolist() == together.tolist()
+    began = time.time()
+    text = "".join(rng.choice(list("etaoinshrdlu"), 1 << 20))
+    ids, first = codec.encode(pa.array([text, "short", text[:10]]))
+    assert codec.decode(ids, first).to_pylist() == [text, "short", text[:10]] and time.time() - began < 30
+    empty, at = codec.encode(pa.array([], pa.string()))
+    assert len(empty) == 0 and at.tolist() == [0]
+
+
+@pytest.fixture(scope="module")
+def run_of_pipeline(spark):
+    """All stages by themselves, each one's rows kept, and run()."""
+    docs, kept = spark.read.parquet(f"{SF}/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES:
+        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), stage(spark, docs.limit(0), SF).schema)
+        kept.append(docs)
+    return kept, corpus_pipeline.run(spark, SF).collect()
+
+
+def test_pipeline(spark, run_of_pipeline):
+    """Every stage against a plain version of it on its own input, and run() against the last stage."""
+    kept, out = run_of_pipeline
+    before = [spark.read.parquet(f"{SF}/documents.parquet"), *kept[:-1]]
+    ids = [{r["doc_id"] for r in df.collect()} for df in kept]
+    assert [df.columns for df in kept[:4]] == [before[0].columns] * 4
+    net = toxicity.fit(before[0], spark.read.parquet(f"{SF}/labels.parquet").where(~toxicity.held_out()))
+    assert ids[0] == {r["doc_id"] for r in before[0].collect() if toxicity.score_texts(net, pa.array([r["text"]]))[0] < toxicity.THRESHOLD}
+    filters = language_id.fit(before[1].where(~language_id.held_out()))
+    assert ids[1] == {r["doc_id"] for r in before[1].collect() if any(c.isalpha() for c in r["text"] or "") and share_of_grams(filters, r["text"]) >= corpus_pipeline.LEAST_LANGUAGE_SCORE}
+    labels, _ = exact_components([(r["doc_id"], r["text"]) for r in before[2].collect()])
+    assert ids[2] == {i for i, c in labels.items() if i == c}
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    dirty = {r[0] for r in brute_decontaminate(rows, bench) if r[2]}
-    assert {r["doc_id"] for r in kept.collect()} == {i for i, c in labels.items() if i == c} - dirty
+    assert ids[3] == {r[0] for r in brute_decontaminate([(r["doc_id"], r["text"]) for r in before[3].collect()], bench) if not r[2]}
+    codec = sentencepiece_codec.Codec.load(queries.piece_model())
+    tokens = {r["doc_id"]: len(codec.encode(pa.array([r["text"]]))[0]) for r in before[4].collect()}
+    assert {r["doc_id"]: r["n_tokens"] for r in out} == tokens and all(r["round_trip"] for r in out)
+
+
+def test_pipeline_rows_of_all_kinds(spark):
+    """Null texts and ids, repeated rows and extra columns: each stage has a defined result."""
+    text = " ".join(f"word{k} and some more" for k in range(40))
+    rows = [(1, text, "en", "s", 9, "x"), (1, text, "en", "s", 9, "x"), (2, text, "en", "s", 9, "x"), (None, text, "en", "s", 9, "x"), (3, None, None, None, None, "x"), (4, "", None, None, None, "x"), (None, None, None, None, None, "x"), (1, "another text", None, None, None, "x")]
+    docs = spark.createDataFrame(rows, DOCS + ", ka string")
+    once = sorted((r["doc_id"] or 0, (r["text"] or "")[:5]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect())
+    assert once == [(0, ""), (1, "anoth"), (1, "word0"), (3, ""), (4, "")]
+    assert corpus_pipeline.drop_contaminated(spark, docs, SF).count() == 8
+    assert {r["doc_id"] for r in corpus_pipeline.keep_languages(spark, docs, SF).collect() if r["text"] in (None, "")} == set()
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), SF).count() == 0 and corpus_pipeline.drop_contaminated(spark, docs.limit(0), SF).count() == 0
+
+
+def share_of_grams(filters, text):
+    """The best language's share of a text's n-grams, corrected, one n-gram at a time."""
+    plain = regex.sub(r"[^\p{L}\p{M}]+", " ", text or "").encode()
+    flat = b" " + plain.translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))) + b" "
+    grams = [flat[i : i + 4] for i in range(len(flat) - 3) if flat[i : i + 4].count(b" ") <= 1]
+    if not grams:
+        return 0.0
+    best, false = 0.0, filters.false_rates()
+    for i in range(len(filters.languages)):
+        n = sum(all(int(filters.masks[0][int(at[0])]) >> i & 1 for at in language_id.slots(np.array([int.from_bytes(g, "little")], np.uint64))) for g in grams)
+        best = max(best, (n - len(grams) * false[i]) / (1 - false[i]))
+    return best / len(grams)
+
+
+def test_language_filters_against_sets(spark):
+    """Every n-gram that a language has often enough is in its filter, and a text's counts are those of a plain loop."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang is not null and text is not null")
+    filters = language_id.fit(docs)
+    asked = docs.limit(20).collect()
+    got = {r["doc_id"]: r["score"] for r in language_id.predict(docs, filters, ["doc_id"]).collect()}
+    for r in asked:
+        assert got[r["doc_id"]] == pytest.approx(share_of_grams(filters, r["text"]), abs=1e-9)
+
+
+def test_language_odd_texts(spark):
+    """Symbols of any script are no letters; ties, repeats, long texts, clashing names and null ids have a result."""
+    learnt = docs_of(spark, [(i, "et puis — — « » été … 。 " * 5) for i in range(20)])
+    filters = language_id.fit(learnt)
+    odd = [(1, "— — —"), (2, "…"), (3, "😀 😀"), (4, "١٢٣"), (None, "et puis"), (5, "et puis " * 200_000), (5, "et puis " * 200_000)]
+    df = docs_of(spark, odd).withColumn("score", F.lit("old")).withColumn("lang_pred", F.lit(1))
+    out = language_id.predict(df, filters, ["doc_id", "score", "lang_pred"]).collect()
+    assert len(out) == 7 and all((r["lang_pred"] == "und") == (r["doc_id"] in (1, 2, 3, 4)) for r in out)
+
+
+def test_found_codes_are_few():
+    """On clustered codes a search looks at far fewer than all."""
+    rng = np.random.default_rng(1)
+    codes = np.repeat(rng.integers(0, 1 << 63, 2000).view(np.uint64), 15)
+    for _ in range(3):
+        codes = codes ^ (np.uint64(1) << rng.integers(0, 63, len(codes)).astype(np.uint64))
+    codes = np.unique(codes)
+    *_, verified = hamming_search.nearest(codes, np.ones(len(codes), np.int64), np.arange(len(codes)), codes[::300], 10)
+    assert verified < 0.01 * len(codes) * len(codes[::300])
+
+
+def test_operators_take_clashing_names_and_long_texts(spark):
+    """Columns named as those made inside or in the result, and a text of a megabyte."""
+    long = " ".join(f"w{k}" for k in range(150_000))
+    df = docs_of(spark, [(1, long), (2, long), (3, None)]).withColumn("row", F.lit("r")).withColumn("sig", F.lit(1)).withColumn("n_shingles", F.lit("n")).withColumn("found", F.lit("f")).withColumn("score", F.lit("s"))
+    near = near_dup.group(df, ["doc_id", "row", "sig", "n_shingles"], "doc_id").collect()
+    assert {(r["doc_id"], r["row"], r["component"], r["n_shingles"]) for r in near} == {(1, "r", 1, 149_996), (2, "r", 1, 149_996), (3, "r", 3, 0)}
+    bench = spark.createDataFrame([(1, "w5 w6 w7")], "item_id long, text string")
+    hits = decontaminate.find(df, bench, keep=["doc_id", "row", "found"]).collect()
+    assert {(r["doc_id"], r["found"], r["n_hit"]) for r in hits} == {(1, "f", 3), (2, "f", 3), (3, "f", 0)}
+    net = toxicity.Net.fresh(1)
+    assert {r["doc_id"] for r in toxicity.score(df.where("doc_id is null or doc_id <> 2"), net, ["doc_id", "score"]).collect()} == {1, 3}
 
 
 def test_nearest_codes_in_a_block():
@@ -251,8 +447,8 @@ def test_nearest_codes_in_a_block():
         counts, least = rng.integers(1, 5, len(codes)), rng.permutation(len(codes)).astype(np.int64)
         asked = np.concatenate([codes[:70], rng.integers(0, 1 << 63, 3).view(np.uint64)])
         found: dict[int, list] = {}
-        for i, c, d in zip(*hamming_search.nearest(codes, counts, least, asked, 10), strict=True):
-            found.setdefault(i, []).append((d, int(least[c]), int(counts[c])))
+        for i, c, d in zip(*hamming_search.nearest(codes, counts, least, asked, 10)[:3], strict=True):
+            found.setdefault(int(i), []).append((int(d), int(least[c]), int(counts[c])))
         for i, q in enumerate(asked):
             every = sorted(zip(np.bitwise_count(codes ^ q).tolist(), least.tolist(), counts.tolist(), strict=True))[:11]
             # entries beyond the distance of the eleventh id may be left out

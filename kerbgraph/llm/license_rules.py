@@ -203,8 +203,8 @@ CLAUSES = (
     ("tcl", "the authors hereby grant permission to use copy modify distribute and license this software and its documentation for any purpose", "authors hereby grant permission", 1),
     ("vim", "vim is charityware", "charityware", 1),
     ("beerware", "as long as you retain this notice you can do whatever you want with this stuff", "whatever you want with this stuff", 1),
-    ("wtfpl", "you just do what the fuck you want to", "you just do what", 1),
-    ("json", "the software shall be used for good not evil", "good not evil", 1),
+    ("wtfpl", "you just do what the fuck you want to", "the fuck you", 1),
+    ("json", "the software shall be used for good not evil", "not evil", 1),
     ("fair", "usage of the works is permitted provided that this instrument is retained with the works", "usage of the works is permitted", 1),
     ("naumen", "naumen public license", "naumen", 1),
     ("ntp", "permission to use copy modify and distribute this software and its documentation for any purpose with or without fee is hereby granted provided that", "is hereby granted provided that", 2),
@@ -274,8 +274,9 @@ CLAUSES = (
     ("openrail", "(?:creative ml|bigscience|bigcode) open ?rail(?: m)?", "rail", 1),
     ("llama", "llama [0-9](?: [0-9])? community license(?: agreement)?", "community license", 1),
     ("gemma", "gemma terms of use", "gemma terms", 1),
-    ("research-only", "for (?:research|academic|non commercial research) (?:use|purposes) only", "for ", 3),
-    ("non-commercial", "for non ?commercial (?:use|purposes) only", "for non", 3),
+    ("research-only", "for (?:non commercial )?research (?:use|purposes) only", "research", 3),
+    ("research-only", "for academic (?:use|purposes) only", "for academic", 3),
+    ("non-commercial", "for non ?commercial (?:use|purposes) only", "commercial", 3),
     ("evaluation", "for (?:internal )?evaluation purposes only", "evaluation purposes only", 3),
     ("personal-use", "free for personal use", "free for personal use", 3),
     # content licenses and the public domain
@@ -321,7 +322,7 @@ CLAUSES = (
     ("unspecified", "subject to the terms (?:and conditions )?of (?:the|this) licen[cs]e", "subject to the terms", 4),
     ("unspecified", "use of this source code is governed by", "source code is governed by", 4),
     ("proprietary", "unauthorized (?:copying|reproduction|use|distribution)", "unauthorized", 3),
-    ("proprietary", "may not be (?:copied|reproduced|distributed|redistributed) without (?:the )?(?:express |prior )*(?:written )?permission", "may not be", 3),
+    ("proprietary", "may not be (?:copied|reproduced|distributed|redistributed) without (?:the )?(?:express |prior )*(?:written )?permission", "permission", 3),
     ("proprietary", "this software is the (?:confidential and )?proprietary (?:information|property) of", "this software is the", 2),
     ("proprietary", "trade secrets? of", "trade secret", 3),
     ("proprietary", "end user licen[cs]e agreement", "end user licen", 3),

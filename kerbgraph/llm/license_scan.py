@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,12 +12,9 @@ from .license_rules import Rule, rules
 
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 GAP = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
-# Every rule's match has one of these in its raw text, or cc followed by one of the words in CC.
-ROOTS = (
-    "licen", "copyright", "rights", "public", "permission", "redistribution", "gnu", "bsd", "spdx", "warrant", "confidential", "later", "commons", "org", "attribution", "source", "cc0", "zero", "terms", "gpl", "apache", "mpl", "epl",
-    "cddl", "eupl", "artistic", "wtfpl", "software", "library", "covered", "verbatim", "invariant", "font", "png", "jpeg", "charityware", "evil", "stuff", "fuck", "instrument", "ebook", "unauthorized", "secret", "reverse", "risk",
-    "liable", "rail", "managed", "modules", "commercial", "evaluation", "personal", "material", "remotely", "research", "publish", "altered", "copies", "works", "neither", "advertising",
-)
+# Stems that most keywords hold. A keyword without one is looked for by its longest word.
+STEMS = ("licen", "copyright", "warrant", "permission", "redistribution", "gnu", "gpl", "apache", "mozilla", "software", "bsd", "creativecommons", "publicdomain", "opensource", "opendatacommons", "research", "commercial", "fuck", "evil")
+#: cc as a word before by or zero: stands for the names that begin so, as no word of theirs is rare.
 CC = r"cc[^0-9a-z\x{80}-\x{10FFFF}]+(by|zero)"
 #: Marks put around a match; words never hold them.
 START, END = "\u0001", "\u0002"
@@ -30,22 +29,40 @@ def normal(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(lower_ascii(text), GAP, " ")), F.lit(" "))
 
 
+def roots(keyword: str) -> tuple[str, ...]:
+    """Texts in lower case one of which is in every text that holds the keyword as words: a part of one of its words."""
+    if keyword == "c" or keyword == "cc by" or keyword.startswith(" by "):
+        return ("cc", "cc0", "commons")
+    return (next((s for s in STEMS if s in keyword), None) or max(keyword.split(), key=lambda w: (len(w), w)),)
+
+
+def keywords_by_root(chosen: list[Rule]) -> dict[str, list[str]]:
+    out: dict[str, set[str]] = {}
+    for rule in chosen:
+        for root in roots(rule.keyword):
+            out.setdefault(root, set()).add(rule.keyword)
+    return {root: sorted(out[root]) for root in sorted(out)}
+
+
 def detect(df: DataFrame, text: str, row: str, chosen: list[Rule] | None = None) -> DataFrame:
     """(row, rule, label, priority, base, first, last, kept) for every match of every rule, word numbers from 0.
 
-    A text is looked at only if it holds a root; a rule is tried only if the text holds its keyword. Matches of one rule
-    don't overlap. kept is false if another match of the same or a stronger priority covers the interval: of equal intervals
+    A text is looked at only if it holds a root; a rule is tried only if the text holds its root and its keyword. Matches of one
+    rule don't overlap. kept is false if another match of the same or a stronger priority covers the interval: of equal intervals
     of one priority the earlier rule stays. Null and empty texts have no match. Intervals are settled within one text.
     """
     chosen = rules() if chosen is None else chosen
     table = df.sparkSession.createDataFrame(chosen, "rule int, keyword string, regex string, label string, priority int, base boolean")
-    raw = F.lower(text)
-    gate = raw.rlike(CC) & raw.contains("cc")
-    for root in ROOTS:
-        gate = raw.contains(root) | gate
-    keywords = F.array(*[F.lit(k) for k in sorted({r.keyword for r in chosen})])
-    found = df.where(F.col(text).isNotNull()).where(gate).select(row, normal(F.col(text)).alias("words"))
-    found = found.select(row, "words", F.explode(F.filter(keywords, lambda k: F.contains(F.col("words"), k))).alias("keyword")).join(F.broadcast(table), "keyword")
+    known = keywords_by_root(chosen)
+    has = lambda t, root: t.contains(root) & t.rlike(CC) if root == "cc" else t.contains(root)
+    # an array of one element, so that its text is lowered once for all roots
+    raw = F.array(F.lower(text))
+    gate = F.exists(raw, lambda t: reduce(lambda x, root: x | has(t, root), known, F.lit(False)))
+    none = F.array().cast("array<string>")
+    asked = F.transform(raw, lambda t: F.flatten(F.array(*[F.when(has(t, root), F.array(*[F.lit(k) for k in ks])).otherwise(none) for root, ks in known.items()])))
+    found = df.where(F.col(text).isNotNull()).where(gate).select(row, normal(F.col(text)).alias("words"), F.flatten(asked).alias("asked"))
+    held = F.filter(F.array_distinct("asked"), lambda k: F.contains(F.col("words"), k))
+    found = found.select(row, "words", F.explode(held).alias("keyword")).join(F.broadcast(table), "keyword")
     marked = F.expr(f"regexp_replace(words, concat('(?<= )(', regex, ')(?= )'), '{START}$1{END}')")
     found = found.select(row, "rule", "label", "priority", "base", marked.alias("marked")).where(F.contains("marked", F.lit(START)))
     each = F.split(F.trim("marked"), " ")

@@ -127,6 +127,7 @@ def lift_states(outages: DataFrame, before: DataFrame, after: DataFrame, boards:
     Where a layout tells what a line keeps (before, after: step_free_lines), all lifts out at the station count together: closed where every
     platform is cut off, restricted where some are. Elsewhere the message decides: the lines it names, the way to the street, or all
     platforms; never wider. links (ref, station), hubs (hub, station): an outage may name a hub."""
+    outages = outages.select("station", "message", "fetched")
     until = (F.col("fetched") + F.expr(f"interval {LIFT_TTL}")).alias("valid_until")
     base = ["ref", "status", F.lit("step-free").alias("affects"), "headline", F.col("message").alias("reason"), F.lit("TfL Unified API lift disruptions").alias("source"), F.col("fetched").alias("valid_from"), until]
     joint = outages.groupBy("station").agg(F.array_join(F.array_sort(F.collect_set("message")), " ").alias("message"), F.min("fetched").alias("fetched"))

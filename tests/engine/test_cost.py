@@ -1,5 +1,7 @@
 """Hand-worked rows of the cost rules."""
 
+import contextlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,27 +14,56 @@ def known(value, kind="double", state="reported"):
     return cost.attr(F.lit(value).cast(kind), state)
 
 
-@pytest.fixture(scope="module")
-def judge(spark):
-    def run(preset="manual-wheelchair", conditions=None, **columns):
-        base = {"kind": F.lit("footway"), "length_m": F.lit(100.0), "bridge": F.lit(False), "width": known(2.0), "surface": known("asphalt", "string"), "incline": known(0.0)}
-        df = spark.range(1).select(*[v.alias(k) for k, v in (base | columns).items()], profiles.preset(preset).alias("p"), cost.conditions(**({"now": NOW} | (conditions or {}))).alias("c"))
-        return cost.evaluate(df, reasons=True).first()
+class Told:
+    """A case that isn't evaluated yet: stands for whatever is asked of it."""
+
+    __eq__ = __gt__ = __lt__ = lambda self, other: True
+    __getitem__ = __sub__ = __round__ = lambda self, *x: self
+    __hash__ = None
+
+    def __len__(self):
+        return 1
+
+    def __iter__(self):
+        return iter([self])
+
+
+def at_once(test):
+    """Run a test's body twice: first its cases are gathered, then they are evaluated in one job, then it is run on what came of them."""
+
+    def run(spark):
+        cases = []
+        with contextlib.suppress(AssertionError, TypeError):
+            test(lambda preset="manual-wheelchair", conditions=None, **columns: cases.append((preset, conditions, columns)) or Told())
+        base = {"kind": F.lit("footway"), "length_m": F.lit(100.0), "bridge": F.lit(False), "width": known(2.0), "surface": known("asphalt", "string"), "incline": known(0.0), "forward": F.lit(True), "bidirectional": F.lit(True)}
+        pick = lambda values, kind: F.element_at(F.array(*[v.cast(kind) for v in values]), F.col("id").cast("int") + 1)
+        columns = {name: pick([(base | c).get(name, F.lit(None)) for _, _, c in cases], kind).alias(name) for name, kind in cost.ARC.items()}
+        conditions = [cost.conditions(**({"now": NOW} | (c or {}))) for _, c, _ in cases]
+        df = spark.range(len(cases)).select("id", pick([F.lit(p) for p, _, _ in cases], "string").alias("preset"), F.element_at(F.array(*conditions), F.col("id").cast("int") + 1).alias("c"), *columns.values())
+        rows = cost.evaluate(df.join(F.broadcast(profiles.presets(spark)), "preset"), reasons=True).orderBy("id").collect()
+        assert len(rows) == len(cases) > 3
+        left = iter(rows)
+        test(lambda *a, **k: next(left))
+        assert next(left, None) is None
 
+    run.__name__ = test.__name__
     return run
 
 
 def reasons(row):
+    if isinstance(row, Told):
+        return row
     return [(r["kind"], r["attr"], round(r["seconds"], 4)) for r in row["reasons"]]
 
 
+@at_once
 def test_slope(judge):
     r = judge(incline=known(6.0))  # 1 m/s slowed to 0.58; (6 - 4) / (8 - 4) = 0.5
     assert r["seconds"] == pytest.approx(100 / 0.58) and r["cost"] == pytest.approx(100 / 0.58 * 1.5) and r["passable"] == "yes"
     down = judge(incline=known(6.0), forward=F.lit(False))
     assert down["seconds"] == pytest.approx(100 / 0.88)
     assert judge(incline=known(2.0), incline_max=known(8.3))["excluded_by"] == "incline"
-    assert judge(incline=known(2.0), incline_max=known(8.3), length_m=F.lit(9.0))["excluded_by"] is None  # short pinches get half a percent
+    assert judge(incline=known(2.0), incline_max=known(8.3), length_m=F.lit(9.0))["excluded_by"] in (None,)  # short pinches get half a percent
     assert judge(preset="manual-wheelchair-companion", incline=known(-9.5))["excluded_by"] == "incline"  # 10 up, 9 down
     assert judge(incline=known(5.0), conditions={"ice": True})["excluded_by"] == "incline"
     unknown = judge(incline=known(None))
@@ -40,6 +71,7 @@ def test_slope(judge):
     assert judge(preset="walking", incline=known(None))["cost"] == pytest.approx(100 / 1.3)
 
 
+@at_once
 def test_order_and_first_exclusion(judge):
     r = judge(kind=F.lit("steps"), incline=known(20.0), surface=known("gravel", "string"))
     assert r["excluded_by"] == "steps" and len(r["reasons"]) == 1 and r["cost"] == float("inf")
@@ -51,6 +83,7 @@ def test_order_and_first_exclusion(judge):
     assert judge(kind=F.lit("escalator"))["excluded_by"] == "escalator" and judge(wheelchair=known("no", "string"))["excluded_by"] == "wheelchair"
 
 
+@at_once
 def test_surface_width_pavement(judge):
     assert judge(surface=known("sett", "string"), conditions={"wet": True})["cost"] == pytest.approx(100 + 100 * 0.6 * 1.8)
     assert judge(surface=known("sett", "string"), conditions={"ice": True})["excluded_by"] == "surface"
@@ -65,6 +98,7 @@ def test_surface_width_pavement(judge):
     assert judge(gritted=known(False, "boolean"), conditions={"ice": True})["cost"] == 200
 
 
+@at_once
 def test_rest_notes_and_reports(judge):
     assert judge(preset="rollator", bench_m=F.lit(31.0))["cost"] == pytest.approx(125 * 1.6)
     note = lambda score: F.struct(F.lit(2).alias("count"), F.lit(score).alias("score"))
@@ -77,11 +111,12 @@ def test_rest_notes_and_reports(judge):
     assert judge(community=report("smooth-pavement", "confirmed"), surface=known(None, "string"))["cost"] == pytest.approx(117.5 - 7)
 
 
+@at_once
 def test_live_and_stations(judge):
     live = lambda status, affects=None, until="2026-10-05": F.struct(F.lit(status).alias("status"), F.lit(affects).cast("string").alias("affects"), F.lit(None).cast("string").alias("headline"), F.lit("works").alias("reason"), F.lit("2026-10-01").cast("timestamp").alias("valid_from"), F.lit(until).cast("timestamp").alias("valid_until"))
-    assert judge(live=live("closed"))["excluded_by"] == "live" and judge(live=live("closed", until="2026-10-03"))["excluded_by"] is None
-    assert judge(live=live("closed"), conditions={"ignore_closures": True})["excluded_by"] is None
-    assert judge(preset="walking", live=live("closed", "step-free"))["excluded_by"] is None
+    assert judge(live=live("closed"))["excluded_by"] == "live" and judge(live=live("closed", until="2026-10-03"))["excluded_by"] in (None,)
+    assert judge(live=live("closed"), conditions={"ignore_closures": True})["excluded_by"] in (None,)
+    assert judge(preset="walking", live=live("closed", "step-free"))["excluded_by"] in (None,)
     assert judge(live=live("degraded"))["passable"] == "unknown"
     board = {"kind": F.lit("board"), "step_count": known(0.0)}
     assert judge(**board)["cost"] == 240 and judge(**board, forward=F.lit(False))["cost"] == 90
@@ -94,6 +129,7 @@ def test_live_and_stations(judge):
     assert judge(kind=F.lit("transit"), length_m=F.lit(850.0))["cost"] == 100
 
 
+@at_once
 def test_buses(judge):
     def bus(n, mode="bus", **more):
         hours = F.array(*[F.lit(n).cast("int")] * 24)
@@ -108,6 +144,7 @@ def test_buses(judge):
     assert judge(preset="walking", **(bus(6) | {"kind": F.lit("transit")}), length_m=F.lit(500.0))["cost"] == 100
 
 
+@at_once
 def test_preferences_and_weather(judge):
     assert judge(preset="visual-impairment", shared=known(True, "boolean", "inferred"))["cost"] == pytest.approx(100 / 1.1 + 30)
     assert judge(preset="visual-impairment", conditions={"dark": True}, lit=known(False, "boolean"))["cost"] == pytest.approx(100 / 1.1 + 60)
@@ -128,7 +165,7 @@ def test_nodes(spark):
     assert node("manual-wheelchair", via_crossing=F.lit(True))["passable"] == "unknown" and node("walking", via_crossing=F.lit(True))["cost"] == 0
     door = lambda **d: F.struct(*[F.lit(d.get(k)).cast(t).alias(k) for k, t in (("door", "string"), ("automatic", "string"), ("step_count", "double"), ("width_m", "double"), ("wheelchair", "string"), ("ramp", "boolean"))])
     assert node("manual-wheelchair", entrance=door(door="revolving"))["excluded_by"] == "entrance" and node("manual-wheelchair", entrance=door(width_m=0.7))["excluded_by"] == "entrance"
-    assert node("walking", entrance=door(step_count=5.0))["excluded_by"] is None
+    assert node("walking", entrance=door(step_count=5.0))["excluded_by"] in (None,)
     cross = lambda control, sound=None, cone=None, tactile=None: F.struct(known(control, "string").alias("control"), known(sound, "boolean").alias("sound"), known(cone, "boolean").alias("vibration"), known(tactile, "boolean").alias("tactile"))
     assert node("visual-impairment", crossing=cross("zebra", tactile=True))["cost"] == 60 and node("visual-impairment", crossing=cross("signals", True, tactile=False))["cost"] == 45
     assert node("visual-impairment", crossing=cross("signals", False, False, True))["cost"] == 120 and node("visual-impairment", crossing=cross(None, tactile=True))["passable"] == "unknown"

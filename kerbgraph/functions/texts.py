@@ -79,10 +79,11 @@ def distance_text(metres: Column, miles: Column, precise: bool = False) -> Colum
 
 
 def age_text(seconds: Column) -> Column:
-    """How long ago something was, in the largest unit that fits; nothing in the future is told."""
+    """How long ago something was: today, yesterday, days up to 60, months up to 24, years."""
     days = F.floor(F.greatest(seconds, F.lit(0)) / 86_400)
-    many = lambda n, word: F.concat(n.cast("string"), F.lit(f" {word}"), F.when(n == 1, "").otherwise("s"), F.lit(" ago"))
-    return F.when(days == 0, "today").when(days == 1, "yesterday").when(days < 14, many(days, "day")).when(days < 60, many(F.floor(days / 7), "week")).when(days < 730, many(F.floor(days / 30), "month")).otherwise(many(F.floor(days / 365), "year"))
+    said = lambda n, word: F.concat(n.cast("string"), F.lit(f" {word} ago"))
+    months = js_round(days / 30)
+    return F.when(days < 1, "today").when(days == 1, "yesterday").when(days < 60, said(days, "days")).when(months < 24, said(months, "months")).otherwise(said(js_round(days / 365), "years"))
 
 
 def first_address(forwarded: Column) -> Column:

@@ -6,20 +6,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def osm_ways(spark: SparkSession, path: str) -> DataFrame:
-    """(id, nodes, tags, timestamp) of the ways of map XML; of several versions of an id the one last in time."""
-    schema = "_id long, _timestamp string, nd array<struct<_ref:long,_VALUE:string>>, tag array<struct<_k:string,_v:string,_VALUE:string>>"
-    ways = spark.read.format("xml").option("rowTag", "way").schema(schema).load(path)
-    tags = F.map_from_entries(F.transform(F.coalesce("tag", F.array().cast("array<struct<_k:string,_v:string,_VALUE:string>>")), lambda t: F.struct(t["_k"], t["_v"])))
-    rows = ways.select(F.col("_id").alias("id"), F.transform("nd", lambda n: n["_ref"]).alias("nodes"), tags.alias("tags"), F.col("_timestamp").alias("timestamp"))
-    return rows.groupBy("id").agg(F.max_by(F.struct("nodes", "tags", "timestamp"), F.coalesce("timestamp", F.lit(""))).alias("v")).select("id", "v.*")
+_TAG = "array<struct<_k:string,_v:string,_VALUE:string>>"
 
 
-def osm_nodes(spark: SparkSession, path: str) -> DataFrame:
-    schema = "_id long, _lat double, _lon double, _timestamp string, tag array<struct<_k:string,_v:string,_VALUE:string>>"
-    nodes = spark.read.format("xml").option("rowTag", "node").schema(schema).load(path)
-    tags = F.map_from_entries(F.transform(F.coalesce("tag", F.array().cast("array<struct<_k:string,_v:string,_VALUE:string>>")), lambda t: F.struct(t["_k"], t["_v"])))
-    return nodes.select(F.col("_id").alias("id"), F.col("_lon").alias("lon"), F.col("_lat").alias("lat"), tags.alias("tags"))
+def _elements(spark: SparkSession, paths: tuple[str, ...], kind: str, schema: str) -> DataFrame:
+    """Elements of map XML files with tags and the number of their file."""
+    out = None
+    for i, path in enumerate(paths):
+        rows = spark.read.format("xml").option("rowTag", kind).schema(f"_id long, _timestamp string, {schema}, tag {_TAG}").load(path).withColumn("file", F.lit(i))
+        out = rows if out is None else out.unionByName(rows)
+    tags = F.map_from_entries(F.transform(F.coalesce("tag", F.array().cast(_TAG)), lambda t: F.struct(t["_k"], t["_v"])))
+    return out.withColumn("tags", tags).withColumnRenamed("_id", "id").withColumnRenamed("_timestamp", "timestamp")
+
+
+def _last(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One row an id: that of the last file, in a file the last by time."""
+    return rows.groupBy("id").agg(F.max_by(F.struct(*columns), F.struct("file", F.coalesce("timestamp", F.lit("")))).alias("v")).select("id", "v.*")
+
+
+def osm_ways(spark: SparkSession, *paths: str) -> DataFrame:
+    """(id, nodes, tags, timestamp) of the ways of map XML; a way in several files is taken from the last."""
+    ways = _elements(spark, paths, "way", "nd array<struct<_ref:long,_VALUE:string>>")
+    return _last(ways.withColumn("nodes", F.transform("nd", lambda n: n["_ref"])), ["nodes", "tags", "timestamp"])
+
+
+def osm_nodes(spark: SparkSession, *paths: str) -> DataFrame:
+    """(id, lon, lat, tags, timestamp) of the nodes of map XML; a node in several files is taken from the last."""
+    nodes = _elements(spark, paths, "node", "_lat double, _lon double")
+    return _last(nodes.withColumnRenamed("_lon", "lon").withColumnRenamed("_lat", "lat"), ["lon", "lat", "tags", "timestamp"])
 
 
 def gtfs(spark: SparkSession, folder: str, table: str, schema: str) -> DataFrame:
@@ -33,14 +47,15 @@ def lift_outages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def region_alerts(spark: SparkSession, path: str) -> DataFrame:
+    """(status, geography_name, geography_code, refresh_date) of regions whose status is one of the four."""
     raw = spark.read.schema("status string, geography_name string, geography_code string, refresh_date string").option("multiLine", True).json(path)
     return raw.where(F.lower("status").isin("green", "yellow", "amber", "red")).withColumn("status", F.lower("status"))
 
 
 def latest_level(spark: SparkSession, path: str) -> DataFrame:
-    """(ts_id, at, level): the last valid reading by place in the list, not by time."""
+    """(ts_id, at, level): the last reading with a number and a date by place in the list, not by time."""
     raw = spark.read.schema("ts_id string, data array<array<string>>").option("multiLine", True).json(path)
-    rows = raw.select("ts_id", F.posexplode("data").alias("i", "x")).select("ts_id", "i", F.col("x")[0].alias("at"), F.col("x")[1].try_cast("double").alias("level")).where("level is not null")
+    rows = raw.select("ts_id", F.posexplode("data").alias("i", "x")).select("ts_id", "i", F.col("x")[0].alias("at"), F.col("x")[1].try_cast("double").alias("level")).where(F.col("level").isNotNull() & F.try_to_timestamp("at").isNotNull())
     return rows.groupBy("ts_id").agg(F.max_by(F.struct("at", "level"), "i").alias("v")).select("ts_id", "v.*")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kerbgraph.functions import columns as C
 from kerbgraph.operators import graph, relational
-from kerbgraph.operators.cost import Profile, evaluate
+from kerbgraph.plans import graph_queries
 from kerbgraph.plans import queries as plans
 from kerbgraph.sources import feeds
 from kerbgraph.streaming import overlay
@@ -42,17 +42,6 @@ def test_confidence_rules(spark):
     assert one(spark, args("verified", 4383.0, 0, True)) == pytest.approx(0.475)
 
 
-def test_cost_stops_at_first_exclusion(spark):
-    schema = "id int, steps double, grade double, camber double, surface string, width double, length_m double, wet boolean"
-    rows = [(1, 2.0, 20.0, 0.0, "gravel", 0.1, 50.0, False), (2, 0.0, 6.0, 9.0, "gravel", 2.0, 50.0, False), (3, 0.0, 0.0, 0.0, "asphalt", 2.0, 50.0, False), (4, 0.0, None, None, None, None, 100.0, True), (5, 0.0, 8.3, 0.0, "asphalt", 2.0, 5.0, False)]
-    got = {r["id"]: r for r in evaluate(spark.createDataFrame(rows, schema), Profile()).collect()}
-    assert got[1]["excluded_by"] == "steps" and len(got[1]["reasons"]) == 1 and math.isinf(got[1]["cost"])
-    assert [r["reason"] for r in got[2]["reasons"]] == ["gradient", "camber", "surface"] and got[2]["excluded_by"] == "surface"
-    assert got[3]["cost"] == 50 and got[3]["reasons"] == []
-    assert got[4]["cost"] == pytest.approx(100 + 60 * 0.7 + 25 + 20)
-    assert got[5]["excluded_by"] is None  # half a percent is allowed on short edges
-
-
 def test_graph(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (10, 11), (11, 12), (12, 13), (13, 10), (5, 5)], "a long, b long")
     assert {(r[0], r[1]) for r in graph.components(links).collect()} == {(1, 1), (2, 1), (3, 1), (10, 10), (11, 10), (12, 10), (13, 10), (5, 5)}
@@ -76,8 +65,12 @@ def test_feeds(spark, tmp_path):
     way = feeds.osm_ways(spark, str(tmp_path / "m.xml")).first()
     assert way["nodes"] == [1, 2] and way["tags"] == {"highway": "steps"}
     assert feeds.osm_nodes(spark, str(tmp_path / "m.xml")).first()["tags"] == {"kerb": "flush"}
-    (tmp_path / "l.json").write_text('[{"ts_id":"a","data":[["t1",1.0],["t2",2.5],["t3",null]]}]')
-    assert tuple(feeds.latest_level(spark, str(tmp_path / "l.json")).first()) == ("a", "t2", 2.5)
+    (tmp_path / "n.xml").write_text('<osm><node id="1" lat="9" lon="2.5" timestamp="2020"/><way id="7" timestamp="2020"><nd ref="5"/></way></osm>')
+    assert feeds.osm_nodes(spark, str(tmp_path / "m.xml"), str(tmp_path / "n.xml")).first()["lat"] == 9 and feeds.osm_ways(spark, str(tmp_path / "m.xml"), str(tmp_path / "n.xml")).first()["nodes"] == [5]
+    (tmp_path / "a.json").write_text('[{"status":"Amber","geography_name":"London","geography_code":"E1","refresh_date":"x"},{"status":"Purple","geography_code":"E2"}]')
+    assert [r["status"] for r in feeds.region_alerts(spark, str(tmp_path / "a.json")).collect()] == ["amber"]
+    (tmp_path / "l.json").write_text('[{"ts_id":"a","data":[["2026-01-01T00:00:00Z",1.0],["2026-01-01T01:00:00Z",2.5],["2026-01-01T02:00:00Z",null],["soon",9.0]]}]')
+    assert tuple(feeds.latest_level(spark, str(tmp_path / "l.json")).first()) == ("a", "2026-01-01T01:00:00Z", 2.5)
     (tmp_path / "lift.json").write_text('[{"stationUniqueId":"s","disruptedLiftUniqueIds":["x","y"],"message":"m"},{"message":"no station"}]')
     assert feeds.lift_outages(spark, str(tmp_path / "lift.json")).count() == 2
 
@@ -104,7 +97,7 @@ def test_normalise_text_takes_every_document(spark, tmp_path):
 
     texts = ["Straße nach Gießen", "Œuvre, cœur d'Été", "Ærø æon", "plain", None, ""]
     saved(spark, tmp_path, "documents", [("x" if i % 2 else "y", text) for i, text in enumerate(texts)], "lang string, text string")
-    got = {r["lang"]: (r["n"], r["chars"]) for r in plans.normalise_text_all(spark, str(tmp_path)).collect()}
+    got = {r["lang"]: (r["n"], r["chars"]) for r in plans.normalise_text(spark, str(tmp_path)).collect()}
     assert got == {k: (3, sum(len(norm(x or "")) for x in texts[at::2])) for k, at in (("y", 0), ("x", 1))}
 
 
@@ -126,20 +119,21 @@ def test_asof_and_hold_take_all_keys(spark, tmp_path):
     for k in keys:
         before = [(r[1], r[0]) for r in rows if r[2] == k % 150 and r[1] <= START + datetime.timedelta(days=k % 30)]
         expected[k] = max(before)[1] if before else None
-    assert {r[0]: r[1] for r in plans.asof_last_reading_all(spark, str(tmp_path)).collect()} == expected
+    assert {r[0]: r[1] for r in plans.asof_last_reading(spark, str(tmp_path)).collect()} == expected
     held, last = {}, {}
     for i, ts, _, kind, value, props in sorted(rows, key=lambda r: (r[1], r[0])):
         if kind != "error":
             last[props] = (ts, value)
         ts0, good = last.get(props, (START - datetime.timedelta(days=1), None))
         held[i] = good if ts - ts0 <= datetime.timedelta(minutes=15) else None
-    assert {r[0]: r[1] for r in plans.hold_last_good_all(spark, str(tmp_path)).collect()} == held
+    assert {r[0]: r[1] for r in plans.hold_last_good(spark, str(tmp_path)).collect()} == held
 
 
 def test_replace_by_source_takes_all_current_rows(spark, tmp_path):
-    kinds = [(1, 1, "error", 100), (2, 2, "click", 100), (3, 3, "click", 200), (5, 90, "click", 200), (4, 7, "view", 200)]  # odd ids and users from 20 on, too
+    kinds = [(1, 1, "error", 100), (2, 1, "click", 100), (3, 3, "click", 200), (5, 3, "click", 200), (4, 7, "view", 200)]
     saved(spark, tmp_path, "events", [(i, START, user, kind, 0.0, '{"k": %d}' % k) for i, user, kind, k in kinds], EVENTS)
-    assert {tuple(r) for r in plans.replace_by_source_all(spark, str(tmp_path)).select("k", "source", "event_id").collect()} == {(100, "error", 1), (200, "click", 5)}
+    out = plans.replace_by_source(spark, str(tmp_path)).select("k", "user_id", "source", "event_id").collect()
+    assert {tuple(r) for r in out} == {(100, 1, "error", 1), (200, 3, "click", 5)}
 
 
 def test_supply_graph_takes_all_parts_and_hops(spark, tmp_path):
@@ -161,7 +155,7 @@ def test_supply_graph_takes_all_parts_and_hops(spark, tmp_path):
     label = {a: a for a in arcs}
     for _ in arcs:
         label = {a: min(label[a], *(label[b] for b in arcs[a])) for a in arcs}
-    assert {r["node"]: r["cost"] for r in plans.shortest_path_relax_all(spark, str(tmp_path)).collect()} == cost and len(cost) == 21
-    assert {r["node"]: r["component"] for r in plans.components_bipartite_all(spark, str(tmp_path)).collect()} == label
-    shared = {(a, b): len(parts[a] & parts[b]) for a in parts for b in parts if a < b and len(parts[a] & parts[b]) >= 5}
-    assert shared and {(r["a"], r["b"]): r["shared"] for r in plans.overlap_share_all(spark, str(tmp_path)).collect()} == shared
+    assert {r["node"]: r["cost"] for r in graph_queries.shortest_path_relax(spark, str(tmp_path)).collect()} == cost and len(cost) == 21
+    assert {r["node"]: r["component"] for r in graph_queries.components_bipartite(spark, str(tmp_path)).collect()} == label
+    shared = {(a, b): len(parts[a] & parts[b]) for a in parts for b in parts if a < b and len(parts[a] & parts[b]) >= 0.3 * max(len(parts[a]), len(parts[b]))}
+    assert shared and {(r["a"], r["b"]): r["shared"] for r in plans.overlap_share(spark, str(tmp_path)).collect()} == shared

@@ -394,10 +394,12 @@ def round_trip(documents: DataFrame, model_file: str) -> DataFrame:
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_file)
     is_byte = [i for i in range(model.get_piece_size()) if model.is_byte(i)]
-    of_bytes = F.array(*[F.lit(i) for i in is_byte]).cast("array<int>")
+    known = set(is_byte)
+    # from the least to the largest id of a byte, whether each is one
+    flags = F.array(*[F.lit(i in known) for i in range(min(is_byte, default=0), max(is_byte, default=0) + 1)])
     df = encode(documents.select("doc_id", "text"), model_file)
     ids = F.coalesce("ids", F.array().cast("array<int>"))
     return df.select(
-        "doc_id", F.size(ids).cast("long").alias("n_tokens"), F.size(F.filter(ids, lambda x: F.array_contains(of_bytes, x))).cast("long").alias("n_byte_tokens"),
+        "doc_id", F.size(ids).cast("long").alias("n_tokens"), F.size(F.filter(ids, lambda x: F.coalesce(F.get(flags, x - min(is_byte, default=0)), F.lit(False)))).cast("long").alias("n_byte_tokens"),
         F.sha2(F.concat_ws(",", ids.cast("array<string>")), 256).alias("ids_sha256"), F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"),
     )

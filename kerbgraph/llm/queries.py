@@ -1,4 +1,4 @@
-"""The queries of the ten operators over the driver's tables, and their SQL twins."""
+"""The queries of the thirteen operators over the driver's tables, and their SQL twins."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, hamming_search, html_text, language_id, license_scan, near_dup, sentencepiece_codec, sharding, toxicity
+from . import chat_format, decontaminate, divergence, fingerprint, hamming_search, html_text, language_id, license_scan, merkle, near_dup, sentencepiece_codec, sharding, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,10 +58,22 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.query(table(spark, sf_dir, "conversations"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_sentencepiece, op2_decontamination, op3_minhash_near_dup, op4_exact_top_k, op5_html_extraction, op6_language_id, op7_license_scan, op8_toxicity, op9_sharding, op10_chat_format)
+    found = (op1_sentencepiece, op2_decontamination, op3_minhash_near_dup, op4_exact_top_k, op5_html_extraction, op6_language_id, op7_license_scan, op8_toxicity, op9_sharding, op10_chat_format, op11_fingerprints, op12_merkle_manifest, op13_source_divergence)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontaminate.ORACLE, "op4_exact_top_k": hamming_search.ORACLE, "op9_sharding": sharding.oracle(), "op10_chat_format": chat_format.ORACLE}
+    return {"op2_decontamination": decontaminate.ORACLE, "op4_exact_top_k": hamming_search.ORACLE, "op9_sharding": sharding.oracle(), "op10_chat_format": chat_format.ORACLE, "op12_merkle_manifest": merkle.oracle(), "op13_source_divergence": divergence.ORACLE}

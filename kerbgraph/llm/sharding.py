@@ -75,11 +75,15 @@ def _crc_entry(byte: int) -> int:
     return byte
 
 
+def crc_table() -> str:
+    """A DuckDB list of what each byte does."""
+    return "[" + ", ".join(str(_crc_entry(i)) for i in range(256)) + "]"
+
+
 def _sized() -> str:
-    table = ", ".join(str(_crc_entry(i)) for i in range(256))
     return f"""sized AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size,
     xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)),
-      lambda c, b: xor(c >> 8, ([{table}])[xor(c & 255, b) + 1])), 4294967295) AS text_crc32 FROM documents)"""
+      lambda c, b: xor(c >> 8, ({crc_table()})[xor(c & 255, b) + 1])), 4294967295) AS text_crc32 FROM documents)"""
 
 
 def oracle(shards: int = 8, buckets: int = 64) -> str:

@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 from .common import Tables, written
 from .sharding import crc_table
 
-#: Nodes of a run, levels of a block, and so a block's leaves.
-ARITY, LEVELS = 3, 7
-SPAN = ARITY**LEVELS
+#: Nodes of a run, levels of a block, and rows of a record batch.
+ARITY, LEVELS, BATCH = 3, 7, 2048
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Between a level's left and right siblings, and between levels.
 BESIDE, ABOVE = b"|", b";"
@@ -136,17 +135,18 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
 
 
 def _batched(rows: Iterator[dict], **kinds: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """Rows in record batches of at most SPAN."""
+    """Rows in record batches of at most BATCH."""
     schema = pa.schema(list(kinds.items()))
-    while some := list(islice(rows, SPAN)):
+    while some := list(islice(rows, BATCH)):
         yield pa.RecordBatch.from_pylist(some, schema=schema)
 
 
 _TEXT, _NUMBER = pa.string(), pa.int64()
 
 
-def _levels_of(total: int) -> int:
-    return LEVELS if total > SPAN else height(total)
+def _levels_of(total: int, levels: int) -> int:
+    """What a block climbs: `levels`, or if it is the whole tree, until one node remains."""
+    return levels if total > ARITY**levels else height(total)
 
 
 def field(column: str) -> Column:
@@ -181,23 +181,27 @@ def numbered(tables: Tables, nodes: DataFrame, order: Sequence[str], name: str)
     return placed.withColumn("local", local).join(starts, ["tree", "run"]).withColumn("idx", F.col("start") + F.col("local")).drop("run", "local", "start")
 
 
-def climb(tables: Tables, nodes: DataFrame, name: str) -> list[DataFrame]:
+def _block(levels: int) -> Column:
+    return F.expr(f"idx div {ARITY**levels}").alias("block")
+
+
+def climb(tables: Tables, nodes: DataFrame, name: str, levels: int) -> list[DataFrame]:
     """The rounds of a forest: nodes (tree, idx, total, node), the roots of their blocks, the roots of those blocks, until no tree has two.
-    Each round has a SPAN-th of the rows; a tree of one node is in the next round no more."""
+    Each round has a row for each block of 3**levels of the one before; a tree of one node is in the next round no more."""
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of_blocks() -> Iterator[dict]:
             for rows in _grouped(batches):
                 total = rows[0]["total"]
-                root = block_root([r["node"].encode() for r in rows], _levels_of(total)).decode()
-                yield {"tree": rows[0]["tree"], "idx": rows[0]["block"], "total": -(-total // SPAN), "node": root}
+                root = block_root([r["node"].encode() for r in rows], _levels_of(total, levels)).decode()
+                yield {"tree": rows[0]["tree"], "idx": rows[0]["block"], "total": -(-total // ARITY**levels), "node": root}
 
         return _batched(of_blocks(), tree=_TEXT, idx=_NUMBER, total=_NUMBER, node=_TEXT)
 
     rounds = [nodes]
     while True:
         below = rounds[-1].where("total > 1") if len(rounds) > 1 else rounds[-1]
-        blocks = below.select("tree", "idx", "total", "node", F.expr(f"idx div {SPAN}").alias("block"))
+        blocks = below.select("tree", "idx", "total", "node", _block(levels))
         blocks = blocks.repartition("tree", "block").sortWithinPartitions("tree", "block", "idx")
         rounds.append(tables.write(blocks.mapInArrow(roots, "tree string, idx long, total long, node string"), name))
         if rounds[-1].where("total > 1").isEmpty():
@@ -215,27 +219,27 @@ def subroots(rounds: list[DataFrame]) -> DataFrame:
 _UPPER = ("path", "subroot", "root")
 
 
-def _blocks(nodes: DataFrame, above: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+def _blocks(nodes: DataFrame, above: DataFrame, levels: int, extra: Sequence[str] = ()) -> DataFrame:
     """The rows of blocks after the row that tells what is above each, sorted."""
-    own = nodes.select("tree", F.expr(f"idx div {SPAN}").alias("block"), "idx", "total", "node", *extra)
+    own = nodes.select("tree", _block(levels), "idx", "total", "node", *extra)
     upper = above.select("tree", "block", F.lit(-1).cast("long").alias("idx"), *_UPPER)
     return own.unionByName(upper, allowMissingColumns=True).repartition("tree", "block").sortWithinPartitions("tree", "block", "idx")
 
 
-def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, dict, str]]:
+def _paths(batches: Iterator[pa.RecordBatch], levels: int) -> Iterator[tuple[dict, dict, str]]:
     """Each node's row, the row of what is above its block, and its path to the top."""
     for upper, *rows in _grouped(batches):
         tail = upper["path"].encode()
-        found = traverse([r["node"].encode() for r in rows], _levels_of(rows[0]["total"])) if rows else ()
+        found = traverse([r["node"].encode() for r in rows], _levels_of(rows[0]["total"], levels)) if rows else ()
         for row, own in zip(rows, found, strict=True):
             yield row, upper, ABOVE.join(p for p in (_told(own), tail) if p).decode()
 
 
-def descend(tables: Tables, rounds: list[DataFrame], ends: DataFrame, name: str) -> DataFrame:
+def descend(tables: Tables, rounds: list[DataFrame], ends: DataFrame, name: str, levels: int) -> DataFrame:
     """(tree, block, path, subroot, root): what is above each block of the first round. ends: (tree, path, subroot, root) of each tree's root."""
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ({"tree": row["tree"], "block": row["idx"], "path": path, "subroot": upper["subroot"], "root": upper["root"]} for row, upper, path in _paths(batches))
+        rows = ({"tree": row["tree"], "block": row["idx"], "path": path, "subroot": upper["subroot"], "root": upper["root"]} for row, upper, path in _paths(batches, levels))
         return _batched(rows, tree=_TEXT, block=_NUMBER, path=_TEXT, subroot=_TEXT, root=_TEXT)
 
     first = F.lit(0).cast("long").alias("block")
@@ -244,17 +248,17 @@ def descend(tables: Tables, rounds: list[DataFrame], ends: DataFrame, name: str)
         # trees that are one block at round i - 1 end there; the others' blocks are the nodes of round i
         ended = rounds[i].where("total = 1").select("tree").join(ends, "tree").select("tree", first, *_UPPER)
         if above is not None:
-            more = _blocks(rounds[i].where("total > 1"), above).mapInArrow(paths, "tree string, block long, path string, subroot string, root string")
+            more = _blocks(rounds[i].where("total > 1"), above, levels).mapInArrow(paths, "tree string, block long, path string, subroot string, root string")
             ended = ended.union(more)
         above = tables.write(ended, name)
     return above
 
 
-def manifest(documents: DataFrame) -> DataFrame:
+def manifest(documents: DataFrame, levels: int = LEVELS) -> DataFrame:
     """doc_id, source, leaf, subroot, root, proof_sha256, folded_root, verified of every row.
 
     Leaves hash doc_id, source, lang, n_chars and text. A source's leaves stand by doc_id (null first; rows of one doc_id by leaf), sources by
-    their bytes (null first). Blocks of 3**LEVELS aligned leaves are hashed by treehash stacks to their roots, blocks of roots likewise, and last
+    their bytes (null first). Blocks of 3**levels aligned leaves are hashed by treehash stacks to their roots, blocks of roots likewise, and last
     the sources' roots. Then, from the top down, every block is traversed leaf by leaf, and what is above a block, the same for all its leaves, is appended
     to each leaf's path. Tampering deletes a text's line breaks where 2 divides the CRC-32 of the doc_id; a row without one
     isn't tampered with. An empty table has an empty manifest. Texts are read once and never shuffled; other columns are left out.
@@ -264,20 +268,20 @@ def manifest(documents: DataFrame) -> DataFrame:
         leaves = tables.write(documents.select(tree.alias("tree"), F.col("doc_id").cast("long").alias("doc_id"), leaf().alias("node"), tampered_leaf().alias("bad")), "leaves")
         leaves = tables.write(numbered(tables, leaves, ["doc_id", "node"], "sorted"), "numbered")
         tables.drop("leaves", "sorted")
-        rounds = climb(tables, leaves.select("tree", "idx", "total", "node"), "roots")
+        rounds = climb(tables, leaves.select("tree", "idx", "total", "node"), "roots", levels)
         tops = subroots(rounds).select(F.lit("").alias("tree"), F.col("tree").alias("key"), "node")
         tops = tables.write(numbered(tables, tops, ["key"], "tops"), "sources")
-        top_rounds = climb(tables, tops.select("tree", "idx", "total", "node"), "top_roots")
+        top_rounds = climb(tables, tops.select("tree", "idx", "total", "node"), "top_roots", levels)
         root = subroots(top_rounds)
         ends = root.select("tree", F.lit("").alias("path"), F.lit("").alias("subroot"), F.col("node").alias("root"))
-        above = descend(tables, top_rounds, ends, "above_tops")
+        above = descend(tables, top_rounds, ends, "above_tops", levels)
 
         def to_sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = ({"tree": row["key"], "path": path, "subroot": row["node"], "root": upper["root"]} for row, upper, path in _paths(batches))
+            rows = ({"tree": row["key"], "path": path, "subroot": row["node"], "root": upper["root"]} for row, upper, path in _paths(batches, levels))
             return _batched(rows, tree=_TEXT, path=_TEXT, subroot=_TEXT, root=_TEXT)
 
-        ends = tables.write(_blocks(tops, above, ["key"]).mapInArrow(to_sources, "tree string, path string, subroot string, root string"), "ends")
-        above = descend(tables, rounds, ends, "above_leaves")
+        ends = tables.write(_blocks(tops, above, levels, ["key"]).mapInArrow(to_sources, "tree string, path string, subroot string, root string"), "ends")
+        above = descend(tables, rounds, ends, "above_leaves", levels)
 
         def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for upper, *rows in _grouped(batches):
@@ -285,7 +289,7 @@ def manifest(documents: DataFrame) -> DataFrame:
                     continue
                 tail, root = _read(upper["path"].encode()), upper["root"].encode()
                 proofs, folded = [], []
-                for row, own in zip(rows, traverse([r["node"].encode() for r in rows], _levels_of(rows[0]["total"])), strict=True):
+                for row, own in zip(rows, traverse([r["node"].encode() for r in rows], _levels_of(rows[0]["total"], levels)), strict=True):
                     path = own + tail
                     proofs.append(h(b"".join(x for level in path for x in level)).decode())
                     folded.append(fold((row["bad"] or row["node"]).encode(), path))
@@ -293,7 +297,7 @@ def manifest(documents: DataFrame) -> DataFrame:
                 columns = [pa.array([r["doc_id"] for r in rows], pa.int64()), pa.array([source] * len(rows), pa.string()), pa.array([r["node"] for r in rows]), pa.array([upper["subroot"]] * len(rows)), pa.array([upper["root"]] * len(rows)), pa.array(proofs), pa.array([f.decode() for f in folded]), pa.array([f == root for f in folded])]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "source", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"])
 
-        out = _blocks(leaves, above, ["doc_id", "bad"]).mapInArrow(report, "doc_id long, source string, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
+        out = _blocks(leaves, above, levels, ["doc_id", "bad"]).mapInArrow(report, "doc_id long, source string, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
         return written(out, "manifest")
 
 

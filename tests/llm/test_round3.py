@@ -1,0 +1,267 @@
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import xxhash
+
+from kerbgraph.llm import divergence, fingerprint, merkle
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = "Wörter €😀 und mehr. " * 300
+
+
+def poly(text):
+    value, power = 0, 1
+    for c in text:
+        value, power = (value + (ord(c) + 1) * power) % fingerprint.P, power * fingerprint.BASE % fingerprint.P
+    return value
+
+
+def some_text(rng, n):
+    return "".join(rng.choice("abcdefgh ij\n") for _ in range(n))
+
+
+def test_arithmetic():
+    rng = random.Random(3)
+    pairs = [(rng.randrange(fingerprint.P), rng.randrange(fingerprint.P)) for _ in range(500)] + [(fingerprint.P - 1, fingerprint.P - 1), (0, 5)]
+    a, b = (np.array([p[i] for p in pairs], np.uint64) for i in (0, 1))
+    assert fingerprint.times(a, b).tolist() == [x * y % fingerprint.P for x, y in pairs]
+    assert fingerprint.minus(a, b).tolist() == [(x - y) % fingerprint.P for x, y in pairs]
+    e = np.array([0, 1, 5, 1 << 20, (1 << 31) + 7])
+    up, down = fingerprint.powers()
+    assert up(e).tolist() == [pow(fingerprint.BASE, int(x), fingerprint.P) for x in e]
+    assert set(fingerprint.times(up(e), down(e)).tolist()) == {1}
+
+
+def test_spans_and_extensions():
+    rng = random.Random(4)
+    a = some_text(rng, 900)
+    b = some_text(rng, 100) + a[200:700] + some_text(rng, 50)
+    x, y = fingerprint.Prefixes(fingerprint.codes_of(a)), fingerprint.Prefixes(fingerprint.codes_of(b))
+    i, j = np.array([0, 200, 300, 690, 899]), np.array([0, 100, 200, 590, 649])
+
+    def plain(p, q):
+        n = 0
+        while p + n < len(a) and q + n < len(b) and a[p + n] == b[q + n]:
+            n += 1
+        return n
+
+    assert x.extension(i, y, j).tolist() == [plain(p, q) for p, q in zip(i.tolist(), j.tolist(), strict=True)]
+    assert x.span(np.array([200]), np.array([500]))[0] == y.span(np.array([100]), np.array([400]))[0] != x.span(np.array([200]), np.array([501]))[0]
+
+
+def test_cuts_hold_prefix_hashes_and_long_texts_agree():
+    rng = random.Random(5)
+    texts = ["", "a", "aa" * 400, some_text(rng, 5000), LONG]
+    cuts = fingerprint.Cuts(texts)
+    for r, t in enumerate(texts):
+        assert int(cuts.total[r]) == poly(t) and cuts.first[r + 1] - cuts.first[r] <= fingerprint.CUTS
+        assert all(int(cuts.value[x]) == poly(t[: cuts.pos[x]]) for x in range(cuts.first[r], cuts.first[r + 1]))
+    assert fingerprint.Cuts.parse(cuts.strings()).strings() == cuts.strings()
+    # a text hashed stretch by stretch has the cuts that it has in one piece
+    once = fingerprint.Cuts([texts[3]])
+    row, pos, level, value = once._long(0, texts[3])
+    assert pos.tolist() == cuts.pos[cuts.first[3] : cuts.first[4]].tolist() and value.tolist() == cuts.value[cuts.first[3] : cuts.first[4]].tolist()
+
+
+def test_stretches(monkeypatch):
+    rng = random.Random(6)
+    text = some_text(rng, 7000)
+    whole = fingerprint.Cuts([text]).strings()
+    monkeypatch.setattr(fingerprint, "STRETCH", 512)
+    monkeypatch.setattr(fingerprint, "_tables", [])
+    monkeypatch.setattr(fingerprint, "_context", [])
+    assert fingerprint.Cuts([text, text[:100]]).strings()[:1] == whole
+
+
+def test_likeness():
+    rng = random.Random(7)
+    a = some_text(rng, 4000)
+    texts = [a, a[:2000] + some_text(rng, 2000), some_text(rng, 4000), a[:1000] + "!" + a[1000:3000] + "??" + a[3000:], a + some_text(rng, 4000), ""]
+    cuts = fingerprint.Cuts(texts)
+    got = fingerprint.likeness(cuts, np.zeros(6, np.int64), cuts, np.arange(6))
+    assert got[0] == 1 and 0.44 < got[1] < 0.54 and got[2] < 0.05 and got[3] > 0.85 and 0.58 < got[4] < 0.7 and got[5] == 0
+    assert fingerprint.likeness(cuts, np.arange(6), cuts, np.zeros(6, np.int64)).tolist() == got.tolist()
+    assert fingerprint.likeness(cuts, np.array([5]), cuts, np.array([5]))[0] == 1
+
+
+def odd_documents():
+    rng = random.Random(8)
+    rows = [(i, some_text(rng, rng.choice([0, 1, 2, 7, 40, 300])), rng.choice(["en", "de", None]), rng.choice(["a", "b", None, ""]), i) for i in range(60)]
+    rows += [(5, "again", "en", "a", None), (5, "again", "en", "a", None), (None, None, None, None, None), (None, "x\ny", "en", "a", 3), (70, LONG, "de", "ß", -1), (71, LONG, "de", "ß", 2), (72, "Straße STRASSE", "de", "ß", 2)]
+    return rows + [(80, "hot one\n", "en", "hot", 1)] * 30 + [(200 + i, f"hot {i} words words", "en", "hot", 1) for i in range(30)]
+
+
+@pytest.mark.parametrize("range_bytes", [fingerprint.RANGE_BYTES, 400])
+def test_fingerprint_documents(spark, range_bytes):
+    rows = odd_documents()
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], DOCS + ", range string, tail int")
+    out = fingerprint.fingerprint_documents(df, range_bytes).collect()
+    assert len(out) == len(rows)
+    plain = [(i, t or "") for i, t, *_ in rows]
+    # the order, with rows of one doc_id by hash: told from what Spark hashes
+    ties = {r["text"]: r["h"] for r in spark.createDataFrame([(t,) for t in {t for _, t in plain}], "text string").selectExpr("text", "xxhash64(text) as h").collect()}
+    order = sorted(plain, key=lambda r: (r[0] is not None, r[0] or 0, ties[r[1]]), reverse=True)
+    expected = Counter()
+    for (i, text), (_, following) in zip(order, order[1:] + order[:1], strict=True):
+        half = len(text) // 2
+        changed = text[: len(text) - half] + following[: min(half, len(following))]
+        expected[i, len(text), hashlib.sha256(changed.encode()).hexdigest(), *fingerprint.Cuts([text, changed]).strings()] += 1
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) for r in out) == expected
+    assert all(0 <= r[c] <= 1 for r in out for c in ("near_edited", "near_next"))
+    assert sum(r["near_next"] == 1 for r in out if r["doc_id"] == 80) >= 29
+    assert fingerprint.fingerprint_documents(df.limit(0)).count() == 0
+    lone = fingerprint.fingerprint_documents(df.where("doc_id = 70")).first()
+    assert lone["near_next"] == 1 and lone["edited_sha256"] == hashlib.sha256((LONG[: len(LONG) // 2] * 2).encode()).hexdigest()
+
+
+def test_common_prefix(spark):
+    df = spark.createDataFrame([("abc", "abd"), (None, "x"), (LONG, LONG + "x"), ("", "")], "a string, b string")
+    assert [r[0] for r in df.select(fingerprint.common_prefix("a", "b")).collect()] == [2, 0, len(LONG), 0]
+
+
+def tree(nodes):
+    """All levels of a tree of threes."""
+    levels = [nodes]
+    while len(levels[-1]) > 1:
+        levels.append([merkle.h(b"".join(levels[-1][i : i + 3])) for i in range(0, len(levels[-1]), 3)])
+    return levels
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 7, 9, 10, 26, 27, 28, 81, 100])
+def test_traversal(n):
+    leaves = [merkle.h(str(i).encode()) for i in range(n)]
+    levels = tree(leaves)
+    assert merkle.block_root(leaves, merkle.height(n)) == levels[-1][0]
+    for i, path in enumerate(merkle.traverse(leaves, merkle.height(n))):
+        at = i
+        for (left, right), level in zip(path, levels, strict=False):
+            run = level[at // 3 * 3 : at // 3 * 3 + 3]
+            assert (left, right) == (b"".join(run[: at % 3]), b"".join(run[at % 3 + 1 :]))
+            at //= 3
+        assert merkle.fold(leaves[i], path) == levels[-1][0] and len(path) == len(levels) - 1
+    # a block that is part of a larger tree climbs all its levels, alone where it must
+    top = leaves
+    for _ in range(6):
+        top = [merkle.h(b"".join(top[i : i + 3])) for i in range(0, len(top), 3)]
+    if n <= 3**6:
+        assert merkle.block_root(leaves, 6) == top[0] and all(merkle.fold(leaf, p) == top[0] for leaf, p in zip(leaves, merkle.traverse(leaves, 6), strict=True))
+
+
+def plain_manifest(rows):
+    def counted(v):
+        v = None if v is None else str(v).encode()
+        return b"-" if v is None else str(len(v)).encode() + b":" + v
+
+    def leaf(i, text, lang, source, n):
+        return merkle.h(b"".join(map(counted, (i, source, lang, n, text))))
+
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[3]].append((r[0] is not None, r[0] or 0, leaf(*r), r))
+    names = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {}
+    for name in names:
+        groups[name].sort(key=lambda x: x[:3])
+        trees[name] = tree([x[2] for x in groups[name]])
+    top = tree([trees[name][-1][0] for name in names])
+    out = Counter()
+    for k, name in enumerate(names):
+        for i, (_, _, node, r) in enumerate(groups[name]):
+            path = []
+            for levels, at in ((trees[name], i), (top, k)):
+                for level in levels[:-1]:
+                    run = level[at // 3 * 3 : at // 3 * 3 + 3]
+                    path.append((b"".join(run[: at % 3]), b"".join(run[at % 3 + 1 :])))
+                    at //= 3
+            cut = r[1] is not None and r[0] is not None and zlib.crc32(str(r[0]).encode()) % 2 == 0
+            folded = merkle.fold(leaf(r[0], r[1].replace("\n", ""), *r[2:]) if cut else node, path)
+            out[r[0], name, node.decode(), trees[name][-1][0].decode(), top[-1][0].decode(), merkle.h(b"".join(x for p in path for x in p)).decode(), folded.decode(), folded == top[-1][0]] += 1
+    return out
+
+
+@pytest.mark.parametrize("levels", [1, 2, 7])
+def test_manifest(spark, levels):
+    """With blocks of 3 and 9 leaves, trees reach over several rounds of blocks."""
+    rows = odd_documents()
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], DOCS + ", tree string, idx int")
+    out = merkle.manifest(df, levels)
+    columns = ("doc_id", "source", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+    got = Counter(tuple(r[c] for c in columns) for r in out.collect())
+    assert got == plain_manifest(rows)
+    assert {r[-1] for r in got} == {True, False}
+
+
+def test_manifest_small(spark):
+    df = spark.createDataFrame(odd_documents(), DOCS)
+    assert merkle.manifest(df.limit(0)).count() == 0
+    lone = merkle.manifest(df.where("doc_id = 70")).first()
+    assert lone["leaf"] == lone["subroot"] == lone["root"] and lone["proof_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def plain_audit(rows):
+    term = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+    lower = {i: i + 32 for i in range(65, 91)}
+    docs = [(lang or "", source or "", term.findall((text or "").translate(lower))) for _, text, lang, source, _ in rows]
+    out = Counter()
+    for lang in {d[0] for d in docs}:
+        seen = Counter(t for g, _, w in docs if g == lang for t in set(w))
+        kept = [t for t, n in seen.items() if n >= divergence.LEAST_DOCUMENTS]
+        sources = sorted({s for g, s, _ in docs if g == lang})
+        count = {s: Counter(t for g, x, w in docs if g == lang and x == s for t in w) for s in sources}
+        every = sum(count.values(), Counter())
+
+        def shares(c):
+            n = sum(c[t] for t in kept)
+            return {t: 1 + 10**9 * (c[t] + 1) // (n + len(kept)) for t in kept}
+
+        p, q = {s: shares(count[s]) for s in sources}, shares(every)
+        for s in sources:
+            pairs = [(x, sum((p[s][t] - p[x][t]) ** 2 // p[x][t] for t in kept)) for x in sources if x != s]
+            terms = [(t, (p[s][t] - q[t]) ** 2 // q[t]) for t in kept if count[s][t] and p[s][t] > q[t]]
+            for part, found, most in (("pair", pairs, len(pairs)), ("term", terms, divergence.TERMS)):
+                for rank, (item, value) in enumerate(sorted(found, key=lambda x: (-x[1], x[0].encode()))[:most], 1):
+                    out[lang, s, part, item, value, rank] += 1
+    return out
+
+
+@pytest.mark.parametrize(("bucket", "tile"), [(divergence.CELLS, divergence.TILE), (20, 2)])
+def test_audit(spark, bucket, tile):
+    rng = random.Random(9)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)] + ["ÄÖ", "Straße", "ABC", "abc", "x1y", "😀"]
+    rows = odd_documents() + [(900 + i, " ".join(rng.choices(words, k=rng.choice([0, 3, 30]))), rng.choice(["en", "fr"]), f"s{rng.randrange(7)}", 1) for i in range(200)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], DOCS + ", term string, n int")
+    out = divergence.audit(df, bucket, tile)
+    assert Counter(tuple(r[c] for c in ("lang", "source", "part", "item", "value", "rank")) for r in out.collect()) == plain_audit(rows)
+    assert divergence.audit(df.limit(0)).count() == 0
+
+
+def test_ranks_of_terms_are_cut_with_ties(spark):
+    """Each source has 300 terms above its language's share, all of equal value."""
+    rows = [(i, " ".join(f"t{chr(97 + j % 26)}{chr(97 + j // 26)}{'xy'[i % 2]}" for j in range(300)), "en", f"s{i % 2}", 1) for i in range(12)]
+    out = divergence.audit(spark.createDataFrame(rows, DOCS), 10, 1)
+    assert Counter(tuple(r[c] for c in ("lang", "source", "part", "item", "value", "rank")) for r in out.collect()) == plain_audit(rows)
+
+
+def test_slices_and_collisions():
+    texts = ["Ab cd", "", None, "zz", "zzé-Ab", "1a"]
+    data, start, end, row = divergence.slices(pa.array(texts, pa.string()))
+    assert [(r, data[a:b].decode()) for r, a, b in zip(row.tolist(), start.tolist(), end.tolist(), strict=True)] == [(0, "ab"), (0, "cd"), (3, "zz"), (4, "zzé"), (4, "ab"), (5, "a")]
+    terms, code = divergence.grouped(data, start, end)
+    assert [terms[c] for c in code] == ["ab", "cd", "zz", "zzé", "ab", "a"]
+    # all slices share a hash: bytes tell them apart
+    terms, code = divergence.verified(data, start, end, np.zeros(len(start), np.uint64))
+    assert [terms[c] for c in code] == ["ab", "cd", "zz", "zzé", "ab", "a"] and len(set(terms)) == 5
+    assert xxhash.xxh3_64_intdigest(b"ab") == xxhash.xxh3_64_intdigest(data[start[0] : end[0]])
+
+
+def test_shares_are_exact():
+    rng = random.Random(10)
+    pairs = [(rng.randrange(w), w) for w in (rng.randrange(1, 9 * 10**15) for _ in range(300))] + [(0, 1), (4, 5)]
+    n, whole = (np.array([p[i] for p in pairs], np.int64) for i in (0, 1))
+    assert divergence.share(n, whole).tolist() == [1 + 10**9 * (x + 1) // w for x, w in pairs]

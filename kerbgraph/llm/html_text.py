@@ -21,7 +21,8 @@ FENCES = frozenset("ul ol dl table div article section main body aside nav heade
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Blocks that stand for themselves, unlike containers.
 PROSE = HEADINGS | frozenset("p blockquote pre ul ol dl table figure figcaption".split())
-# Elements that are never article text. Words in class, id or role that say so, and words that may stand beside them.
+# Elements that show no text, and elements that are never article text. Words in class, id or role that say so, and words that may stand beside them.
+UNSEEN = frozenset("script style noscript template iframe object embed canvas svg math title head textarea option select".split())
 DROPPED = frozenset("script style noscript template iframe object embed canvas svg math nav aside footer form button select option textarea input dialog menu title head".split())
 NOISE = frozenset(
     "ad ads advert adverts advertisement advertising adsense adsbygoogle banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side rail aside footer foot masthead "
@@ -192,21 +193,28 @@ def _sums(parents: list[int], own: list[int], skip: list[bool]) -> list[int]:
     return out
 
 
-def dropped(page: Page, chars: list[int], body: int) -> list[bool]:
-    """The elements that are noise or lie in noise: by kind, by name unless they hold a heading and most of the page, hidden ones, and headers
-    that stand under the body or hold no heading."""
+def unseen(page: Page) -> list[bool]:
+    """The elements that show no text: by kind, and hidden ones, with all in them."""
+    out = [False] * len(page.tags)
+    for i in range(1, len(out)):
+        out[i] = out[page.parents[i]] or page.tags[i] in UNSEEN or bool(page.attributes[i]) and _noise_attributes(page.tags[i], page.attributes[i])[0]
+    return out
+
+
+def noise(page: Page, chars: list[int], body: int, skip: list[bool]) -> list[bool]:
+    """The elements that say of themselves that they are noise: by kind, by name, and headers that stand under the body or hold no heading; but
+    not by name if they hold a heading and most of the page."""
     by_kind = [t in DROPPED for t in page.tags]
-    held = _sums(page.parents, chars, by_kind)
-    headings = _sums(page.parents, [int(t in HEADINGS) for t in page.tags], by_kind)
+    around = [a or b for a, b in zip(by_kind, skip, strict=True)]
+    held = _sums(page.parents, chars, around)
+    headings = _sums(page.parents, [int(t in HEADINGS) for t in page.tags], around)
     out = list(by_kind)
     for i in range(1, len(out)):
-        if out[page.parents[i]] and page.parents[i] != body:
-            out[i] = True
-        elif not out[i]:
-            hidden, named = _noise_attributes(page.tags[i], page.attributes[i]) if page.attributes[i] else (False, False)
+        if not out[i]:
+            named = bool(page.attributes[i]) and _noise_attributes(page.tags[i], page.attributes[i])[1]
             header = page.tags[i] == "header" and (page.parents[i] <= body or not headings[i])
-            out[i] = hidden or (named or header) and not (headings[i] and held[i] > MOST_NOISE * held[body])
-    out[body] = False
+            out[i] = (named or header) and not (headings[i] and held[i] > MOST_NOISE * held[body])
+    out[body] = out[0] = False
     return out
 
 
@@ -239,10 +247,10 @@ def densities(page: Page, chars: list[int], body: int, skip: list[bool]) -> tupl
     return density, total, c, lc
 
 
-def choose(page: Page, body: int, skip: list[bool], density: list[float], total: list[float], c: list[int], lc: list[int]) -> list[bool]:
+def choose(page: Page, body: int, skip: list[bool], density: list[float], total: list[float], c: list[int], lc: list[int], noisy: list[bool] | None = None) -> list[bool]:
     """The elements whose own text belongs to the article.
 
-    The element of the largest sum leads. The threshold is the least density on its way up to the body. It climbs towards
+    The element of the largest sum leads; only if it is noise by its own word (`noisy`), or stands right in such an element, does the next one. The threshold is the least density on its way up to the body. It climbs towards
     the body as far as there are neighbours of at least that density, of prose mostly outside links, that hold a heading or a fair
     share of its text. What it climbed through gives its own text, its prose that isn't mostly links, and its containers of prose
     above the threshold.
@@ -255,7 +263,11 @@ def choose(page: Page, body: int, skip: list[bool], density: list[float], total:
     rank = [i for i in range(n) if inside[i] and c[i] and tags[i] not in INLINE]
     if not rank:
         return [False] * n
-    best = max(rank, key=lambda i: (total[i], -i))
+    noisy = noisy or [False] * n
+    loud = [x and tags[i] != "form" for i, x in enumerate(noisy)]
+    for i in range(body + 1, n):
+        loud[i] = loud[i] or loud[parents[i]]
+    best = max((i for i in rank if not loud[i]), key=lambda i: (total[i], -i), default=body)
     way = [best]
     while way[-1] != body:
         way.append(parents[way[-1]])
@@ -279,7 +291,7 @@ def choose(page: Page, body: int, skip: list[bool], density: list[float], total:
         if i == best or i in through:
             chosen[i] = True
         elif i != body and chosen[parents[i]]:
-            chosen[i] = parents[i] not in through or wordy(i) and (tags[i] in PROSE or tags[i] in INLINE or prose[i] > 0 and density[i] >= threshold)
+            chosen[i] = not noisy[i] and (parents[i] not in through or wordy(i) and (tags[i] in PROSE or tags[i] in INLINE or prose[i] > 0 and density[i] >= threshold))
     return chosen
 
 
@@ -293,8 +305,8 @@ def extract(html: str | None) -> str:
         if text is not None:
             chars[node] += len("".join(text.split()))
     body = next((i for i, t in enumerate(page.tags) if t == "body"), 0)
-    skip = dropped(page, chars, body)
-    chosen = choose(page, body, skip, *densities(page, chars, body, skip))
+    skip = unseen(page)
+    chosen = choose(page, body, skip, *densities(page, chars, body, skip), noise(page, chars, body, skip))
     return " ".join("".join(" " if text is None else text for node, text in page.events if text is None or chosen[node]).split())
 
 

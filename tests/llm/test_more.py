@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from kerbgraph.llm import divergence, fingerprint, merkle
+from kerbgraph.llm import divergence, fingerprint, html_text, merkle, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "Wörter €😀 und mehr. " * 300
@@ -265,3 +266,107 @@ def test_shares_are_exact():
     pairs = [(rng.randrange(w), w) for w in (rng.randrange(1, 9 * 10**15) for _ in range(300))] + [(0, 1), (4, 5)]
     n, whole = (np.array([p[i] for p in pairs], np.int64) for i in (0, 1))
     assert divergence.share(n, whole).tolist() == [1 + 10**9 * (x + 1) // w for x, w in pairs]
+
+
+def plain_densities(page, chars, body, skip):
+    """Each element's density and sum by a walk of its own over all elements."""
+    n = len(page.tags)
+
+    def up(i):
+        while i >= 0:
+            yield i
+            i = page.parents[i]
+
+    def count(i, of):
+        return sum(of(j) for j in range(n) if i in set(up(j)) and not any(skip[k] for k in up(j)))
+
+    linked = [any(page.tags[k] == "a" for k in up(j)) for j in range(n)]
+    every, links = count(body, lambda j: chars[j]), count(body, lambda j: chars[j] * linked[j])
+    out = []
+    for i in range(n):
+        c, lc, t, lt = (count(i, f) for f in (lambda j: chars[j], lambda j: chars[j] * linked[j], lambda j: 1, lambda j: int(page.tags[j] == "a")))
+        t, lt = max(t - 1, 1), max(lt - (page.tags[i] == "a"), 1)
+        base = 1 + math.log(math.log(c / max(c - lc, 1) * lc + links / max(every, 1) * c + math.e))
+        out.append(c / t * max(math.log(c / max(lc, 1) * t / lt), 0) / base if c and not skip[i] else 0.0)
+    blocks = [next((k for k in up(page.parents[i]) if page.tags[k] not in html_text.INLINE), None) for i in range(n)]
+    return out, [sum(out[j] for j in range(n) if j and blocks[j] == i and page.tags[j] not in html_text.INLINE) for i in range(n)]
+
+
+def pages(spark):
+    return [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+
+
+def article_of(html):
+    inner = re.sub(r"</?(p|h1|br)\b[^>]*>", " ", html[html.index("<article>") + 9 : html.index("</article>")]).replace("<b>", "")
+    return " ".join(html_text.unescape(inner).split())
+
+
+def test_html_densities_by_walks(spark):
+    odd = ["", "<p>a", "<body><div><p>one <a href=x>two</a><div hidden>no</div><ul><li>x<li><a>y</a></ul></div><nav><a>z</a></nav>", "<b>a<p>b</p></b>", "<div>" * 20 + "deep"]
+    for html in odd + pages(spark):
+        page = html_text.parse(html)
+        chars = [0] * len(page.tags)
+        for node, text in page.events:
+            chars[node] += len("".join((text or "").split()))
+        body = next((i for i, t in enumerate(page.tags) if t == "body"), 0)
+        skip = html_text.unseen(page)
+        density, total, *_ = html_text.densities(page, chars, body, skip)
+        want, sums = plain_densities(page, chars, body, skip)
+        assert density == pytest.approx(want) and total == pytest.approx(sums)
+
+
+def test_html_density_chooses_before_noise_lists(spark, monkeypatch):
+    every = pages(spark)
+    assert all(html_text.extract(x) == article_of(x) for x in every)
+    monkeypatch.setattr(html_text, "noise", lambda page, *_: [False] * len(page.tags))
+    right = sum(html_text.extract(x) == article_of(x) for x in every)
+    assert right > 0.93 * len(every)  # density alone
+    real = html_text.densities
+    monkeypatch.setattr(html_text, "densities", lambda *a: ([1.0] * len(a[1]), [1.0] * len(a[1]), *real(*a)[2:]))
+    assert sum(html_text.extract(x) == article_of(x) for x in every) < 0.1 * len(every)
+    monkeypatch.setattr(html_text, "densities", real)
+    monkeypatch.setattr(html_text, "choose", lambda page, body, skip, *_: [not s for s in skip])
+    assert sum(html_text.extract(x) == article_of(x) for x in every) < 0.1 * len(every)
+
+
+def test_html_article_within_a_form_and_long_comments():
+    words = "Words of the article stand here. " * 8
+    page = f"<body><form><div><h1>Head</h1><p>{words}</p><p>{words}</p><div class='comments'><p>Reader says</p></div></div></form><div id=comments>{'<p>I say this and that of it all, for long and long.</p>' * 9}</div></body>"
+    assert html_text.extract(page) == " ".join(("Head " + words * 2).split())
+
+
+def labelled(sf):
+    import duckdb
+
+    rows = duckdb.sql(f"select d.doc_id, text, max(toxic) from '{sf}/documents.parquet' d join '{sf}/labels.parquet' using (doc_id) where toxic is not null group by all order by doc_id").fetchall()
+    held = [zlib.crc32(str(r[0]).encode()) % 4 == 2 for r in rows]
+    return [r for r, h in zip(rows, held, strict=True) if not h], [r for r, h in zip(rows, held, strict=True) if h]
+
+
+@pytest.mark.parametrize(("sf", "recall", "precision"), [("/root/testdata/sf0.01", 0.5, 0.7), ("/root/testdata/sf0.1", 0.8, 0.75)])
+def test_toxicity_on_held_out_rows(sf, recall, precision):
+    """37 and 329 toxic rows to learn from; about a quarter of the toxic rows hold nothing that others hold."""
+    rows, held = labelled(sf)
+    toxic = [r for r in rows if r[2]]
+    clean = [r for r in rows if not r[2]][: toxicity.SAMPLE_ROWS]
+    sample = sorted(toxic + clean)
+    net = toxicity.train([r[1] for r in sample], np.array([r[2] for r in sample]), len(toxic) / len(rows))
+    flagged = toxicity.score_texts(net, pa.array([r[1] for r in held], pa.string())) >= toxicity.THRESHOLD
+    hits = sum(f and r[2] for f, r in zip(flagged.tolist(), held, strict=True))
+    assert hits >= recall * sum(r[2] for r in held) and hits >= precision * flagged.sum()
+
+
+def test_toxicity_learns_from_words_wherever_they_stand():
+    """In texts of some thousand words, the mark may lie anywhere."""
+    rng = random.Random(12)
+    plain = [f"w{i}" for i in range(40)]
+
+    def text(mark):
+        words = rng.choices(plain, k=3000)
+        words[rng.randrange(3000)] = mark
+        return " ".join(words)
+
+    texts, labels = [text("vile") for _ in range(12)] + [text("kind") for _ in range(40)], np.array([1] * 12 + [0] * 40)
+    net = toxicity.train(texts, labels, 0.2)
+    scores = toxicity.score_texts(net, pa.array([text("vile") for _ in range(6)] + [text("kind") for _ in range(6)]))
+    assert scores[:6].min() > scores[6:].max()

@@ -15,16 +15,17 @@ from .common import ALNUM, Tables, U, Words, blocks, mix
 
 #: Words of a window. Scores take a window at every word; training learns from one every TRAIN_STRIDE words and the one that ends the text.
 WINDOW, TRAIN_STRIDE = 32, 24
-#: Windows of the first training round, about, at most; they are drawn at random. Later rounds choose among all windows of training.
-FIRST_WINDOWS = 12_000
 #: Sizes: hashed word and character-trigram tables, their vectors, the hidden state of one direction.
 WORDS_TABLE, CHARS_TABLE, WORD_DIM, CHAR_DIM, HIDDEN = 1 << 14, 1 << 12, 8, 8, 8
-#: Labelled rows of a class that training reads, at most, and words of one of them; rounds over their windows.
-SAMPLE_ROWS, SAMPLE_WORDS, EPOCHS = 900, 4096, 6
+#: Labelled rows of a class that training reads, at most, each of them whole; rounds over their windows.
+SAMPLE_ROWS, EPOCHS = 900, 6
 #: Small samples are gone over again until so many steps are done, up to four times the rounds.
 LEAST_STEPS = 240
 #: Words of fewer texts are learnt by their characters alone.
 LEAST_TEXTS = 3
+#: By how many standard deviations a word's or trigram's frequency in toxic texts must differ from chance to count when training begins, and by how
+#: many more it counts in full.
+CHANCE, EVIDENCE = 3.0, 4.0
 THRESHOLD = 0.3
 F32 = np.float32
 
@@ -204,6 +205,28 @@ def _texts_of(lexicon: Lexicon, words: Words) -> np.ndarray:
     return np.bincount(pairs, minlength=len(lexicon.length))
 
 
+def _evidence(keys: np.ndarray, row: np.ndarray, labels: np.ndarray, size: int) -> np.ndarray:
+    """For each key, by how many standard deviations more (or fewer) texts of label 1 hold it than chance would have it, beyond CHANCE and
+    two texts more assumed; between -1 and 1."""
+    n = max(len(labels), 1)
+    pairs = np.unique(keys.astype(np.int64) * n + row)
+    key, y = pairs // n, labels[pairs % n]
+    held, hits, rate = np.bincount(key, minlength=size), np.bincount(key, y, size), labels.mean()
+    z = (hits - rate * held) / np.sqrt((held + 2) * rate * (1 - rate))
+    return (np.sign(z) * np.clip((np.abs(z) - CHANCE) / EVIDENCE, 0, 1)).astype(F32)
+
+
+def informed(net: Net, words: Words, lexicon: Lexicon, labels: np.ndarray) -> None:
+    """Where training begins: the first number of a word's and a trigram's vector is what the labelled texts say of it."""
+    row = np.repeat(np.arange(words.n), words.count)
+    net.word[:, 0] = _evidence(lexicon.bucket[lexicon.of], row, labels, WORDS_TABLE)
+    owner = np.repeat(np.arange(len(lexicon.length)), lexicon.length)
+    pairs = np.unique(lexicon.of.astype(np.int64) * words.n + row)
+    of, text = pairs // max(words.n, 1), pairs % max(words.n, 1)
+    at_owner, at = lexicon.grams_of(of)
+    net.char[:, 0] = _evidence(lexicon.grams[at], text[at_owner], labels, CHARS_TABLE)
+
+
 def best_of_rows(logits: np.ndarray, row: np.ndarray, n: int, empty: float = -np.inf) -> np.ndarray:
     out = np.full(n, -np.inf)
     np.maximum.at(out, row, logits)
@@ -223,6 +246,7 @@ def train(texts: list[str], labels: np.ndarray, share: float, epochs: int = EPOC
     if not len(ids) or len(set(labels.tolist())) < 2:
         net.scale = (0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
         return net
+    informed(net, words, lexicon, labels)
     common = _texts_of(lexicon, words) >= LEAST_TEXTS
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.dense.items()}
     tables = {"word": np.full(WORDS_TABLE, 1e-3, F32), "char": np.full(CHARS_TABLE, 1e-3, F32)}
@@ -231,7 +255,7 @@ def train(texts: list[str], labels: np.ndarray, share: float, epochs: int = EPOC
         if epoch >= epochs and step >= LEAST_STEPS:
             break
         if epoch == 0:
-            chosen = np.flatnonzero(rng.random(len(ids)) < min(1.0, FIRST_WINDOWS / len(ids)))
+            chosen = np.arange(len(ids))
         else:
             logit = score_windows(net, lexicon, ids)
             top = best_of_rows(logit, row, words.n)
@@ -377,20 +401,10 @@ def score_texts(net: Net, texts: pa.Array) -> np.ndarray:
     return np.where(np.isinf(top), 0.0, 1 / (1 + np.exp(-np.clip(a * np.where(np.isinf(top), 0, top) + b, -700, 700))))
 
 
-def excerpt(text: str) -> str:
-    """A text of at most SAMPLE_WORDS words: of a longer one, as many stretches of WINDOW words, evenly spaced. For training only."""
-    words = text.split()
-    if len(words) <= SAMPLE_WORDS:
-        return " ".join(words)
-    starts = np.linspace(0, len(words) - WINDOW, SAMPLE_WORDS // WINDOW).astype(int)
-    return " ".join(w for at in starts for w in words[at : at + WINDOW])
-
-
 def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Net:
     """A net from labelled rows: labels (doc_id, toxic) joined with documents (doc_id, text).
 
-    Of each class about sample_rows rows at most are read, those with the least hash of the id, and of a row SAMPLE_WORDS words at
-    most; one task trains, and the driver gets the net. Null labels and texts teach nothing. An id with several labels counts as
+    Of each class about sample_rows rows at most are read, those with the least hash of the id, and of a row all words; one task trains, and the driver gets the net. Null labels and texts teach nothing. An id with several labels counts as
     toxic if one of them is 1; of several texts the least is taken.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -403,18 +417,13 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     rows = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     share = sizes.get(1, 0) / sum(sizes.values())
 
-    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.array([excerpt(t) for t in batch["text"].to_pylist()], pa.string())], ["doc_id", "toxic", "text"])
-
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sample = pa.Table.from_batches([b for b in batches if len(b)]).sort_by("doc_id")
         net = train(sample["text"].to_pylist(), sample["toxic"].to_numpy().astype(np.int64), share)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
 
-    id_type = documents.schema["doc_id"].dataType.simpleString()
     with Tables(documents.sparkSession) as tables:
-        sample = tables.write(rows.mapInArrow(shorten, f"doc_id {id_type}, toxic int, text string"), "sample")
+        sample = tables.write(rows, "sample")
         if sample.isEmpty():
             return train([], np.zeros(0, np.int64), share)
         return pickle.loads(sample.repartition(1).mapInArrow(learn, "net binary").first()["net"])

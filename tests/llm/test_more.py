@@ -366,7 +366,7 @@ def test_toxicity_learns_from_words_wherever_they_stand():
         words[rng.randrange(3000)] = mark
         return " ".join(words)
 
-    texts, labels = [text("vile") for _ in range(12)] + [text("kind") for _ in range(40)], np.array([1] * 12 + [0] * 40)
+    texts, labels = [text("vile") for _ in range(40)] + [text("kind") for _ in range(120)], np.array([1] * 40 + [0] * 120)
     net = toxicity.train(texts, labels, 0.2)
     scores = toxicity.score_texts(net, pa.array([text("vile") for _ in range(6)] + [text("kind") for _ in range(6)]))
-    assert scores[:6].min() > scores[6:].max()
+    assert scores[:6].min() > 0.9 and scores[6:].max() < 0.1

@@ -107,3 +107,49 @@ def edit_similarity(a: Column, b: Column) -> Column:
     """1 less the share of letters to be changed, of the longer text; 1 if both are empty."""
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest > 0, 1.0 - F.levenshtein(a, b) / longest).otherwise(1.0)
+
+
+#: Metres of a mile and of a yard, and from how many yards on a distance is said in miles.
+MILE_M, YARD_M, MILES_FROM_YARDS = 1609.344, 0.9144, 440
+
+
+def _tenth(x: Column) -> Column:
+    """A number to one decimal, without .0."""
+    v = js_round(x * 10) / 10
+    return F.when(v == F.floor(v), F.floor(v).cast("long").cast("string")).otherwise(v.cast("string"))
+
+
+def length_text(metres: Column, miles: Column, *, long: bool = False, precise: bool = False) -> Column:
+    """'50 m', '1.2 km', '120 yd', '0.4 miles', or in full words: short lengths to 10, or to 1 if precise, but never to 0; long ones to a tenth below
+    10 and to 1 from there. Nothing and null are 0."""
+    step = 1 if precise else 10
+    metres = F.coalesce(metres, F.lit(0.0))
+
+    def short(x: Column, unit: str, one: str) -> Column:
+        v = F.when(x > 0, F.greatest(F.lit(step), js_round(x / step) * step)).otherwise(0).cast("long")
+        return F.concat(v.cast("string"), F.lit(" "), F.when(v == 1, one).otherwise(f"{one}s") if long else F.lit(unit))
+
+    def far(x: Column, unit: str, one: str, many: str) -> Column:
+        v = F.when(x < 10, _tenth(x)).otherwise(js_round(x).cast("long").cast("string"))
+        return F.concat(v, F.lit(" "), F.when(v == "1", one).otherwise(many) if long or unit == "miles" else F.lit(unit))
+
+    yards = metres / YARD_M
+    imperial = F.when(yards < MILES_FROM_YARDS, short(yards, "yd", "yard")).otherwise(far(metres / MILE_M, "miles", "mile", "miles"))
+    metric = F.when(js_round(metres / step) * step < 1000, short(metres, "m", "metre")).otherwise(far(metres / 1000, "km", "kilometre", "kilometres"))
+    return F.when(miles, imperial).otherwise(metric)
+
+
+def speed_text(mps: Column, miles: Column, *, long: bool = False) -> Column:
+    """'8 mph' or '12.9 km/h', or in full words."""
+    return F.when(miles, F.concat(_tenth(mps / 0.44704), F.lit(" miles per hour" if long else " mph"))).otherwise(F.concat(_tenth(mps * 3.6), F.lit(" kilometres per hour" if long else " km/h")))
+
+
+def kerb_limit_text(cm: Column) -> Column:
+    """A kerb limit in words: flush only, millimetres below a centimetre, centimetres."""
+    return F.when(cm <= 0, "Flush only").when(cm < 1, F.concat(js_round(cm * 10).cast("long").cast("string"), F.lit(" mm"))).otherwise(F.concat(_tenth(cm), F.lit(" cm")))
+
+
+def next_kerb_cm(cm: Column, up: Column, most: float = 20.0) -> Column:
+    """A kerb limit one click up or down: the next whole centimetre, between flush and `most`."""
+    v = F.least(cm, F.lit(most))
+    return F.least(F.lit(most), F.greatest(F.lit(0.0), F.when(up, F.floor(v) + 1).otherwise(F.ceil(v) - 1).cast("double")))

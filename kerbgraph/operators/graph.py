@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from ..sources.scratch import Tables, written
 
 
+#: Rows of a frontier up to which it is broadcast, so that the arcs stay where they are; a larger one is shuffled with them.
+SMALL_FRONTIER = 200_000
+
+
+def small(frontier: DataFrame, rows: int) -> DataFrame:
+    """The frontier of a round, broadcast if its rows, counted before, are few."""
+    return F.broadcast(frontier) if rows <= SMALL_FRONTIER else frontier
+
+
 def reach(arcs: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(root, node, hops) for every node that a start (root) reaches over arcs (src, dst), itself included.
 
@@ -19,11 +28,13 @@ def reach(arcs: DataFrame, starts: DataFrame, max_hops: int | None = None) -> Da
     with Tables(arcs.sparkSession) as tables:
         arcs = tables.write(arcs.select("src", "dst").distinct(), "arcs")
         seen = tables.write(starts.select("root", F.col("root").alias("node"), F.lit(0).alias("hops")).distinct(), "seen")
+        opened = SMALL_FRONTIER + 1
         for hop in count(1) if max_hops is None else range(1, max_hops + 1):
-            step = seen.where(F.col("hops") == hop - 1).join(arcs, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), F.lit(hop).alias("hops"))
+            step = small(seen.where(F.col("hops") == hop - 1), opened).join(arcs, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), F.lit(hop).alias("hops"))
             seen = tables.write(seen.union(step).groupBy("root", "node").agg(F.min("hops").alias("hops")), "seen")
             tables.keep_last("seen")
-            if seen.where(F.col("hops") == hop).isEmpty():
+            opened = seen.where(F.col("hops") == hop).count()
+            if not opened:
                 break
         return written(seen, "reach")
 
@@ -70,13 +81,15 @@ def cheapest(arcs: DataFrame, starts: DataFrame, max_hops: int | None = None) ->
         arcs = tables.write(arcs.groupBy("src", "dst").agg(F.min("cost").cast("double").alias("arc")), "arcs")
         node = F.col("root").alias("node")
         best = tables.write(starts.select("root", node, F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.col("root").alias("via"), F.lit(0).alias("round")).distinct(), "best")
+        opened = SMALL_FRONTIER + 1
         for step in count(1) if max_hops is None else range(1, max_hops + 1):
-            fresh = best.where(F.col("round") == step - 1).join(arcs, F.col("node") == F.col("src"))
+            fresh = small(best.where(F.col("round") == step - 1), opened).join(arcs, F.col("node") == F.col("src"))
             fresh = fresh.select("root", F.col("dst").alias("node"), (F.col("cost") + F.col("arc")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.col("src").alias("via"), F.lit(step).alias("round"))
             # a row that is no better keeps the old round: the least round wins a tie
             order = F.min(F.struct("cost", "hops", "via", "round")).alias("v")
             best = tables.write(best.unionByName(fresh).groupBy("root", "node").agg(order).select("root", "node", "v.*"), "best")
             tables.keep_last("best")
-            if best.where(F.col("round") == step).isEmpty():
+            opened = best.where(F.col("round") == step).count()
+            if not opened:
                 break
         return written(best.drop("round"), "cheapest")

@@ -52,6 +52,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return F32(0.5) + F32(0.5) * np.tanh(F32(0.5) * x)
 
 
+def _soft(x: np.ndarray) -> np.ndarray:
+    """x / (1 + |x|): between -1 and 1 as tanh is, without an exponential. Its derivative is (1 - |result|) ** 2."""
+    return x / (F32(1) + np.abs(x))
+
+
+def _gate(x: np.ndarray) -> np.ndarray:
+    return F32(0.5) + F32(0.5) * _soft(x)
+
+
+def _slope(s: np.ndarray) -> np.ndarray:
+    return np.square(F32(1) - np.abs(s))
+
+
 class Lexicon:
     """The different words of a block of texts: hash buckets of each word and of its character trigrams."""
 
@@ -105,9 +118,9 @@ def forward(net: Net, inputs: np.ndarray, ids: np.ndarray):
         for t in range(steps) if k == 0 else range(steps - 1, -1, -1):
             x = inputs[ids[:, t], 3 * h * k : 3 * h * (k + 1)]
             rec = state @ hh
-            zr = _sigmoid(x[:, : 2 * h] + rec[:, : 2 * h])
+            zr = _gate(x[:, : 2 * h] + rec[:, : 2 * h])
             z, r = zr[:, :h], zr[:, h:]
-            new = np.tanh(x[:, 2 * h :] + r * rec[:, 2 * h :])
+            new = _soft(x[:, 2 * h :] + r * rec[:, 2 * h :])
             gates[k, t] = np.concatenate([z, r, new, rec[:, 2 * h :]], axis=1)
             state = np.where(real[:, t, None], new + z * (state - new), state)
             states[k, t] = state
@@ -120,28 +133,28 @@ def forward(net: Net, inputs: np.ndarray, ids: np.ndarray):
 
 
 def logits(net: Net, inputs: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """What forward returns, for scoring: gates are halved beforehand so that tanh serves them too, and lie apart so that rows are short and whole."""
+    """What forward returns, for scoring: gates lie apart so that rows are short and whole."""
     h, d, steps = HIDDEN, net.dense, ids.shape[1]
     at = np.ascontiguousarray(np.where(ids < 0, len(inputs) - 1, ids).T)
     real = np.ascontiguousarray((ids >= 0).T)
     full = real.all(1)
     states = np.zeros((2, steps, len(ids), h), F32)
     for k, name in enumerate("fr"):
-        parts = [(slice(h * g, h * (g + 1)), F32(c)) for g, c in ((0, 0.5), (1, 0.5), (2, 1.0))]
-        xz, xr, xn = (np.ascontiguousarray(inputs[:, 3 * h * k :][:, p] * c) for p, c in parts)
-        hz, hr, hn = (np.ascontiguousarray(d[f"h{name}"][:, p] * c) for p, c in parts)
+        parts = [slice(h * g, h * (g + 1)) for g in range(3)]
+        xz, xr, xn = (np.ascontiguousarray(inputs[:, 3 * h * k :][:, p]) for p in parts)
+        hz, hr, hn = (np.ascontiguousarray(d[f"h{name}"][:, p]) for p in parts)
         state = np.zeros((len(ids), h), F32)
         for t in range(steps) if k == 0 else range(steps - 1, -1, -1):
             z, r, rec = state @ hz, state @ hr, state @ hn
             z += np.take(xz, at[t], axis=0)
             r += np.take(xr, at[t], axis=0)
-            np.tanh(z, out=z)
-            np.tanh(r, out=r)
+            z /= F32(1) + np.abs(z)
+            r /= F32(1) + np.abs(r)
             r *= F32(0.5)
             r += F32(0.5)
             rec *= r
             rec += np.take(xn, at[t], axis=0)
-            move = np.tanh(rec, out=rec)
+            move = np.divide(rec, F32(1) + np.abs(rec), out=rec)
             move -= state
             z -= F32(1)
             z *= F32(-0.5)
@@ -178,9 +191,9 @@ def backward(net: Net, inputs: np.ndarray, ids: np.ndarray, target: np.ndarray,
             on = real[:, t, None]
             z, r, new, rec = np.split(gates[k, t], 4, axis=1)
             ds = np.where(on, dstate, 0)
-            dn = ds * (1 - z) * (1 - new * new)
-            dz = ds * (prior - new) * z * (1 - z)
-            dr = dn * rec * r * (1 - r)
+            dn = ds * (1 - z) * _slope(new)
+            dz = ds * (prior - new) * F32(0.5) * _slope(2 * z - 1)
+            dr = dn * rec * F32(0.5) * _slope(2 * r - 1)
             dx = np.concatenate([dz, dr, dn], axis=1)
             drec = np.concatenate([dz, dr, dn * r], axis=1)
             ghh += prior.T @ drec
@@ -340,30 +353,32 @@ def every_start(net: Net, inputs: np.ndarray, of: np.ndarray, batch: int = 4096)
     h, d = HIDDEN, net.dense
     n = max(len(of) - WINDOW + 1, 0)
     out = np.zeros(n, F32)
-    # exp is cheaper than tanh: 1 - z is 1 / (1 + exp(x)), r is 1 / (1 + exp(-x)), tanh(x) is 1 - 2 / (1 + exp(2 x))
-    scale = np.repeat(np.array([1, -1, 2], F32), h)
-    sides = [(np.ascontiguousarray(inputs[:, 3 * h * k : 3 * h * (k + 1)] * scale), np.ascontiguousarray((d[f"h{name}"] * scale).T), np.stack([d["v"][h * k : h * (k + 1)], d["o"][h * k : h * (k + 1)]])) for k, name in enumerate("fr")]
+    # the candidate's recurrent part is halved beforehand: the reset gate is half of 1 + a number between -1 and 1
+    scale = np.repeat(np.array([1, 1, 0.5], F32), h)
+    sides = [(np.ascontiguousarray(inputs[:, 3 * h * k : 3 * h * (k + 1)]), np.ascontiguousarray((d[f"h{name}"] * scale).T), np.stack([d["v"][h * k : h * (k + 1)], d["o"][h * k : h * (k + 1)]])) for k, name in enumerate("fr")]
     for lo in range(0, n, batch):
         m = min(batch, n - lo)
         # of every step and window: attention score, output
         said = np.zeros((WINDOW, 2, m), F32)
-        rec, gate, move, heads = np.empty((3 * h, m), F32), np.empty((2 * h, m), F32), np.empty((h, m), F32), np.empty((2, m), F32)
+        rec, gate, size, move, heads = np.empty((3 * h, m), F32), np.empty((2 * h, m), F32), np.empty((2 * h, m), F32), np.empty((h, m), F32), np.empty((2, m), F32)
         for k, (table, hidden, head) in enumerate(sides):
             x = np.ascontiguousarray(table[of[lo : lo + m + WINDOW - 1]].T)
             state = np.zeros((h, m), F32)
             for t in range(WINDOW) if k == 0 else range(WINDOW - 1, -1, -1):
                 np.matmul(hidden, state, out=rec)
                 np.add(rec[: 2 * h], x[: 2 * h, t : t + m], out=gate)
-                np.exp(gate, out=gate)
-                gate += F32(1)
-                np.divide(F32(1), gate, out=gate)
+                np.abs(gate, out=size)
+                size += F32(1)
+                gate /= size
+                gate[h:] += F32(1)
                 np.multiply(gate[h:], rec[2 * h :], out=move)
                 move += x[2 * h :, t : t + m]
-                np.exp(move, out=move)
-                move += F32(1)
-                np.divide(F32(-2), move, out=move)
-                move += F32(1)
+                np.abs(move, out=size[:h])
+                size[:h] += F32(1)
+                move /= size[:h]
                 move -= state
+                gate[:h] -= F32(1)
+                gate[:h] *= F32(-0.5)
                 move *= gate[:h]
                 state += move
                 said[t] += np.matmul(head, state, out=heads)
@@ -380,8 +395,7 @@ def best_of_texts(net: Net, words: Words, lexicon: Lexicon) -> np.ndarray:
     top = np.full(words.n, -np.inf)
     long = words.count >= WINDOW
     if long.any():
-        with np.errstate(over="ignore"):
-            logit = every_start(net, inputs, lexicon.of)
+        logit = every_start(net, inputs, lexicon.of)
         # the last windows of a text would run on into the next one
         row = np.repeat(np.arange(words.n), words.count)[: len(logit)]
         inside = np.arange(len(logit)) + WINDOW <= words.first[row + 1]

@@ -353,25 +353,30 @@ def every_start(net: Net, inputs: np.ndarray, of: np.ndarray, batch: int = 4096)
     h, d = HIDDEN, net.dense
     n = max(len(of) - WINDOW + 1, 0)
     out = np.zeros(n, F32)
-    # the candidate's recurrent part is halved beforehand: the reset gate is half of 1 + a number between -1 and 1
+    # the candidate's recurrent part is halved beforehand: the reset gate is half of 1 + a number between -1 and 1. Below the gates, in the same
+    # product, stand the attention score and the output of the state that a step begins with.
     scale = np.repeat(np.array([1, 1, 0.5], F32), h)
-    sides = [(np.ascontiguousarray(inputs[:, 3 * h * k : 3 * h * (k + 1)]), np.ascontiguousarray((d[f"h{name}"] * scale).T), np.stack([d["v"][h * k : h * (k + 1)], d["o"][h * k : h * (k + 1)]])) for k, name in enumerate("fr")]
+    sides = [(np.ascontiguousarray(inputs[:, 3 * h * k : 3 * h * (k + 1)]), np.concatenate([(d[f"h{name}"] * scale).T, d["v"][None, h * k : h * (k + 1)], d["o"][None, h * k : h * (k + 1)]]).astype(F32)) for k, name in enumerate("fr")]
     for lo in range(0, n, batch):
         m = min(batch, n - lo)
         # of every step and window: attention score, output
         said = np.zeros((WINDOW, 2, m), F32)
-        rec, gate, size, move, heads = np.empty((3 * h, m), F32), np.empty((2 * h, m), F32), np.empty((2 * h, m), F32), np.empty((h, m), F32), np.empty((2, m), F32)
-        for k, (table, hidden, head) in enumerate(sides):
+        rec, gate, size, move = np.zeros((3 * h + 2, m), F32), np.empty((2 * h, m), F32), np.empty((2 * h, m), F32), np.empty((h, m), F32)
+        for k, (table, hidden) in enumerate(sides):
             x = np.ascontiguousarray(table[of[lo : lo + m + WINDOW - 1]].T)
-            state = np.zeros((h, m), F32)
+            state, before = np.zeros((h, m), F32), None
+            rec[:] = 0
             for t in range(WINDOW) if k == 0 else range(WINDOW - 1, -1, -1):
-                np.matmul(hidden, state, out=rec)
+                if before is not None:
+                    np.matmul(hidden, state, out=rec)
+                    said[before] += rec[3 * h :]
+                before = t
                 np.add(rec[: 2 * h], x[: 2 * h, t : t + m], out=gate)
                 np.abs(gate, out=size)
                 size += F32(1)
                 gate /= size
                 gate[h:] += F32(1)
-                np.multiply(gate[h:], rec[2 * h :], out=move)
+                np.multiply(gate[h:], rec[2 * h : 3 * h], out=move)
                 move += x[2 * h :, t : t + m]
                 np.abs(move, out=size[:h])
                 size[:h] += F32(1)
@@ -381,7 +386,7 @@ def every_start(net: Net, inputs: np.ndarray, of: np.ndarray, batch: int = 4096)
                 gate[:h] *= F32(-0.5)
                 move *= gate[:h]
                 state += move
-                said[t] += np.matmul(head, state, out=heads)
+            said[before] += hidden[3 * h :] @ state
         weight = said[:, 0] - said[:, 0].max(0)
         np.exp(weight, out=weight)
         out[lo : lo + m] = (weight * said[:, 1]).sum(0) / weight.sum(0) + d["b"]

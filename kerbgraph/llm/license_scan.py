@@ -48,7 +48,7 @@ def detect(df: DataFrame, text: str, row: str, chosen: list[Rule] | None = None)
     """(row, rule, label, priority, base, first, last, kept) for every match of every rule, word numbers from 0.
 
     A text is looked at only if it holds a root; a rule is tried only if the text holds its root and its keyword. Matches of one
-    rule don't overlap. kept is false if another match of the same or a stronger priority covers the interval: of equal intervals
+    rule don't overlap. Rows of one `row` hold one text; its matches come once. kept is false if another match of the same or a stronger priority covers the interval: of equal intervals
     of one priority the earlier rule stays. Null and empty texts have no match. Intervals are settled within one text.
     """
     chosen = rules() if chosen is None else chosen
@@ -68,7 +68,7 @@ def detect(df: DataFrame, text: str, row: str, chosen: list[Rule] | None = None)
     each = F.split(F.trim("marked"), " ")
     at = lambda test: F.filter(F.transform(each, lambda w, i: F.when(test(w), i)), lambda i: i.isNotNull())
     both = F.arrays_zip(at(lambda w: w.startswith(START)).alias("first"), at(lambda w: w.endswith(END)).alias("last"))
-    found = found.select(row, "rule", "label", "priority", "base", F.inline(both).alias("first", "last"))
+    found = found.select(row, "rule", "label", "priority", "base", F.inline(both).alias("first", "last")).distinct()
     order = Window.partitionBy(row).orderBy("first", F.desc("last"), "priority", "rule").rowsBetween(Window.unboundedPreceding, -1)
     covered = F.lit(False)
     for p in sorted({r.priority for r in chosen}):
@@ -83,8 +83,11 @@ def scan(documents: DataFrame) -> DataFrame:
     labels: those of the base phrases and of the matches that suppression left, distinct, sorted, comma-joined. score: 0
     without a match, else 1 - 1/2 for each priority step of the strongest kept match below notices (a notice 1.0, a name 0.75,
     a base phrase alone 0.5, a hint 0.25). Null and empty texts: 0 words, empty labels. Repeated rows and ids stay apart.
+
+    Matches go back to rows by the text's SHA-256, which a task that runs again gives again; numbers of rows wouldn't be the same
+    over a shuffled input. Copies of a text share their matches, so a hot text is one key on the side of matches.
     """
-    df = documents.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    df = documents.select("doc_id", "text", F.unhex(F.sha2("text", 256)).alias("row"))
     hits = detect(df, "text", "row")
     base, kept = F.col("base"), F.col("kept") | F.col("base")
     joined = lambda label: F.array_join(F.sort_array(F.collect_set(label)), ",")

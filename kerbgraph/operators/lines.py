@@ -25,13 +25,13 @@ def densify(line: Column, step: float = STEP_M) -> Column:
     return F.concat(F.flatten(inner), F.array(F.struct(before(n - 1).alias("d"), end["x"].alias("x"), end["y"].alias("y"))))
 
 
-def slopes(profile: DataFrame, key: str) -> DataFrame:
-    """(key, length, mean, steepest, verdict) in per cent from samples (key, d, z), d rising.
+def slope_parts(profile: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """(keys, length, gap, jump, mean, steepest) in per cent from samples (keys, d, z), d rising; `more` aggregates besides.
 
     steepest: of all windows from a sample to the first one 10 m on (the whole line if shorter) the steepest, or the mean if that is
-    steeper. verdict: no-data if a height is missing, discontinuity if a step rises more than walkers can or a slope is implausible.
+    steeper. gap: a height is missing; jump: a step rises more than walkers can.
     """
-    w = Window.partitionBy(key)
+    w = Window.partitionBy(*keys)
     # a range of doubles has no such bounds, one of micrometres does
     at = w.orderBy(F.round(F.col("d") * 1e6).cast("long"))
     total = F.max("d").over(w)
@@ -43,13 +43,20 @@ def slopes(profile: DataFrame, key: str) -> DataFrame:
     span = F.col("far.d") - F.col("d")
     grade = F.when((span > 0) & (span >= F.col("win") * 0.95), (F.col("far.z") - F.col("z")) / span * 100)
     jump = (F.col("run") > 0) & (F.abs("rise") > F.greatest(F.lit(JUMP_M), F.col("run") * JUMP_M / STEP_M))
-    out = rows.withColumn("grade", grade).groupBy(key).agg(
-        F.max("d").alias("length"), F.max(F.col("z").isNull()).alias("gap"), F.max(F.coalesce(jump, F.lit(False))).alias("jump"), F.min_by("z", "d").alias("z0"), F.max_by("z", "d").alias("z1"), F.max_by("grade", F.struct(F.abs("grade"), -F.col("d"))).alias("steep"),
+    out = rows.withColumn("grade", grade).groupBy(*keys).agg(
+        F.max("d").alias("length"), F.max(F.col("z").isNull()).alias("gap"), F.max(F.coalesce(jump, F.lit(False))).alias("jump"), F.min_by("z", "d").alias("z0"), F.max_by("z", "d").alias("z1"), F.max_by("grade", F.struct(F.abs("grade"), -F.col("d"))).alias("steep"), *more,
     )
     out = out.withColumn("mean", (F.col("z1") - F.col("z0")) / F.nullif("length", F.lit(0.0)) * 100)
-    out = out.withColumn("steepest", F.when(F.abs("steep") > F.abs("mean"), F.col("steep")).otherwise(F.col("mean")))
+    return out.withColumn("steepest", F.when(F.abs("steep") > F.abs("mean"), F.col("steep")).otherwise(F.col("mean"))).drop("z0", "z1", "steep")
+
+
+def slopes(profile: DataFrame, key: str) -> DataFrame:
+    """(key, length, mean, steepest, verdict) in per cent from samples (key, d, z), d rising, by `slope_parts`.
+
+    verdict: no-data if a height is missing, discontinuity if a step rises more than walkers can or a slope is implausible.
+    """
     verdict = F.when(F.col("gap") | F.col("mean").isNull(), "no-data").when(F.col("jump") | (F.abs("steepest") > IMPLAUSIBLE) | (F.abs("mean") > IMPLAUSIBLE), "discontinuity").otherwise("sampled")
-    return out.select(key, "length", "mean", "steepest", verdict.alias("verdict"))
+    return slope_parts(profile, [key]).select(key, "length", "mean", "steepest", verdict.alias("verdict"))
 
 
 def project(px: Column, py: Column, line: Column) -> Column:

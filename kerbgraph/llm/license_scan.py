@@ -84,10 +84,11 @@ def scan(documents: DataFrame) -> DataFrame:
     without a match, else 1 - 1/2 for each priority step of the strongest kept match below notices (a notice 1.0, a name 0.75,
     a base phrase alone 0.5, a hint 0.25). Null and empty texts: 0 words, empty labels. Repeated rows and ids stay apart.
 
-    Matches go back to rows by the text's SHA-256, which a task that runs again gives again; numbers of rows wouldn't be the same
-    over a shuffled input. Copies of a text share their matches, so a hot text is one key on the side of matches.
+    Matches go back to rows by the SHA-256 of id and text, which a task that runs again gives again; numbers of rows wouldn't be the
+    same over a shuffled input. Only rows alike in both share a key, so copies of a text stay spread.
     """
-    df = documents.select("doc_id", "text", F.unhex(F.sha2("text", 256)).alias("row"))
+    ident = F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), "text"), 256))
+    df = documents.select("doc_id", "text", ident.alias("row"))
     hits = detect(df, "text", "row")
     base, kept = F.col("base"), F.col("kept") | F.col("base")
     joined = lambda label: F.array_join(F.sort_array(F.collect_set(label)), ",")

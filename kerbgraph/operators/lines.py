@@ -37,9 +37,10 @@ def slope_parts(profile: DataFrame, keys: list[str], *more: Column) -> DataFrame
     total = F.max("d").over(w)
     rows = profile.withColumn("total", total).withColumn("win", F.least(F.lit(WINDOW_M), total))
     rows = rows.withColumn("rise", F.col("z") - F.lag("z").over(at)).withColumn("run", F.col("d") - F.lag("d").over(at))
-    # the first sample at least a window on, or the last one of the line
-    full = F.first(F.struct("d", "z")).over(at.rangeBetween(int(WINDOW_M * 1e6), Window.unboundedFollowing))
-    rows = rows.withColumn("far", F.coalesce(full, F.last(F.struct("d", "z")).over(at.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    # the first sample at least a window on, or the last one of the line; seen from the end, so that frames only grow
+    back = w.orderBy(-F.round(F.col("d") * 1e6).cast("long"))
+    full = F.last(F.struct("d", "z")).over(back.rangeBetween(Window.unboundedPreceding, -int(WINDOW_M * 1e6)))
+    rows = rows.withColumn("far", F.coalesce(full, F.first(F.struct("d", "z")).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
     span = F.col("far.d") - F.col("d")
     grade = F.when((span > 0) & (span >= F.col("win") * 0.95), (F.col("far.z") - F.col("z")) / span * 100)
     jump = (F.col("run") > 0) & (F.abs("rise") > F.greatest(F.lit(JUMP_M), F.col("run") * JUMP_M / STEP_M))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import graph, relational
-from . import cost_queries, graph_queries, overlay_queries, path_queries, place_queries, terrain_queries  # noqa: F401
+from . import cost_queries, graph_queries, overlay_queries, path_queries, place_queries, terrain_queries, upload_queries  # noqa: F401
 from .registry import QUERIES, SQL, query, t  # noqa: F401
 
 

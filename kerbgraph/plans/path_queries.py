@@ -71,7 +71,8 @@ SELECT route, row_number() OVER (PARTITION BY route ORDER BY first)::INT AS stre
   (SELECT s.route, place AS name, min(seq) AS first, string_agg(edge::VARCHAR, ',' ORDER BY seq) AS edges, floor(sum(length_m) + 0.5)::BIGINT AS m,
     (SELECT string_agg(way::VARCHAR, ',' ORDER BY first) FROM w WHERE w.route = s.route AND w.place = s.place) AS ways FROM s GROUP BY s.route, place)""")
 def path_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    # a stretch without any way has no text of ways
+    text = lambda c: F.when(F.size(c) > 0, F.array_join(F.transform(c, lambda x: x.cast("string")), ",")).alias(c)
     return paths.stretches(steps(spark, sf_dir), KEYS).select("route", "stretch", "name", text("edges"), text("ways"), "m")
 
 

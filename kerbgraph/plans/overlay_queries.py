@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import texts
@@ -42,6 +44,12 @@ def lengths_in_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "part").select("p_partkey", texts.length_text(metres, miles).alias("rough"), texts.length_text(metres, miles, precise=True).alias("precise"), texts.kerb_limit_text((F.col("p_size") - 4) * 0.25).alias("kerb"))
 
 
+def _place(i: Column, j: Column) -> tuple[Column, Column]:
+    """(lon, lat) as decimals, as SQL reads these numbers: equal differences stay equal, so that places at mirrored distances are equally far."""
+    at = lambda start, n, step: F.lit(Decimal(start)) + n * F.lit(Decimal(step))
+    return at("-3.3", i, "0.0002").alias("lon"), at("55.9", j, "0.0001").alias("lat")
+
+
 _STOPS = "(SELECT s_suppkey AS point, -3.3 + s_suppkey * 37 % 1000 * 0.0002 AS lon, 55.9 + s_suppkey * 61 % 1000 * 0.0001 AS lat, CASE WHEN s_nationkey % 3 = 0 THEN 35.0 WHEN s_nationkey % 3 = 1 THEN 180.0 ELSE 400.0 END AS reach FROM supplier)"
 _JUNCTIONS = "(SELECT p_partkey AS node, -3.3 + p_partkey * 89 % 1009 * 0.0002 AS lon, 55.9 + p_partkey * 53 % 1013 * 0.0001 AS lat FROM part)"
 
@@ -50,8 +58,8 @@ _JUNCTIONS = "(SELECT p_partkey AS node, -3.3 + p_partkey * 89 % 1009 * 0.0002 A
 def nearest_under_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as stops of three kinds, each with a reach of its own, and parts as junctions."""
     nation = F.col("s_nationkey") % 3
-    stops = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("point"), (F.lit(-3.3) + F.col("s_suppkey") * 37 % 1000 * 0.0002).alias("lon"), (F.lit(55.9) + F.col("s_suppkey") * 61 % 1000 * 0.0001).alias("lat"), F.when(nation == 0, 35.0).when(nation == 1, 180.0).otherwise(400.0).alias("reach"))
-    junctions = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), (F.lit(-3.3) + F.col("p_partkey") * 89 % 1009 * 0.0002).alias("lon"), (F.lit(55.9) + F.col("p_partkey") * 53 % 1013 * 0.0001).alias("lat"))
+    stops = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("point"), *_place(F.col("s_suppkey") * 37 % 1000, F.col("s_suppkey") * 61 % 1000), F.when(nation == 0, 35.0).when(nation == 1, 180.0).otherwise(400.0).alias("reach"))
+    junctions = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), *_place(F.col("p_partkey") * 89 % 1009, F.col("p_partkey") * 53 % 1013))
     return linking.nearest(stops, junctions, 3).withColumn("distance_m", F.round("distance_m", 3))
 
 
@@ -61,7 +69,7 @@ SELECT note, unnest([e, e + 1]) AS edge FROM n WHERE built = 'b2' UNION ALL SELE
 def notes_to_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as notes, some of this build of the graph, and parts as edges."""
     event, kind = F.col("event_id"), F.col("event_type")
-    notes = t(spark, sf_dir, "events").select(event.alias("note"), (F.lit(-3.3) + event * 37 % 1000 * 0.0002).alias("lon"), (F.lit(55.9) + F.col("user_id") * 61 % 1000 * 0.0001).alias("lat"), F.when(kind == "click", "b2").when(kind == "view", "b1").alias("built"), F.array(event % 500, event % 500 + 1).alias("edges"), F.array(F.col("user_id") % 40).alias("ways"))
+    notes = t(spark, sf_dir, "events").select(event.alias("note"), *_place(event * 37 % 1000, F.col("user_id") * 61 % 1000), F.when(kind == "click", "b2").when(kind == "view", "b1").alias("built"), F.array(event % 500, event % 500 + 1).alias("edges"), F.array(F.col("user_id") % 40).alias("ways"))
     key = F.col("p_partkey")
-    edges = t(spark, sf_dir, "part").select(key.alias("edge"), (key % 50).alias("way"), F.array(F.struct((F.lit(-3.3) + key * 89 % 1009 * 0.0002).alias("lon"), (F.lit(55.9) + key * 53 % 1013 * 0.0001).alias("lat"))).alias("line"))
+    edges = t(spark, sf_dir, "part").select(key.alias("edge"), (key % 50).alias("way"), F.array(F.struct(*_place(key * 89 % 1009, key * 53 % 1013))).alias("line"))
     return linking.note_edges(notes, edges, BUILT)

@@ -21,3 +21,10 @@ def test_stretch_of_steps_without_a_way(spark, tmp_path):
       1.0::DOUBLE AS l_extendedprice, 0.0::DOUBLE AS l_discount, 0.0::DOUBLE AS l_tax, 'N' AS l_returnflag, 'O' AS l_linestatus FROM range(1, 5) t(i)"""
     mine, theirs = against_sql(spark, tmp_path, "path_stretches", lineitem=lines)
     assert [r[4] for r in mine] == [None, None] and mine == theirs
+
+
+def test_nodes_at_mirrored_distances_are_equally_far(spark, tmp_path):
+    stops = "SELECT i::BIGINT AS s_suppkey, 2::INT AS s_nationkey FROM range(1, 40) t(i)"
+    junctions = "SELECT i::BIGINT AS p_partkey FROM range(1, 120000) t(i)"
+    mine, theirs = against_sql(spark, tmp_path, "nearest_under_reach", supplier=stops, part=junctions)
+    assert len(mine) == 3 * 39 and mine == theirs

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from . import relational
 
 #: Metres: from a station to the street, between stations of one building, and the least lengths of links and interchanges.
 LINK_M, SAME_BUILDING_M, LEAST_LINK_M, LEAST_CHANGE_M = 180.0, 150.0, 10.0, 50.0
@@ -84,8 +85,13 @@ def note_edges(notes: DataFrame, edges: DataFrame, built: str) -> DataFrame:
     """
     exact = notes.where(F.col("built") == built).select("note", F.explode("edges").alias("edge"))
     older = notes.where(~F.col("built").eqNullSafe(built)).select("note", "lon", "lat", F.explode("ways").alias("way"))
-    close = F.exists("line", lambda p: C.haversine_m(p["lon"], p["lat"], F.col("lon"), F.col("lat")) <= NOTE_M)
-    found = older.join(edges.where("way is not null").select("edge", "way", "line"), "way").where(close).select("note", "edge")
+    # a way may have any number of edges and notes: they meet by way and cell; of the line's points that are near the first makes the row
+    points = edges.where("way is not null").select("edge", "way", "line", F.posexplode("line").alias("i", "p"))
+    stored = relational.cell(points.withColumn("plon", F.col("p.lon")).withColumn("plat", F.col("p.lat")), NOTE_M, "plon", "plat")
+    asked = relational.around(older, NOTE_M, "lon", "lat")
+    close = lambda p: C.haversine_m(p["lon"], p["lat"], F.col("lon"), F.col("lat")) <= NOTE_M
+    first = ~F.exists(F.slice("line", F.lit(1), F.col("i")), close)
+    found = asked.join(stored, ["way", "cx", "cy"]).where(close(F.col("p")) & first).select("note", "edge")
     return exact.unionByName(found)
 
 

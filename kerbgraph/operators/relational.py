@@ -71,6 +71,8 @@ def index_percentile(df: DataFrame, keys: list[str], value: str, share: float) -
 
 #: Metres of a degree of latitude; rows of a grid cell beyond which it is dealt into parts.
 DEGREE_M, CELL_ROWS = 111_320.0, 4096
+#: Degrees of latitude from which a band is one cell.
+POLAR_DEG = 88.0
 
 
 def _width(band: Column, height: float) -> Column:
@@ -89,28 +91,38 @@ def _dealt(stored: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return left, right
 
 
-def _around(df: DataFrame, radius_m: float, lon: str, lat: str) -> DataFrame:
-    """df with (cx, cy) of the nine cells around its point. Cells are as high as the radius and, in every band, as wide at least."""
+def _column(lon: Column, band: Column, height: float) -> Column:
+    """The cell's number along its band; a band near a pole is one cell."""
+    return F.when(F.abs(band * height) >= POLAR_DEG, 0).otherwise(F.floor(lon / _width(band, height))).cast("long")
+
+
+def around(df: DataFrame, radius_m: float, lon: str, lat: str) -> DataFrame:
+    """df with (cx, cy) of the cells around its point, nine of them away from the 180th meridian, beyond which it asks too. Cells are as high as the radius and, in
+    every band, as wide at least."""
     height = radius_m / DEGREE_M * 1.001
-    near = lambda c: F.explode(F.array(c - 1, c, c + 1))
-    out = df.withColumn("cy", near(F.floor(F.col(lat) / height).cast("long")))
-    return out.withColumn("cx", near(F.floor(F.col(lon) / _width(F.col("cy"), height)).cast("long")))
+    near = lambda c: F.array(c - 1, c, c + 1)
+    out = df.withColumn("cy", F.explode(near(F.floor(F.col(lat) / height).cast("long"))))
+    here, wide = F.col(lon), _width(F.col("cy"), height)
+    cells = near(_column(here, F.col("cy"), height))
+    over = F.when(here + wide >= 180, here - 360).when(here - wide <= -180, here + 360)
+    both = F.array_distinct(F.concat(cells, near(_column(over, F.col("cy"), height))))
+    return out.withColumn("cx", F.explode(F.when(over.isNull(), cells).otherwise(both)))
 
 
-def _cell(df: DataFrame, radius_m: float, lon: str, lat: str) -> DataFrame:
+def cell(df: DataFrame, radius_m: float, lon: str, lat: str) -> DataFrame:
     height = radius_m / DEGREE_M * 1.001
     out = df.withColumn("cy", F.floor(F.col(lat) / height).cast("long"))
-    return out.withColumn("cx", F.floor(F.col(lon) / _width(F.col("cy"), height)).cast("long"))
+    return out.withColumn("cx", _column(F.col(lon), F.col("cy"), height))
 
 
 def within_join(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
     """Pairs of left (a, lon, lat) and right (b, lon, lat) within radius_m, with distance_m.
 
     right is stored once by its grid cell, left asks the nine cells around; cells come from the radius, crowded ones are dealt into
-    parts. An equi-join, then the exact distance. Not across the 180th meridian.
+    parts. An equi-join, then the exact distance.
     """
-    asked = _around(left.select("a", F.col("lon").alias("alon"), F.col("lat").alias("alat")), radius_m, "alon", "alat")
-    stored = _cell(right.select("b", F.col("lon").alias("blon"), F.col("lat").alias("blat")), radius_m, "blon", "blat")
+    asked = around(left.select("a", F.col("lon").alias("alon"), F.col("lat").alias("alat")), radius_m, "alon", "alat")
+    stored = cell(right.select("b", F.col("lon").alias("blon"), F.col("lat").alias("blat")), radius_m, "blon", "blat")
     stored, asked = _dealt(stored, asked)
     near = asked.join(stored, ["cx", "cy", "part"]).withColumn("distance_m", haversine_m(F.col("alon"), F.col("alat"), F.col("blon"), F.col("blat")))
     return near.where(F.col("distance_m") <= radius_m).select("a", "b", "distance_m")
@@ -131,9 +143,9 @@ def segment_join(left: DataFrame, segments: DataFrame, radius_m: float, step_m:
     long = haversine_m(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
     n = F.greatest(F.lit(1), F.ceil(long / step_m).cast("int"))
     spots = segments.withColumn("share", F.explode(F.transform(F.sequence(F.lit(0), n), lambda i: i / n)))
-    stored = _cell(spots.withColumn("slon", F.col("ax") + (F.col("bx") - F.col("ax")) * F.col("share")).withColumn("slat", F.col("ay") + (F.col("by") - F.col("ay")) * F.col("share")), reach, "slon", "slat")
+    stored = cell(spots.withColumn("slon", F.col("ax") + (F.col("bx") - F.col("ax")) * F.col("share")).withColumn("slat", F.col("ay") + (F.col("by") - F.col("ay")) * F.col("share")), reach, "slon", "slat")
     stored = stored.drop("share", "slon", "slat").distinct()
-    asked = _around(left.select("a", F.col("lon").alias("plon"), F.col("lat").alias("plat")), reach, "plon", "plat")
+    asked = around(left.select("a", F.col("lon").alias("plon"), F.col("lat").alias("plat")), reach, "plon", "plat")
     stored, asked = _dealt(stored, asked)
     near = asked.join(stored, ["cx", "cy", "part"]).withColumn("distance_m", segment_distance_m(F.col("plon"), F.col("plat"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
     return near.where(F.col("distance_m") <= radius_m).select("a", *rest, "ax", "ay", "bx", "by", "distance_m").distinct()

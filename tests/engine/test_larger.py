@@ -1,7 +1,12 @@
 """Queries against their twins, or operators against plain versions, on rows that the smallest tables don't hold."""
 
+import math
+import random
+
 import duckdb
 
+from kerbgraph.functions import columns as C
+from kerbgraph.operators import linking, relational
 from kerbgraph.plans import queries as plans
 
 
@@ -28,3 +33,25 @@ def test_nodes_at_mirrored_distances_are_equally_far(spark, tmp_path):
     junctions = "SELECT i::BIGINT AS p_partkey FROM range(1, 120000) t(i)"
     mine, theirs = against_sql(spark, tmp_path, "nearest_under_reach", supplier=stops, part=junctions)
     assert len(mine) == 3 * 39 and mine == theirs
+
+
+def test_notes_meet_edges_by_way_and_cell(spark):
+    rng = random.Random(4)
+    near = lambda: rng.choice([(rng.uniform(-0.004, 0.004), rng.uniform(55.0, 55.004)), (rng.choice([-179.999, 179.999]) + rng.uniform(-0.001, 0.001), rng.uniform(0, 0.004)), (rng.uniform(-180, 180), rng.uniform(89.998, 90))])
+    notes = [(i, *near(), "b2" if i % 7 == 0 else "b1", [i, i + 1], [i % 2, 2]) for i in range(120)]
+    edges = [(i, i % 3, [near() for _ in range(rng.randint(1, 3))]) for i in range(150)]
+
+    def metres(a, b):
+        x1, y1, x2, y2 = map(math.radians, (*a, *b))
+        return 2 * C.EARTH_M * math.asin(min(1.0, math.sqrt(math.sin((y2 - y1) / 2) ** 2 + math.cos(y1) * math.cos(y2) * math.sin((x2 - x1) / 2) ** 2)))
+
+    expected = [(n[0], e) for n in notes if n[3] == "b2" for e in n[4]]
+    expected += [(n[0], e[0]) for n in notes if n[3] != "b2" for w in n[5] for e in edges if e[1] == w and any(metres(p, n[1:3]) <= 200 for p in e[2])]
+    found = linking.note_edges(spark.createDataFrame(notes, "note long, lon double, lat double, built string, edges array<long>, ways array<long>"), spark.createDataFrame(edges, "edge long, way long, line array<struct<lon:double,lat:double>>"), "b2")
+    assert sorted(tuple(r) for r in found.collect()) == sorted(expected)
+    assert "cx" in joins(found)
+
+
+def joins(df):
+    """The lines of the plan that tell of joins."""
+    return "\n".join(x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x)

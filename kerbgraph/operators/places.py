@@ -142,16 +142,17 @@ def _starts(term: Column, words: Column) -> Column:
     return F.exists(words, lambda w: w.startswith(term))
 
 
-def search(asked: DataFrame, index: DataFrame, postcodes: DataFrame | None = None, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
+def search(asked: DataFrame, index: DataFrame, postcodes: DataFrame | None = None, limit: int | None = LIMIT) -> tuple[DataFrame, DataFrame]:
     """Hits (ask, rank, id, name, metres, score) of queries asked (ask, q, lon, lat), best first, and (ask, hidden): how many were left out because their
     access isn't mapped.
 
     A name matches if every word typed begins one of its words, or all run together begin the name run together. Names are found by
     an equi-join on beginnings of words (the longest word typed), kinds by an equi-join on the kind. Of hits of one name at one spot the first stays.
+    Without a limit all hits come back, not numbered (rank is null), so that no query's hits are sorted in one place.
     """
     q = asked.withColumn("p", parse_query(F.col("q"))).withColumn("raw", F.regexp_replace(C.normal_text(F.col("q")), " ", "")).where("raw <> ''").select("ask", "raw", "p.*", F.col("lon").alias("qlon"), F.col("lat").alias("qlat"))
     entry = ["id", "name", "rank", "cat", "accessible", "words", "joined", "lon", "lat"]
-    kinds = q.where("cats is not null").withColumn("cat", F.explode("cats")).join(index.select(*entry), "cat").where((F.size("terms") == 0) | F.forall("terms", lambda t: _starts(t, F.col("words"))))
+    kinds = q.where("cats is not null").withColumn("cat", F.explode("cats")).join(index.select(*entry).hint("merge"), "cat").where((F.size("terms") == 0) | F.forall("terms", lambda t: _starts(t, F.col("words"))))
     kinds = kinds.withColumn("by_kind", F.lit(True))
     cut = lambda c: F.substring(c, 1, PREFIX)
     beginnings = lambda c: F.transform(F.sequence(F.lit(1), F.least(F.length(c), F.lit(PREFIX))), lambda n: F.substring(c, F.lit(1), n))
@@ -159,12 +160,14 @@ def search(asked: DataFrame, index: DataFrame, postcodes: DataFrame | None = Non
     named = q.where((F.size("names") > 0) & (F.col("cats").isNull() | (F.size("terms") > 0)))
     longest = F.array_max(F.transform("names", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     named = named.withColumn("key", F.explode(F.array_distinct(F.array(cut(longest), cut(F.array_join("names", ""))))))
-    names = named.join(index.select(*entry, F.explode(keys).alias("key")), "key").where(F.forall("names", lambda t: _starts(t, F.col("words"))) | F.col("joined").startswith(F.array_join("names", "")))
+    # Spark takes the exploded index for no larger than its file: it must not be gathered to be sent to all
+    beginning = index.select(*entry, F.explode(keys).alias("key")).hint("merge")
+    names = named.join(beginning, "key").where(F.forall("names", lambda t: _starts(t, F.col("words"))) | F.col("joined").startswith(F.array_join("names", "")))
     names = names.where(F.col("cats").isNull() | ~F.coalesce(F.array_contains("cats", F.col("cat")), F.lit(False))).drop("key").dropDuplicates(["ask", "id"]).withColumn("by_kind", F.lit(False))
     return _ranked(q, kinds.unionByName(names), postcodes, limit)
 
 
-def _ranked(q: DataFrame, both: DataFrame, postcodes: DataFrame | None, limit: int) -> tuple[DataFrame, DataFrame]:
+def _ranked(q: DataFrame, both: DataFrame, postcodes: DataFrame | None, limit: int | None) -> tuple[DataFrame, DataFrame]:
     k = F.cos(F.radians("lat"))
     metres = F.hypot((F.col("lon") - F.col("qlon")) * k, F.col("lat") - F.col("qlat")) * 111_320.0
     rows = both.withColumn("metres", metres)
@@ -181,5 +184,8 @@ def _ranked(q: DataFrame, both: DataFrame, postcodes: DataFrame | None, limit: i
         hits = hits.unionByName(found.select("ask", "id", "name", "lon", "lat", "metres", F.when(F.col("joined") == F.col("key"), -2.0).otherwise(-1.0).alias("score")))
     spot = F.struct("name", C.js_round(F.col("lon") * 2000), C.js_round(F.col("lat") * 2000))
     once = hits.withColumn("spot", spot).groupBy("ask", "spot").agg(F.min_by(F.struct("id", "name", "metres", "score"), F.struct("score", "id")).alias("v")).select("ask", "v.*")
-    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("ask").orderBy("score", "id"))).where(F.col("rank") <= limit)
+    if limit is None:
+        ranked = once.withColumn("rank", F.lit(None).cast("int"))
+    else:
+        ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("ask").orderBy("score", "id"))).where(F.col("rank") <= limit)
     return ranked.select("ask", "rank", "id", "name", "metres", "score"), q.select("ask").join(hidden, "ask", "left").select("ask", F.coalesce("hidden", F.lit(0)).alias("hidden"))

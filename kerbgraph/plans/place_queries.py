@@ -163,7 +163,7 @@ def prefix_token_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = t(spark, sf_dir, "part")
     index = places.entries(part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.lit("").alias("extra"), F.lit(2).alias("rank"), F.lit(None).cast("string").alias("cat"), F.lit(True).alias("accessible"), (F.lit(-3.2) + F.col("p_partkey") * 0.01).alias("lon"), F.lit(55.9).alias("lat")))
     asked = spark.createDataFrame([(1, "s b", -3.2, 55.9)], "ask int, q string, lon double, lat double")
-    hits, _ = places.search(asked, index, limit=1 << 30)
+    hits, _ = places.search(asked, index, limit=None)
     return hits.select(F.col("id").alias("p_partkey"), F.col("name").alias("p_name"))
 
 

@@ -55,3 +55,11 @@ def test_notes_meet_edges_by_way_and_cell(spark):
 def joins(df):
     """The lines of the plan that tell of joins."""
     return "\n".join(x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x)
+
+
+def test_index_of_a_search_is_not_sent_to_all(spark, tmp_path):
+    part = "SELECT i::BIGINT AS p_partkey, CASE WHEN i % 9 = 0 THEN 'small box' ELSE 'red pipe ' || i END AS p_name FROM range(1, 400) t(i)"
+    mine, theirs = against_sql(spark, tmp_path, "prefix_token_search", part=part)
+    assert len(mine) == 44 and mine == theirs
+    df = plans.QUERIES["prefix_token_search"](spark, str(tmp_path))
+    assert "Broadcast" not in joins(df) and "Window" not in df._jdf.queryExecution().executedPlan().toString()

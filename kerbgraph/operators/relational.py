@@ -214,19 +214,40 @@ def others_within(df: DataFrame, keys: list[str], who: str, at: str, row: str, r
     return counted.select(row, (F.col("base") + F.col("inside") - 1).cast("long").alias("others"))
 
 
-def alike_sets(df: DataFrame, owner: str, item: str, share: float) -> DataFrame:
+#: Owners of an item up to which all its pairs of owners are counted.
+COMMON = 128
+
+
+def alike_sets(df: DataFrame, owner: str, item: str, share: float, common: int = COMMON) -> DataFrame:
     """(a, b, shared): pairs of owners, a below b, whose sets of items have at least `share` of the larger one in common.
 
-    Items are ranked by how rare they are. Two such sets must share one of the rarest items of either, the first n - ceil(share n) + 1 of
-    n, so only those are joined, and only sets of fitting sizes; what is found is counted in full. Common items are hardly ever among them.
+    What two owners share of items that no more than `common` have is counted pair by pair: an item hands its owners' lists to each of them, so pairs are
+    made where they are counted. Items are ranked by how rare they are. Sets that share only common items must share one of the rarest of either, the first
+    n - ceil(share n) + 1 of n. Common items are counted in full, for pairs alone that they can still bring to the share.
     """
-    rows = df.select(F.col(owner).alias("o"), F.col(item).alias("i")).distinct()
-    often = rows.groupBy("i").agg(F.count("*").alias("often"))
-    sizes = rows.groupBy("o").agg(F.count("*").alias("n"))
-    ranked = rows.join(often, "i").join(sizes, "o").withColumn("rank", F.row_number().over(Window.partitionBy("o").orderBy("often", "i")))
-    first = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * share) + 1).select("o", "i", "n")
+    rows = df.select(F.col(owner).alias("o"), F.col(item).alias("i")).where("o is not null and i is not null").distinct()
+    owners = rows.groupBy("i").agg(F.count("*").alias("often"))
+    marked = rows.join(owners, "i").withColumn("wide", F.col("often") > common)
+    sizes = marked.groupBy("o").agg(F.count("*").alias("n"), F.count(F.when(F.col("wide"), 1)).alias("c"))
+    size_of = lambda x: sizes.select(F.col("o").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"))
+
+    lists = rows.join(owners.where(F.col("often").between(2, common)), "i").groupBy("i").agg(F.sort_array(F.collect_list("o")).alias("os"))
+    later = F.slice("os", F.col("k") + 2, F.greatest(F.size("os") - F.col("k") - 1, F.lit(0)))
+    heads = lists.select("os", F.posexplode("os").alias("k", "a")).select("a", later.alias("bs")).where("size(bs) > 0").repartition("a")
+    counted = heads.select("a", F.explode("bs").alias("b")).groupBy("a", "b").agg(F.count("*").alias("rare"))
+    counted = counted.join(size_of("a"), "a").where(F.col("rare") + F.col("ca") >= F.col("na") * share).select("a", "b", "rare")
+
+    spread = marked.where("wide").join(sizes, "o")
+    rank = F.col("n") - F.col("c") + F.row_number().over(Window.partitionBy("o").orderBy("often", "i"))
+    first = spread.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * share) + 1).select("o", "i", "n")
     left, right = (first.select("i", F.col("o").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
     fit = F.least("na", "nb") >= F.greatest("na", "nb") * share
-    pairs = left.join(right, "i").where((F.col("a") < F.col("b")) & fit).select("a", "b", F.greatest("na", "nb").alias("n")).distinct()
-    whole = pairs.join(rows.withColumnRenamed("o", "a"), "a").join(rows.withColumnRenamed("o", "b"), ["b", "i"])
-    return whole.groupBy("a", "b", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= F.col("n") * share).select("a", "b", "shared")
+    met = left.join(right, "i").where((F.col("a") < F.col("b")) & fit).select("a", "b").distinct()
+
+    pairs = counted.unionByName(met.withColumn("rare", F.lit(0).cast("long"))).groupBy("a", "b").agg(F.sum("rare").alias("rare"))
+    pairs = pairs.join(size_of("a"), "a").join(size_of("b"), "b").withColumn("n", F.greatest("na", "nb"))
+    pairs = pairs.where(F.col("rare") + F.least("ca", "cb") >= F.col("n") * share)
+    wide = lambda x: marked.where("wide").select(F.col("o").alias(x), "i")
+    open_ = pairs.where("ca > 0 and cb > 0").select("a", "b").join(wide("a"), "a").join(wide("b"), ["b", "i"]).groupBy("a", "b").agg(F.count("*").alias("rest"))
+    whole = pairs.join(open_, ["a", "b"], "left").withColumn("shared", F.col("rare") + F.coalesce("rest", F.lit(0)))
+    return whole.where(F.col("shared") >= F.col("n") * share).select("a", "b", "shared")

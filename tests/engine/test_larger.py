@@ -63,3 +63,17 @@ def test_index_of_a_search_is_not_sent_to_all(spark, tmp_path):
     assert len(mine) == 44 and mine == theirs
     df = plans.QUERIES["prefix_token_search"](spark, str(tmp_path))
     assert "Broadcast" not in joins(df) and "Window" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_common_items_are_counted_for_few_pairs(spark):
+    rng = random.Random(9)
+    # items below 6 are common; owners from 50 have hardly any others
+    sets = {o: set(rng.sample(range(6), rng.randint(3, 6))) | {rng.randint(6, 40) for _ in range(0 if o > 49 else rng.randint(1, 5))} for o in range(70)}
+    df = spark.createDataFrame([(o, i) for o, s in sets.items() for i in s], "o long, i long")
+    for share in (0.3, 0.6, 0.9):
+        expected = {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= share * max(len(sets[a]), len(sets[b]))}
+        for common in (0, 4, 12, 200):
+            assert {(r["a"], r["b"]): r["shared"] for r in relational.alike_sets(df, "o", "i", share, common).collect()} == expected
+    # owners without common items are counted where they meet: no join takes their whole sets again
+    plan = relational.alike_sets(df, "o", "i", 0.3).groupBy().count()._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(bs" in plan

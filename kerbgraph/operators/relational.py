@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import haversine_m, in_ring, segment_distance_m
+from ..sources.scratch import Tables, written
 
 
 def best_per_key(df: DataFrame, keys: list[str], *order: Column | str, columns: list[str] | None = None) -> DataFrame:
@@ -128,11 +131,45 @@ def within_join(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame
     return near.where(F.col("distance_m") <= radius_m).select("a", "b", "distance_m")
 
 
-def nearest_join(left: DataFrame, right: DataFrame, radius_m: float, k: int = 1) -> DataFrame:
-    """The k nearest right rows within the radius for every left row; of equal distances the lesser b. Spark cuts to k rows before it
-    shuffles (a limit inside the window), so a crowd around a point doesn't travel."""
-    ranked = within_join(left, right, radius_m).withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("distance_m", "b")))
-    return ranked.where(F.col("rank") <= k)
+#: Rows of a place's cell that a search for the nearest starts from, about, and how often its radius may be halved for that.
+NEAR_ROWS, HALVINGS = 8, 12
+
+
+def nearest_join(left: DataFrame, right: DataFrame, radius_m: float, k: int = 1, unlike: str | None = None) -> DataFrame:
+    """The k nearest right rows within the radius for every left row (a, b, distance_m, rank); of equal distances the lesser b. unlike: a column of both sides in
+    which the two must differ (null differs from nothing).
+
+    Rows at one place are one: k of them stand for it. Searches go on from a radius at which cells hold few places to the whole one, doubling it; who has k
+    within a radius is done, so a crowd around a point is never paired with it as a whole.
+    """
+    kind = F.col(unlike) if unlike else F.lit(0)
+    place = ["lon", "lat", "kind"]
+    with Tables(left.sparkSession) as tables:
+        asked = tables.write(left.where("lon is not null and lat is not null").select("a", "lon", "lat", kind.alias("kind")).where("kind is not null"), "asked")
+        first = F.row_number().over(Window.partitionBy(*place).orderBy("b"))
+        stored = right.where("lon is not null and lat is not null").select("b", "lon", "lat", kind.alias("kind")).where("kind is not null").withColumn("n", first).where(F.col("n") <= k)
+        stored = tables.write(stored.groupBy(*place).agg(F.sort_array(F.collect_list("b")).alias("bs")), "stored")
+        open_ = tables.write(asked.select(*place).distinct(), "open")
+        crowd = cell(stored, radius_m, "lon", "lat").groupBy("cx", "cy").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        halvings = min(HALVINGS, max(0, math.ceil(math.log(max(1.0, crowd / NEAR_ROWS), 4))))
+        done = None
+        for turn in range(halvings, -1, -1):
+            reach = radius_m / 2**turn
+            here = stored.select("bs", F.col("lon").alias("blon"), F.col("lat").alias("blat"), F.col("kind").alias("bkind"))
+            meet, spots = around(open_, reach, "lon", "lat"), cell(here, reach, "blon", "blat")
+            spots, meet = _dealt(spots, meet)
+            near = meet.join(spots, ["cx", "cy", "part"]).withColumn("distance_m", haversine_m(F.col("lon"), F.col("lat"), F.col("blon"), F.col("blat"))).where(F.col("distance_m") <= reach)
+            if unlike:
+                near = near.where("kind <> bkind")
+            near = near.select(*place, "distance_m", F.explode("bs").alias("b"))
+            near = near.withColumn("rank", F.row_number().over(Window.partitionBy(*place).orderBy("distance_m", "b"))).where(F.col("rank") <= k)
+            near = tables.write(near, "near")
+            full = near.where(F.col("rank") == k).select(*place)
+            part = near if turn == 0 else near.join(full, place, "left_semi")
+            done = part if done is None else done.unionByName(part)
+            if turn:
+                open_ = tables.write(open_.join(full, place, "left_anti"), "open")
+        return written(asked.join(done, place).select("a", "b", "distance_m", "rank"), "nearest")
 
 
 def segment_join(left: DataFrame, segments: DataFrame, radius_m: float, step_m: float = 50.0) -> DataFrame:

@@ -150,11 +150,8 @@ _DIST = "2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2
 def nearest_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest point of another label within 300 m."""
     e = t(spark, sf_dir, "embeddings").select("vec_id", "label", (F.lit(-3.19) + F.col("embedding")[0].cast("double") * 0.02).alias("lon"), (F.lit(55.95) + F.col("embedding")[1].cast("double") * 0.01).alias("lat"))
-    near = relational.within_join(e.select(F.col("vec_id").alias("a"), "lon", "lat"), e.select(F.col("vec_id").alias("b"), "lon", "lat"), 300.0)
-    label = lambda k: e.select(F.col("vec_id").alias(k), F.col("label").alias(f"l{k}"))
-    other = near.join(label("a"), "a").join(label("b"), "b").where("la <> lb")
-    best = other.groupBy("a").agg(F.min_by(F.struct("b", "distance_m"), F.struct("distance_m", "b")).alias("v"))
-    return best.select("a", "v.b", F.round("v.distance_m", 3).alias("distance_m"))
+    side = lambda k: e.select(F.col("vec_id").alias(k), "lon", "lat", "label")
+    return relational.nearest_join(side("a"), side("b"), 300.0, unlike="label").select("a", "b", F.round("distance_m", 3).alias("distance_m"))
 
 
 @query("""SELECT p_partkey, p_name FROM part WHERE list_bool_and(list_transform(['s', 'b'], lambda q: len(list_filter(string_split(lower(p_name), ' '), lambda w: starts_with(w, q))) > 0)) OR starts_with(replace(lower(p_name), ' ', ''), 'sb')""")

@@ -77,3 +77,23 @@ def test_common_items_are_counted_for_few_pairs(spark):
     # owners without common items are counted where they meet: no join takes their whole sets again
     plan = relational.alike_sets(df, "o", "i", 0.3).groupBy().count()._jdf.queryExecution().optimizedPlan().toString()
     assert "explode(bs" in plan
+
+
+def test_nearest_in_a_crowd(spark, monkeypatch):
+    rng = random.Random(5)
+    spot = [(rng.gauss(-3.0, 0.002), rng.gauss(56.0, 0.001)) for _ in range(150)]
+    rows = [(i, *rng.choice(spot), rng.choice([0, 0, 0, 1, 2, None])) for i in range(500)] + [(500, -3.2, 56.0, 0), (501, None, 56.0, 1)]
+    monkeypatch.setattr(relational, "NEAR_ROWS", 2)
+    rank = lambda x, y, r: (2 * C.EARTH_M * math.asin(math.sqrt(math.sin(math.radians(r[2] - y) / 2) ** 2 + math.cos(math.radians(y)) * math.cos(math.radians(r[2])) * math.sin(math.radians(r[1] - x) / 2) ** 2)), r[0])
+    df = spark.createDataFrame(rows, "a long, lon double, lat double, kind int")
+    met = []
+    monkeypatch.setattr(relational, "_dealt", lambda stored, asked, f=relational._dealt: met.append((stored, asked)) or f(stored, asked))
+    for k in (1, 3):
+        expected = set()
+        for a in rows:
+            if a[1] is not None and a[3] is not None:
+                near = sorted(rank(a[1], a[2], b) for b in rows if b[1] is not None and b[3] is not None and b[3] != a[3])
+                expected |= {(a[0], b, i + 1) for i, (d, b) in enumerate([x for x in near if x[0] <= 300][:k])}
+        found = relational.nearest_join(df, df.withColumnRenamed("a", "b"), 300.0, k, unlike="kind")
+        assert {(r["a"], r["b"], r["rank"]) for r in found.collect()} == expected and expected
+    assert len(met) > 4  # smaller radii came before the whole one

@@ -31,11 +31,18 @@ def says(text: Column, pattern: str, before: str = DENIED_BEFORE, after: str = D
     pattern, before, after = (ascii_edges(p) for p in (pattern, before, after))
     text = F.coalesce(text, F.lit(""))
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    lengths = lambda xs, n: F.aggregate(F.slice(xs, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
-    each = F.transform(found, lambda m, i: F.struct((lengths(between, i + 1) + lengths(found, i)).alias("at"), F.length(m).alias("n")))
-    ahead = lambda m: F.substring(text, F.greatest(m["at"] - context, F.lit(0)) + 1, F.least(m["at"], F.lit(context)))
-    behind = lambda m: F.substring(text, m["at"] + m["n"] + 1, F.lit(context))
-    return F.exists(each, lambda m: ~(ahead(m).rlike(before) | behind(m).rlike(after)))
+    at = lambda xs, i: F.get(xs, i)
+    run = lambda xs, start, n: F.array_join(F.slice(xs, start, n), "")
+    # a match and what lies beside it are a character at least, so `context` of them hold the context
+    n = F.lit(context)
+    ahead = lambda s, i: F.substring(F.concat(run(s["left"], F.greatest(i - n, F.lit(0)) + 1, F.least(i, n)), at(s["b"], i)), -context, context)
+    behind = lambda s, i: F.substring(F.concat(at(s["b"], i + 1), run(s["right"], i + 2, n)), 1, context)
+    stands = lambda s: lambda i: ~(ahead(s, i).rlike(before) | behind(s, i).rlike(after))
+    # inside a lambda an expression is worked out for every element, a lambda's variable once: so each array is bound to one
+    once = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)
+    sides = lambda s: F.struct(s["b"].alias("b"), F.zip_with(F.slice(s["b"], F.lit(1), F.size(s["f"])), s["f"], lambda x, m: F.concat(x, m)).alias("left"), F.zip_with(s["f"], F.slice(s["b"], F.lit(2), F.size(s["f"])), lambda m, x: F.concat(m, x)).alias("right"))
+    places = lambda s: F.when(F.size(s["left"]) > 0, F.sequence(F.lit(0), F.size(s["left"]) - 1)).otherwise(F.array().cast("array<int>"))
+    return once(F.struct(found.alias("f"), between.alias("b")), lambda s: once(sides(s), lambda t: F.exists(places(t), stands(t))))
 
 
 def station_message(message: Column) -> Column:

@@ -2,10 +2,13 @@
 
 import math
 import random
+import re
 
 import duckdb
+from pyspark.sql import functions as F
 
 from kerbgraph.functions import columns as C
+from kerbgraph.functions import texts
 from kerbgraph.operators import linking, relational
 from kerbgraph.plans import queries as plans
 
@@ -97,3 +100,18 @@ def test_nearest_in_a_crowd(spark, monkeypatch):
         found = relational.nearest_join(df, df.withColumnRenamed("a", "b"), 300.0, k, unlike="kind")
         assert {(r["a"], r["b"], r["rank"]) for r in found.collect()} == expected and expected
     assert len(met) > 4  # smaller radii came before the whole one
+
+
+def test_texts_are_split_once_whatever_they_say(spark):
+    words = "the cat the of no x les not was is is und, der".split()
+    rng = random.Random(6)
+    texts_ = [" ".join(rng.choice(words) for _ in range(n)) for n in (0, 1, 3, 10, 30, 200)] + ["thethe the a", "of the cat", "the cat is", None, "é" * 30 + " the cat"]
+    pattern, before, after = r"(?i)the\s*\w?", r"(?i)(of|no)[\s\w]{0,9}$", r"(?i)^[\s\w]{0,2}(is|was)"
+
+    def plain(t):
+        t = t or ""
+        return any(not re.search(before, t[max(m.start() - 24, 0) : m.start()]) and not re.search(after, t[m.end() : m.end() + 24]) for m in re.finditer(pattern, t))
+
+    df = spark.createDataFrame(list(enumerate(texts_)), "i int, t string").select("i", texts.says(F.col("t"), pattern, before, after).alias("x"))
+    assert [r["x"] for r in df.orderBy("i").collect()] == [plain(t) for t in texts_]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kerbgraph.operators import graph, routing
+from kerbgraph.sources.scratch import Tables
 
 
 def dijkstra(arcs, start, factor=None):
@@ -143,3 +144,23 @@ def test_cheapest_takes_few_hops_and_any_length(spark):
     got = {r["node"]: (r["cost"], r["hops"], r["via"]) for r in graph.cheapest(arcs, spark.createDataFrame([(1,)], "root long")).collect()}
     assert got == {1: (0.0, 0, 1), 2: (1.0, 1, 1), 3: (2.0, 1, 1), 4: (3.0, 2, 3)}
     assert {r["node"] for r in graph.cheapest(arcs, spark.createDataFrame([(1,)], "root long"), 1).collect()} == {1, 2, 3}
+
+
+def test_bounds_grow_until_nothing_is_left(spark):
+    """Ways far dearer than the first bound, a node with many dear arcs, one no arc leads on from, and none at all."""
+    rows = [("a", 0, 1, 1, 1.0), ("a", 1, 2, 2, 900.0), ("a", 2, 3, 3, 1.0), ("a", 0, 3, 4, 903.0), ("a", 3, 4, 5, 50_000.0), ("a", 0, 9, 6, 0.0)]
+    rows += [("a", 0, 100 + i, 10 + i, 2.0 + i) for i in range(40)] + [("a", 100 + i, 0, 60 + i, 2.0) for i in range(40)]
+    arcs = spark.createDataFrame(rows, "profile string, src long, dst long, edge long, cost double").withColumn("length", F.col("cost"))
+    asked = [(1, "a", 0, 3), (2, "a", 0, 4), (3, "a", 0, 9), (4, "a", 9, 0), (5, "a", 3, 2), (6, "a", 120, 3)]
+    requests = spark.createDataFrame(asked, "request long, profile string, origin long, destination long")
+    found = {r["request"]: (r["cost"], r["hops"]) for r in routing.search(arcs, requests).where("node = destination").collect()}
+    assert found == {1: (902.0, 3), 2: (50_902.0, 4), 3: (0.0, 1), 6: (904.0, 4)}
+    # what costs more than the route of the first request isn't made for it
+    most = spark.createDataFrame([(1, 902.0)], "request long, most double")
+    with Tables(spark) as tables:
+        ready, stride = routing._arcs(arcs, tables)
+        held = routing._search(ready, stride, requests.where("request = 1"), known_routes=most)
+        assert held.agg(F.max("cost")).first()[0] == 902.0
+    stops = arcs.withColumn("stop", F.col("dst") == 1).withColumn("ride", F.lit(False))
+    gaps = {r["request"]: r["cost"] for r in routing.search_with_gaps(stops, requests.where("request <= 2"), 901.0).collect()}
+    assert gaps == {1: 902.0, 2: None}

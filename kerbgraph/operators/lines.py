@@ -18,11 +18,18 @@ def densify(line: Column, step: float = STEP_M) -> Column:
     end."""
     n = F.size(line)
     legs = F.zip_with(F.slice(line, F.lit(1), n - 1), F.slice(line, F.lit(2), n - 1), lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by"), F.hypot(b["x"] - a["x"], b["y"] - a["y"]).alias("len")))
-    before = lambda i: F.aggregate(F.slice(legs, F.lit(1), i), F.lit(0.0), lambda s, g: s + g["len"])
+    # a column used twice is computed twice: what many points share is bound to a name by an array of one
+    bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    before = lambda legs, i: F.aggregate(F.slice(legs, F.lit(1), i), F.lit(0.0), lambda s, g: s + g["len"])
     parts = lambda g: F.greatest(F.lit(1), F.ceil(g["len"] / step).cast("int"))
-    inner = F.transform(legs, lambda g, i: F.transform(F.sequence(F.lit(0), parts(g) - 1), lambda s: F.struct((before(i) + g["len"] * s / parts(g)).alias("d"), (g["ax"] + (g["bx"] - g["ax"]) * s / parts(g)).alias("x"), (g["ay"] + (g["by"] - g["ay"]) * s / parts(g)).alias("y"))))
+    leg = lambda g, q: F.transform(F.sequence(F.lit(0), q["n"] - 1), lambda s: F.struct((q["d"] + g["len"] * s / q["n"]).alias("d"), (g["ax"] + (g["bx"] - g["ax"]) * s / q["n"]).alias("x"), (g["ay"] + (g["by"] - g["ay"]) * s / q["n"]).alias("y")))
     end = F.element_at(line, -1)
-    return F.concat(F.flatten(inner), F.array(F.struct(before(n - 1).alias("d"), end["x"].alias("x"), end["y"].alias("y"))))
+
+    def points(legs: Column) -> Column:
+        inner = F.transform(legs, lambda g, i: bound(F.struct(before(legs, i).alias("d"), parts(g).alias("n")), lambda q: leg(g, q)))
+        return F.concat(F.flatten(inner), F.array(F.struct(before(legs, n - 1).alias("d"), end["x"].alias("x"), end["y"].alias("y"))))
+
+    return bound(legs, points)
 
 
 def slope_parts(profile: DataFrame, keys: list[str], *more: Column) -> DataFrame:

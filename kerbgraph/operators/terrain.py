@@ -15,6 +15,8 @@ from .streets import told
 
 #: Cells along a block's side, and metres along the cells that points and blocks meet in.
 SIDE, CELL_M = 64, 64.0
+#: Edges of a task, about: each makes many samples, so their few bytes would be dealt to too few tasks.
+EDGES_A_TASK = 20_000
 #: Heights below are no data.
 LOWEST = -100.0
 #: Metres: edges shorter than the baseline they are measured on, how far beside the line camber is taken, what no camber rises there, edges too short to change.
@@ -25,7 +27,7 @@ SPAN_M = 2.0
 
 def blocks(tiles: DataFrame, side: int = SIDE, nodata: float | None = None) -> DataFrame:
     """Tiles cut into blocks of `side` cells that also hold the next row and column, so that every point finds what it lies between in one block, by
-    cell (cx, cy) of the plane. Cells without data (not finite, `nodata` or below -100 m) are null."""
+    cell (cx, cy) of the plane; a tile's first blocks also answer for the half cell before it. Cells without data (not finite, `nodata` or below -100 m) are null."""
     good = lambda v: F.when(~F.isnan(v) & (F.abs(v) < float("inf")) & (v >= LOWEST) & (F.lit(True) if nodata is None else v != nodata), v)
     last = lambda n: F.floor((F.col(n) - 1) / side).cast("int")
     lo = lambda i: F.greatest(F.lit(0), i * side)
@@ -34,47 +36,59 @@ def blocks(tiles: DataFrame, side: int = SIDE, nodata: float | None = None) -> D
     def block(i: Column, j: Column) -> Column:
         row = lambda v: F.transform(F.slice("z", v * F.col("width") + lo(i) + 1, hi(i, "width") - lo(i) + 1), good)
         rows = F.flatten(F.transform(F.sequence(lo(j), hi(j, "height")), row))
-        return F.struct((i * side).alias("own_u"), (j * side).alias("own_v"), lo(i).alias("left"), lo(j).alias("top"), (hi(i, "width") - lo(i) + 1).alias("wide"), (hi(j, "height") - lo(j) + 1).alias("high"), rows.alias("z"))
+        first = lambda i: F.when(i == 0, -1).otherwise(i * side)
+        return F.struct(first(i).alias("own_u"), first(j).alias("own_v"), (i * side + side).alias("to_u"), (j * side + side).alias("to_v"), lo(i).alias("left"), lo(j).alias("top"), (hi(i, "width") - lo(i) + 1).alias("wide"), (hi(j, "height") - lo(j) + 1).alias("high"), rows.alias("z"))
 
-    each = F.transform(F.sequence(F.lit(-1), last("width")), lambda i: F.transform(F.sequence(F.lit(-1), last("height")), lambda j: block(i, j)))
-    cut = tiles.where("width > 0 and height > 0").select("rank", "x0", "y0", "res", F.col("width").alias("across"), F.col("height").alias("down"), F.inline(F.flatten(each))).withColumn("side", F.lit(side))
+    each = F.transform(F.sequence(F.lit(0), last("width")), lambda i: F.transform(F.sequence(F.lit(0), last("height")), lambda j: block(i, j)))
+    cut = tiles.where("width > 0 and height > 0").select("rank", "x0", "y0", "res", F.col("width").alias("across"), F.col("height").alias("down"), F.inline(F.flatten(each)))
     # what a block answers for reaches half a cell beyond its tile
-    west, east = F.greatest(F.col("own_u"), F.lit(-1)) + 0.5, F.least(F.col("own_u") + side, F.col("across")) + 0.5
-    north, south = F.greatest(F.col("own_v"), F.lit(-1)) + 0.5, F.least(F.col("own_v") + side, F.col("down")) + 0.5
+    west, east = F.col("own_u") + 0.5, F.least("to_u", "across") + 0.5
+    north, south = F.col("own_v") + 0.5, F.least("to_v", "down") + 0.5
     cells = lambda a, b: F.explode(F.sequence(F.floor(a / CELL_M), F.floor(b / CELL_M)))
     cut = cut.withColumn("cx", cells(F.col("x0") + west * F.col("res"), F.col("x0") + east * F.col("res")))
     return cut.withColumn("cy", cells(F.col("y0") - south * F.col("res"), F.col("y0") - north * F.col("res"))).drop("across", "down")
 
 
-def heights(points: DataFrame, dtm: DataFrame, keys: list[str], by: str | None = None) -> DataFrame:
+def _dealt(edges: DataFrame) -> tuple[DataFrame, int]:
+    """edges dealt by their key into parts whose number grows with them, and that number."""
+    parts = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), edges.count() // EDGES_A_TASK)
+    return edges.repartition(parts, "edge"), parts
+
+
+def heights(points: DataFrame, dtm: DataFrame, keys: list[str], by: str | None = None, parts: int = 1) -> DataFrame:
     """(keys, z) of points (keys, x, y) by `blocks`: bilinear between the four nearest cells; where one of them has no data, the first that has any (north-west,
-    north-east, south-west, south-east); null if none has. Rows alike in `keys` come once. by: a key that rows are dealt by, so that what follows needn't shuffle.
+    north-east, south-west, south-east); null if none has. Rows alike in `keys` come once. by: a key that rows are dealt by into so many parts, so that what follows needn't shuffle.
     Points without a place have no height."""
-    found = points.withColumn("cx", F.floor(F.col("x") / CELL_M)).withColumn("cy", F.floor(F.col("y") / CELL_M)).join(dtm, ["cx", "cy"], "left")
+    at = points.withColumn("cx", F.floor(F.col("x") / CELL_M)).withColumn("cy", F.floor(F.col("y") / CELL_M))
     fx, fy = (F.col("x") - F.col("x0")) / F.col("res") - 0.5, (F.col("y0") - F.col("y")) / F.col("res") - 0.5
+    # a cell meets more blocks than answer for a point: the join itself leaves those out, so that a point makes a row for each that does
+    u, v = F.floor(fx), F.floor(fy)
+    own = (u >= F.col("own_u")) & (u < F.col("to_u")) & (v >= F.col("own_v")) & (v < F.col("to_v"))
+    here = dtm.withColumnsRenamed({"cx": "__cx", "cy": "__cy"})
+    found = at.join(here, (F.col("cx") == F.col("__cx")) & (F.col("cy") == F.col("__cy")) & own, "left")
     found = found.withColumn("fx", fx).withColumn("fy", fy).withColumn("u", F.floor("fx").cast("int")).withColumn("v", F.floor("fy").cast("int"))
-    own = F.col("u").between(F.col("own_u"), F.col("own_u") + F.col("side") - 1) & F.col("v").between(F.col("own_v"), F.col("own_v") + F.col("side") - 1)
     column, line = F.col("u") - F.col("left"), F.col("v") - F.col("top")
-    inside = lambda p, q: own & p.between(0, F.col("wide") - 1) & q.between(0, F.col("high") - 1)
+    inside = lambda p, q: p.between(0, F.col("wide") - 1) & q.between(0, F.col("high") - 1)
     cell = lambda p, q: F.when(inside(p, q), F.get("z", q * F.col("wide") + p))
     found = found.select(*keys, "rank", (F.col("fx") - F.col("u")).alias("tx"), (F.col("fy") - F.col("v")).alias("ty"), cell(column, line).alias("a"), cell(column + 1, line).alias("b"), cell(column, line + 1).alias("c"), cell(column + 1, line + 1).alias("d4"))
     tx, ty, one = F.col("tx"), F.col("ty"), F.lit(1.0)
     between = F.col("a") * (one - tx) * (one - ty) + F.col("b") * tx * (one - ty) + F.col("c") * (one - tx) * ty + F.col("d4") * tx * ty
     found = found.select(*keys, "rank", F.coalesce(between, "a", "b", "c", "d4").alias("z"))
     if by:
-        found = found.repartition(by)
+        found = found.repartition(parts, by)
     return found.groupBy(*keys).agg(F.min_by("z", F.when(F.col("z").isNotNull(), F.col("rank"))).alias("z"))
 
 
 def profiles(edges: DataFrame, dtm: DataFrame) -> DataFrame:
     """(edge, k, d, z) every metre along edges (edge, line of (x, y), off) that lie on the ground."""
-    points = edges.where(~F.col("off") & (F.size("line") > 1)).select("edge", F.posexplode(lines.densify(F.col("line"))).alias("k", "p")).select("edge", "k", "p.d", "p.x", "p.y")
-    return heights(points, dtm, ["edge", "k", "d"], by="edge")
+    edges, parts = _dealt(edges.where(~F.col("off") & (F.size("line") > 1)).select("edge", "line"))
+    points = edges.select("edge", F.posexplode(lines.densify(F.col("line"))).alias("k", "p")).select("edge", "k", "p.d", "p.x", "p.y")
+    return heights(points, dtm, ["edge", "k", "d"], by="edge", parts=parts)
 
 
 def _samples(edges: DataFrame) -> DataFrame:
     """(edge, part, k, d, x, y): the line every metre, points to both sides of every other one, and the ends of the baseline of short edges."""
-    on = edges.where(F.size("line") > 1).select("edge", lines.densify(F.col("line")).alias("p"))
+    on = edges.select("edge", lines.densify(F.col("line")).alias("p"))
     n, p = F.size("p"), F.col("p")
     point = lambda part, k, d, x, y: F.struct(F.lit(part).alias("part"), k.cast("int").alias("k"), d.alias("d"), x.alias("x"), y.alias("y"))
     line = F.transform(p, lambda q, k: point("line", k, q["d"], q["x"], q["y"]))
@@ -101,12 +115,13 @@ def edge_slopes(edges: DataFrame, dtm: DataFrame) -> DataFrame:
     edge of less than 5 m is measured over 5 m about its middle. camber: of the differences across every other metre, those of more than half a metre left out,
     the one that three quarters don't reach; null if more were left out than kept. A single-point line has no row.
     """
-    found = heights(_samples(edges), dtm, ["edge", "part", "k", "d"], by="edge")
+    edges, parts = _dealt(edges.where(F.size("line") > 1).select("edge", "line"))
+    found = heights(_samples(edges), dtm, ["edge", "part", "k", "d"], by="edge", parts=parts)
     listed = F.sort_array(F.collect_list(F.when(F.col("part") != "line", F.struct("k", "z")))).alias("listed")
-    parts = lines.slope_parts(found, ["edge", "part"], listed)
+    told_parts = lines.slope_parts(found, ["edge", "part"], listed)
     of = lambda part, c: F.max(F.when(F.col("part") == part, F.col(c))).alias(c)
     zs = lambda part: F.max(F.when(F.col("part") == part, F.transform("listed", lambda s: s["z"])))
-    rows = parts.groupBy("edge").agg(*[of("line", c) for c in ("length", "gap", "jump", "mean", "steepest")], zs("ends").alias("ends"), zs("beside").alias("beside"))
+    rows = told_parts.groupBy("edge").agg(*[of("line", c) for c in ("length", "gap", "jump", "mean", "steepest")], zs("ends").alias("ends"), zs("beside").alias("beside"))
     short = F.col("length") < SHORT_M
     base = (F.get("ends", F.lit(1)) - F.get("ends", F.lit(0))) / SHORT_M * 100
     rows = rows.withColumn("mean", F.when(short, base).otherwise(F.col("mean"))).withColumn("steepest", F.when(short, base).otherwise(F.col("steepest")))

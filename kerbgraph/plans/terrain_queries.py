@@ -12,6 +12,11 @@ from .registry import query, t
 BELOW = 1_000_000_000
 
 
+def six(c: str):
+    """Six places as SQL rounds them: of the product, which Spark's round of a double's shortest text differs from at halves."""
+    return (F.round(F.col(c) * 1e6) / 1e6).alias(c)
+
+
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every customer a tile of 8 x 8 cells of 5 m, 40 in a row, one cell in 17 without data; every nation one of 10 x 10 cells of 40 m."""
     key, nation = F.col("c_custkey"), F.col("n_nationkey")
@@ -46,7 +51,7 @@ SELECT pts.p.o AS l_orderkey, pts.p.n AS l_linenumber, pts.p.k AS l_partkey, rou
 def terrain_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The height of every line's place, lines alike once."""
     points = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_partkey") * 37 % 17_000 / 10.0).alias("x"), (F.col("l_orderkey") * 13 % 19_000 / 10.0).alias("y"))
-    return terrain.heights(points, terrain.blocks(tiles(spark, sf_dir)), ["l_orderkey", "l_linenumber", "l_partkey"]).withColumn("z", F.round("z", 6))
+    return terrain.heights(points, terrain.blocks(tiles(spark, sf_dir)), ["l_orderkey", "l_linenumber", "l_partkey"]).withColumn("z", six("z"))
 
 
 def streets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +73,7 @@ SELECT pts.p.e AS edge, pts.p.k::INT AS k, round(pts.p.k, 6)::DOUBLE AS d, round
 def terrain_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The height at every metre of the streets on the ground."""
     found = terrain.profiles(streets(spark, sf_dir), terrain.blocks(tiles(spark, sf_dir)))
-    return found.select("edge", "k", F.round("d", 6).alias("d"), F.round("z", 6).alias("z"))
+    return found.select("edge", "k", six("d"), six("z"))
 
 
 _BESIDE = f"SELECT edge, 2 * k + s AS k, x - (1 - 2 * s) * (ny - py) / far AS x, y + (1 - 2 * s) * (nx - px) / far AS y FROM (SELECT *, sqrt((nx - px) * (nx - px) + (ny - py) * (ny - py)) AS far FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM ({_ALONG}) WINDOW w AS (PARTITION BY edge ORDER BY k)) WHERE k % 2 = 1 AND k < parts), (SELECT unnest([0, 1]) AS s)"
@@ -86,4 +91,4 @@ SELECT edge, verdict, CASE WHEN verdict = 'sampled' THEN round(mean, 6) END AS m
 def terrain_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slope and camber of all streets."""
     found = terrain.edge_slopes(streets(spark, sf_dir), terrain.blocks(tiles(spark, sf_dir)))
-    return found.select("edge", "verdict", *[F.round(c, 6).alias(c) for c in ("mean", "steepest", "camber")], "short")
+    return found.select("edge", "verdict", *[six(c) for c in ("mean", "steepest", "camber")], "short")

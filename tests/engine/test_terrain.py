@@ -170,3 +170,13 @@ def test_profile_and_enrichment(spark, tiles):
     assert {r["edge"] for r in profile} == {1} and [round(r["d"], 6) for r in profile] == list(range(31)) and all(abs(r["z"] - plain(tiles, 10 + r["d"], 150)) < 1e-9 for r in profile)
     flat = spark.range(30).select(F.lit(1).alias("e"), F.col("id").cast("double").alias("d"), (F.col("id") * 0.05).alias("z"))
     assert lines.slopes(flat, "e").first()["verdict"] == "sampled"
+
+
+def test_a_point_makes_a_row_for_each_block_that_answers_for_it(spark):
+    """Eight tiles meet in a cell of the plane, but only one holds the point; a point half a cell before a tile is its own, too."""
+    tiles = [(i, i * 8.0, 8.0, 1.0, 8, 8, [float(i)] * 64) for i in range(8)]
+    dtm = terrain.blocks(spark.createDataFrame(tiles, TILES))
+    assert dtm.select("rank", "own_u", "own_v").distinct().count() == 8
+    points = spark.createDataFrame([(1, 12.0, 4.0), (2, -0.25, 4.0), (3, -0.75, 4.0), (4, 3.0, 8.25)], "p int, x double, y double")
+    found = terrain.heights(points, dtm, ["p"])
+    assert {r["p"]: r["z"] for r in found.collect()} == {1: 1.0, 2: 0.0, 3: None, 4: 0.0}

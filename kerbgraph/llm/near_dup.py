@@ -243,8 +243,8 @@ def group(documents: DataFrame, keep: list[str], order: str) -> DataFrame:
     """The columns in `keep` (`order` among them) with n_shingles, component (the smallest `order` reachable) and first (this row is
     the one of its component that stays) for every row. Other columns are left out; of `keep`, those named as the new ones give way.
 
-    1. Rows with equal sets form a class. 2. Classes that share a key are candidates: each key's classes are compared with two
-    of them (the least and the largest by a hash). Keys with the same members are one. 3. In keys whose classes still lie in several
+    1. Rows with equal sets form a class. 2. Classes that share a key are candidates: each key's classes are compared with one
+    of them (the least by a hash), three with each other. Keys with the same members are one. 3. In keys whose classes still lie in several
     components, every class outside the largest component is compared with all of other components, in blocks. Candidates are
     first told by size and signature, and what is left by full sets. 4. Links make components. Sets that differ in more than
     GUARANTEED lanes may share no key: at similarity 0.75 the chance that a pair shares none is about 1e-7. Null texts and texts
@@ -289,7 +289,7 @@ def group(documents: DataFrame, keep: list[str], order: str) -> DataFrame:
 
 def _candidates(classes: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
     """held (key, id): the classes of every key that more than three share; spokes (g, id): classes to be compared with their key's
-    least or largest. Keys with the same members, told by their number and 128 bits, count once."""
+    least, of three also the other two with each other, so that what isn't held is compared whole. Keys with the same members, told by their number and 128 bits, count once."""
     keys = tables.write(chunk_keys(classes), "keys")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     both = tables.write(keys.join(shared, "key", "left_semi"), "shared")
@@ -299,9 +299,10 @@ def _candidates(classes: DataFrame, tables: Tables) -> tuple[DataFrame, DataFram
     facts = tables.write(facts.groupBy("n", "x", "y").agg(F.min(F.struct("key", "low", "high")).alias("v")).select("n", "v.*"), "facts")
     held = tables.write(both.join(facts.where("n > 2"), "key"), "held")
     tables.drop("shared")
-    pivot = lambda c: held.where(F.col(c) != F.col("id")).select(F.col(c).alias("g"), "id")
+    stars = held.where("low <> id").select(F.col("low").alias("g"), "id")
+    third = held.where("n = 3 and low <> id and high <> id").select(F.col("high").alias("g"), "id")
     pairs = facts.where("n = 2").select(F.col("low").alias("g"), F.col("high").alias("id"))
-    spokes = tables.write(pairs.union(pivot("low")).union(pivot("high")).distinct(), "spokes")
+    spokes = tables.write(pairs.union(stars).union(third).distinct(), "spokes")
     return held.where("n > 3").select("key", "id"), spokes
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kerbgraph.llm import decontaminate, hamming_search, html_text, language_id, near_dup, queries, sentencepiece_codec, toxicity
+from kerbgraph.llm.common import Tables
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -35,6 +36,18 @@ def exact_components(rows):
     return label, sets
 
 
+def test_near_dup_candidates_are_one_a_class_of_a_key(spark):
+    """Five classes that share all keys make a star of four, three all their pairs, and two one; only the five are held."""
+    sig = lambda k: bytearray(np.full(near_dup.LANES, k, np.uint16).tobytes())
+    classes = spark.createDataFrame([(i, sig(1)) for i in range(5)] + [(10 + i, sig(2)) for i in range(3)] + [(20 + i, sig(3)) for i in range(2)] + [(30, sig(4))], "id long, sig binary")
+    with Tables(spark) as tables:
+        held, spokes = near_dup._candidates(classes, tables)
+        pairs = {tuple(sorted(r)) for r in spokes.collect()}
+        assert spokes.count() == len(pairs) == 4 + 3 + 1
+        assert len({a for a, b in pairs if b < 5} | {b for a, b in pairs if b < 5}) == 5 and {(10, 11), (10, 12), (11, 12), (20, 21)} <= pairs
+        assert {r["id"] for r in held.collect()} == set(range(5))
+
+
 def test_near_dup(spark):
     rng = np.random.default_rng(1)
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]

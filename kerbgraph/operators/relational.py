@@ -11,6 +11,15 @@ from ..functions.columns import haversine_m, in_ring, segment_distance_m
 from ..sources.scratch import Tables, written
 
 
+#: Rows of a task that sorts or groups them, about.
+TASK_ROWS = 250_000
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df, of so many rows, dealt by keys into parts whose number grows with them, so that what a task sorts and groups doesn't."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // TASK_ROWS), *keys)
+
+
 def best_per_key(df: DataFrame, keys: list[str], *order: Column | str, columns: list[str] | None = None) -> DataFrame:
     """The first row of every key in the given order (make it total for a defined result), as an aggregate: tasks hand on one row a
     key each, and nothing is sorted. Nulls come first; for another order hand in columns that sort that way."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import paths
+from ..operators import paths, relational
 from .registry import SQL, query, t
 
 KEYS = ["route"]
@@ -27,7 +27,8 @@ _PLACE = "CASE WHEN name IS NULL THEN CASE WHEN kind = 'steps' THEN 'unnamed ste
 
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "lineitem").selectExpr(*_split(_COLUMNS.replace("VARCHAR(9)", "STRING")))
+    items = t(spark, sf_dir, "lineitem")
+    return relational.spread(items, items.count(), "l_suppkey").selectExpr(*_split(_COLUMNS.replace("VARCHAR(9)", "STRING")))
 
 
 def _split(columns: str) -> list[str]:
@@ -113,9 +114,8 @@ f AS (SELECT route, n, at_m AS last_at, title AS last_title, true AS keep FROM k
 every AS (SELECT route, seq, miles, rank, kind, at_m, length, title, head, told FROM merged UNION ALL SELECT k.route, k.seq, k.miles, 4, 'kerb', k.at_m, 0, k.title, CASE k.title WHEN 'Kerb not mapped' THEN 'at the next crossing' ELSE 'not confirmed' END, false FROM k JOIN f ON f.route = k.route AND f.n = k.n WHERE f.keep)
 SELECT route, row_number() OVER (PARTITION BY route ORDER BY at_m, seq, rank)::INT AS hazard, kind, at_m, length, title, CASE WHEN NOT told THEN head WHEN head = '' THEN concat('for ', {_long("length")}) ELSE concat(head, ' for ', {_long("length")}) END AS detail FROM every""")
 def path_hazards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    walked = steps(spark, sf_dir)
-    metric, imperial = (paths.hazards(walked.where(F.col("miles") == m), KEYS, F.lit(m)) for m in (False, True))
-    return metric.unionByName(imperial)
+    # a route's unit is one, so all are walked once
+    return paths.hazards(steps(spark, sf_dir), [*KEYS, "miles"], F.col("miles")).drop("miles")
 
 
 @query(f"""WITH RECURSIVE m AS MATERIALIZED (SELECT *, name AS label, lag(kind) OVER w AS was, lag(name) OVER w AS was_label, lag(bearing_out) OVER w AS came, row_number() OVER w AS n, min(CASE WHEN kind <> 'transit' THEN (seq, kind, name) END) OVER (PARTITION BY route ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS far FROM {_MEASURED} WINDOW w AS (PARTITION BY route ORDER BY seq)),
@@ -144,9 +144,8 @@ t AS (SELECT b.route, segment, CASE WHEN kind = 'elevator' THEN 'Take the lift.'
   FROM b LEFT JOIN rides r ON r.route = b.route AND r.ride = b.ride)
 SELECT route, row_number() OVER (PARTITION BY route ORDER BY segment)::INT AS line, text FROM t WHERE text IS NOT NULL""".replace("LEFT JOIN rides r", f"LEFT JOIN ({SQL['path_rides']}) r"))
 def path_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    walked = steps(spark, sf_dir)
-    metric, imperial = (paths.directions(walked.where(F.col("miles") == m), KEYS, F.lit(m)) for m in (False, True))
-    return metric.unionByName(imperial)
+    # a route's unit is one, so all are walked once
+    return paths.directions(steps(spark, sf_dir), [*KEYS, "miles"], F.col("miles")).drop("miles")
 
 
 @query(f"""WITH v AS (SELECT route, seq, edge, at_m, edge % 3 > 0 AS hours, edge % 11 = 0 AS disputed FROM {_MEASURED} WHERE edge % 9 = 0),

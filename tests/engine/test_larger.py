@@ -115,3 +115,25 @@ def test_texts_are_split_once_whatever_they_say(spark):
     df = spark.createDataFrame(list(enumerate(texts_)), "i int, t string").select("i", texts.says(F.col("t"), pattern, before, after).alias("x"))
     assert [r["x"] for r in df.orderBy("i").collect()] == [plain(t) for t in texts_]
     assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_steps_are_dealt_into_more_parts_as_they_grow(spark, monkeypatch):
+    made = lambda name: plans.QUERIES[name](spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(relational, "TASK_ROWS", 500)
+    for name in ("slope_strip", "path_rides", "path_maneuvers", "path_hazards"):
+        plan = made(name)._jdf.queryExecution().executedPlan().toString()
+        # rows are shuffled once, into a number of parts that comes from theirs
+        assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") == 1 and "hashpartitioning(l_suppkey#" in plan, plan
+
+
+def test_no_step_reads_all_that_follow(spark):
+    plan = plans.QUERIES["path_maneuvers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "unboundedfollowing$())" not in plan.replace("unboundedpreceding$(), unboundedfollowing$())", "") and "lead(__far" in plan
+
+
+def test_runs_of_turns_and_kerbs_are_folded_as_in_one_piece(spark, tmp_path):
+    lines = """SELECT 1 + i % 2 AS l_suppkey, i::BIGINT AS l_orderkey, (i * 7 % 23)::BIGINT AS l_partkey, (CASE WHEN i % 5 < 3 THEN 3 ELSE 1 + i % 7 END)::INT AS l_linenumber, (i * i % 9)::DOUBLE AS l_quantity,
+      i::DOUBLE AS l_extendedprice, 0.03::DOUBLE AS l_discount, 0.05::DOUBLE AS l_tax, 'R' AS l_returnflag, CASE WHEN i % 4 = 0 THEN 'O' ELSE 'F' END AS l_linestatus FROM range(1, 160) t(i)"""
+    for name in ("path_maneuvers", "path_hazards", "path_directions"):
+        mine, theirs = against_sql(spark, tmp_path, name, lineitem=lines)
+        assert mine == theirs and len(mine) > 20, name

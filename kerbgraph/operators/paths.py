@@ -188,16 +188,21 @@ def hazards(steps: DataFrame, keys: list[str], miles: Column | None = None) -> D
         item((F.col("passable") == "unknown") & (long >= 20), "unknown", 5, F.lit("Missing data"), F.lit("")),
     )
     rows = measured(steps, keys).where(~F.col("kind").isin(*RIDES)).select(*keys, "seq", F.explode(F.filter(told, lambda x: x.isNotNull())).alias("h")).select(*keys, "seq", "h.*")
-    # kerbs: told unless one of the same title was told just before
-    kerbs = folded(rows.where("kind = 'kerb'"), keys, "seq", lambda kept, r: F.when((r["at_m"] - last(kept, "at_m") < KERB_M) & (last(kept, "title") == r["title"]), kept).otherwise(appended(kept, r)))
-    rest = rows.where("kind <> 'kerb'")
+    # kinds go on by their own rules; a kerb is told unless one of its title was told just before, which only those less than KERB_M apart can tell
     kind_of = [*keys, "kind"]
     before = _ordered(kind_of)
     gap = F.col("at_m") - (F.lag("at_m").over(before) + F.lag("length").over(before))
-    rest = segments(rest, kind_of, F.coalesce((gap >= GAP_M) | (F.lag("head").over(before) != F.col("head")), F.lit(True)), "run")
-    merged = rest.groupBy(*kind_of, "run").agg(F.min("seq").alias("seq"), F.first("rank").alias("rank"), F.min("at_m").alias("at_m"), F.max(F.col("at_m") + F.col("length")).alias("end"), F.min_by("title", "seq").alias("title"), F.min_by("head", "seq").alias("head"), F.first("tail").alias("tail"))
-    merged = merged.withColumn("length", F.col("end") - F.col("at_m")).drop("run", "end")
-    both = merged.unionByName(kerbs)
+    far = F.col("at_m") - F.max("at_m").over(before.rowsBetween(Window.unboundedPreceding, -1)) >= KERB_M
+    is_kerb = F.col("kind") == "kerb"
+    rows = segments(rows, kind_of, F.coalesce(F.when(is_kerb, far).otherwise((gap >= GAP_M) | (F.lag("head").over(before) != F.col("head"))), F.lit(True)), "run")
+    fields = ["seq", "at_m", "length", "title", "head"]
+    runs = rows.groupBy(*kind_of, "run").agg(
+        F.first("rank").alias("rank"), F.first("tail").alias("tail"), F.struct(F.min("seq").alias("seq"), F.min("at_m").alias("at_m"), (F.max(F.col("at_m") + F.col("length")) - F.min("at_m")).alias("length"), F.min_by("title", "seq").alias("title"), F.min_by("head", "seq").alias("head")).alias("whole"),
+        F.array_sort(F.collect_list(F.when(is_kerb, F.struct(*fields)))).alias("kerbs"),
+    )
+    told_on = lambda kept, r: F.when((r["at_m"] - last(kept, "at_m") < KERB_M) & (last(kept, "title") == r["title"]), kept).otherwise(appended(kept, r))
+    kerbs = F.aggregate("kerbs", F.filter("kerbs", lambda _: F.lit(False)), told_on)
+    both = runs.select(*kind_of, "rank", "tail", F.inline(F.when(is_kerb, kerbs).otherwise(F.array("whole"))))
     suffix = F.concat(F.lit("for "), length_text(F.col("length"), miles))
     detail = F.when(F.col("tail").isNotNull(), F.col("head")).when(F.col("head") == "", suffix).otherwise(F.concat_ws(" ", "head", suffix))
     number = F.row_number().over(Window.partitionBy(*keys).orderBy("at_m", "seq", "rank"))
@@ -212,7 +217,10 @@ def maneuvers(steps: DataFrame, keys: list[str]) -> DataFrame:
     named = F.col("name").isNotNull() & (F.col("name") != "")
     rows = rows.withColumn("label", F.when(named, place_name())).withColumn("step", F.row_number().over(w))
     rows = rows.withColumn("was", F.lag("kind").over(w)).withColumn("was_label", F.lag("label").over(w)).withColumn("turned", turn(F.lag("bearing_out").over(w), F.col("bearing_in")))
-    rows = rows.withColumn("far", F.min(F.when(F.col("kind") != "transit", F.struct("seq", "kind", "name"))).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    # a frame of all that follows would be read anew for every step
+    far = F.when(F.col("kind") != "transit", F.struct("seq", "kind", "name"))
+    rows = rows.withColumn("__far", far).withColumn("far", F.expr("lead(__far, 1) IGNORE NULLS").over(w)).withColumn("final", F.lead("step").over(w).isNull())
+    rows = rows.withColumn("end_m", F.max(F.col("at_m") + F.col("length_m")).over(Window.partitionBy(*keys)).cast("double"))
     kind, at = F.col("kind"), F.col("at_m")
     parts = F.split(F.coalesce("name", F.lit("")), ", ")
     station, line = F.get(parts, F.lit(0)), F.array_join(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), ", ")
@@ -236,15 +244,21 @@ def maneuvers(steps: DataFrame, keys: list[str]) -> DataFrame:
         .when(F.col("was").isin(*RIDES, "station_link"), nothing)
         .when((word != "Continue") | renamed, F.when(word == "Continue", say("continue", onto)).otherwise(say("turn", onto)))
     )
-    steps_told = rows.select(*keys, "seq", at.cast("double").alias("at_m"), told.alias("m")).where("m is not null").select(*keys, "seq", "at_m", "m.*")
-    ends = rows.groupBy(*keys).agg((F.max("seq") + 1).alias("seq"), F.max(F.col("at_m") + F.col("length_m")).cast("double").alias("at_m")).withColumn("type", F.lit("arrive")).withColumn("text", F.lit("You have arrived."))
+    # the end follows the last step in its row, so that paths stay where they are
+    line_ = lambda seq, at_m, m: F.struct(seq.cast("long").alias("seq"), at_m.cast("double").alias("at_m"), m["type"].alias("type"), m["text"].alias("text"))
+    rows = rows.withColumn("m", told)
+    here, end = F.when(F.col("m").isNotNull(), line_(F.col("seq"), at, F.col("m"))), F.when(F.col("final"), line_(F.col("seq") + 1, F.col("end_m"), say("arrive", F.lit("You have arrived."))))
+    steps_told = rows.select(*keys, F.inline(F.filter(F.array(here, end), lambda x: x.isNotNull())))
+    # no turn reaches further than TURN_M, so what is folded are the runs of lines less apart
+    apart = F.col("at_m") - F.max("at_m").over(w.rowsBetween(Window.unboundedPreceding, -1)) >= TURN_M
+    steps_told = segments(steps_told, keys, ~F.col("type").isin("turn", "continue") | F.coalesce(apart, F.lit(True)), "near")
     joins = lambda kept, r: r["type"].isin("turn", "continue") & (last(kept, "type") == "turn") & (r["at_m"] - last(kept, "at_m") < TURN_M)
 
     def step(kept: Column, row: Column) -> Column:
         one = F.struct(last(kept, "seq").alias("seq"), last(kept, "at_m").alias("at_m"), last(kept, "type").alias("type"), row["text"].alias("text"))
         return F.when(joins(kept, row), F.concat(F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))), F.array(one))).otherwise(appended(kept, row))
 
-    out = folded(steps_told.unionByName(ends.select(*steps_told.columns)), keys, "seq", step)
+    out = folded(steps_told, [*keys, "near"], "seq", step)
     return out.select(*keys, F.row_number().over(_ordered(keys)).alias("number"), "type", "at_m", "text")
 
 

@@ -7,10 +7,12 @@ nothing is said twice.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -19,22 +21,27 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 OFF_M, OFF_RIDING_M, ALIGHT_M, HAZARD_M, TURN_M, ARRIVED_M, BEHIND_M, AHEAD_M = 25.0, 150.0, 350.0, 60.0, 40.0, 15.0, 30.0, 400.0
 PLAN = "line array<struct<lon:double,lat:double>>, cum array<double>, turns array<struct<at:double,text:string>>, hazards array<struct<at:double,length:double,text:string>>, rides array<struct<start:double,end:double,alight:string>>"
 PROGRESS = "session string, t timestamp, along double, off_by double, off_route boolean, arrived boolean, said string"
+TOLD = {"along": pa.float64(), "off_by": pa.float64(), "off_route": pa.bool_(), "arrived": pa.bool_(), "said": pa.string()}
 STATE = "along double, off int, said array<string>"
 
 
 def _snap(plan: dict, lon: float, lat: float, along: float) -> tuple[float, float]:
     """Metres off the line and along it, of the nearest point from 30 m behind to 400 m ahead."""
-    cum = np.asarray(plan["cum"], float)
-    xy = np.array([(p["lon"], p["lat"]) for p in plan["line"]], float).reshape(-1, 2)
-    flat = (xy - (lon, lat)) * (np.cos(np.radians(lat)) * 111_320.0, 111_320.0)
-    ok = (cum[1:] >= along - BEHIND_M) & (cum[:-1] < along + AHEAD_M)
-    if not ok.any():
-        return float("inf"), along
-    a, leg, start = flat[:-1][ok], np.diff(flat, axis=0)[ok], cum[:-1][ok]
-    share = np.clip(-(a * leg).sum(1) / np.maximum((leg * leg).sum(1), 1e-12), 0, 1)
-    far = np.hypot(*(a + share[:, None] * leg).T)
-    best = int(far.argmin())
-    return float(far[best]), float(start[best] + share[best] * np.diff(cum)[ok][best])
+    if lon is None or lat is None or math.isnan(lon) or math.isnan(lat):
+        return math.nan, along
+    xs, ys, cum = plan["xs"], plan["ys"], plan["cum"]
+    k = math.cos(math.radians(lat)) * 111_320.0
+    best, place = math.inf, along
+    for i in range(len(cum) - 1):
+        if cum[i + 1] < along - BEHIND_M or cum[i] >= along + AHEAD_M:
+            continue
+        x, y = (xs[i] - lon) * k, (ys[i] - lat) * 111_320.0
+        u, v = (xs[i + 1] - lon) * k - x, (ys[i + 1] - lat) * 111_320.0 - y
+        share = min(1.0, max(0.0, -(x * u + y * v) / max(u * u + v * v, 1e-12)))
+        far = math.hypot(x + share * u, y + share * v)
+        if far < best:
+            best, place = far, cum[i] + share * (cum[i + 1] - cum[i])
+    return best, place
 
 
 def advance(plan: dict, state: tuple[float, int, list[str]], lon: float, lat: float, accuracy: float | None) -> tuple[tuple[float, int, list[str]], dict]:
@@ -42,7 +49,7 @@ def advance(plan: dict, state: tuple[float, int, list[str]], lon: float, lat: fl
     along, off, said = state
     off_by, place = _snap(plan, lon, lat, along)
     ride = lambda at: next((r for r in plan["rides"] if r["start"] - 5 <= at < r["end"]), None)
-    limit = max(OFF_RIDING_M if ride(along) else OFF_M, 10.0 if accuracy is None or np.isnan(accuracy) else accuracy)
+    limit = max(OFF_RIDING_M if ride(along) else OFF_M, 10.0 if accuracy is None or math.isnan(accuracy) else accuracy)
     off, along = (off + 1, along) if off_by > limit else (0, max(along, place))
     now, length = ride(along), plan["cum"][-1] if len(plan["cum"]) else 0.0
     arrived = length - along < ARRIVED_M
@@ -60,27 +67,31 @@ def advance(plan: dict, state: tuple[float, int, list[str]], lon: float, lat: fl
     return (along, off, said), {"along": along, "off_by": off_by, "off_route": off >= 2, "arrived": arrived, "said": text}
 
 
-def _told(session: str, rows: pd.DataFrame, plan: dict, state: tuple[float, int, list[str]]) -> tuple[tuple[float, int, list[str]], pd.DataFrame]:
+def _told(rows: pa.Table, plan: dict, state: tuple[float, int, list[str]]) -> tuple[tuple[float, int, list[str]], pa.Table]:
+    """The state after a session's rows, and what each tells, in the order of time."""
+    rows = rows.take(pc.sort_indices(rows["t"], null_placement="at_end"))
     out = []
-    for r in rows.sort_values("t", kind="stable").itertuples(index=False):
-        state, told = advance(plan, state, r.lon, r.lat, r.accuracy)
-        out.append({"session": session, "t": r.t} | told)
-    return state, pd.DataFrame(out, columns=[x.split()[0] for x in PROGRESS.split(", ")])
+    for lon, lat, accuracy in zip(*(rows[c].to_pylist() for c in ("lon", "lat", "accuracy")), strict=True):
+        state, told = advance(plan, state, lon, lat, accuracy)
+        out.append(told)
+    said = {k: pa.array([o[k] for o in out], kind) for k, kind in TOLD.items()}
+    return state, pa.table({"session": rows["session"], "t": rows["t"]} | said)
 
 
-def _plan(row: pd.Series) -> dict:
-    return {k: list(row[k]) if row[k] is not None else [] for k in ("line", "cum", "turns", "hazards", "rides")}
+def _plan(row: dict) -> dict:
+    plan = {k: list(row[k]) if row[k] is not None else [] for k in ("line", "cum", "turns", "hazards", "rides")}
+    return plan | {"xs": [p["lon"] for p in plan["line"]], "ys": [p["lat"] for p in plan["line"]]}
 
 
 def follow(fixes: DataFrame, plans: DataFrame) -> DataFrame:
     """Progress for every fix of sessions that have a plan. A session, one walk of one person, is folded in one group."""
 
-    def run(key: tuple, rows: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
-        if plan.empty or rows.empty:
-            return pd.DataFrame(columns=[x.split()[0] for x in PROGRESS.split(", ")])
-        return _told(key[0], rows, _plan(plan.iloc[0]), (0.0, 0, []))[1]
+    def run(rows: pa.Table, plan: pa.Table) -> pa.Table:
+        if not len(plan) or not len(rows):
+            return pa.table({"session": pa.array([], pa.string()), "t": pa.array([], pa.timestamp("us", "UTC"))} | {k: pa.array([], kind) for k, kind in TOLD.items()})
+        return _told(rows, _plan(plan.slice(0, 1).to_pylist()[0]), (0.0, 0, []))[1]
 
-    return fixes.groupBy("session").cogroup(plans.groupBy("session")).applyInPandas(run, PROGRESS)
+    return fixes.groupBy("session").cogroup(plans.groupBy("session")).applyInArrow(run, PROGRESS)
 
 
 def follow_stream(fixes: DataFrame, plans: DataFrame, idle: str = "2 hours") -> DataFrame:
@@ -93,10 +104,12 @@ def follow_stream(fixes: DataFrame, plans: DataFrame, idle: str = "2 hours") ->
             return
         rows = pd.concat(list(frames))
         along, off, said = state.get if state.exists else (0.0, 0, [])
-        new, told = _told(key[0], rows, _plan(rows.iloc[0]), (along, off, list(said)))
+        plan = _plan(rows.iloc[0].to_dict())
+        fixes_ = pa.Table.from_pandas(rows[["session", "t", "lon", "lat", "accuracy"]], preserve_index=False)
+        new, told = _told(fixes_, plan, (along, off, list(said)))
         state.update(new)
         state.setTimeoutTimestamp(int(rows["t"].max().timestamp() * 1000) + int(pd.Timedelta(idle).total_seconds() * 1000))
-        yield told
+        yield told.to_pandas()
 
     rows = fixes.withWatermark("t", "10 minutes").join(F.broadcast(plans), "session")
     return rows.groupBy("session").applyInPandasWithState(run, PROGRESS, STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from kerbgraph.functions import columns as C
 from kerbgraph.functions import texts
-from kerbgraph.operators import linking, relational
+from kerbgraph.operators import graph, linking, relational
 from kerbgraph.plans import queries as plans
+from kerbgraph.streaming import navigator
 
 
 def against_sql(spark, tmp_path, name, **tables):
@@ -120,6 +121,8 @@ def test_texts_are_split_once_whatever_they_say(spark):
 def test_steps_are_dealt_into_more_parts_as_they_grow(spark, monkeypatch):
     made = lambda name: plans.QUERIES[name](spark, "/root/testdata/sf0.001")
     monkeypatch.setattr(relational, "TASK_ROWS", 500)
+    for name in ("steepest_window",):
+        assert "REPARTITION_BY_NUM" in made(name)._jdf.queryExecution().executedPlan().toString()
     for name in ("slope_strip", "path_rides", "path_maneuvers", "path_hazards"):
         plan = made(name)._jdf.queryExecution().executedPlan().toString()
         # rows are shuffled once, into a number of parts that comes from theirs
@@ -137,3 +140,39 @@ def test_runs_of_turns_and_kerbs_are_folded_as_in_one_piece(spark, tmp_path):
     for name in ("path_maneuvers", "path_hazards", "path_directions"):
         mine, theirs = against_sql(spark, tmp_path, name, lineitem=lines)
         assert mine == theirs and len(mine) > 20, name
+
+
+def test_a_large_frontier_meets_arcs_dealt_by_their_number(spark, monkeypatch):
+    met = []
+    monkeypatch.setattr(graph, "SMALL_FRONTIER", 0)
+    monkeypatch.setattr(relational, "TASK_ROWS", 20)
+    monkeypatch.setattr(graph, "spread", lambda df, rows, *keys: met.append((rows, keys)) or relational.spread(df, rows, *keys), raising=False)
+    arcs = [(i, j, float((i * 7 + j * 3) % 11 + 1)) for i in range(12) for j in range(12) if (i + 2 * j) % 5 == 1]
+    best = {0: 0.0}
+    for _ in range(12):
+        for a, b, c in arcs:
+            if a in best and best[a] + c < best.get(b, math.inf):
+                best[b] = best[a] + c
+    found = graph.cheapest(spark.createDataFrame(arcs, "src long, dst long, cost double"), spark.createDataFrame([(0,)], "root long"))
+    assert {r["node"]: r["cost"] for r in found.collect()} == best and len(best) > 4
+    assert {rows for rows, _ in met} == {len(arcs)} and {("src", "dst"), ("node",), ("src",)} == {keys for _, keys in met}
+
+
+def test_walkers_are_folded_as_arrow_tables(spark):
+    rng = random.Random(8)
+    line = [(i * 0.001 + rng.uniform(-0.0004, 0.0004), 56.0 + rng.uniform(-0.0004, 0.0004)) for i in range(30)]
+    cum = [i * 60.0 for i in range(30)]
+    plan = navigator._plan({"line": [{"lon": x, "lat": y} for x, y in line], "cum": cum, "turns": None, "hazards": None, "rides": None})
+    for along in (0.0, 500.0, 1700.0, 9000.0):
+        lon, lat = rng.uniform(0, 0.03), 56.0 + rng.uniform(-0.001, 0.001)
+        k, best = math.cos(math.radians(lat)) * 111_320.0, (math.inf, along)
+        for i in range(29):
+            if cum[i + 1] >= along - navigator.BEHIND_M and cum[i] < along + navigator.AHEAD_M:
+                (ax, ay), (bx, by) = (((p[0] - lon) * k, (p[1] - lat) * 111_320.0) for p in line[i : i + 2])
+                share = min(max(-(ax * (bx - ax) + ay * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2), 0.0), 1.0)
+                best = min(best, (math.hypot(ax + share * (bx - ax), ay + share * (by - ay)), cum[i] + share * 60.0))
+        assert all(math.isclose(a, b, rel_tol=1e-9) or a == b for a, b in zip(navigator._snap(plan, lon, lat, along), best, strict=True))
+    fixes = spark.createDataFrame([("a", 0.001, 56.0, None), ("a", None, None, None)], "session string, lon double, lat double, accuracy double").withColumn("t", F.lit("2024-01-01").cast("timestamp"))
+    plans_ = spark.createDataFrame([("a", line, cum, None, None, None)], "session string, " + navigator.PLAN)
+    found = navigator.follow(fixes, plans_)
+    assert found.count() == 2 and "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()

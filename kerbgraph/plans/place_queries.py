@@ -52,7 +52,7 @@ def steepest_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as height profiles."""
     li = t(spark, sf_dir, "lineitem")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey").rowsBetween(Window.unboundedPreceding, 0)
-    profile = li.select(F.col("l_orderkey").alias("k"), F.sum("l_quantity").over(w).alias("d"), (F.col("l_discount") * 10).alias("z"))
+    profile = relational.spread(li, li.count(), "l_orderkey").select(F.col("l_orderkey").alias("k"), F.sum("l_quantity").over(w).alias("d"), (F.col("l_discount") * 10).alias("z"))
     return lines.slopes(profile, "k").select("k", "length", F.round("mean", 6).alias("mean"), F.round("steepest", 6).alias("steepest"))
 
 

@@ -142,6 +142,10 @@ def _starts(term: Column, words: Column) -> Column:
     return F.exists(words, lambda w: w.startswith(term))
 
 
+#: Queries asked at once up to which they are sent to the index, so that it stays where it is.
+FEW_ASKED = 10_000
+
+
 def search(asked: DataFrame, index: DataFrame, postcodes: DataFrame | None = None, limit: int | None = LIMIT) -> tuple[DataFrame, DataFrame]:
     """Hits (ask, rank, id, name, metres, score) of queries asked (ask, q, lon, lat), best first, and (ask, hidden): how many were left out because their
     access isn't mapped.
@@ -152,7 +156,10 @@ def search(asked: DataFrame, index: DataFrame, postcodes: DataFrame | None = Non
     """
     q = asked.withColumn("p", parse_query(F.col("q"))).withColumn("raw", F.regexp_replace(C.normal_text(F.col("q")), " ", "")).where("raw <> ''").select("ask", "raw", "p.*", F.col("lon").alias("qlon"), F.col("lat").alias("qlat"))
     entry = ["id", "name", "rank", "cat", "accessible", "words", "joined", "lon", "lat"]
-    kinds = q.where("cats is not null").withColumn("cat", F.explode("cats")).join(index.select(*entry).hint("merge"), "cat").where((F.size("terms") == 0) | F.forall("terms", lambda t: _starts(t, F.col("words"))))
+    few = asked.count() <= FEW_ASKED
+    # an index that many ask is shuffled: Spark takes the exploded one for no larger than its file, and it must not be gathered to be sent to all
+    meet = lambda ask, stored, key: F.broadcast(ask).join(stored, key) if few else ask.join(stored.hint("merge"), key)
+    kinds = meet(q.where("cats is not null").withColumn("cat", F.explode("cats")), index.select(*entry), "cat").where((F.size("terms") == 0) | F.forall("terms", lambda t: _starts(t, F.col("words"))))
     kinds = kinds.withColumn("by_kind", F.lit(True))
     cut = lambda c: F.substring(c, 1, PREFIX)
     beginnings = lambda c: F.transform(F.sequence(F.lit(1), F.least(F.length(c), F.lit(PREFIX))), lambda n: F.substring(c, F.lit(1), n))
@@ -160,9 +167,8 @@ def search(asked: DataFrame, index: DataFrame, postcodes: DataFrame | None = Non
     named = q.where((F.size("names") > 0) & (F.col("cats").isNull() | (F.size("terms") > 0)))
     longest = F.array_max(F.transform("names", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     named = named.withColumn("key", F.explode(F.array_distinct(F.array(cut(longest), cut(F.array_join("names", ""))))))
-    # Spark takes the exploded index for no larger than its file: it must not be gathered to be sent to all
-    beginning = index.select(*entry, F.explode(keys).alias("key")).hint("merge")
-    names = named.join(beginning, "key").where(F.forall("names", lambda t: _starts(t, F.col("words"))) | F.col("joined").startswith(F.array_join("names", "")))
+    beginning = index.select(*entry, F.explode(keys).alias("key"))
+    names = meet(named, beginning, "key").where(F.forall("names", lambda t: _starts(t, F.col("words"))) | F.col("joined").startswith(F.array_join("names", "")))
     names = names.where(F.col("cats").isNull() | ~F.coalesce(F.array_contains("cats", F.col("cat")), F.lit(False))).drop("key").dropDuplicates(["ask", "id"]).withColumn("by_kind", F.lit(False))
     return _ranked(q, kinds.unionByName(names), postcodes, limit)
 

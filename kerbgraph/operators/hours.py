@@ -80,18 +80,35 @@ def status(asked: DataFrame, hours: DataFrame, holidays: DataFrame | None = None
     """
     uk = F.from_utc_timestamp("t", "Europe/London")
     today = F.pmod(F.dayofweek(uk) + 5, F.lit(7))
-    rows = asked.select("ask", "id", today.alias("today"), (F.hour(uk) * 60 + F.minute(uk)).alias("now"), F.to_date(uk).alias("date"), F.explode(F.sequence(F.lit(-1), F.lit(7))).alias("k"))
-    rows = rows.withColumn("day", F.pmod(F.col("today") + F.col("k"), F.lit(7)))
+    weeks = hours.groupBy("id").agg(F.array_sort(F.collect_list(F.when(F.col("start").isNotNull(), F.struct("start", "end", "day")))).alias("week"), F.max(F.col("day") == 7).alias("ph"))
+    rows = asked.select("ask", "id", today.alias("today"), (F.hour(uk) * 60 + F.minute(uk)).alias("now"), F.to_date(uk).alias("date")).join(weeks, "id")
+    # few bytes, much work: dealt by number, not by size
+    rows = relational.spread(rows, asked.count(), "ask")
+    off = F.array().cast("array<date>")
     if holidays is not None:
-        special = hours.where("day = 7").select("id").distinct().withColumn("ph", F.lit(True))
-        rows = rows.withColumn("on", F.date_add("date", F.col("k"))).join(F.broadcast(holidays.select(F.col("date").alias("on"), F.lit(True).alias("off"))), "on", "left").join(special, "id", "left")
-        rows = rows.withColumn("day", F.when(F.col("off") & F.col("ph"), 7).otherwise(F.col("day"))).drop("on", "off", "ph")
-    known = asked.join(hours.select("id").distinct(), "id", "left_semi").select("ask", "id", today.alias("today"), (F.hour(uk) * 60 + F.minute(uk)).alias("now"))
-    line = rows.join(hours, ["id", "day"]).where("start is not null").select("ask", (F.col("k") * DAY + F.col("start")).alias("start"), (F.col("k") * DAY + F.col("end")).alias("end"))
-    merged = relational.merge_intervals(line, "ask", "start", "end").drop("n")
-    both = known.join(merged, "ask", "left")
-    here = (F.col("start") <= F.col("now")) & (F.col("now") < F.col("end"))
-    found = both.groupBy("ask", "id", "today", "now").agg(F.max(F.when(here, F.col("end"))).alias("until"), F.min(F.when(F.col("start") > F.col("now"), F.col("start"))).alias("next"))
+        rows = rows.join(F.broadcast(holidays.agg(F.collect_set("date").alias("off"))))
+        off = F.when(F.col("ph"), F.col("off")).otherwise(off)
+
+    def of(k: Column) -> Column:
+        day = F.pmod(F.col("today") + k, F.lit(7))
+        if holidays is not None:
+            day = F.when(F.array_contains(off, F.date_add("date", k)), 7).otherwise(day)
+        return F.transform(F.filter("week", lambda s: s["day"] == day), lambda s: F.struct((k * DAY + s["start"]).alias("start"), (k * DAY + s["end"]).alias("end")))
+
+    # the place's week as it lies around today, in its row; spans that touch are one
+    line = F.array_sort(F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(7)), of)))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def joined(kept: Column, s: Column) -> Column:
+        last = F.get(kept, F.size(kept) - 1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        return F.when(s["start"] <= last["end"], F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(longer))).otherwise(F.concat(kept, F.array(s)))
+
+    rows = rows.withColumn("line", F.aggregate(line, none, joined))
+    now = F.col("now")
+    until = F.array_max(F.transform(F.filter("line", lambda s: (s["start"] <= now) & (now < s["end"])), lambda s: s["end"]))
+    following = F.array_min(F.transform(F.filter("line", lambda s: s["start"] > now), lambda s: s["start"]))
+    found = rows.select("ask", "id", "today", "now", until.alias("until"), following.alias("next"))
     name = lambda k: F.element_at(F.array(*[F.lit(n) for n in NAMES]), (F.pmod(F.col("today") + k, F.lit(7)) + 1).cast("int"))
     k, left = F.floor(F.col("until") / DAY), F.col("until") - F.col("now")
     far = (k >= 2) | ((k == 1) & (F.pmod("until", F.lit(DAY)) > 360))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kerbgraph.functions import columns as C
 from kerbgraph.functions import texts
-from kerbgraph.operators import graph, linking, relational
+from kerbgraph.operators import graph, hours, linking, relational
 from kerbgraph.plans import queries as plans
 from kerbgraph.streaming import navigator
 
@@ -176,3 +176,22 @@ def test_walkers_are_folded_as_arrow_tables(spark):
     plans_ = spark.createDataFrame([("a", line, cum, None, None, None)], "session string, " + navigator.PLAN)
     found = navigator.follow(fixes, plans_)
     assert found.count() == 2 and "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hours_are_told_in_the_row_that_asks(spark):
+    said = hours.parse(spark.createDataFrame([(1, "Mo-Su 22:00-02:00,02:00-03:00; PH off"), (2, "24/7"), (3, "Mo off")], "id long, hours string"))
+    asked = spark.sql("select id * 10 + h as ask, id, timestamp'2024-12-24 00:30:00' + make_interval(0, 0, 0, 0, h * 12) as t from range(1, 4) lateral view explode(sequence(0, 3)) x as h")
+    holidays = spark.sql("select date'2024-12-25' as date")
+    found = hours.status(asked, said, holidays)
+    assert {r["ask"]: r["text"] for r in found.collect()} == {
+        10: "Open until 03:00", 11: "Closed, opens 22:00", 12: "Open until 02:00", 13: "Closed, opens tomorrow 02:00",
+        **{20 + h: "Open 24 hours" for h in range(4)}, **{30 + h: "Closed" for h in range(4)},
+    }
+    plan = hours.status(asked.where("ask > 0").localCheckpoint(), said)._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "Window" not in plan and "Generate" not in plan
+
+
+def test_few_queries_are_sent_to_the_index(spark):
+    plan = plans.QUERIES["place_search"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # hits of a kind or a beginning don't meet in one task
+    assert "hashpartitioning(key#" not in plan and "hashpartitioning(cat#" not in plan

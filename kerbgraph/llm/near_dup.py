@@ -13,7 +13,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NONSPACE, Tables, U, Words, bit_filter, blocks, components, mix, written
@@ -27,6 +27,12 @@ PERCENT = 75
 LEAST_LANES = 19
 #: Sets of a large group that are compared in one go, about; parts in which rows of equal sets are counted, and rows for one more.
 BLOCK, SALTS, ROWS_A_SALT = 512, 64, 1 << 20
+#: Signatures of a key that one task compares with each other, about. Those of a key's blocks are sent once for each pair of blocks.
+SIGNATURES = 4096
+#: Sets of a block of a key's, and their shingles: a pair of blocks is compared in one go.
+SETS, SHINGLES = 2048, 1 << 19
+#: A key's lowest bits hold the number of its choice of lanes.
+CHOICE_BITS = 6
 
 _RNG = np.random.default_rng(4242)
 _FACTOR = _RNG.integers(1, 1 << 63, LANES, dtype=np.uint64) | U(1)
@@ -94,16 +100,32 @@ def chunk_keys(classes: DataFrame) -> DataFrame:
                     key = np.full(len(ids), mix(np.array([chunk * 64 + drop + 1], np.uint64))[0])
                     for lane in kept:
                         key = mix(key ^ (sig[:, lane] + U(1)) * U(0x9E3779B97F4A7C15))
-                    keys[j] = key
+                    keys[j] = key >> U(CHOICE_BITS) << U(CHOICE_BITS) | U(lo + j)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(ids, len(part)))], ["key", "id"])
 
     return classes.select("id", "sig").mapInArrow(run, "key long, id long")
 
 
-def may_be_alike(n_a: np.ndarray, sig_a: np.ndarray, n_b: np.ndarray, sig_b: np.ndarray) -> np.ndarray:
-    """False where two sets can't be similar by their sizes, or hardly by their signatures. Arguments broadcast."""
+def choice_of(key: Column) -> Column:
+    """The number of the choice of lanes that a key is made of."""
+    return key.bitwiseAND((1 << CHOICE_BITS) - 1)
+
+
+def met_before(equal: np.ndarray, choice: int) -> np.ndarray:
+    """Whether pairs of signatures, given as rows that tell which lanes are equal, share a key of an earlier choice of lanes."""
+    chunk = _CHOICES[choice][0]
+    right = equal[:, : chunk * CHUNK].reshape(len(equal), chunk, CHUNK).sum(2, dtype=np.uint8)
+    out = (right >= CHUNK - ERRORS).any(1)
+    for c, kept, _ in _CHOICES[:choice]:
+        if c == chunk:
+            out |= equal[:, kept].all(1)
+    return out
+
+
+def may_be_alike(n_a: np.ndarray, n_b: np.ndarray, equal: np.ndarray) -> np.ndarray:
+    """False where two sets can't be similar by their sizes, or hardly by their equal lanes. Sizes broadcast."""
     sizes = 100 * np.minimum(n_a, n_b) >= PERCENT * np.maximum(n_a, n_b)
-    return sizes & ((sig_a == sig_b).sum(-1) >= LEAST_LANES)
+    return sizes & (equal.sum(-1, dtype=np.uint8) >= LEAST_LANES)
 
 
 def likely(spokes: DataFrame, classes: DataFrame) -> DataFrame:
@@ -114,20 +136,20 @@ def likely(spokes: DataFrame, classes: DataFrame) -> DataFrame:
         for batch in batches:
             for lo in range(0, len(batch), 4096):
                 part = batch.slice(lo, 4096)
-                ok = may_be_alike(part["na"].to_numpy(), lanes(part["siga"]), part["nb"].to_numpy(), lanes(part["sigb"]))
+                ok = may_be_alike(part["na"].to_numpy(), part["nb"].to_numpy(), lanes(part["siga"]) == lanes(part["sigb"]))
                 yield part.select(["g", "id"]).filter(pa.array(ok))
 
     return spokes.join(side("g", "a"), "g").join(side("id", "b"), "id").select("g", "id", "na", "siga", "nb", "sigb").mapInArrow(run, "g long, id long")
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows sorted by g1 and g2, cut into one table a group."""
+def _groups(batches: Iterator[pa.RecordBatch], one: str = "g1", two: str = "g2") -> Iterator[pa.Table]:
+    """Rows sorted by two columns, cut into one table a group."""
     pending: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
         if not len(batch):
             continue
-        g1, g2 = batch["g1"].to_numpy(), batch["g2"].to_numpy()
+        g1, g2 = batch[one].to_numpy(), batch[two].to_numpy()
         edges = [0, *(np.flatnonzero((g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1])) + 1).tolist(), len(batch)]
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             key = (g1[lo], g2[lo])
@@ -141,35 +163,52 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the rows of side 0 and of side 1 in a group, and their components."""
+    """Places of the rows of side 0 and of side 1 in a group, and their components. A row of side 2 is on both."""
     side, comp = group["side"].to_numpy(), group["comp"].to_numpy()
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     return left, right, comp[left], comp[right]
 
 
 def promising(rows: DataFrame) -> DataFrame:
-    """Of the groups of rows (g1, g2, side, id, comp, n, sig) the rows that may be alike with one of the other side and another component."""
+    """Rows (g1, g2, side, id, comp) to be compared of the groups of rows (key, block, left, right, outside, id, comp, n, sig): those on the
+    left that may be alike with one on the right of another component, and these.
+
+    A pair counts once: in the first key it shares by the order of choices of lanes, and of two rows outside the key's main component on the left is the one with the
+    lesser id. What is left of a group is cut into blocks of SETS or SHINGLES; a row is in those pairs of blocks where it has a pair, once if on both sides.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches):
-            left, right, a, b = _sides(group)
-            if not len(left) or not len(right):
-                continue
+        for group in _groups(batches, "key", "block"):
+            group = group.sort_by("id").combine_chunks()
+            key, block, comp, ids, outside = group["key"][0].as_py(), group["block"][0].as_py(), *(group[c].to_numpy() for c in ("comp", "id", "outside"))
+            left, right = np.flatnonzero(group["left"].to_numpy()), np.flatnonzero(group["right"].to_numpy())
             n, sig = group["n"].to_numpy(), lanes(group["sig"].combine_chunks())
-            take = np.zeros(len(group), bool)
-            for lo in range(0, len(left), 64):
-                part = left[lo : lo + 64]
-                ok = may_be_alike(n[part][:, None], sig[part][:, None], n[right][None], sig[right][None]) & (a[lo : lo + 64, None] != b[None])
-                take[part] |= ok.any(1)
-                take[right] |= ok.any(0)
-            yield from group.select(["g1", "g2", "side", "id", "comp"]).filter(pa.array(take)).combine_chunks().to_batches()
-
-    return rows.repartition("g1", "g2").sortWithinPartitions("g1", "g2").mapInArrow(run, "g1 long, g2 long, side int, id long, comp long")
+            found = [(left[:0], left[:0])]
+            for lo in range(0, len(left), 16):
+                part = left[lo : lo + 16]
+                equal = sig[part][:, None] == sig[right][None]
+                ok = may_be_alike(n[part][:, None], n[right][None], equal)
+                ok &= (comp[part][:, None] != comp[right][None]) & (~outside[right][None] | (ids[part][:, None] < ids[right][None]))
+                i, j = np.nonzero(ok)
+                fresh = ~met_before(equal[i, j], key & (1 << CHOICE_BITS) - 1)
+                found.append((part[i[fresh]], right[j[fresh]]))
+            i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+            used, spots = np.unique(np.concatenate([i, j]), return_inverse=True)
+            cut = np.maximum(np.arange(len(used)) // SETS, np.cumsum(n[used]) // SHINGLES)[spots]
+            spot = cut[: len(i)] * (1 << 20) + cut[len(i) :]
+            for place, at in enumerate(np.unique(spot).tolist()):
+                here = spot == at
+                sides = np.isin(used, i[here]) + 2 * np.isin(used, j[here])
+                rows, side = used[sides > 0], np.array([0, 0, 1, 2], np.int32)[sides[sides > 0]]
+                columns = [np.full(len(rows), key, np.int64), np.full(len(rows), block * (1 << 20) + place, np.int64), side, ids[rows], comp[rows]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["g1", "g2", "side", "id", "comp"])
+
+    return rows.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(run, "g1 long, g2 long, side int, id long, comp long")
 
 
 def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of every set in a with every set in b: columns of a membership matrix, some at a time."""
-    out = np.zeros((len(a), len(b)), np.int64)
+    out = np.zeros((len(a), len(b)), np.int32)
     size_a, size_b = [len(x) for x in a], [len(x) for x in b]
     va, vb = np.concatenate(a), np.concatenate(b)
     common = np.intersect1d(va, vb)
@@ -180,19 +219,20 @@ def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
         at = np.minimum(np.searchsorted(common, values), len(common) - 1)
         ok = common[at] == values
         sides.append((at[ok], np.repeat(np.arange(len(sizes)), sizes)[ok]))
-    for lo in range(0, len(common), 8192):
+    step = min(8192, (1 << 22) // max(len(a), len(b)) + 1)
+    for lo in range(0, len(common), step):
         dense = []
         for (at, row), n in zip(sides, (len(a), len(b)), strict=True):
-            m = np.zeros((n, min(8192, len(common) - lo)), np.float32)
-            ok = (at >= lo) & (at < lo + 8192)
+            m = np.zeros((n, min(step, len(common) - lo)), np.float32)
+            ok = (at >= lo) & (at < lo + step)
             m[row[ok], at[ok] - lo] = 1
             dense.append(m)
-        out += (dense[0] @ dense[1].T).astype(np.int64)
+        out += (dense[0] @ dense[1].T).astype(np.int32)
     return out
 
 
 def compare(rows: DataFrame) -> DataFrame:
-    """Links (a, b) within the groups of rows (g1, g2, side, id, comp, shingles): similar sets of side 0 and side 1 in different
+    """Links (a, b) within the groups of rows (g1, g2, side, id, comp, shingles): similar sets of side 0 and side 1 (2: both) in different
     components. Of the links between one set and one component only the first is given, which connects them as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,8 +243,12 @@ def compare(rows: DataFrame) -> DataFrame:
             ids, lists = group["id"].to_numpy(), group["shingles"].combine_chunks()
             flat, offsets = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
             sets = lambda places: [flat[offsets[i] : offsets[i + 1]] for i in places]
-            both, size = _pairs(sets(left), sets(right)), np.diff(offsets)
-            i, j = np.nonzero((100 * both >= PERCENT * (size[left][:, None] + size[right][None] - both)) & (a[:, None] != b[None]))
+            both, size, found = _pairs(sets(left), sets(right)), np.diff(offsets), []
+            for lo in range(0, len(left), 256):
+                shared, n = both[lo : lo + 256].astype(np.int64), size[left[lo : lo + 256]]
+                x, y = np.nonzero((100 * shared >= PERCENT * (n[:, None] + size[right][None] - shared)) & (a[lo : lo + 256, None] != b[None]))
+                found.append((x + lo, y))
+            i, j = (np.concatenate(x) for x in zip(*found, strict=True))
             _, first = np.unique(np.stack([i, b[j]]), axis=1, return_index=True)
             yield pa.RecordBatch.from_arrays([pa.array(ids[left[i[first]]]), pa.array(ids[right[j[first]]])], ["a", "b"])
 
@@ -245,7 +289,8 @@ def group(documents: DataFrame, keep: list[str], order: str) -> DataFrame:
 
     1. Rows with equal sets form a class. 2. Classes that share a key are candidates: each key's classes are compared with one
     of them (the least by a hash), three with each other. Keys with the same members are one. 3. In keys whose classes still lie in several
-    components, every class outside the largest component is compared with all of other components, in blocks. Candidates are
+    components, every class outside the largest component is compared with all of other components, in blocks: first in the keys of a quarter of the choices of lanes,
+    then, with what that linked, in the others; a pair counts in the first key it shares. Candidates are
     first told by size and signature, and what is left by full sets. 4. Links make components. Sets that differ in more than
     GUARANTEED lanes may share no key: at similarity 0.75 the chance that a pair shares none is about 1e-7. Null texts and texts
     without words have an empty set and are linked with nothing. Of rows equal in `order` the earlier one stays; a row without
@@ -268,8 +313,9 @@ def group(documents: DataFrame, keep: list[str], order: str) -> DataFrame:
         links = confirmed(outer.union(hubs).withColumn("comp", F.col("id")), classes, documents, tables)
         tables.drop("spokes", "likely")
         comps = components(links)
-        for share in (4, 1):
-            more = _apart(held.where(F.pmod("key", F.lit(share)) == 0), comps, classes, documents, tables)
+        early = choice_of(F.col("key")) < len(_CHOICES) // 4
+        for turn in (early, ~early):
+            more = _apart(held.where(turn), comps, classes, documents, tables)
             if more is not None:
                 links = links.union(more)
                 comps = components(links)
@@ -289,14 +335,15 @@ def group(documents: DataFrame, keep: list[str], order: str) -> DataFrame:
 
 def _candidates(classes: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
     """held (key, id): the classes of every key that more than three share; spokes (g, id): classes to be compared with their key's
-    least, of three also the other two with each other, so that what isn't held is compared whole. Keys with the same members, told by their number and 128 bits, count once."""
+    least, of three also the other two with each other, so that what isn't held is compared whole. Keys with the same members, told by their number and 128 bits, count once,
+    as the one of the earliest choice of lanes."""
     keys = tables.write(chunk_keys(classes), "keys")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     both = tables.write(keys.join(shared, "key", "left_semi"), "shared")
     tables.drop("keys")
     mixed = F.struct(F.xxhash64("id").alias("h"), "id")
     facts = both.groupBy("key").agg(F.count("*").alias("n"), F.min(mixed)["id"].alias("low"), F.max(mixed)["id"].alias("high"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(2))).alias("y"))
-    facts = tables.write(facts.groupBy("n", "x", "y").agg(F.min(F.struct("key", "low", "high")).alias("v")).select("n", "v.*"), "facts")
+    facts = tables.write(facts.groupBy("n", "x", "y").agg(F.min(F.struct(choice_of(F.col("key")).alias("choice"), "key", "low", "high")).alias("v")).select("n", "v.key", "v.low", "v.high"), "facts")
     held = tables.write(both.join(facts.where("n > 2"), "key"), "held")
     tables.drop("shared")
     stars = held.where("low <> id").select(F.col("low").alias("g"), "id")
@@ -317,9 +364,9 @@ def hub_parts(spokes: DataFrame) -> DataFrame:
 def _apart(held: DataFrame, comps: DataFrame, classes: DataFrame, documents: DataFrame, tables: Tables) -> DataFrame | None:
     """Links between components that share a key of `held` (key, id), or None if there are none.
 
-    A key's classes outside its largest component are dealt into blocks, and so are all of its classes; every pair of blocks is
-    compared in one group, by signatures at first. Rows made: a key's classes times its blocks of outsiders, so few once most
-    outsiders are linked.
+    A key's classes outside its largest component are compared with all of its classes, by signatures at first. Where these are more than
+    SIGNATURES both are dealt into blocks, and every pair of blocks is a group. Rows made: a key's classes, in a larger key times its blocks of
+    outsiders, so few once most outsiders are linked.
     """
     left = held.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
     tallies = left.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.count("*").alias("comps"), F.sum("m").alias("n"), F.max(F.struct("m", "comp")).alias("top"))
@@ -327,14 +374,17 @@ def _apart(held: DataFrame, comps: DataFrame, classes: DataFrame, documents: Dat
     if tallies.isEmpty():
         return None
     dealt = left.join(tallies, "key")
-    blocks_of = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    blocks_of = lambda c: F.ceil(F.col(c) / SIGNATURES).cast("int")
     place = F.xxhash64("id", F.lit(5))
     row = F.pmod(place, blocks_of("apart")).cast("int")
     column = F.pmod(place, blocks_of("n")).cast("int")
-    outsiders = dealt.where("comp <> main").select("key", "id", "comp", row.alias("i"), F.explode(F.sequence(F.lit(0), blocks_of("n") - 1)).alias("j"), F.lit(0).alias("side"))
-    everyone = dealt.select("key", "id", "comp", F.explode(F.sequence(F.lit(0), blocks_of("apart") - 1)).alias("i"), column.alias("j"), F.lit(1).alias("side"))
-    pairs = outsiders.unionByName(everyone).select(F.col("key").alias("g1"), (F.col("i").cast("long") * (1 << 31) + F.col("j")).alias("g2"), "side", "id", "comp")
-    pairs = tables.write(promising(pairs.join(classes.select("id", "n", "sig"), "id").select("g1", "g2", "side", "id", "comp", "n", "sig")), "promising")
+    outside, yes, no = F.col("comp") != F.col("main"), F.lit(True), F.lit(False)
+    whole = dealt.where(F.col("n") <= SIGNATURES).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), outside.alias("left"), yes.alias("right"), outside.alias("outside"), "id", "comp")
+    large = dealt.where(F.col("n") > SIGNATURES)
+    outsiders = large.where(outside).select("key", row.alias("i"), F.explode(F.sequence(F.lit(0), blocks_of("n") - 1)).alias("j"), yes.alias("left"), no.alias("right"), yes.alias("outside"), "id", "comp")
+    everyone = large.select("key", F.explode(F.sequence(F.lit(0), blocks_of("apart") - 1)).alias("i"), column.alias("j"), no.alias("left"), yes.alias("right"), outside.alias("outside"), "id", "comp")
+    rows = whole.unionByName(outsiders).unionByName(everyone).withColumn("block", F.col("i").cast("long") * (1 << 20) + F.col("j"))
+    pairs = tables.write(promising(rows.join(classes.select("id", "n", "sig"), "id").select("key", "block", "left", "right", "outside", "id", "comp", "n", "sig")), "promising")
     tables.drop("tallies")
     if pairs.isEmpty():
         return None

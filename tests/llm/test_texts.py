@@ -67,6 +67,35 @@ def test_near_dup(spark):
     assert near_dup.components_of(docs_of(spark, [])).count() == 0
 
 
+def test_near_dup_pairs_meet_in_one_key(spark, monkeypatch):
+    """Thirty classes alike in eight chunks, of each of which another one has none: every pair is compared, in the first key it shares only."""
+    rng = np.random.default_rng(3)
+    sig = rng.integers(0, 1 << 16, (30, near_dup.LANES), dtype=np.uint16)
+    for c in range(8):
+        sig[[i for i in range(30) if i != c], c * near_dup.CHUNK : (c + 1) * near_dup.CHUNK] = 7 + c
+    classes = spark.createDataFrame([(i, 100, bytearray(sig[i].tobytes())) for i in range(30)], "id long, n long, sig binary")
+    asked = []
+
+    def confirmed(pairs, classes, documents, tables):
+        asked.extend(pairs.collect())
+        return spark.createDataFrame([], "a long, b long")
+
+    monkeypatch.setattr(near_dup, "confirmed", confirmed)
+    for signatures in (near_dup.SIGNATURES, 10):  # a key in one group, and dealt into blocks
+        monkeypatch.setattr(near_dup, "SIGNATURES", signatures)
+        asked.clear()
+        with Tables(spark) as tables:
+            held, _ = near_dup._candidates(classes, tables)
+            assert near_dup._apart(held, spark.createDataFrame([], "node long, component long"), classes, None, tables) is None
+        sides = {}
+        for r in asked:
+            for side in ((0, 1) if r["side"] == 2 else (r["side"],)):
+                sides.setdefault((r["g1"], r["g2"]), ([], []))[side].append(r["id"])
+        assert {frozenset((a, b)) for left, right in sides.values() for a in left for b in right if a != b} == {frozenset((a, b)) for a in range(30) for b in range(a)}
+        # 29 in chunk 0, what misses there with 28 others in chunk 1, and a last pair; all keys' classes on two sides were 464 rows
+        assert len(asked) == 29 + 29 + 2 if signatures > 30 else len(asked) < 464
+
+
 def test_hub_parts_stay_small(spark):
     """Parts grow in number with a hub's classes, not in size."""
     spokes = spark.range(100_000).selectExpr("7L as g", "id").union(spark.range(20).selectExpr("8L as g", "id"))

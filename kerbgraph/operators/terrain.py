@@ -6,10 +6,17 @@ that overlap the one with the least rank that has data wins, so ranks differ. Ti
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import columns as C
+from ..sources.scratch import written
 from . import lines
 from .streets import told
 
@@ -17,6 +24,10 @@ from .streets import told
 SIDE, CELL_M = 64, 64.0
 #: Edges of a task, about: each makes many samples, so their few bytes would be dealt to too few tasks.
 EDGES_A_TASK = 20_000
+#: Edges of a cell that are sampled together; those of a cell with more are dealt into parts.
+EDGES_A_CELL = 4096
+#: Samples by the place they are for; metres that they lie off the legs of an edge at most.
+PARTS, OFF_M = ("line", "beside", "ends"), 6.0
 #: Heights below are no data.
 LOWEST = -100.0
 #: Metres: edges shorter than the baseline they are measured on, how far beside the line camber is taken, what no camber rises there, edges too short to change.
@@ -49,16 +60,9 @@ def blocks(tiles: DataFrame, side: int = SIDE, nodata: float | None = None) -> D
     return cut.withColumn("cy", cells(F.col("y0") - south * F.col("res"), F.col("y0") - north * F.col("res"))).drop("across", "down")
 
 
-def _dealt(edges: DataFrame) -> tuple[DataFrame, int]:
-    """edges dealt by their key into parts whose number grows with them, and that number."""
-    parts = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), edges.count() // EDGES_A_TASK)
-    return edges.repartition(parts, "edge"), parts
-
-
-def heights(points: DataFrame, dtm: DataFrame, keys: list[str], by: str | None = None, parts: int = 1) -> DataFrame:
+def heights(points: DataFrame, dtm: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, z) of points (keys, x, y) by `blocks`: bilinear between the four nearest cells; where one of them has no data, the first that has any (north-west,
-    north-east, south-west, south-east); null if none has. Rows alike in `keys` come once. by: a key that rows are dealt by into so many parts, so that what follows needn't shuffle.
-    Points without a place have no height."""
+    north-east, south-west, south-east); null if none has. Rows alike in `keys` come once. Points without a place have no height."""
     at = points.withColumn("cx", F.floor(F.col("x") / CELL_M)).withColumn("cy", F.floor(F.col("y") / CELL_M))
     fx, fy = (F.col("x") - F.col("x0")) / F.col("res") - 0.5, (F.col("y0") - F.col("y")) / F.col("res") - 0.5
     # a cell meets more blocks than answer for a point: the join itself leaves those out, so that a point makes a row for each that does
@@ -74,38 +78,152 @@ def heights(points: DataFrame, dtm: DataFrame, keys: list[str], by: str | None =
     tx, ty, one = F.col("tx"), F.col("ty"), F.lit(1.0)
     between = F.col("a") * (one - tx) * (one - ty) + F.col("b") * tx * (one - ty) + F.col("c") * (one - tx) * ty + F.col("d4") * tx * ty
     found = found.select(*keys, "rank", F.coalesce(between, "a", "b", "c", "d4").alias("z"))
-    if by:
-        found = found.repartition(parts, by)
     return found.groupBy(*keys).agg(F.min_by("z", F.when(F.col("z").isNotNull(), F.col("rank"))).alias("z"))
 
 
-def profiles(edges: DataFrame, dtm: DataFrame) -> DataFrame:
-    """(edge, k, d, z) every metre along edges (edge, line of (x, y), off) that lie on the ground."""
-    edges, parts = _dealt(edges.where(~F.col("off") & (F.size("line") > 1)).select("edge", "line"))
-    points = edges.select("edge", F.posexplode(lines.densify(F.col("line"))).alias("k", "p")).select("edge", "k", "p.d", "p.x", "p.y")
-    return heights(points, dtm, ["edge", "k", "d"], by="edge", parts=parts)
+def _parts(edges: DataFrame) -> int:
+    """The number of parts that edges are dealt into: it grows with them."""
+    return max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), edges.count() // EDGES_A_TASK)
+
+
+def _line_points(line: pa.Array) -> tuple[np.ndarray, ...]:
+    """(row, k, d, x, y) of the points every metre or less along lines of (x, y), two points or more each, as lines.densify makes them."""
+    size = pc.list_value_length(line).to_numpy(zero_copy_only=False)
+    values = line.flatten()
+    x, y = (pc.struct_field(values, c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in "xy")
+    end = np.cumsum(size) - 1
+    a = np.delete(np.arange(len(x)), end)
+    row = np.repeat(np.arange(len(size)), size - 1)
+    dx, dy = x[a + 1] - x[a], y[a + 1] - y[a]
+    far = np.hypot(dx, dy)
+    # the distance before a leg is summed in the order of the legs
+    nth = np.arange(len(a)) - np.repeat(np.cumsum(size - 1) - (size - 1), size - 1)
+    before, order = np.zeros(len(a)), np.argsort(nth, kind="stable")
+    cuts = np.searchsorted(nth[order], np.arange(1, nth.max(initial=0) + 2))
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        at = order[lo:hi]
+        before[at] = before[at - 1] + far[at - 1]
+    parts = np.where(np.isnan(far), 1, np.maximum(1, np.ceil(np.nan_to_num(far) / lines.STEP_M))).astype(np.int64)
+    leg = np.repeat(np.arange(len(a)), parts)
+    s, n = np.arange(len(leg)) - np.repeat(np.cumsum(parts) - parts, parts), parts[leg]
+    # a line's end comes after the points of its legs
+    many = np.bincount(row[leg], minlength=len(size)) + 1
+    place = np.delete(np.arange(many.sum()), np.cumsum(many) - 1)
+    out = []
+    last = np.cumsum(size - 1) - 1
+    for inner, ends in ((before[leg] + far[leg] * s / n, before[last] + far[last]), (x[a][leg] + dx[leg] * s / n, x[end]), (y[a][leg] + dy[leg] * s / n, y[end])):
+        all_ = np.empty(many.sum())
+        all_[place], all_[np.cumsum(many) - 1] = inner, ends
+        out.append(all_)
+    k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    return np.repeat(np.arange(len(size)), many), k, *out
+
+
+def _slope_points(line: pa.Array) -> tuple[np.ndarray, ...]:
+    """(row, part, k, d, x, y): the line every metre, points to both sides of every other one, and the ends of the baseline of short edges. part is a number in PARTS."""
+    row, k, d, x, y = _line_points(line)
+    n = np.bincount(row, minlength=len(line))
+    first, last = np.cumsum(n) - n, np.cumsum(n) - 1
+    mid = np.flatnonzero((k % 2 == 1) & (k <= n[row] - 2))
+    dx, dy = x[mid + 1] - x[mid - 1], y[mid + 1] - y[mid - 1]
+    far = np.hypot(dx, dy)
+    mid, dx, dy, far = (v[far > 0] for v in (mid, dx, dy, far))
+    nx, ny = -dy / far * BESIDE_M, dx / far * BESIDE_M
+    sides = [(row[mid], np.full(len(mid), 1), k[mid] * 2 + i, d[mid], x[mid] + s * nx, y[mid] + s * ny) for i, s in enumerate((1, -1))]
+    dx, dy = x[last] - x[first], y[last] - y[first]
+    far = np.hypot(dx, dy)
+    short = np.flatnonzero((d[last] < SHORT_M) & (far >= 0.2))
+    f, e, dx, dy, far = first[short], last[short], dx[short], dy[short], far[short]
+    ends = [(short, np.full(len(f), 2), np.full(len(f), i), np.full(len(f), float(i)), (x[f] + x[e]) / 2 + dx / far * s * SHORT_M / 2, (y[f] + y[e]) / 2 + dy / far * s * SHORT_M / 2) for i, s in enumerate((-1, 1))]
+    return tuple(np.concatenate(v) for v in zip((row, np.zeros(len(row), int), k, d, x, y), *sides, *ends, strict=True))
+
 
+def _bilinear(blocks: pa.Table, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Heights of points by the blocks of their cell, as `heights` finds them: the first block by rank that has one; nan if none has."""
+    z = np.full(len(x), np.nan)
+    order = np.argsort(blocks["rank"].to_numpy(), kind="stable")
+    grids = blocks["z"].combine_chunks()
+    told = {c: blocks[c].to_numpy() for c in ("x0", "y0", "res", "own_u", "own_v", "to_u", "to_v", "left", "top", "wide", "high")}
+    open_ = np.flatnonzero(~np.isnan(x) & ~np.isnan(y))
+    for nth in order:
+        b = {c: v[nth] for c, v in told.items()}
+        fx, fy = (x[open_] - b["x0"]) / b["res"] - 0.5, (b["y0"] - y[open_]) / b["res"] - 0.5
+        u, v = np.floor(fx), np.floor(fy)
+        own = (u >= b["own_u"]) & (u < b["to_u"]) & (v >= b["own_v"]) & (v < b["to_v"])
+        if not own.any():
+            continue
+        at, u, v, fx, fy = open_[own], u[own].astype(np.int64), v[own].astype(np.int64), fx[own], fy[own]
+        grid = grids[int(nth)].values.to_numpy(zero_copy_only=False).reshape(b["high"], b["wide"])
+        # a frame of cells without data, so that what lies beyond the block has none
+        framed = np.pad(grid, 1, constant_values=np.nan)
+        west, east = (np.clip(u - b["left"] + i, 0, b["wide"] + 1) for i in (1, 2))
+        north, south = (np.clip(v - b["top"] + i, 0, b["high"] + 1) for i in (1, 2))
+        tx, ty = fx - u, fy - v
+        a, e, c, d = framed[north, west], framed[north, east], framed[south, west], framed[south, east]
+        found = a * (1 - tx) * (1 - ty) + e * tx * (1 - ty) + c * (1 - tx) * ty + d * tx * ty
+        for other in (a, e, c, d):
+            found = np.where(np.isnan(found), other, found)
+        z[at] = found
+        open_ = open_[np.isnan(z[open_])]
+        if not len(open_):
+            break
+    return z
 
-def _samples(edges: DataFrame) -> DataFrame:
-    """(edge, part, k, d, x, y): the line every metre, points to both sides of every other one, and the ends of the baseline of short edges."""
-    on = edges.select("edge", lines.densify(F.col("line")).alias("p"))
-    n, p = F.size("p"), F.col("p")
-    point = lambda part, k, d, x, y: F.struct(F.lit(part).alias("part"), k.cast("int").alias("k"), d.alias("d"), x.alias("x"), y.alias("y"))
-    line = F.transform(p, lambda q, k: point("line", k, q["d"], q["x"], q["y"]))
 
-    def beside(k: Column) -> Column:
-        a, b, q = p[k - 1], p[k + 1], p[k]
-        far = F.hypot(b["x"] - a["x"], b["y"] - a["y"])
-        nx, ny = -(b["y"] - a["y"]) / F.nullif(far, F.lit(0.0)) * BESIDE_M, (b["x"] - a["x"]) / F.nullif(far, F.lit(0.0)) * BESIDE_M
-        return F.array(point("beside", k * 2, q["d"], q["x"] + nx, q["y"] + ny), point("beside", k * 2 + 1, q["d"], q["x"] - nx, q["y"] - ny))
+def _sampled(edges: DataFrame, dtm: DataFrame, points: Callable[[pa.Array], tuple[np.ndarray, ...]], off: float, parts: int) -> DataFrame:
+    """(edge, part, samples of (k, d, z)) of edges (edge, line) at `points` of their lines, which lie no further than `off` from the legs: a row for each cell that an edge comes
+    to and each part of its points.
+
+    Edges, not their points, meet the blocks: an edge goes to the cells that its legs come near, and makes its points there; each cell keeps its own. Only blocks of cells
+    with edges are sent; edges of a crowded cell are dealt into parts.
+    """
+    n = F.size("line")
+    told = lambda p, c: F.when(~F.isnan(p[c]), p[c])
+    box = lambda a, b, c, end, s: F.floor((end(told(a, c), told(b, c)) + s * off) / CELL_M)
+    span = lambda a, b, c: F.sequence(box(a, b, c, F.least, -1), box(a, b, c, F.greatest, 1))
+    of_leg = lambda a, b: F.flatten(F.transform(span(a, b, "x"), lambda cx: F.transform(span(a, b, "y"), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
+    lost = F.exists("line", lambda p: told(p, "x").isNull() | told(p, "y").isNull())
+    nowhere = F.array(F.struct(F.lit(None).cast("long").alias("cx"), F.lit(None).cast("long").alias("cy")))
+    legs = F.filter(F.zip_with(F.slice("line", F.lit(1), n - 1), F.slice("line", F.lit(2), n - 1), of_leg), lambda cells: cells.isNotNull())
+    cells = F.concat(F.array_distinct(F.flatten(legs)), F.when(lost, nowhere).otherwise(F.slice(nowhere, 1, 0)))
+    pieces = edges.select("edge", "line", F.inline(cells))
+    crowd = written(pieces.groupBy("cx", "cy").agg(F.ceil(F.count("*") / EDGES_A_CELL).cast("int").alias("parts")), "cells")
+    keys = ["cx", "cy", "part"]
+    pieces = pieces.join(crowd, (pieces["cx"] == crowd["cx"]) & (pieces["cy"] == crowd["cy"]), "left").select("edge", "line", pieces["cx"], pieces["cy"], F.pmod(F.xxhash64("edge"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    here = dtm.join(crowd, ["cx", "cy"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+    def run(some: pa.Table, blocks: pa.Table) -> pa.Table:
+        if not len(some):
+            return schema.empty_table()
+        row, part, k, d, x, y = points(some["line"].combine_chunks())
+        cx, cy = some["cx"][0].as_py(), some["cy"][0].as_py()
+        mine = np.isnan(x) | np.isnan(y) if cx is None else (np.floor(x / CELL_M) == cx) & (np.floor(y / CELL_M) == cy)
+        row, part, k, d, x, y = (v[mine] for v in (row, part, k, d, x, y))
+        z = _bilinear(blocks, x, y) if len(blocks) else np.full(len(x), np.nan)
+        order = np.lexsort((k, part, row))
+        row, part, k, d, z = (v[order] for v in (row, part, k, d, z))
+        new = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
+        samples = pa.StructArray.from_arrays([pa.array(k.astype(np.int32)), pa.array(d, from_pandas=True), pa.array(z, from_pandas=True)], ["k", "d", "z"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(row)).astype(np.int32)), samples)
+        edge = some["edge"].combine_chunks().take(pa.array(row[new]))
+        return pa.table([edge, pa.array(np.array(PARTS)[part[new]]) if len(new) else pa.array([], pa.string()), lists.cast(schema.field("samples").type)], schema=schema)
+
+    kind = edges.select("edge").schema[0].dataType
+    out = f"edge {kind.simpleString()}, part string, samples array<struct<k:int,d:double,z:double>>"
+    schema = pa.schema([("edge", to_arrow_type(kind)), ("part", pa.string()), ("samples", pa.list_(pa.struct([("k", pa.int32()), ("d", pa.float64()), ("z", pa.float64())])))])
+    dealt = lambda df: df.repartition(parts, *keys).groupBy(*keys)
+    return dealt(pieces).cogroup(dealt(here)).applyInArrow(run, out)
+
+
+def profiles(edges: DataFrame, dtm: DataFrame) -> DataFrame:
+    """(edge, k, d, z) every metre along edges (edge, line of (x, y), off) that lie on the ground."""
+    edges = edges.where(~F.col("off") & (F.size("line") > 1)).select("edge", "line")
+
+    def points(line: pa.Array) -> tuple[np.ndarray, ...]:
+        row, *rest = _line_points(line)
+        return row, np.zeros(len(row), int), *rest
 
-    sides = F.when(n >= 3, F.filter(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1)), F.lit(2)), beside)), lambda s: s["x"].isNotNull()))
-    a, b = p[0], F.element_at("p", -1)
-    far = F.hypot(b["x"] - a["x"], b["y"] - a["y"])
-    half = lambda c, s: (a[c] + b[c]) / 2 + (b[c] - a[c]) / far * s * SHORT_M / 2
-    ends = F.when((b["d"] < SHORT_M) & (far >= 0.2), F.array(*[point("ends", F.lit(i), F.lit(float(i)), half("x", s), half("y", s)) for i, s in enumerate((-1, 1))]))
-    empty = F.array().cast("array<struct<part:string,k:int,d:double,x:double,y:double>>")
-    return on.select("edge", F.inline(F.concat(line, F.coalesce(sides, empty), F.coalesce(ends, empty))))
+    return _sampled(edges, dtm, points, 0.001, _parts(edges)).select("edge", F.inline("samples"))
 
 
 def edge_slopes(edges: DataFrame, dtm: DataFrame) -> DataFrame:
@@ -115,8 +233,9 @@ def edge_slopes(edges: DataFrame, dtm: DataFrame) -> DataFrame:
     edge of less than 5 m is measured over 5 m about its middle. camber: of the differences across every other metre, those of more than half a metre left out,
     the one that three quarters don't reach; null if more were left out than kept. A single-point line has no row.
     """
-    edges, parts = _dealt(edges.where(F.size("line") > 1).select("edge", "line"))
-    found = heights(_samples(edges), dtm, ["edge", "part", "k", "d"], by="edge", parts=parts)
+    edges = edges.where(F.size("line") > 1).select("edge", "line")
+    parts = _parts(edges)
+    found = _sampled(edges, dtm, _slope_points, OFF_M, parts).repartition(parts, "edge").select("edge", "part", F.inline("samples"))
     listed = F.sort_array(F.collect_list(F.when(F.col("part") != "line", F.struct("k", "z")))).alias("listed")
     told_parts = lines.slope_parts(found, ["edge", "part"], listed)
     of = lambda part, c: F.max(F.when(F.col("part") == part, F.col(c))).alias(c)

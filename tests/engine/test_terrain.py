@@ -180,3 +180,23 @@ def test_a_point_makes_a_row_for_each_block_that_answers_for_it(spark):
     points = spark.createDataFrame([(1, 12.0, 4.0), (2, -0.25, 4.0), (3, -0.75, 4.0), (4, 3.0, 8.25)], "p int, x double, y double")
     found = terrain.heights(points, dtm, ["p"])
     assert {r["p"]: r["z"] for r in found.collect()} == {1: 1.0, 2: 0.0, 3: None, 4: 0.0}
+
+
+def near(a, b):
+    return a == b or (a is not None and b is not None and abs(a - b) < 1e-9)
+
+
+def test_edges_not_their_samples_are_shuffled(spark, tiles, monkeypatch):
+    """Crowded cells are dealt into parts, an edge crosses many cells, one has a place missing, one lies where no tile is."""
+    monkeypatch.setattr(terrain, "EDGES_A_CELL", 3)
+    made = [*ways(random.Random(5)), (200, [(-500.0, -500.0), (700.0, 650.0)]), (201, [(5.0, 150.0), (None, 150.0), (30.0, 170.0), (31.0, 170.0)]), (202, [(9000.0, 0.0), (9003.0, 0.0)])]
+    edges = spark.createDataFrame([(e, [{"x": x, "y": y} for x, y in line]) for e, line in made], "edge int, line array<struct<x:double,y:double>>")
+    dtm = terrain.blocks(spark.createDataFrame(tiles, TILES))
+    got = {r["edge"]: r for r in terrain.edge_slopes(edges, dtm).collect()}
+    assert got.keys() == {e for e, _ in made} and got[201]["verdict"] == got[202]["verdict"] == got[200]["verdict"] == "no-data"
+    for e, line in made[:160]:
+        want = plain_slopes(tiles, line)
+        assert got[e]["verdict"] == want[0] and all(near(got[e][c], w) or abs(got[e][c] - w) < 1e-6 for c, w in zip(("mean", "steepest", "camber"), want[1:], strict=True)), (e, want)
+    plan = terrain.edge_slopes(edges, dtm)._jdf.queryExecution().executedPlan().toString()
+    # lines go to the cells, lists of samples back to the edges: no shuffle carries single points
+    assert "FlatMapCoGroupsInArrow" in plan and not [x for x in plan.splitlines() if "Join" in x and "own_u" in x]

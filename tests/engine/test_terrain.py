@@ -200,3 +200,16 @@ def test_edges_not_their_samples_are_shuffled(spark, tiles, monkeypatch):
     plan = terrain.edge_slopes(edges, dtm)._jdf.queryExecution().executedPlan().toString()
     # lines go to the cells, lists of samples back to the edges: no shuffle carries single points
     assert "FlatMapCoGroupsInArrow" in plan and not [x for x in plan.splitlines() if "Join" in x and "own_u" in x]
+
+
+def test_profiles_shuffle_lines_alone(spark, tiles, monkeypatch):
+    monkeypatch.setattr(terrain, "EDGES_A_CELL", 2)
+    made = [*ways(random.Random(6)), (200, [(-500.0, -500.0), (700.0, 650.0)]), (201, [(5.0, 150.0), (None, 150.0), (30.0, 170.0)])]
+    edges = spark.createDataFrame([(e, [{"x": x, "y": y} for x, y in line], e == 7) for e, line in made], "edge int, line array<struct<x:double,y:double>>, off boolean")
+    dtm = terrain.blocks(spark.createDataFrame(tiles, TILES))
+    points = edges.where("not off").select("edge", F.posexplode(lines.densify(F.col("line"))).alias("k", "p")).select("edge", "k", "p.d", "p.x", "p.y")
+    want = {(r["edge"], r["k"]): r for r in terrain.heights(points, dtm, ["edge", "k", "d"]).collect()}
+    profile = terrain.profiles(edges, dtm)
+    found = profile.collect()
+    assert len(found) == len(want) and all(near(r["d"], want[r["edge"], r["k"]]["d"]) and near(r["z"], want[r["edge"], r["k"]]["z"]) for r in found)
+    assert "hashpartitioning(edge" not in profile._jdf.queryExecution().executedPlan().toString()

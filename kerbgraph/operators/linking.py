@@ -23,22 +23,14 @@ def nearest(points: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """points (point, lon, lat, reach) with their k nearest nodes (node, lon, lat) within each one's reach: (point, node, distance_m, rank); of
     equally near nodes the lesser first.
 
-    Points ask the cells within their reach; cells are as high as the longest reach and as wide at their row's parallel. Of a cell's nodes only the nearest k
-    of a point go on, so a crowded cell makes rows for its own points alone.
+    Places are searched with the longest reach by `relational.nearest_join`, from a small radius on, so that a crowd around a point, or many points and nodes at one place,
+    are never paired as a whole; a point then keeps what its own reach holds.
     """
     most = points.agg(F.max("reach")).first()[0] or 1.0
-    high = most / 111_320.0
-    row = lambda lat: F.floor(lat / high).cast("long")
-    wide = lambda r: high / F.greatest(F.cos(F.radians(F.least(F.greatest(F.abs(r * high), F.abs((r + 1) * high)) + high, F.lit(89.0)))), F.lit(0.01))
-    asked = points.withColumn("row", F.explode(F.sequence(row(F.col("lat")) - 1, row(F.col("lat")) + 1)))
-    col = F.floor(F.col("lon") / wide(F.col("row"))).cast("long")
-    asked = asked.withColumn("col", F.explode(F.sequence(col - 1, col + 1)))
-    stored = nodes.select("node", F.col("lon").alias("node_lon"), F.col("lat").alias("node_lat")).withColumn("row", row(F.col("node_lat")))
-    stored = stored.withColumn("col", F.floor(F.col("node_lon") / wide(F.col("row"))).cast("long"))
-    far = C.haversine_m(F.col("lon"), F.col("lat"), F.col("node_lon"), F.col("node_lat"))
-    found = asked.join(stored, ["row", "col"]).withColumn("distance_m", far).where("distance_m <= reach")
+    near = relational.nearest_join(points.select(F.struct("point", "reach").alias("a"), "lon", "lat"), nodes.select(F.col("node").alias("b"), "lon", "lat"), most, k)
+    found = near.where("distance_m <= a.reach").select("a.point", F.col("b").alias("node"), "distance_m")
     rank = F.row_number().over(Window.partitionBy("point").orderBy("distance_m", "node"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("point", "node", "distance_m", "rank")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def transit(stations: DataFrame, routes: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:

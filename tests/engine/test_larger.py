@@ -39,6 +39,18 @@ def test_nodes_at_mirrored_distances_are_equally_far(spark, tmp_path):
     assert len(mine) == 3 * 39 and mine == theirs
 
 
+def test_many_stops_and_nodes_at_one_place_are_one(spark, tmp_path, monkeypatch):
+    """Stops of three reaches stand at 200 places, several at each, and many nodes at each of 500: what is searched is places, from a small radius on."""
+    met = []
+    monkeypatch.setattr(relational, "_dealt", lambda stored, asked, f=relational._dealt: met.append((stored.count(), asked.count())) or f(stored, asked))
+    monkeypatch.setattr(relational, "NEAR_ROWS", 2)
+    stops = "SELECT (i % 200 + 1000 * (i // 200))::BIGINT AS s_suppkey, (i // 200)::INT AS s_nationkey FROM range(0, 1200) t(i)"
+    junctions = "SELECT (i % 500 + 1009 * 1013 * (i // 500))::BIGINT AS p_partkey FROM range(0, 4000) t(i)"
+    mine, theirs = against_sql(spark, tmp_path, "nearest_under_reach", supplier=stops, part=junctions)
+    assert mine == theirs and len(mine) > 300
+    assert len(met) > 1 and all(stored <= 500 and asked <= 200 * 9 for stored, asked in met)
+
+
 def test_notes_meet_edges_by_way_and_cell(spark):
     rng = random.Random(4)
     near = lambda: rng.choice([(rng.uniform(-0.004, 0.004), rng.uniform(55.0, 55.004)), (rng.choice([-179.999, 179.999]) + rng.uniform(-0.001, 0.001), rng.uniform(0, 0.004)), (rng.uniform(-180, 180), rng.uniform(89.998, 90))])

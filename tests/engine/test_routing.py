@@ -164,3 +164,21 @@ def test_bounds_grow_until_nothing_is_left(spark):
     stops = arcs.withColumn("stop", F.col("dst") == 1).withColumn("ride", F.lit(False))
     gaps = {r["request"]: r["cost"] for r in routing.search_with_gaps(stops, requests.where("request <= 2"), 901.0).collect()}
     assert gaps == {1: 902.0, 2: None}
+
+
+def test_balls_tell_the_arcs_of_least_routes(spark, town):
+    arcs, known, requests, asked = town
+    back = {who: {} for who in known}
+    for who, out in known.items():
+        for u, ways in out.items():
+            for v, e, c in ways:
+                back[who].setdefault(v, []).append((u, e, c))
+    with Tables(spark) as tables:
+        balls = routing._Balls(*routing._arcs(arcs, tables), requests, tables)
+        balls.grow()
+        got = {(r["profile"], r["node"], r["dst"], r["edge"]) for r in balls.between()[0].collect()}
+    want = set()
+    for r, who, a, b in asked:
+        f, t = dijkstra(known[who], a), dijkstra(back[who], b)
+        want |= {(r, u, v, e) for u in f for v, e, c in known[who].get(u, ()) if b in f and v in t and f[u][0] + c + t[v][0] <= f[b][0]}
+    assert want <= got and len(got) < arcs.count() * len(asked) / 4
